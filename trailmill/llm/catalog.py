@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, secret_scan, simhash, token_counts
+from . import chat_format, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
 def queries() -> dict:
     documents = lambda digest: lambda spark, sf_dir: digest(table(spark, sf_dir, "documents"))
     return {
+        "op1_substring_dedup": documents(substring_dedup.digest),
         "op4_token_counts": documents(token_counts.digest),
         "op5_secret_scan": documents(secret_scan.digest),
         "op6_packing": documents(packing.digest),
