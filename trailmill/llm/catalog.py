@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import arc_warc, chat_format, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_packing": documents(packing.digest),
         "op7_chat_format": lambda spark, sf_dir: chat_format.digest(table(spark, sf_dir, "conversations")),
         "op8_quality_rules": documents(quality_rules.digest),
+        "op9_arc_warc": lambda spark, sf_dir: arc_warc.digest(table(spark, sf_dir, "pages")),
         "op10_simhash": documents(simhash.digest),
     }
 
