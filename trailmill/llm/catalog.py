@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_warc, chat_format, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import arc_warc, chat_format, decontaminate, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -10,6 +10,8 @@ def queries() -> dict:
     documents = lambda digest: lambda spark, sf_dir: digest(table(spark, sf_dir, "documents"))
     return {
         "op1_substring_dedup": documents(substring_dedup.digest),
+        "op2_language_id": lambda spark, sf_dir: language_id.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")),
+        "op3_decontaminate": lambda spark, sf_dir: decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op4_token_counts": documents(token_counts.digest),
         "op5_secret_scan": documents(secret_scan.digest),
         "op6_packing": documents(packing.digest),

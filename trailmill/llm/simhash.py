@@ -164,3 +164,101 @@ def digest(docs: DataFrame) -> DataFrame:
     """The result of the query, for every document."""
     out = near_duplicates(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- wide fingerprints, for similarities that 64 bits and a fixed distance can't tell ----------
+
+#: 64-bit lanes of a wide fingerprint; blocks of it that are keys, and the bits of each.
+LANES = 8
+WIDE_BLOCKS, WIDE_BITS = 24, 21
+#: Rows of one key that are compared in one task; a key with more is dealt to several first.
+TOGETHER = 4_096
+
+
+def lane(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of their own for each lane, made of the shingles' hashes."""
+    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    return b"".join(fingerprint(lane(hashes, k)).to_bytes(BITS // 8, "big") for k in range(LANES))
+
+
+def most_bits_apart(similarity: float) -> int:
+    """Bits by which wide fingerprints of texts of that Jaccard similarity differ on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(LANES * BITS * np.arccos(cosine) / np.pi)
+
+
+def _wide_keys(batches):
+    shift = 1 << np.arange(WIDE_BITS - 1, -1, -1, dtype=np.int64)
+    for batch in batches:
+        fps = batch.column(0)
+        bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, LANES * BITS // 8), axis=1)
+        keys = bits[:, : WIDE_BLOCKS * WIDE_BITS].reshape(-1, WIDE_BLOCKS, WIDE_BITS).astype(np.int64) @ shift
+        keys += np.arange(WIDE_BLOCKS, dtype=np.int64) << 32
+        rows = np.repeat(np.arange(len(keys)), WIDE_BLOCKS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), fps.take(pa.array(rows))], ["key", "fp"])
+
+
+def _leaders(most: int):
+    """Streams groups (key, part): each fingerprint is linked to every leader of its group within
+    `most` bits, and leads itself if there is none. Only the group's leaders are in memory."""
+
+    def stream(batches):
+        group, leaders = None, []
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for key, part, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != group:
+                    group, leaders = (key, part), []
+                number, near = int.from_bytes(fp, "big"), False
+                for other, data in leaders:
+                    if (number ^ other).bit_count() <= most:
+                        near = True
+                        for column, value in zip(out, (key, max(fp, data), min(fp, data)), strict=True):
+                            column.append(value)
+                if not near:
+                    leaders.append((number, fp))
+                    for column, value in zip(out, (key, fp, None), strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "a", "b"])
+
+    return stream
+
+
+def wide_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between distinct wide fingerprints (column fp): pairs that share a block and are
+    no further apart than texts of the similarity, each to a leader of their block."""
+    most = most_bits_apart(similarity)
+    keyed = staged(fps.select("fp").mapInArrow(_wide_keys, "key bigint, fp binary"), "wide-keys", path := folder(fps.sparkSession, "wide-keys"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / TOGETHER)
+    met = keyed.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("fp"), parts))
+    compared = lambda df: df.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_leaders(most), "key bigint, a binary, b binary")
+    first = staged(compared(met), "wide-first")
+    dealt = shared.where(F.col("n") > TOGETHER).select("key")
+    leaders = first.where("b is null").join(dealt, "key", "left_semi").select("key", F.lit(0).cast("bigint").alias("part"), F.col("a").alias("fp"))
+    again = compared(leaders)
+    found = staged(first.union(again).where("b is not null").select("a", "b").distinct(), "wide-links")
+    discard(fps.sparkSession, path)
+    return found
+
+
+def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id, with all its columns."""
+    from .common import unused
+
+    ik, th = unused(docs, "row_id_hash"), unused(docs, "row_text_hash")
+    keyed = docs.withColumns({ik: F.xxhash64(id), th: F.xxhash64(text)})
+    wide = map_column(lambda t: pa.array([wide_fingerprint(shingle_hashes(d, width)) for d in utf8(t)], pa.binary()), "binary", F.col(text))
+    rows = keyed.select(F.struct(F.col(id).alias("id"), F.col(th).alias("th"), F.col(ik).alias("ik")).alias("row"), wide.alias("fp"))
+    fps = staged(rows.groupBy("fp").agg(F.min("row").alias("row")), "wide")
+    found = components(wide_links(fps, similarity)).select(F.col("node").alias("fp"), "root")
+    roots = fps.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    chosen = staged(roots.select(F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "chosen")
+    return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
