@@ -29,7 +29,7 @@ _NUMBERS = "".join(c for c in _INSIDE if unicodedata.category(c)[0] == "N")
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 #: Entries of a worker's cache, after which it starts anew from the broadcast table.
-CACHED = 400_000
+CACHED = 120_000
 #: Pre-tokens above this length are not kept.
 LONG = 128
 
