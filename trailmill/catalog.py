@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import geometry_queries, relational_queries, scoring_queries, sequence_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "q_phase_motion_snr"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
