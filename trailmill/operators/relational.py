@@ -83,24 +83,46 @@ def exact_or_same_end(wanted: DataFrame, keyframes: DataFrame, by: list[str]) ->
     return wanted.join(exact, [*by, "end_frame", "kind"], "left").join(end, [*by, "end_frame"], "left").select(*wanted.columns, F.coalesce("exact", "same_end").alias("keyframe"))
 
 
-def allocated(counts: dict[str, int], total: int, strategy: str = "proportional", weights: dict[str, float] | None = None) -> dict[str, int]:
-    """How many of `total` each group gives: shares by the strategy, rounded down, the rest to the
-    largest remainders (then the larger group, then the name), never above a group's size."""
-    total = min(total, sum(counts.values()))
-    weight = {g: float(n if strategy == "proportional" else (weights or {}).get(g, 1.0) if strategy == "weighted" else 1.0) for g, n in counts.items()}
-    given = dict.fromkeys(counts, 0)
-    while (left := total - sum(given.values())) > 0:
-        open_ = [g for g in counts if given[g] < counts[g] and weight[g] > 0] or [g for g in counts if given[g] < counts[g]]
-        mass = sum(weight[g] for g in open_)
-        share = {g: left * (weight[g] / mass if mass else 1 / len(open_)) for g in open_}
-        for g in open_:
-            given[g] += min(int(share[g]), counts[g] - given[g])
-        for g in sorted(open_, key=lambda g: (int(share[g]) - share[g], -counts[g], g)):
-            if given[g] < counts[g] and sum(given.values()) < total and share[g] > int(share[g]):
-                given[g] += 1
+def allocated(counts: dict[str, int], total: int, strategy: str = "proportional", weights: dict[str, float] | None = None, floor: int = 0) -> dict[str, int]:
+    """How many of `total` each group gives. First each gets up to `floor`, heavier groups before
+    lighter; the rest by weight, rounded down, then one each by the largest remainders. No group gives
+    more than it has; what it cannot give is shared out again."""
+    if strategy not in ("proportional", "balanced", "weighted"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    groups = sorted(g for g in counts if counts[g])
+    weight = {g: {"proportional": float(counts[g]), "balanced": 1.0, "weighted": max(0.0, (weights or {}).get(g, 1.0))}[strategy] for g in groups}
+    if not any(weight.values()):
+        weight = dict.fromkeys(groups, 1.0)
+    given, left = dict.fromkeys(counts, 0), min(max(0, total), sum(counts.values()))
+
+    def give(g: str, n: int) -> None:
+        nonlocal left
+        n = min(n, counts[g] - given[g], left)
+        given[g] += n
+        left -= n
+
+    for _ in range(floor):
+        for g in sorted(groups, key=lambda g: (weight[g], counts[g], g), reverse=True):
+            give(g, 1)
+    while left and (some := [g for g in groups if given[g] < counts[g]]):
+        mass = sum(weight[g] for g in some)
+        share = {g: left * (weight[g] / mass if mass else 1 / len(some)) for g in some}
+        for g in some:
+            give(g, int(share[g]))
+        for g in sorted(some, key=lambda g: (share[g] % 1, weight[g], g), reverse=True):
+            give(g, 1)
     return given
 
 
+def sampled(groups: dict[str, list[str]], quotas: dict[str, int], seed: int = 42) -> list[str]:
+    """Keys drawn from each group, in the groups' order, by one seeded generator: what a user of the
+    random module gets. Key lists are those of an index, not of frames."""
+    import random
+
+    rng = random.Random(seed)
+    return [key for g in sorted(groups) if quotas.get(g) for key in rng.sample(groups[g], min(quotas[g], len(groups[g])))]
+
+
 def stratified(df: DataFrame, group: str, order: Column, quotas: dict[str, int]) -> DataFrame:
     """The first rows of each group by the order, as many as its quota. Quotas are one for each group."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(order))

@@ -91,7 +91,7 @@ def max_per_group(spark, sf_dir):
 @query(
     "q_stratified_sample",
     """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), q AS (SELECT lang, n, 100.0 * n / (SELECT sum(n) FROM c) AS share FROM c),
- f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, lang) AS p FROM q) SELECT lang, CAST(fl + CASE WHEN p <= 100 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS n FROM f""",
+ f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, lang DESC) AS p FROM q) SELECT lang, CAST(fl + CASE WHEN p <= 100 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS n FROM f""",
 )
 def stratified_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
