@@ -137,7 +137,7 @@ def evidence_of_pages(pages: DataFrame, model: np.ndarray) -> DataFrame:
 
 def _counts(rows: DataFrame, key: str, k: int) -> DataFrame:
     """Guesses of each language under each value of the key."""
-    per = [F.sum((F.col("guess") == i).cast("bigint")) for i in range(k)]
+    per = [F.count_if(F.col("guess") == i) for i in range(k)]
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*per).alias(f"{key}_n"))
 
 
