@@ -13,7 +13,7 @@ NAME, VERSION = "trailmill.annotation", "2.0"
 SCHEMA = (
     "schema struct<name:string,version:string>, trajectory_id string, subtask_index int, start_frame bigint, end_frame_exclusive bigint, "
     "instruction string, error string, selection struct<score:double>, arms array<struct<arm:string,selection:struct<score:double>>>, "
-    "arrays struct<storage:struct<path:string,group:string>>, _bad string"
+    "arrays struct<storage:struct<path:string,group:string>>"
 )
 #: What identifies an annotation in a merge: base file first, then node files, then line order.
 KEY = ("trajectory_id", "subtask_index", "start_frame", "end_frame_exclusive", "instruction")
@@ -23,19 +23,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, line) of JSON line files; numbers count from 1 within a file. Files are read
     whole by one task each, since a line's number needs all lines before it."""
     lines = F.posexplode(F.split("value", "\n")).alias("number", "line")
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), lines)
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), lines)
     return raw.select("file", (F.col("number") + 1).alias("number"), "line").where(F.trim("line") != "")
 
 
 def parsed(lines: DataFrame, line: str) -> DataFrame:
-    """Lines with their content as a struct `row`; `_bad` of it is the line where that is no object."""
-    row = F.from_json(line, SCHEMA, {"columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "true"})
-    return lines.withColumn("row", row)
+    """Lines with their content as a struct `row`; fields of another type are null."""
+    return lines.withColumn("row", F.from_json(line, SCHEMA, {"allowNonNumericNumbers": "true"}))
 
 
 def malformed(line: Column) -> Column:
     """Whether a line is not a JSON object."""
-    return F.col("row").isNull() | F.col("row._bad").isNotNull() | ~F.startswith(F.trim(line), F.lit("{"))
+    return F.from_json(line, "map<string,string>", {"allowNonNumericNumbers": "true"}).isNull()
 
 
 def passes(score: Column, threshold: float) -> Column:

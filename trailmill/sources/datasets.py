@@ -67,7 +67,7 @@ def transformed(value: Column, transform: str, by: list[str]) -> Column:
 
 def info(spark: SparkSession, root: str) -> dict:
     """The dataset's description: chunk size, frames per second, cameras, path templates."""
-    lines = spark.read.option("wholetext", True).text(f"{root}/meta/info.json").collect()
+    lines = spark.read.text(f"{root}/meta/info.json", wholetext=True).collect()
     raw = json.loads(lines[0]["value"])
     cameras = [k for k, v in raw.get("features", {}).items() if isinstance(v, dict) and v.get("dtype") in ("video", "image")]
     return {"chunk_size": int(raw.get("chunks_size", raw.get("chunk_size", 1000))), "fps": float(raw.get("fps", 30.0)), "cameras": cameras, "video_path": raw.get("video_path"), "data_path": raw.get("data_path")}
@@ -96,7 +96,7 @@ def chosen_camera(available: list[str], preferred: str | None = None, priority:
 def episodes(spark: SparkSession, root: str, about: dict, task_map: DataFrame | None = None) -> DataFrame:
     """The episode index: key, chunk, source id, task, and where each camera's video and the data lie.
     Columns that a dataset lacks are null; unreadable files are skipped."""
-    raw = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(f"{root}/meta/episodes")
+    raw = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(f"{root}/meta/episodes/chunk-*")
     raw = raw.withColumn("chunk_idx", F.regexp_extract(F.col("_metadata.file_path"), r"chunk-(\d+)", 1).cast("bigint"))
     have = lambda c, kind: F.col(f"`{c}`").cast(kind) if c in raw.columns else F.lit(None).cast(kind)
     sources = [
