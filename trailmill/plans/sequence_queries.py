@@ -58,13 +58,13 @@ def hysteresis_stats(spark, sf_dir):
     normal = seq.scaled(frames(spark, sf_dir), ["traj"], "signal", "z").where("z is not null")
     z = F.col("z")
     closed, opened = F.when(z < 0.5, z), F.when(z >= 0.5, z)
-    values = normal.agg(F.avg(closed).alias("mc"), F.avg(opened).alias("mo"), F.stddev_pop(closed).alias("sc"), F.min(z).alias("lo"))
     spans = seq.runs(seq.latch(normal, ["traj"], "t", "z", 0.4, 0.6), ["traj"], "t", "state").where("state = 'interact'")
-    lengths = spans.agg(F.avg("n").alias("af"), F.stddev_pop("n").alias("sf"), F.count("*").alias("num_interact"))
+    both = normal.select("z", F.lit(None).cast("bigint").alias("n")).unionByName(spans.select(F.lit(None).cast("double").alias("z"), "n"))
     r = lambda c, name: F.round(c, 4).alias(name)
-    return values.crossJoin(lengths).select(
-        r("mc", "mean_closed"), r("mo", "mean_open"), r("sc", "std_closed"), r("lo", "min_closed"), r("af", "avg_interact_frames"), r("sf", "std_interact_frames"), "num_interact"
-    )
+    return both.agg(
+        r(F.avg(closed), "mean_closed"), r(F.avg(opened), "mean_open"), r(F.stddev_pop(closed), "std_closed"), r(F.min("z"), "min_closed"),
+        r(F.avg("n"), "avg_interact_frames"), r(F.stddev_pop("n"), "std_interact_frames"), F.count("n").alias("num_interact"),
+    )
 
 
 @query(

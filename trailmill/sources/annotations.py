@@ -48,14 +48,21 @@ def reliable(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     return rows.where(F.when(F.size(arms) > 0, every).otherwise(passes(F.col("row.selection.score"), threshold)))
 
 
-def published(rows: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows of the published schema; others go, or raise where the gate is strict."""
-    good = F.coalesce((F.col("row.schema.name") == NAME) & (F.col("row.schema.version") == VERSION), F.lit(False))
+def published(rows: DataFrame, strict: bool = False, name: str = NAME, version: str = VERSION) -> DataFrame:
+    """Rows of a published schema, our own or another's; others go, or raise where the gate is strict."""
+    good = F.coalesce((F.col("row.schema.name") == name) & (F.col("row.schema.version") == version), F.lit(False))
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.lit("unsupported annotation schema")).cast("boolean"))
     return rows.where(good)
 
 
+def rebased(lines: DataFrame, line: str, prefix: str) -> DataFrame:
+    """Lines whose relative array path is written from another folder: the prefix goes before it."""
+    path = F.get_json_object(line, "$.arrays.storage.path")
+    moved = F.replace(F.col(line), F.concat(F.lit('"path":"'), path, F.lit('"')), F.concat(F.lit(f'"path":"{prefix}'), path, F.lit('"')))
+    return lines.withColumn(line, F.when(path.isNotNull() & ~F.startswith(path, F.lit("/")), moved).otherwise(F.col(line)))
+
+
 def filter_file(spark: SparkSession, path: str, out: str, threshold: float = 0.95) -> tuple[int, int]:
     """Writes the reliable lines of a file, unchanged; (kept, total). A malformed line stops with its
     number before anything is written, and an existing output is never overwritten."""
