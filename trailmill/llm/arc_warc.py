@@ -362,4 +362,4 @@ def digest(pages: DataFrame) -> DataFrame:
     """The result of the query: all pages, by way of ARC and WARC files."""
     records = read_back(convert(legacy_archives(pages)))
     kind = F.when(F.col("record_type") == "resource", "response").otherwise(F.col("record_type"))
-    return records.withColumn("record_type", kind)
+    return records.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_warc, chat_format, decontaminate, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import arc_warc, chat_format, decontaminate, language_id, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracles.OP1, "op7_chat_format": oracles.OP7, "op9_arc_warc": oracles.OP9}
