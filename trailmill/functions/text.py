@@ -116,3 +116,28 @@ def quoted(part: Column) -> Column:
 
 def rounded(value: Column, digits: int = 6) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.round(value, digits))
+
+
+# Patterns of the object in a label that takes something, and in one that puts it down.
+TAKEN = (
+    r"(?i)(?:simultaneously\s+)?(?:grab\s+and\s+(?:pick\s+up|lift)|pick\s+up|grasp|grab|take|retrieve)"
+    r"\s+(?:the\s+)?(.+?)(?:\s+(?:from|with|on\s+the|into)|[,.]|$)"
+)
+PUT = r"(?i)(?:place|put|store|insert|return)\s+(?:the\s+)?(.+?)(?:\s+(?:into|onto|in\b|on\b|with\b|to\b)|[,.]|$)"
+
+
+def object_noun(label: Column) -> Column:
+    """The object that a label is about, lower-cased; null if no pattern fits."""
+    found = F.coalesce(F.nullif(F.regexp_extract(label, TAKEN, 1), F.lit("")), F.nullif(F.regexp_extract(label, PUT, 1), F.lit("")))
+    return F.nullif(F.regexp_replace(F.trim(F.lower(found)), r"[.,]+$", ""), F.lit(""))
+
+
+def path_key(*parts: Column) -> Column:
+    """A trajectory's key of whole numbers or names, joined by slashes."""
+    return F.concat_ws("/", *(p.cast("string") for p in parts))
+
+
+def chosen_views(requested: Column, available: Column, most: int = 2) -> Column:
+    """The requested views that exist, each once, in order, at most so many; the first available if none."""
+    both = F.slice(F.array_distinct(F.filter(requested, lambda v: F.array_contains(available, v))), 1, most)
+    return F.when(F.size(both) > 0, both).otherwise(F.slice(available, 1, 1))

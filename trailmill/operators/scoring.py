@@ -175,3 +175,51 @@ def top_mean(df: DataFrame, by: list[str], value: str, order: str, share: float
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), order))
     kept = df.withColumns({"n__": n, "place__": place}).where(F.col("place__") <= F.least("n__", F.greatest(F.lit(least), F.ceil(F.col("n__") * share))))
     return kept.groupBy(*by).agg(F.avg(value).alias(name))
+
+
+def overlap_policy(df: DataFrame, by: list[str], policy: str = "first") -> DataFrame:
+    """(by, overlap) of frames (t, overlap, count) by one of four policies: the earliest frame, the mean
+    weighted by counts, the largest, or the weighted mean of the top tenth."""
+    if policy == "first":
+        return df.groupBy(*by).agg(F.min_by("overlap", "t").alias("overlap"))
+    if policy == "max":
+        return df.groupBy(*by).agg(F.max("overlap").alias("overlap"))
+    if policy == "top_mean":
+        w = Window.partitionBy(*by)
+        place = F.row_number().over(w.orderBy(F.desc("overlap"), "t"))
+        df = df.withColumns({"place__": place, "n__": F.count("*").over(w)}).where(F.col("place__") <= F.greatest(F.lit(1), F.ceil(F.col("n__") * 0.1)))
+    elif policy != "mean":
+        raise ValueError(f"unknown policy {policy!r}")
+    return df.groupBy(*by).agg((F.sum(F.col("overlap") * F.col("count")) / F.sum("count")).alias("overlap"))
+
+
+def gripper_spheres(points: DataFrame, by: list[str], centre: tuple[float, float], neighbours: int = 5, scale: float = 2.0, least: float = 0.05, cap: Column | None = None) -> DataFrame:
+    """(by, sx, sy, sz, radius): around the point that is nearest the image's centre (u, v), as far as twice
+    the median distance to its five nearest neighbours."""
+    off = F.hypot(F.col("u") - centre[0], F.col("v") - centre[1])
+    middle = points.groupBy(*by).agg(F.min_by(F.struct("x", "y", "z", "pt"), F.struct(off, "pt")).alias("c"))
+    away = F.sqrt(F.pow(F.col("x") - F.col("c.x"), 2) + F.pow(F.col("y") - F.col("c.y"), 2) + F.pow(F.col("z") - F.col("c.z"), 2))
+    others = points.join(middle, by).where(F.col("pt") != F.col("c.pt")).withColumn("away", away)
+    near = others.withColumn("place__", F.row_number().over(Window.partitionBy(*by).orderBy("away", "pt"))).where(F.col("place__") <= neighbours)
+    reach = near.groupBy(*by).agg(F.greatest(F.median("away") * scale, F.lit(least)).alias("radius"))
+    radius = F.coalesce("radius", F.lit(least))
+    out = middle.join(reach, by, "left")
+    return out.select(*by, F.col("c.x").alias("sx"), F.col("c.y").alias("sy"), F.col("c.z").alias("sz"), (F.least(radius, cap) if cap is not None else radius).alias("radius"))
+
+
+def fallback_pick(scores: DataFrame, by: list[str], candidates: DataFrame) -> DataFrame:
+    """The candidate whose best pair scores most (start, score); without pairs, the most confident (idx, conf)."""
+    best = winner(scores.groupBy(*by, "start").agg(F.max("score").alias("score")), by, "score", "start").select(*by, F.col("start").alias("by_score"))
+    sure = winner(candidates, by, "conf", "idx").select(*by, F.col("idx").alias("by_conf"))
+    return sure.join(best, by, "left").select(*by, F.coalesce("by_score", "by_conf").alias("pick"))
+
+
+def top_pairs(scores: DataFrame, by: list[str], k: int = 8) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "start", "target"))
+    return scores.withColumn("place", place).where(F.col("place") <= k)
+
+
+def best_robot(df: DataFrame, by: list[str], object_class: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The objects of a detection, and its most confident robot box."""
+    robots = winner(df.where(F.col("class_id") != object_class), by, "conf", "idx")
+    return df.where(F.col("class_id") == object_class), robots
