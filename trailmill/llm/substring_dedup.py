@@ -194,14 +194,16 @@ def repeated_stretches(docs: DataFrame, id: str = "doc_id", text: str = "text")
     kind = keyed.schema["id"].dataType.simpleString()
     found = keyed.mapInArrow(find_anchors, f"id {kind}, th bigint, h bigint, u bigint, start int, n_windows int")
     anchors = staged(found, "anchors", all_path := folder(spark, "anchors"))
-    repeated = anchors.groupBy("h").count().where("count > 1").select("h")
+    # Tables of their own, so that the planner can split a hot anchor's rows when they are joined.
+    repeated = staged(anchors.groupBy("h").count().where("count > 1").select("h"), "repeated")
     seeds = staged(anchors.join(repeated, "h"), "seeds", folder(spark, "seeds"))
     discard(spark, all_path)
     stretches = seeds.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "n_windows")).alias("one"))
     stretches = staged(stretches, "stretches")
     differing = stretches.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1")
+    differing = staged(differing.select("h"), "differing")
     to_read = (
-        stretches.join(differing.select("h"), "h")
+        stretches.join(differing, "h")
         .select("one.id", "one.th", F.struct("h", "u", "one.start", "one.n_windows", F.least("n", F.lit(2)).alias("weight")).alias("s"))
         .groupBy("id", "th")
         .agg(F.collect_list("s").alias("stretches"))
@@ -215,8 +217,9 @@ def repeated_stretches(docs: DataFrame, id: str = "doc_id", text: str = "text")
     # A window met under two stretches, or under one that occurs twice. Rows read twice count once.
     distinct = windows.groupBy("h", "w", "u").agg(F.max("weight").alias("weight"))
     shared = distinct.groupBy("h", "w").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "w")
+    shared = staged(shared.withColumn("shared", F.lit(True)), "shared")
     same = windows.groupBy("h", "u", "w").agg(F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask"), F.countDistinct("i").alias("within"))
-    partly = same.join(shared.withColumn("shared", F.lit(True)), ["h", "w"], "left").where("shared or within > 1")
+    partly = same.join(shared, ["h", "w"], "left").where("shared or within > 1")
     partly = partly.groupBy("h", "u").agg(F.bit_or("mask").alias("mask"))
     fully = stretches.where("n > 1").select("h", "u", F.expr("shiftleft(1L, one.n_windows) - 1").alias("mask"))
     masks = staged(fully.union(partly.join(stretches.where("n > 1"), ["h", "u"], "left_anti")), "masks")
