@@ -121,3 +121,21 @@ def points_inside(points: DataFrame, boxes: DataFrame, by: list[str]) -> DataFra
     """(by, idx, n_inside): points of a group inside each of its boxes, borders included."""
     hit = (F.col("x") >= F.col("x1")) & (F.col("x") <= F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") <= F.col("y2"))
     return boxes.join(points.select(*by, "x", "y"), by).groupBy(*by, "idx").agg(F.sum(hit.cast("bigint")).alias("n_inside"))
+
+
+def normalised(box: tuple[Column, ...], width: Column, height: Column, units: int = 1_000) -> tuple[Column, ...]:
+    """A box in whole units of the image's sides."""
+    sides = (width, height, width, height)
+    return tuple(F.floor(v * units / s).cast("int") for v, s in zip(box, sides, strict=True))
+
+
+def scaled_intrinsics(focal: Column, principal: Column, sx: Column, sy: Column) -> Column:
+    """A camera's focal lengths and principal point for a resized image."""
+    by = lambda pair: F.array(F.element_at(pair, 1) * sx, F.element_at(pair, 2) * sy)
+    return F.struct(by(focal).alias("focal_length"), by(principal).alias("principal_point"))
+
+
+def fixed_row(values: Column, n: int) -> Column:
+    """The first n numbers of a list; n NaNs where it is missing or shorter, so that frames stay aligned."""
+    nothing = F.array_repeat(F.lit(float("nan")), n)
+    return F.when(F.size(values) >= n, F.slice(values, 1, n).cast("array<double>")).otherwise(nothing)

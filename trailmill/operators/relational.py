@@ -136,3 +136,18 @@ def per_group(df: DataFrame, group: str, most: int, seed: int = 42) -> DataFrame
     order = F.xxhash64(F.lit(seed), *df.columns)
     place = F.row_number().over(Window.partitionBy(group).orderBy(order, *df.columns))
     return df.withColumn("place__", place).where(F.col("place__") <= most).drop("place__")
+
+
+def node_share(df: DataFrame, order: list[str], nodes: int, rank: int, by: str) -> DataFrame:
+    """Every nodes-th row of each group, from the rank-th: what one of several nodes works on."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return df.withColumn("place__", place).where(F.pmod("place__", F.lit(nodes)) == rank).drop("place__")
+
+
+def shuffled(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows in a seeded order that depends on their keys alone."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def same_sets(a: Column, b: Column) -> Column:
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

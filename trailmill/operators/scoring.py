@@ -223,3 +223,13 @@ def best_robot(df: DataFrame, by: list[str], object_class: int = 2) -> tuple[Dat
     """The objects of a detection, and its most confident robot box."""
     robots = winner(df.where(F.col("class_id") != object_class), by, "conf", "idx")
     return df.where(F.col("class_id") == object_class), robots
+
+
+def replay_score(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds `score` by the weights of the task's group: motion and detection, the dominant detection's
+    bonus, and points inside of the sphere. Columns group, snr, conf, dominant, fraction."""
+    still = F.col("group") == "non_movement_articulate"
+    snr = unit_range("snr", by, all_equal=0.0)
+    motion = F.when(still, 0.0).otherwise(0.5)
+    score = motion * snr + F.when(still, 1.0).otherwise(0.5) * F.col("conf") + 0.2 * F.col("dominant").cast("double") + F.when(still, 0.35).otherwise(0.2) * F.col("fraction")
+    return df.withColumn("score", score)

@@ -133,3 +133,60 @@ def resolved_target(df: DataFrame, by: list[str]) -> DataFrame:
     """The winner's target, else the most confident one: columns target, conf, winner (boolean)."""
     best = F.max_by("target", F.struct(F.coalesce(F.col("winner"), F.lit(False)), "conf", "target"))
     return df.groupBy(*by).agg(best.alias("target"), F.coalesce(F.bool_or("winner"), F.lit(False)).alias("verified"))
+
+
+class BoxSegmenter:
+    """Stands in for a segmenter: the inside of each box, on a grid of the image's size."""
+
+    def __init__(self, height: int = 48, width: int = 64):
+        self.size = height, width
+
+    def segment(self, image: bytes, boxes: list[tuple]) -> list:
+        import numpy as np
+
+        out = []
+        for x1, y1, x2, y2 in boxes:
+            mask = np.zeros(self.size, np.uint8)
+            mask[max(0, int(y1)) : int(y2) + 1, max(0, int(x1)) : int(x2) + 1] = 1
+            out.append(mask)
+        return out
+
+
+class StillTracker:
+    """Stands in for a tracker: points stay where they are and are always seen."""
+
+    def track(self, frames: list[bytes], points: list[tuple]) -> tuple:
+        import numpy as np
+
+        tracks = np.repeat(np.asarray(points, np.float32)[None], len(frames), axis=0)
+        return tracks, np.ones(tracks.shape[:2], bool)
+
+
+class FlatDepth:
+    """Stands in for a depth model: every frame lies at depth 1."""
+
+    def __init__(self, height: int = 48, width: int = 64):
+        self.size = height, width
+
+    def lift(self, frames: list[bytes], fov_x: float | None) -> list:
+        import numpy as np
+
+        ys, xs = np.mgrid[: self.size[0], : self.size[1]].astype(np.float32)
+        return [np.stack([xs, ys, np.ones_like(xs)], axis=-1) for _ in frames]
+
+
+class WordVerifier:
+    """Stands in for a verifier: yes if the prompt's object is named in it twice."""
+
+    def verify(self, prompt: str, image: bytes | None) -> str:
+        words = prompt.lower().split()
+        return f"**verdict: {'yes' if len(words) > len(set(words)) else 'uncertain'}**"
+
+
+def lifted(points, cloud):
+    """Depth of track points: the cell they round to, inside of the image."""
+    import numpy as np
+
+    h, w = cloud.shape[:2]
+    at = np.clip(np.rint(np.asarray(points)).astype(int), 0, (w - 1, h - 1))
+    return cloud[at[..., 1], at[..., 0]]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import boxes as bx
+from ..operators import relational as rel
 from ..operators import scoring as sc
 from ..operators import sequences as seq
 from . import models
@@ -174,3 +176,34 @@ def label_segments(spark, sf_dir):
 def closed_stretches(spark, sf_dir):
     runs = seq.true_runs(frames(spark, sf_dir).withColumn("f", F.col("signal") < 50), ["traj"], "t", "f")
     return runs.groupBy("traj").agg(F.count("*").alias("stretches"), F.max("n").alias("longest"))
+
+
+@query("q_replay_score", "WITH q AS (SELECT grp, idx, CASE WHEN grp % 2 = 0 THEN 'non_movement_articulate' ELSE 'other' END AS g, x1, conf, conf > 0.8 AS dom, (y1 % 10) / 10.0 AS fr FROM v_boxes), n AS (SELECT *, CASE WHEN max(x1) OVER w > min(x1) OVER w THEN (x1 - min(x1) OVER w) / (max(x1) OVER w - min(x1) OVER w) ELSE 0.0 END AS sn FROM q WINDOW w AS (PARTITION BY grp)) SELECT grp, idx, round(CASE WHEN g = 'other' THEN 0.5 * sn + 0.5 * conf + 0.2 * fr ELSE conf + 0.35 * fr END + CASE WHEN dom THEN 0.2 ELSE 0.0 END, 4) AS score FROM n")
+def replay_score(spark, sf_dir):
+    rows = boxes(spark, sf_dir).select("grp", "idx", F.when(F.col("grp") % 2 == 0, "non_movement_articulate").otherwise("other").alias("group"), F.col("x1").alias("snr"), "conf", (F.col("conf") > 0.8).alias("dominant"), ((F.col("y1") % 10) / 10.0).alias("fraction"))
+    return sc.replay_score(rows, ["grp"]).select("grp", "idx", F.round("score", 4).alias("score"))
+
+
+@query("q_box_units", "SELECT grp, idx, CAST(floor(x1 * 1000 / 200) AS INTEGER) AS ux, CAST(floor(y2 * 1000 / 120) AS INTEGER) AS uy FROM v_boxes")
+def box_units(spark, sf_dir):
+    units = bx.normalised(bx.corners(), F.lit(200), F.lit(120))
+    return boxes(spark, sf_dir).select("grp", "idx", units[0].alias("ux"), units[3].alias("uy"))
+
+
+@query("q_node_share", "WITH k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT o_custkey, o_orderkey FROM k WHERE p % 4 = 1")
+def node_share(spark, sf_dir):
+    return rel.node_share(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_orderkey"], 4, 1, "o_custkey")
+
+
+@query("q_set_equality", "SELECT o_custkey, bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus = 'O') AND NOT bool_or(o_orderstatus NOT IN ('F', 'O')) AS same FROM orders GROUP BY o_custkey")
+def set_equality(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"))
+    return seen.select("o_custkey", rel.same_sets(F.col("s"), F.array(F.lit("F"), F.lit("O"))).alias("same"))
+
+
+@query("q_fixed_rows", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(CAST(embedding[7] AS DOUBLE), 4) END AS last FROM embeddings")
+def fixed_rows(spark, sf_dir):
+    """Poses of seven numbers; frames with too few get NaN, here null."""
+    values = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
+    last = F.element_at(bx.fixed_row(values, 7), 7)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(~F.isnan(last), F.round(last, 4)).alias("last"))

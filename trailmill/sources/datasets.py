@@ -168,3 +168,23 @@ def clip_segments(episodes: DataFrame, least: float, most: float, stride: int, p
         "window_start": F.greatest(F.col("start_frame") - pad, F.lit(0)), "window_end": F.col("end_frame") + pad,
         "clip_start": F.floor(F.col("start_frame") / stride), "clip_end": F.ceil(F.col("end_frame") / stride),
     })
+
+
+def mixture(sets: list[str] | list[dict]) -> list[str]:
+    """Names of a mixture's datasets in order, each once. Mixtures are data, never code to run."""
+    names = [s if isinstance(s, str) else s["name"] for s in sets]
+    return list(dict.fromkeys(names))
+
+
+def cached_index(spark: SparkSession, folder: str, name: str, subset: list[str], build) -> DataFrame:
+    """An index as a table of its own, keyed by the dataset and the names of its subset; built if it is missing."""
+    import hashlib
+
+    path = f"{folder}/{name}-{hashlib.sha256(','.join(sorted(subset)).encode()).hexdigest()[:10]}"
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
