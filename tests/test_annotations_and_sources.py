@@ -150,3 +150,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_live_phases_equal_those_of_the_table(spark, tmp_path):
+    import numpy as np
+
+    from trailmill.operators.phases import gripper_phases
+
+    rng, source = np.random.default_rng(6), str(tmp_path / "in")
+    signals = {k: np.repeat(rng.random(12), 8) for k in ("a", "b", "c")}
+    rows = [(k, t, float(v), t == len(x) - 1) for k, x in signals.items() for t, v in enumerate(x)]
+    schema = "traj string, t int, v double, done boolean"
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.frame_stream(spark, source, schema)
+        ingest.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "ck"), shape=lambda s: ingest.live_phases(s, "traj", "t", "v", "done"))
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(r.traj, []).append((r.start_frame, r.end_frame, r.phase))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(gripper_phases(x)) for k, x in signals.items()}

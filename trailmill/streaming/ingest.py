@@ -40,3 +40,38 @@ def sessions(frames: DataFrame, by: str, time: str, gap: str = "10 minutes", lat
 def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Runs a stream over what there is and writes it as Parquet."""
     shape(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def live_phases(frames: DataFrame, by: str, order: str, signal: str, done: str, hysteresis: float = 0.1) -> DataFrame:
+    """(by, start_frame, end_frame, phase) of trajectories on a stream of frames: a trajectory's signal is
+    kept as state until the batch that has its last frame, which is marked. Order within that does not matter;
+    frames that come in later batches begin a trajectory anew."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.phases import gripper_phases
+
+    kind = frames.schema[by].dataType.simpleString()
+
+    def step(key: tuple, batches, state):
+        places, values = map(list, state.get) if state.exists else ([], [])
+        ended = False
+        for pdf in batches:
+            places += pdf[order].tolist()
+            values += pdf[signal].tolist()
+            ended = ended or bool(pdf[done].any())
+        if not ended:
+            state.update((places, values))
+            return
+        if state.exists:
+            state.remove()
+        found = gripper_phases(np.array(values)[np.argsort(places, kind="stable")], hysteresis=hysteresis)
+        out = pd.DataFrame(found, columns=["start_frame", "end_frame", "phase"])
+        out.insert(0, by, key[0])
+        yield out
+
+    rows = frames.select(by, F.col(order).cast("bigint").alias(order), F.col(signal).cast("double").alias(signal), done).groupBy(by)
+    return rows.applyInPandasWithState(
+        step, f"{by} {kind}, start_frame bigint, end_frame bigint, phase string", "places array<bigint>, signal array<double>", "append", GroupStateTimeout.NoTimeout
+    )
