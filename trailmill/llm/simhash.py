@@ -105,6 +105,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int | None = None, crowded:
         .where("n > 1")
         .select("key", "n", F.expr("any & ~all").alias("varies"))
     )
+    shared = staged(shared, "simhash-shared")
     met = staged(keyed.join(shared, "key"), "simhash-keys")
     few, many = met.where(F.col("n") <= crowded), met.where(F.col("n") > crowded)
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
@@ -132,14 +133,16 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _settled(edges)) != state:
         state = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A table of its own, so that the planner can split a hub's links when they are joined.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(least, "least", least_path := folder(spark, "least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         mid = staged(large.where("a > b"), "links", mid_path := folder(spark, "links"))
-        least = mid.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(mid.groupBy("a").agg(F.min("b").alias("m")), "least", least_path)
         small = mid.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         edges = staged(small.where("a > b").distinct(), "links", new_path := folder(spark, "links"))
-        discard(spark, path, mid_path)
+        discard(spark, path, mid_path, least_path)
         path = new_path
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -236,7 +239,7 @@ def wide_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
     no further apart than texts of the similarity, each to a leader of their block."""
     most = most_bits_apart(similarity)
     keyed = staged(fps.select("fp").mapInArrow(_wide_keys, "key bigint, fp binary"), "wide-keys", path := folder(fps.sparkSession, "wide-keys"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-shared")
     parts = F.ceil(F.col("n") / TOGETHER)
     met = keyed.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("fp"), parts))
     compared = lambda df: df.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_leaders(most), "key bigint, a binary, b binary")
