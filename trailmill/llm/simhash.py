@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     rows = staged(docs.select(F.col(id), fingerprint_column(text, width).alias("fp")), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min(id).alias("least")), "distinct")
     known = staged(classes(fps.select("fp"), distance), "classes")
-    roots = fps.join(known, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = staged(fps.join(known, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = known.join(roots, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id, "fp", "component_id")
 
@@ -199,12 +199,11 @@ def most_bits_apart(similarity: float) -> int:
 def _wide_keys(batches):
     shift = 1 << np.arange(WIDE_BITS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
-        fps = batch.column(0)
-        bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, LANES * BITS // 8), axis=1)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LANES * BITS // 8), axis=1)
         keys = bits[:, : WIDE_BLOCKS * WIDE_BITS].reshape(-1, WIDE_BLOCKS, WIDE_BITS).astype(np.int64) @ shift
         keys += np.arange(WIDE_BLOCKS, dtype=np.int64) << 32
         rows = np.repeat(np.arange(len(keys)), WIDE_BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), fps.take(pa.array(rows))], ["key", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(rows))], ["key", "id"])
 
 
 def _leaders(most: int):
@@ -238,10 +237,13 @@ def wide_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) between distinct wide fingerprints (column fp): pairs that share a block and are
     no further apart than texts of the similarity, each to a leader of their block."""
     most = most_bits_apart(similarity)
-    keyed = staged(fps.select("fp").mapInArrow(_wide_keys, "key bigint, fp binary"), "wide-keys", path := folder(fps.sparkSession, "wide-keys"))
+    # Keys travel with a short id; two fingerprints of one id would only be compared once more.
+    named = fps.select(F.xxhash64("fp").alias("id"), "fp")
+    keyed = staged(named.mapInArrow(_wide_keys, "key bigint, id bigint"), "wide-keys", path := folder(fps.sparkSession, "wide-keys"))
     shared = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-shared")
-    parts = F.ceil(F.col("n") / TOGETHER)
-    met = keyed.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("fp"), parts))
+    # Both joins shuffle at any size, so that the plan is the same on little and on much data.
+    met = keyed.join(shared.hint("merge"), "key").withColumn("part", F.pmod("id", F.ceil(F.col("n") / TOGETHER)))
+    met = met.join(named.hint("merge"), "id")
     compared = lambda df: df.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_leaders(most), "key bigint, a binary, b binary")
     first = staged(compared(met), "wide-first")
     dealt = shared.where(F.col("n") > TOGETHER).select("key")
