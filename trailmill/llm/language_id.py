@@ -170,6 +170,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         )
 
     nothing = F.array(*[F.lit(0.0)] * k)
+    # A table of its own, so that the planner can broadcast it or split a hot host's rows.
+    hosts = staged(hosts, "hosts")
     joined = rows.join(hosts, "host", "left").join(believed("declared"), "declared", "left").join(believed("suffix"), "suffix", "left")
     logs = F.zip_with(F.col("scores"), F.transform(F.coalesce("prior", everywhere), lambda p: F.log(p)), lambda a, b: a + b)
     for key in ("declared_ll", "suffix_ll"):
