@@ -7,7 +7,8 @@ whole corpus's. All counts come from grouped aggregation over all rows, of the t
 guesses; declared languages and suffixes are believed as far as they agree with such guesses.
 
 The trigram model is fitted on a bounded sample: of each of the LANGUAGES most frequent declared
-languages about the first SAMPLE rows by of the id.
+languages about SAMPLE rows, those whose hash of id and text is below a limit. (Rows equal in both are
+chosen together or not at all.)
 
 Defined cases: a null or empty text says nothing, so the other evidence decides; a missing or
 unknown declaration, suffix or host says nothing either. With no labelled row at all the language is
@@ -23,7 +24,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_column, staged, utf8
@@ -74,17 +75,16 @@ def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, id: str, text: str, label: str) -> tuple[DataFrame, list[str]]:
-    """The bounded labelled sample (lang, text), and the languages."""
+    """The bounded labelled sample (lang, text), and the languages: of each language the rows whose hash
+    is below the share that SAMPLE is of its count. A filter, so nothing is ranked or shuffled."""
     lang = F.lower(F.regexp_extract(F.coalesce(F.col(label), F.lit("")), "^([A-Za-z]{2,3})", 1))
-    rows = docs.select(lang.alias("lang"), F.xxhash64(id).alias("key"), F.col(text).alias("text")).where("lang <> '' and text is not null")
+    rows = docs.select(lang.alias("lang"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text")).where("lang <> ''")
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counted)
-    # The last key of each language's sample, found without the texts; one row for each language.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    first = rows.where(F.col("lang").isin(languages)).select("lang", "key", place.alias("place")).where(F.col("place") <= SAMPLE)
-    last = first.groupBy(F.col("lang").alias("l")).agg(F.max("key").alias("last"))
-    chosen = rows.join(F.broadcast(last), (F.col("lang") == F.col("l")) & (F.col("key") <= F.col("last")))
-    return chosen.select("lang", "text"), languages
+    chosen = F.lit(False)
+    for r in counted:
+        last = min((1 << 63) - 1, int(SAMPLE / r["count"] * (1 << 64)) - (1 << 63))
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= F.lit(last).cast("bigint")))
+    return rows.where(chosen).select("lang", "text"), sorted(r["lang"] for r in counted)
 
 
 def text_scores(texts: pa.Array, model: np.ndarray, markup: bool = False) -> pa.Array:
