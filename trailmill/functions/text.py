@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 
 # Keyword groups of tasks, asked in this order; the first that occurs decides.
 TASK_GROUPS = (
-    ("movement_relocate", "pick place move lift remove transfer,hand over,stack unstack carry pass receive,put away,retrieve throw hang grasp uncover separate grab"),
-    ("non_movement_open_close", "open close"),
-    ("movement_articulate", "push pull turn rotate flip flatten smooth spread clamp manipulate"),
-    ("non_movement_articulate", "press switch"),
-    ("non_movement_fluid", "pour scoop wash wipe sweep"),
-    ("non_movement_tool_or_shape", "cut peeler fold unfold plug attach"),
-    ("other_interaction", "stamp"),
-)
+    (
+        "movement_relocate",
+        "pick", "place", "move", "lift", "remove", "transfer", "hand over", "stack", "unstack", "carry", "pass",
+        "receive", "put away", "retrieve", "throw", "hang", "grasp", "uncover", "separate", "grab",
+    ),
+    ("non_movement_open_close", "open", "close"),
+    ("movement_articulate", "push", "pull", "turn", "rotate", "flip", "flatten", "smooth", "spread", "clamp", "manipulate"),
+    ("non_movement_articulate", "press", "switch"),
+    ("non_movement_fluid", "pour", "scoop", "wash", "wipe", "sweep"),
+    ("non_movement_tool_or_shape", "cut", "peeler", "fold", "unfold", "plug", "attach"),
+)
+#: The groups by which replayed scores are weighted: one more than the live ones.
+REPLAY_GROUPS = (*TASK_GROUPS, ("other_interaction", "stamp"))
 # Prefixes of labels that only move the robot.
-NAVIGATION_PREFIXES = ("move to ", "return to ", "walk to ", "go to ")
+NAVIGATION_PREFIXES = ("move to ", "return to ")
+# How two-language labels (Chinese@English) begin that only move the body, and whole English ones.
+BODY_PREFIXES_ZH = ("本体", "本机", "底盘", "躯体", "躯干", "机器", "恢复", "静止", "无任", "无动", "体回", "向右", "向左")
+BODY_PREFIXES_EN = ("move chassis", "return to initial", "reset to initial", "reset body to")
+BODY_LABELS_EN = (
+    "halt", "halt robot", "no action", "do nothing", "perform no meaningful actions", "perform a meaningless action",
+    "remain stationary", "remain still", "remain motionless", "remain completely still", "hold still",
+    "machine not moving", "machine, do not move", "main body no action", "main body remains stationary",
+    "main body, no action", "body remain stationary", "body remains stationary", "keep body stationary",
+    "maintain body still", "maintain stationary",
+)
 ARTICLES = ("a", "an", "the")
 
 
-def _words(listed: str) -> list[str]:
-    """Keywords: blanks separate words, commas separate phrases."""
-    phrases = listed.split(",")
-    return [w for k, p in enumerate(phrases) for w in ([p] if k % 2 else p.split(" ")) if w]
-
-
 def any_of(text: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for w in words:
@@ -36,8 +45,8 @@ def any_of(text: Column, words: list[str]) -> Column:
 def task_group(action: Column, groups=TASK_GROUPS) -> Column:
     low = F.lower(F.coalesce(action, F.lit("")))
     out = None
-    for name, words in groups:
-        hit = any_of(low, _words(words))
+    for name, *words in groups:
+        hit = any_of(low, words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 
@@ -49,6 +58,19 @@ def is_navigation(label: Column, prefixes=NAVIGATION_PREFIXES) -> Column:
     return out
 
 
+def is_body_motion(label: Column) -> Column:
+    """Whether a two-language label only moves the robot's body; a label of one language never does."""
+    at = F.instr(label, "@")
+    chinese = F.trim(F.substr(label, F.lit(1), F.greatest(at - 1, F.lit(0))))
+    english = F.regexp_replace(F.lower(F.trim(F.substr(label, at + 1))), r"\.+$", "")
+    found = english.isin(*BODY_LABELS_EN)
+    for p in BODY_PREFIXES_ZH:
+        found = found | F.startswith(chinese, F.lit(p))
+    for p in BODY_PREFIXES_EN:
+        found = found | F.startswith(english, F.lit(p))
+    return F.coalesce((at > 0) & found, F.lit(False))
+
+
 def english_label(label: Column) -> Column:
     """What stands behind the first @ of a two-language label, trimmed and lower-cased; else all."""
     at = F.instr(label, "@")

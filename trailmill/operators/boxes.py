@@ -93,15 +93,14 @@ def nested_penalty(boxes: DataFrame, by: list[str], measures: DataFrame, alike:
     return measures.join(worst.withColumnRenamed("inner", "idx"), [*by, "idx", "target"], "left").select(*by, "idx", "target", F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
 
 
-def crop_extent(df: DataFrame, by: list[str], width: float, height: float, pads: tuple[float, float, float] = (0.1, 0.3, 0.1)) -> DataFrame:
-    """The region around all boxes of a group, padded at the sides, above and below, inside the image."""
-    side, above, below = pads
-    ends = df.groupBy(*by).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return ends.select(
-        *by,
-        F.greatest(F.lit(0.0), F.col("x1") - side * w).alias("left"), F.greatest(F.lit(0.0), F.col("y1") - above * h).alias("top"),
-        F.least(F.lit(float(width)), F.col("x2") + side * w).alias("right"), F.least(F.lit(float(height)), F.col("y2") + below * h).alias("bottom"),
+def crop_extent(df: DataFrame, by: list[str], width: int, height: int, pads: tuple[float, float, float] = (0.1, 0.3, 0.1)) -> DataFrame:
+    """The region around all boxes of a group in whole pixels, padded by shares of the image at the sides,
+    above and below, inside the image."""
+    side, above, below = int(width * pads[0]), int(height * pads[1]), int(height * pads[2])
+    whole = lambda c: F.floor(c).cast("int")
+    return df.groupBy(*by).agg(
+        whole(F.greatest(F.lit(0.0), F.min("x1") - side)).alias("left"), whole(F.greatest(F.lit(0.0), F.min("y1") - above)).alias("top"),
+        whole(F.least(F.lit(float(width)), F.max("x2") + side)).alias("right"), whole(F.least(F.lit(float(height)), F.max("y2") + below)).alias("bottom"),
     )
 
 

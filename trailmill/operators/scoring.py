@@ -109,7 +109,7 @@ def density_target(df: DataFrame, by: list[str], least_share: float = 0.5) -> Da
     """The target with most points per root of relative area, among those of enough area; none if
     no target has points. Columns area, start_area, points, idx."""
     largest = F.max("area").over(Window.partitionBy(*by))
-    enough = (F.col("area") >= least_share * F.col("start_area")) & (F.col("area") > 0)
+    enough = (F.col("area") >= least_share * F.coalesce("start_area", F.lit(0.0))) & (F.col("area") > 0)
     density = F.when(enough, F.col("points") / F.sqrt(F.col("area") / largest))
     return winner(df.withColumn("density", density).where("density > 0"), by, "density", "idx")
 

@@ -65,12 +65,10 @@ def nms(spark, sf_dir):
 
 @query(
     "q_crop_extent",
-    """WITH e AS (SELECT grp, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM v_boxes GROUP BY grp) SELECT grp, round(greatest(0.0, x1 - 0.1 * (x2 - x1)), 4) AS "left", round(greatest(0.0, y1 - 0.3 * (y2 - y1)), 4) AS top,
- round(least(200.0, x2 + 0.1 * (x2 - x1)), 4) AS "right", round(least(120.0, y2 + 0.1 * (y2 - y1)), 4) AS bottom FROM e""",
+    """SELECT grp, CAST(floor(greatest(0.0, min(x1) - 20)) AS INTEGER) AS "left", CAST(floor(greatest(0.0, min(y1) - 36)) AS INTEGER) AS top, CAST(floor(least(200.0, max(x2) + 20)) AS INTEGER) AS "right", CAST(floor(least(120.0, max(y2) + 12)) AS INTEGER) AS bottom FROM v_boxes GROUP BY grp""",
 )
 def crop_extent(spark, sf_dir):
-    out = bx.crop_extent(boxes(spark, sf_dir), ["grp"], 200, 120)
-    return out.select("grp", *(F.round(c, 4).alias(c) for c in ("left", "top", "right", "bottom")))
+    return bx.crop_extent(boxes(spark, sf_dir), ["grp"], 200, 120)
 
 
 @query("q_to_original", "SELECT grp, idx, round((x1 + 3) / 0.5, 4) AS x1, round((y1 + 7) / 0.5, 4) AS y1, round((x2 + 3) / 0.5, 4) AS x2, round((y2 + 7) / 0.5, 4) AS y2 FROM v_boxes")

@@ -207,3 +207,10 @@ def fixed_rows(spark, sf_dir):
     values = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
     last = F.element_at(bx.fixed_row(values, 7), 7)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.when(~F.isnan(last), F.round(last, 4)).alias("last"))
+
+
+@query("q_body_motion", "SELECT p_partkey, p_partkey % 5 IN (0, 1, 3) AS body FROM part")
+def body_motion(spark, sf_dir):
+    labels = ("底盘前进@go on", "抓@Do nothing.", "抓杯@Grasp the cup", "放@Reset body to start", "halt")
+    label = F.array(*(F.lit(x) for x in labels))[(F.col("p_partkey") % 5).cast("int")]
+    return table(spark, sf_dir, "part").select("p_partkey", tx.is_body_motion(label).alias("body"))

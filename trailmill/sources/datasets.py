@@ -151,11 +151,11 @@ def united(parts: dict[str, DataFrame]) -> DataFrame:
 
 def label_segments(frames: DataFrame, by: list[str], label: str, skip: tuple[str, ...]) -> DataFrame:
     """Segments of equal labels, without those to skip and those that only drive."""
-    from ..functions.text import is_navigation
+    from ..functions.text import is_body_motion, is_navigation
     from ..operators.sequences import runs
 
     low = F.lower(F.trim(F.col(label)))
-    return runs(frames, by, "frame_index", label).where(F.col(label).isNotNull() & ~low.isin(*skip) & ~is_navigation(F.col(label)))
+    return runs(frames, by, "frame_index", label).where(F.col(label).isNotNull() & ~low.isin(*skip) & ~is_navigation(F.col(label)) & ~is_body_motion(F.col(label)))
 
 
 def clip_segments(episodes: DataFrame, least: float, most: float, stride: int, pad_seconds: float, fps: float) -> DataFrame:
