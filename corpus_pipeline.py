@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.llm import decontaminate, packing, quality_rules, secret_scan, simhash
-from trailmill.llm.common import staged, table
+from trailmill.llm.common import staged, table, text_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    text_batches(spark)
     judged, q = quality_rules.quality(docs)
     return judged.where(F.col(q)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    text_batches(spark)
     return simhash.distinct_documents(docs, width=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    text_batches(spark)
     marked, leaks = decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"))
     return marked.where(~F.col(leaks)).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; all documents stay."""
+    text_batches(spark)
     clean = secret_scan.redacted(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -39,6 +43,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
+    text_batches(spark)
     return packing.digest(docs)
 
 
