@@ -119,6 +119,64 @@ def test_distinct_documents(spark):
     assert got == sorted([g[0] for g in groups] + [None, 900], key=str)
 
 
+def least_of_components(texts, width=5, similarity=0.8):
+    sets = [set(sh.shingle_hashes((t or "").encode(), width).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not a | b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+@pytest.mark.parametrize("counted", [0, 10_000])
+def test_near_duplicates_are_all_pairs_of_the_similarity(spark, monkeypatch, counted):
+    """Pairs around the limit, chains, and many texts with one passage, against all pairs."""
+    monkeypatch.setattr(sh, "COUNTED", counted)
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    texts, passage = [None, "", "a b", "a b", "a b c d e"], words(40)
+    for _ in range(40):
+        base = words(rng.randint(60, 250))
+        texts.append(" ".join(base))
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):  # a chain: each text is near the one before it
+            for _ in range(max(1, round(len(w) * rng.uniform(0.015, 0.03)))):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += [" ".join(passage + words(rng.randint(5, 60))) for _ in range(40)]
+    rng.shuffle(texts)
+    got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    want = least_of_components(texts)
+    assert got == want and len(want) < len(texts) - 40
+
+
+def test_links_do_not_depend_on_leaders(spark):
+    """Large groups under one key, of which the least set is near only some."""
+    rng = random.Random(22)
+    base = list(range(1_000, 1_100))
+    made = [frozenset(rng.sample(base, rng.randint(80, 95))) | {1} for _ in range(60)]
+    sets = dict(enumerate(dict.fromkeys(made)))
+    import numpy as np
+
+    met = spark.createDataFrame([(1, k, len(v)) for k, v in sets.items()], "key long, node long, size int")
+    held = spark.createDataFrame([(k, bytearray(np.array(sorted(v), np.uint64).tobytes())) for k, v in sets.items()], "node long, shingles binary")
+    root = {r.node: r.root for r in sh.components(sh.similar_links(met, held, 0.85)).collect()}
+    parent = {k: k for k in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if len(a & b) >= 0.85 * len(a | b) - 1e-9:
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert {k: root.get(k, k) for k in sets} == parent and len(set(parent.values())) > 1
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sh.digest(empty).collect() == [] and sh.distinct_documents(empty).collect() == []

@@ -169,101 +169,115 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints, for similarities that 64 bits and a fixed distance can't tell ----------
-
-#: 64-bit lanes of a wide fingerprint; blocks of it that are keys, and the bits of each.
-LANES = 8
-WIDE_BLOCKS, WIDE_BITS = 24, 21
-#: Rows of one key that are compared in one task; a key with more is dealt to several first.
-TOGETHER = 4_096
-
-
-def lane(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of their own for each lane, made of the shingles' hashes."""
-    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    return b"".join(fingerprint(lane(hashes, k)).to_bytes(BITS // 8, "big") for k in range(LANES))
-
-
-def most_bits_apart(similarity: float) -> int:
-    """Bits by which wide fingerprints of texts of that Jaccard similarity differ on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(LANES * BITS * np.arccos(cosine) / np.pi)
-
-
-def _wide_keys(batches):
-    shift = 1 << np.arange(WIDE_BITS - 1, -1, -1, dtype=np.int64)
-    for batch in batches:
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LANES * BITS // 8), axis=1)
-        keys = bits[:, : WIDE_BLOCKS * WIDE_BITS].reshape(-1, WIDE_BLOCKS, WIDE_BITS).astype(np.int64) @ shift
-        keys += np.arange(WIDE_BLOCKS, dtype=np.int64) << 32
-        rows = np.repeat(np.arange(len(keys)), WIDE_BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(rows))], ["key", "id"])
-
-
-def _leaders(most: int):
-    """Streams groups (key, part): each fingerprint is linked to every leader of its group within
-    `most` bits, and leads itself if there is none. Only the group's leaders are in memory."""
-
-    def stream(batches):
-        group, leaders = None, []
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for key, part, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, part) != group:
-                    group, leaders = (key, part), []
-                number, near = int.from_bytes(fp, "big"), False
-                for other, data in leaders:
-                    if (number ^ other).bit_count() <= most:
-                        near = True
-                        for column, value in zip(out, (key, max(fp, data), min(fp, data)), strict=True):
-                            column.append(value)
-                if not near:
-                    leaders.append((number, fp))
-                    for column, value in zip(out, (key, fp, None), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "a", "b"])
-
-    return stream
-
-
-def wide_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between distinct wide fingerprints (column fp): pairs that share a block and are
-    no further apart than texts of the similarity, each to a leader of their block."""
-    most = most_bits_apart(similarity)
-    # Keys travel with a short id; two fingerprints of one id would only be compared once more.
-    named = fps.select(F.xxhash64("fp").alias("id"), "fp")
-    keyed = staged(named.mapInArrow(_wide_keys, "key bigint, id bigint"), "wide-keys", path := folder(fps.sparkSession, "wide-keys"))
-    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-shared")
-    # Both joins shuffle at any size, so that the plan is the same on little and on much data.
-    met = keyed.join(shared.hint("merge"), "key").withColumn("part", F.pmod("id", F.ceil(F.col("n") / TOGETHER)))
-    met = met.join(named.hint("merge"), "id")
-    compared = lambda df: df.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_leaders(most), "key bigint, a binary, b binary")
-    first = staged(compared(met), "wide-first")
-    dealt = shared.where(F.col("n") > TOGETHER).select("key")
-    leaders = first.where("b is null").join(dealt, "key", "left_semi").select("key", F.lit(0).cast("bigint").alias("part"), F.col("a").alias("fp"))
-    again = compared(leaders)
-    found = staged(first.union(again).where("b is not null").select("a", "b").distinct(), "wide-links")
-    discard(fps.sparkSession, path)
-    return found
+# ---- near-duplicates by the exact Jaccard similarity of shingle sets -----------------------------
+
+#: Texts whose shingles are counted to know the common ones, in expectation, and the least count. The
+#: counts only order the shingles: any order finds the same pairs, but rare shingles first meet fewer others.
+COUNTED, COMMON = 10_000, 3
+#: Common shingles that are told apart by their counts.
+ORDERED = 1 << 20
+#: Slack of comparisons of similarities with the limit.
+SLACK = 1e-9
+
+
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(data, width))
+
+
+def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in several texts of a sample, sorted, and their counts."""
+    last = min((1 << 63) - 1, int(COUNTED / max(1, docs.count()) * (1 << 64)) - (1 << 63))
+    some = docs.where(F.xxhash64(text) <= F.lit(last).cast("bigint"))
+    sets = map_column(lambda t: pa.array([shingle_set(d, width).view(np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col(text))
+    counted = some.select(F.explode(sets).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = np.array([tuple(r) for r in counted.orderBy(F.desc("n"), "s").limit(ORDERED).toLocalIterator()], np.int64).reshape(-1, 2)
+    hashes = np.ascontiguousarray(rows[:, 0]).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows[order, 1]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones first, so many that two sets of at least the similarity
+    have one of them in common: they share `similarity` of either set, so all but the rest is enough."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    most, counts = common
+    place = np.minimum(np.searchsorted(most, shingles), max(0, len(most) - 1))
+    times = np.where(most[place] == shingles, counts[place], 0) if len(most) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, times))[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
+
+
+def _nodes(texts: pa.Array, width: int, similarity: float, common) -> pa.Array:
+    """Of each text: the id of its set of shingles, their number, and the keys under which it meets others."""
+    ids, sizes, keys = [], [], []
+    for data in utf8(texts):
+        found = shingle_set(data, width)
+        ids.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+        sizes.append(len(found))
+        keys.append(prefix(found, similarity, common).view(np.int64))
+    columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(columns, ["node", "size", "keys"])
+
+
+def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Exact similarity of sorted sets of 64-bit numbers, as bytes."""
+    out = []
+    for x, y in zip(utf8(a), utf8(b), strict=True):
+        m, n = len(x) // 8, len(y) // 8
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        out.append(both / (m + n - both) if m + n else 1.0)
+    return pa.array(out, pa.float64())
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have at least the similarity."""
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
+    both = pairs.join(y, "b").join(x, "a")
+    return both.where(map_column(jaccard, "double", F.col("a_set"), F.col("b_set")) >= similarity - SLACK).select("a", "b")
+
+
+def similar_links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between sets of at least the similarity that join all sets so related, from (key, node, size):
+    sets that share a key. First each is compared with the least of its key; what that leaves in
+    different components is then compared pair by pair, so no order or size of groups loses a link."""
+    fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - SLACK
+    a, b = (met.select("key", F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in ("a", "b"))
+    hubs = met.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"))
+    first = staged(similar(a.join(hubs, "key").where("a > b").where(fits).select("a", "b").distinct(), sets, similarity), "jaccard-first")
+    known = components(first).select("node", "root")
+    placed = staged(met.join(known, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "jaccard-placed")
+    # Of a key whose sets are in several components, those outside the largest are compared with all others.
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
+    mixed = staged(placed.join(main, "key"), "jaccard-mixed")
+    x, y = (mixed.select("key", "main", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
+    apart = x.where("a_root <> main").drop("main").join(y.drop("main"), "key").where("a_root <> b_root").where(fits)
+    second = similar(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, similarity)
+    return first.union(staged(second, "jaccard-second"))
 
 
 def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id, with all its columns."""
+    """One document of each group of near-duplicates, the one with the least id, with all its columns.
+    Groups are the components of all pairs whose sets of shingles have at least the Jaccard similarity."""
     from .common import unused
 
     ik, th = unused(docs, "row_id_hash"), unused(docs, "row_text_hash")
     keyed = docs.withColumns({ik: F.xxhash64(id), th: F.xxhash64(text)})
-    wide = map_column(lambda t: pa.array([wide_fingerprint(shingle_hashes(d, width)) for d in utf8(t)], pa.binary()), "binary", F.col(text))
-    rows = keyed.select(F.struct(F.col(id).alias("id"), F.col(th).alias("th"), F.col(ik).alias("ik")).alias("row"), wide.alias("fp"))
-    fps = staged(rows.groupBy("fp").agg(F.min("row").alias("row")), "wide")
-    found = components(wide_links(fps, similarity)).select(F.col("node").alias("fp"), "root")
-    roots = fps.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width))
+    said = map_column(lambda t: _nodes(t, width, similarity, held.value), "struct<node: bigint, size: int, keys: array<bigint>>", F.col(text))
+    rows = keyed.select(F.struct(F.col(id).alias("id"), F.col(th).alias("th"), F.col(ik).alias("ik")).alias("row"), said.alias("s"))
+    nodes = rows.groupBy(F.col("s.node").alias("node")).agg(F.min("row").alias("row"), F.first("s.size").alias("size"), F.first("s.keys").alias("keys"))
+    nodes = staged(nodes, "nodes")
+    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
+    shared = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    met = staged(entries.join(shared, "key").select("key", "node", "size"), "met")
+    # Only texts that share a key are asked for their sets again.
+    asked = staged(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "asked")
+    texts = keyed.select(ik, th, F.col(text).alias("text")).join(asked, [ik, th]).dropDuplicates(["node"])
+    packed = map_column(lambda t: pa.array([shingle_set(d, width).tobytes() for d in utf8(t)], pa.binary()), "binary", F.col("text"))
+    sets = staged(texts.select("node", packed.alias("shingles")), "sets")
+    found = components(similar_links(met, sets, similarity))
+    roots = nodes.select("node", "row").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     chosen = staged(roots.select(F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "chosen")
     return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
