@@ -47,6 +47,17 @@ def test_other_evidence_decides_where_text_is_silent(spark):
     assert got[903].text_language is None and got[903].language is not None and got[903].host is None
 
 
+def test_every_declared_language_is_a_class(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [a + b for a in letters[:8] for b in letters[8:13]]
+    own = lambda lang, n: " ".join(f"{lang}{lang[::-1]}{lang}q{lang}" for _ in range(n))
+    docs = [(i, own(lang, 30), lang, f"src{i}") for i, lang in enumerate(langs * 2)] + [(900, own(langs[39], 30), None, "s")]
+    pages = [(i, f"http://h{i}.example/p", f'<html lang="zz"><body>{own("zz", 30)}</body></html>') for i in range(3)]
+    got = li.digest(spark.createDataFrame(docs, DOCS), spark.createDataFrame(pages, PAGES)).collect()
+    want = {i: lang for i, _, lang, _ in docs} | {900: langs[39]}
+    assert all(r.language == (want[r.doc_id] if r.doc_id is not None else "zz") for r in got) and len(got) == len(docs) + 3
+
+
 def test_odd_rows(spark):
     docs, _ = corpus(n=60)
     odd = [(None, None, None, None), (70, "", "zz-top", ""), (71, "é" * 50_000, "EN", "src0"), (5, docs[5][1], docs[5][2], docs[5][3])]

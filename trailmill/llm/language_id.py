@@ -6,9 +6,9 @@ host. The prior is smoothed hierarchically: a host's counts lean on its domain's
 whole corpus's. All counts come from grouped aggregation over all rows, of the text's own best
 guesses; declared languages and suffixes are believed as far as they agree with such guesses.
 
-The trigram model is fitted on a bounded sample: of each of the LANGUAGES most frequent declared
-languages about SAMPLE rows, those whose hash of id and text is below a limit. (Rows equal in both are
-chosen together or not at all.)
+The trigram model is fitted on a bounded sample of every language that documents or pages declare,
+however rare: about SAMPLE rows of each, those whose hash of id and text is below a limit. (Rows equal
+in both are chosen together or not at all.)
 
 Defined cases: a null or empty text says nothing, so the other evidence decides; a missing or
 unknown declaration, suffix or host says nothing either. With no labelled row at all the language is
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import map_column, staged, utf8
 
-LANGUAGES = 32
 SAMPLE = 400
 #: Hashed trigrams of the model.
 FEATURES = 1 << 14
@@ -74,17 +73,27 @@ def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def sample(docs: DataFrame, id: str, text: str, label: str) -> tuple[DataFrame, list[str]]:
-    """The bounded labelled sample (lang, text), and the languages: of each language the rows whose hash
-    is below the share that SAMPLE is of its count. A filter, so nothing is ranked or shuffled."""
-    lang = F.lower(F.regexp_extract(F.coalesce(F.col(label), F.lit("")), "^([A-Za-z]{2,3})", 1))
-    rows = docs.select(lang.alias("lang"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text")).where("lang <> ''")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in counted:
-        last = min((1 << 63) - 1, int(SAMPLE / r["count"] * (1 << 64)) - (1 << 63))
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= F.lit(last).cast("bigint")))
-    return rows.where(chosen).select("lang", "text"), sorted(r["lang"] for r in counted)
+def sample(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The bounded labelled sample (lang, text), and all languages, from rows (lang, key, text): of each language
+    the rows whose key, a hash, is below the share that SAMPLE is of its count. A filter, so nothing is ranked or shuffled."""
+    rows = rows.where("lang <> ''")
+    counted = rows.groupBy("lang").count().collect()
+    last = {r["lang"]: min((1 << 63) - 1, int(SAMPLE / r["count"] * (1 << 64)) - (1 << 63)) for r in counted}
+    if not last:
+        return rows.select("lang", "text"), []
+    limits = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    return rows.where(F.col("key") <= F.try_element_at(limits, F.col("lang")).cast("bigint")).select("lang", "text"), sorted(last)
+
+
+def labelled_documents(docs: DataFrame) -> DataFrame:
+    lang = F.lower(F.regexp_extract(F.coalesce(F.col("lang"), F.lit("")), "^([A-Za-z]{2,3})", 1))
+    return docs.select(lang.alias("lang"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
+
+
+def labelled_pages(pages: DataFrame) -> DataFrame:
+    """Pages by what their markup declares; the text is the visible one."""
+    shown = map_column(lambda t: pa.array([visible(d).decode("utf-8", "replace") for d in utf8(t)], pa.string()), "string", F.col("html"))
+    return pages.select(F.coalesce(declared_language(F.col("html")), F.lit("")).alias("lang"), F.xxhash64("page_id", "html").alias("key"), shown.alias("text"))
 
 
 def text_scores(texts: pa.Array, model: np.ndarray, markup: bool = False) -> pa.Array:
@@ -189,6 +198,6 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
 
 def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """The result of the query: the language of every document and of every page."""
-    labelled, languages = sample(docs, "doc_id", "text", "lang")
+    labelled, languages = sample(labelled_documents(docs).unionByName(labelled_pages(pages)))
     model = fit(labelled, languages)
     return fuse(evidence_of_documents(docs, model).unionByName(evidence_of_pages(pages, model)), languages)
