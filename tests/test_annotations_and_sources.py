@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from duck import SF_DIR, needs_tables
 from pyspark.sql import functions as F
 
 from trailmill.functions import text as tx
@@ -169,3 +170,13 @@ def test_live_phases_equal_those_of_the_table(spark, tmp_path):
     for r in spark.read.parquet(str(tmp_path / "out")).collect():
         got.setdefault(r.traj, []).append((r.start_frame, r.end_frame, r.phase))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(gripper_phases(x)) for k, x in signals.items()}
+
+
+@needs_tables
+def test_annotate_scores_candidates_of_all_lines(spark, monkeypatch):
+    from trailmill.plans import annotate as an
+
+    seen, real = [], an.candidates
+    monkeypatch.setattr(an, "candidates", lambda found, *a, **k: seen.append(found) or real(found, *a, **k))
+    assert an.annotate(spark, SF_DIR).count() > 0
+    assert seen[0].count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()

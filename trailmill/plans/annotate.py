@@ -53,7 +53,7 @@ def annotate(spark, sf_dir):
         (F.col("l_orderkey") % 150 + 1).alias("traj"), F.lit(0).cast("bigint").alias("subtask"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"),
         (k % 97).cast("double").alias("x1"), (F.col("l_suppkey") % 61).cast("double").alias("y1"), (k % 97 + 5 + F.col("l_quantity")).cast("double").alias("x2"),
         (F.col("l_suppkey") % 61 + 5 + k % 40).cast("double").alias("y2"), (F.col("l_extendedprice") / 105000.0).alias("conf"),
-    ).where("idx % 7 = 0")
+    )
     chosen = candidates(found, ["traj", "subtask"], 200, 120)
     signals = chosen.select("traj", "subtask", "cand", F.col("x1").alias("snr"), F.col("y1").alias("sphere"), ((F.col("x1") % 10) / 9).alias("overlap"), ((F.col("y1") % 30) / 100).alias("depth_gap"))
     return annotated(windows, chosen, signals, "traj", F.lit("events"), F.lit("Pick it"))
