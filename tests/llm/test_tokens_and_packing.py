@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,33 @@ def test_tokens_are_the_librarys(name):
         assert tokens.count(rows, path, {"the": 1, "word": 1}) == [len(w) for w in want]
 
 
+def strings():
+    """Words of every category of code points, of the whole plain alphabet, and all code points once."""
+    rng = random.Random(8)
+    by = defaultdict(list)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for c in points:
+        by[unicodedata.category(c)].append(c)
+    plain, kinds = [*sorted(tokens._INSIDE), " ", "\n"], sorted(by)
+    out = ["«Ə»", "¨Ʌƒ”₷Ŕ", "ΑΣ ΑΣ.", "İI ıi", "e\u0301 \u0301e", *"ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"]
+    out += ["".join(rng.choices(plain, k=rng.randint(1, 12))) for _ in range(4_000)]
+    for _ in range(6_000):
+        out.append("".join(rng.choice(by[rng.choice(kinds)]) if rng.random() < 0.6 else rng.choice("abcXYZ's 'll 12 .,\t\u3000é") for _ in range(rng.randint(1, 14))))
+    return out + [" a".join(points[at : at + 300]) for at in range(0, len(points), 300)]
+
+
+@pytest.mark.parametrize("stretch", [5, tokens.STRETCH])
+def test_counts_of_all_scripts_are_the_librarys(monkeypatch, stretch):
+    monkeypatch.setattr(tokens, "STRETCH", stretch)
+    path, rows = tokens.vocabulary("word_bpe_49k.json"), strings()
+    want = [len(e.ids) for e in tokens.library(path).encode_batch(rows, add_special_tokens=False)]
+    assert [row for row, n, w in zip(rows, tokens.count(rows, path), want, strict=True) if n != w] == []
+
+
+def test_words_as_shown_read_back():
+    assert all(tokens.read(tokens.shown(w)) == w for w in ("a", "é", "日本語", "\x00 \x7f"))
+
+
 def test_small_caches_give_the_same(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     path = tokens.vocabulary("word_bpe_49k.json")
@@ -101,10 +129,23 @@ def test_round_trip(spark):
     assert {k: len(v.ids) // 4 for k, v in sequences.items()} == {k: sum(n for _, n in p) for k, p in filled.items()}
 
 
-def test_groups_are_bounded(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "word " * 50) for i in range(600)], SCHEMA).coalesce(1)
-    whole = packing.digest(df).collect()
-    assert max(r.sequence_id for r in whole) < 30
+def test_groups_are_bounded(spark):
+    """Several groups in a task share no sequence, and all ids stay."""
+    rows = [(i, "word " * (10 + i % 90)) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    whole, parts = (packing.pack(df, group=n).collect() for n in (packing.GROUP, 5_000))
+    key = lambda r: (r.doc_id, r.start)
+    assert sorted((*key(r), r.length, r.ids) for r in whole) == sorted((*key(r), r.length, r.ids) for r in parts)
+    filled = defaultdict(list)
+    for r in parts:
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert len(filled) > len({r.sequence_id for r in whole})
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2_048
 
 
 def test_empty_table(spark):

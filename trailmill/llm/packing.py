@@ -99,9 +99,10 @@ def pieces_of(ids: list[bytes], capacity: int = CAPACITY) -> Iterator[tuple[int,
 SCHEMA = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
+def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, closing: int = CLOSING, group: int = GROUP) -> DataFrame:
     """One row for each piece: the document's id, where the piece starts in it, its length, ids as
-    little-endian unsigned 32-bit numbers, its sequence and the offset there."""
+    little-endian unsigned 32-bit numbers, its sequence and the offset there. group: tokens that a task
+    packs at a time."""
     path = path or vocabulary(VOCABULARY)
     end = np.asarray([closing], "<u4").tobytes()
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
@@ -140,7 +141,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
                     names.append(key)
                     ids.append(data + end)
                     tokens += len(data) // WIDTH + 1
-                if tokens >= GROUP:
+                if tokens >= group:
                     yield from flush()
         if ids:
             yield from flush()

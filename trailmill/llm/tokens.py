@@ -1,8 +1,13 @@
 """Exact tokens of public vocabularies, by their library or by faster ways that agree with it.
 
-A faster way takes a text only if it is plain: without special strings, and without characters on
-which libraries and their Unicode tables could differ, which normalisation could change, or which
-could join across words. Every other text goes to the library whole.
+Byte-level ids (`encode`): a plain text, one without special strings and without characters on which
+libraries and their Unicode tables could differ, goes to the same vocabulary as ranks; every other
+text goes to the library whole.
+
+Counts of the lower-casing word vocabulary (`count`): every text is cut into pre-tokens, whose lengths
+come from two tiers of tables. Plain texts are cut by a pattern; texts of other scripts by the library's
+own normaliser and pre-tokeniser, so that no Unicode table but its own is asked. Only texts with special
+strings go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ import base64
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,9 +28,11 @@ _PLAIN = "\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ‐-‧‰-⁞₠-₿"
 UNUSUAL = re.compile(f"[^{_PLAIN}]")
 SPECIAL = "<|"
 
-_INSIDE = [chr(c) for c in range(0x20C0) if not UNUSUAL.match(chr(c)) and not chr(c).isspace()]
-_LETTERS = "".join(c for c in _INSIDE if unicodedata.category(c)[0] == "L")
-_NUMBERS = "".join(c for c in _INSIDE if unicodedata.category(c)[0] == "N")
+_INSIDE = {chr(c) for c in range(0x20C0) if not UNUSUAL.match(chr(c)) and not chr(c).isspace()}
+#: Some capitals of the plain alphabet have small letters outside of it.
+_LOWERED = sorted(_INSIDE | {c for x in _INSIDE for c in x.lower()})
+_LETTERS = "".join(c for c in _LOWERED if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _LOWERED if unicodedata.category(c)[0] == "N")
 #: Pre-tokens of the lower-casing word vocabulary, within the plain alphabet.
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
@@ -32,6 +40,8 @@ PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s
 CACHED = 120_000
 #: Pre-tokens above this length are not kept.
 LONG = 128
+#: Characters of a text that are cut into pre-tokens at a time.
+STRETCH = 1 << 18
 
 _LOADED: dict = {}
 
@@ -92,18 +102,30 @@ def _visible_bytes() -> dict[int, str]:
 
 
 _VISIBLE = _visible_bytes()
+_BYTES = {c: b for b, c in _VISIBLE.items()}
+
+
+def shown(word: str) -> str:
+    """The word as a byte-level vocabulary writes it."""
+    return word if word.isascii() else "".join(map(_VISIBLE.__getitem__, word.encode()))
+
+
+def read(word: str) -> str:
+    """The word that a byte-level vocabulary writes so."""
+    return word if word.isascii() else bytes(map(_BYTES.__getitem__, word)).decode()
 
 
 class Lengths(dict):
-    """Number of tokens of a lower-cased pre-token; what is not held is asked of the library's model."""
+    """Number of tokens of a lower-cased pre-token, as itself or as shown; what is not held is asked of
+    the library's model."""
 
-    def __init__(self, path: str, table: dict[str, int]):
-        super().__init__(table)
-        self.model, self.table = library(path).model, table
+    def __init__(self, path: str, table: dict[str, int], visible: bool):
+        self.model, self.visible = library(path).model, visible
+        self.table = {shown(w): n for w, n in table.items()} if visible else table
+        super().__init__(self.table)
 
     def __missing__(self, word: str) -> int:
-        shown = word if word.isascii() else "".join(map(_VISIBLE.__getitem__, word.encode()))
-        n = len(self.model.tokenize(shown))
+        n = len(self.model.tokenize(word if self.visible else shown(word)))
         if len(word) <= LONG:
             if len(self) >= CACHED + len(self.table):
                 self.clear()
@@ -112,22 +134,43 @@ class Lengths(dict):
         return n
 
 
-_CACHES: dict[str, Lengths] = {}
+#: By vocabulary: the table, and the caches of words as themselves and as shown.
+_CACHES: dict[str, tuple[dict, Lengths, Lengths]] = {}
 
 
-def pretokens(text: str) -> list[str]:
-    """The pre-tokens of a plain text."""
-    return PRETOKEN.findall(text.lower())
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts of about STRETCH characters, cut before blanks. A blank neither takes part in a
+    pre-token nor composes with what is before it, so that the parts' pre-tokens are the text's."""
+    at = 0
+    while len(text) - at > STRETCH:
+        end = text.find(" ", at + STRETCH)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def pretokens(text: str, path: str) -> Iterator[tuple[bool, list[str]]]:
+    """The lower-cased pre-tokens of a text without special strings, in parts: whether they are as
+    shown, and the pre-tokens."""
+    own = library(path)
+    for part in stretches(text):
+        if UNUSUAL.search(part):
+            yield True, [w for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(part))]
+        else:
+            yield False, PRETOKEN.findall(part.lower())
 
 
 def count(texts: list[str], path: str, table: dict[str, int] | None = None) -> list[int]:
-    """The number of tokens of each text in the lower-casing word vocabulary. The worker's cache
-    is kept from task to task while the table is the same."""
-    held = _CACHES.get(path)
-    if held is None or held.table != (table or {}):
-        held = _CACHES[path] = Lengths(path, table or {})
-    length = held.__getitem__
+    """The number of tokens of each text in the lower-casing word vocabulary. The worker's caches
+    are kept from task to task while the table is the same."""
+    table = table or {}
+    if path not in _CACHES or _CACHES[path][0] != table:
+        _CACHES[path] = table, Lengths(path, table, False), Lengths(path, table, True)
+    length = [c.__getitem__ for c in _CACHES[path][1:]]
     return [
-        sum(map(length, pretokens(text))) if plain(text) else len(library(path).encode(text, add_special_tokens=False).ids)
+        len(library(path).encode(text, add_special_tokens=False).ids) if SPECIAL in text
+        else sum(sum(map(length[as_shown], words)) for as_shown, words in pretokens(text, path))
         for text in texts
-    ]
+    ]
