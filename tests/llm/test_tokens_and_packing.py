@@ -131,7 +131,7 @@ def test_round_trip(spark):
 
 def test_groups_are_bounded(spark):
     """Several groups in a task share no sequence, and all ids stay."""
-    rows = [(i, "word " * (10 + i % 90)) for i in range(600)]
+    rows = [(i, "word " * (10 + i % 90)) for i in range(3_000)]
     df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     whole, parts = (packing.pack(df, group=n).collect() for n in (packing.GROUP, 5_000))
     key = lambda r: (r.doc_id, r.start)
