@@ -1,9 +1,15 @@
 """Secret scans: fixed patterns, and Markov models for what no pattern describes.
 
-Two first-order character models, one of random strings and one of ordinary identifiers, are
-trained from labelled samples by grouped aggregation. A run of key characters is a secret if its
-log-likelihood ratio per character passes a threshold. Such spans are added (kind "random") where
-no pattern's span overlaps them; the patterns' own spans always stay.
+Two second-order character models, one of random strings and one of ordinary identifiers, are
+trained from labelled samples by grouped aggregation. Half of each model's weight has a list of
+made samples (random strings of the usual alphabets; identifiers of common words), half the corpus's
+own: what the patterns find in about SAMPLE documents is random, other runs of key characters there
+are ordinary. Orders lean on lower ones, so pairs that no sample has say little.
+
+A run of key characters is a secret if the log-likelihood ratio of the whole run passes EVIDENCE and
+that of each character on average THRESHOLD. Rulers, repeated characters, alphabets and counts
+(most characters next to the one before), UUIDs and data behind `base64,` are never asked. Such
+spans are added (kind "random") where no pattern's span overlaps them; the patterns' own spans stay.
 
 A span is the whole match, in code points, end exclusive. Patterns work on bytes, so that only
 ASCII letters fold case.
@@ -19,6 +25,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +43,17 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 
 #: Runs of at least so many key characters are asked.
-RUN = 20
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-#: Nats per character by which a random string must be the likelier.
-THRESHOLD = 0.6
+RUN = 12
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
+#: Nats by which a random string must be the likelier: of the whole run, and per character.
+EVIDENCE = 12.0
+THRESHOLD = 0.5
+#: Share of characters that may be next to the one before, or equal to it, and the least number of different ones.
+STEADY, DIFFERENT = 0.5, 6
+#: Key characters of words and values from which models learn.
+LEARNED = re.compile(rb"[A-Za-z0-9+/_=-]{4,}")
+UUID = re.compile(rb"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+DATA = b"base64,"
 #: Symbols of the models: one for each key character, one for the start, one for what is left.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 2
@@ -47,6 +61,10 @@ START, OTHER = SIZE - 2, SIZE - 1
 #: Labelled strings of each label that default_samples() makes, and its seed.
 SAMPLES = 6_000
 SEED = 20_260_101
+#: Documents from which labelled strings are taken, in expectation.
+SAMPLE = 20_000
+#: Weight of the made and of the corpus's samples in each model, in characters, and of the next lower order.
+WEIGHT, LEAN = 200_000.0, 6.0
 
 SCHEMA = (
     "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_random:bigint,"
@@ -55,29 +73,23 @@ SCHEMA = (
 
 # The words of which ordinary identifiers are made.
 IDENTIFIER_WORDS = (
-    "account action active address agent array async audio auto average balance base batch billing block body "
-    "buffer build button cache call channel chart check child class client cluster code column command commit "
-    "compile config connect consumer content context control cookie copy count create current custom data date "
-    "debug default delete depth device digest dispatch display document domain driver edge element email enable "
-    "encode engine entity entry error event export factory feature fetch field file filter final find flag float "
-    "folder font format frame function gateway generate global graph group handler hash header height host html "
-    "http image import index info input insert instance integer internal interval item iterator job join key label "
-    "language layer layout length level library limit line link list listener load local location lock logger login "
-    "loop machine main manager map mask match matrix maximum member memory merge message meta method metric middle "
-    "minimum mobile mode model module monitor mount name native network node normal note notify null number object "
-    "offset option order origin output owner package page panel parameter parent parse partition patch path pattern "
-    "payment permission person pixel plugin point policy pool port position power prefix preview print priority "
-    "process product profile project property protocol provider proxy public query queue random range reader record "
-    "reference region register release remote render replace report request reset resource response result retry "
-    "return role root route router rule runtime sample scale schema scope screen script search section select sender "
-    "sequence server service session setting shadow shape share shell signal size slice socket sort source space "
-    "stack stage standard start state static status storage store stream string structure style submit suffix support "
-    "switch symbol sync system table target task template test text thread time title token tool topic total trace "
-    "track transaction transform tree trigger type union unique unit update upload user utility validate value "
-    "variable vector version video view virtual visible volume watch weight widget width window worker wrapper writer "
-    "und der die das mit nicht eine lichkeit heiten schaften ungen les des pour avec dans tion ment eaux elle para "
-    "como esta ciones mente idad"
-).split()
+    "account", "action", "active", "address", "agent", "array", "async", "audio", "auto", "average", "balance", "base", "batch", "billing", "block",
+    "body", "buffer", "build", "button", "cache", "call", "channel", "chart", "check", "child", "class", "client", "cluster", "code", "column",
+    "command", "commit", "compile", "config", "connect", "consumer", "content", "context", "control", "cookie", "copy", "count", "create", "current",
+    "custom", "data", "date", "debug", "default", "delete", "depth", "device", "digest", "dispatch", "display", "document", "domain", "driver",
+    "edge", "element", "email", "enable", "encode", "engine", "entity", "entry", "error", "event", "export", "factory", "feature", "fetch", "field",
+    "file", "filter", "final", "find", "flag", "float", "folder", "font", "format", "frame", "function", "gateway", "generate", "global", "graph",
+    "group", "handler", "hash", "header", "height", "host", "html", "http", "image", "import", "index", "info", "input", "insert", "instance",
+    "integer", "internal", "interval", "item", "iterator", "job", "join", "key", "label", "language", "layer", "layout", "length", "level",
+    "library", "limit", "line", "link", "list", "listener", "load", "local", "location", "lock", "logger", "login", "loop", "machine", "main",
+    "manager", "map", "mask", "match", "matrix", "maximum", "member", "memory", "merge", "message", "meta", "method", "metric", "middle", "minimum",
+    "mobile", "mode", "model", "module", "monitor", "mount", "name", "native", "network", "node", "normal", "note", "notify", "null", "number",
+    "object", "offset", "option", "order", "origin", "output", "owner", "package", "page", "panel", "parameter", "parent", "parse", "partition",
+    "patch", "path", "pattern", "payment", "permission", "person", "pixel", "plugin", "point", "policy", "pool", "port", "position", "power",
+    "prefix", "preview", "print", "priority", "process", "product", "profile", "project", "property", "protocol", "provider", "proxy", "public",
+    "query", "queue", "random", "range", "reader", "record", "reference", "region", "register", "release", "remote", "render", "replace", "report",
+    "request", "reset", "resource", "response", "result", "retry",
+)
 
 
 def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]]:
@@ -98,41 +110,119 @@ def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]
     return out
 
 
+def corpus_samples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text, is_random): labelled strings of about SAMPLE documents, those whose hash is below a limit.
+    What the patterns find is random, without keywords; other runs of key characters are ordinary."""
+    last = min((1 << 63) - 1, int(SAMPLE / max(1, docs.count()) * (1 << 64)) - (1 << 63))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows: list[tuple[str, bool]] = []
+                for data in utf8(batch.column(0).slice(at, 256)):
+                    base, seen = base_spans(data), 0
+                    for start, end, kind in base:
+                        value = ASSIGN.match(data, start, end)[2] if kind == "assign" else data[start:end]
+                        rows.append((value.decode("ascii"), True))
+                    for start, end, _ in sorted([*base, (len(data), len(data), "")]):
+                        rows += [(m[0].decode("ascii"), False) for m in LEARNED.finditer(data, seen, max(seen, start))]
+                        seen = max(seen, end)
+                if rows:
+                    words, labels = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.bool_())], ["text", "is_random"])
+
+    return docs.where(F.xxhash64(text) <= F.lit(last).cast("bigint")).select(F.col(text)).mapInArrow(labelled, "text string, is_random boolean")
+
+
+def counts_of(samples: DataFrame, text: str = "text", label: str = "is_random") -> np.ndarray:
+    """How often each three symbols follow each other, by label. Each task sums its own strings; what
+    reaches the driver is at most one count for each three symbols of the fixed alphabet."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * SIZE**3, np.int64)
+        for batch in batches:
+            for y, word in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                a, b, c = triples(word)
+                np.add.at(sums, ((int(y) * SIZE + a) * SIZE + b) * SIZE + c, 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["place", "n"])
+
+    rows = samples.where(F.col(label).isNotNull()).select(F.col(label).cast("boolean"), F.col(text).cast("string"))
+    table = rows.mapInArrow(counted, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(2 * SIZE**3)
+    out[[r["place"] for r in table]] = [r["n"] for r in table]
+    return out.reshape(2, SIZE, SIZE, SIZE)
+
+
+def ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios of each three symbols. Each order leans on the next lower one."""
+    logs = []
+    for three in counts:
+        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+        p1 = (one + 1) / (one.sum() + SIZE)
+        p2 = (two + LEAN * p1) / (two.sum(axis=1, keepdims=True) + LEAN)
+        p3 = (three + LEAN * p2) / (three.sum(axis=2, keepdims=True) + LEAN)
+        logs.append(np.log(p3))
+    return (logs[1] - logs[0]).astype(np.float32)
+
+
+def weighed(*counts: np.ndarray) -> np.ndarray:
+    """Sums of counts in which each kind of sample has the same weight in each model."""
+    totals = [c.sum(axis=(1, 2, 3), keepdims=True) for c in counts]
+    return sum(np.where(t > 0, c * (WEIGHT / np.maximum(t, 1)), 0.0) for c, t in zip(counts, totals, strict=True))
+
+
 def train(samples: DataFrame, text: str = "text", label: str = "is_random") -> np.ndarray:
-    """Log-likelihood ratios of each pair of symbols, from labelled strings, by grouped aggregation.
-    What reaches the driver is at most two counts for each pair of the fixed alphabet."""
-    chars = F.split(F.coalesce(F.col(text), F.lit("")), "")
-    code = lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) - 1).otherwise(OTHER)
-    codes = F.transform(F.filter(chars, lambda c: c != ""), code)
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(START)), codes).alias("a"), codes.alias("b"))
-    counted = (
-        samples.where(F.col(label).isNotNull())
-        .select(F.col(label).alias("y"), F.explode(pairs).alias("p"))
-        .select("y", "p.a", "p.b")
-        .where("b is not null")
-        .groupBy("y", "a", "b")
-        .count()
-        .collect()
-    )
-    counts = np.full((2, SIZE, SIZE), 0.5)
-    for row in counted:
-        counts[int(row["y"]), row["a"], row["b"]] += row["count"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return logs[1] - logs[0]
+    """The ratios from labelled strings alone."""
+    return ratios(counts_of(samples, text, label))
+
+
+def made_counts(spark: SparkSession) -> np.ndarray:
+    return counts_of(spark.createDataFrame(default_samples(), "text string, is_random boolean"))
 
 
 def default_model(spark: SparkSession) -> np.ndarray:
-    return train(spark.createDataFrame(default_samples(), "text string, is_random boolean"))
+    """The ratios from made samples alone."""
+    return ratios(weighed(made_counts(spark)))
+
+
+def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The ratios from made samples and the corpus's own."""
+    return ratios(weighed(made_counts(docs.sparkSession), counts_of(corpus_samples(docs, text))))
 
 
 _CODES = np.full(256, OTHER, np.int64)
 _CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 
+def triples(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each symbol with the two before it."""
+    codes = _CODES[np.frombuffer(run, np.uint8)]
+    led = np.concatenate(([START, START], codes))
+    return led[:-2], led[1:-1], codes
+
+
+def evidence(run: bytes, model: np.ndarray) -> float:
+    """Nats in favour of a random string."""
+    return float(model[triples(run)].sum(dtype=np.float64)) if run else 0.0
+
+
 def ratio(run: bytes, model: np.ndarray) -> float:
     """Nats per character in favour of a random string."""
-    codes = _CODES[np.frombuffer(run, np.uint8)]
-    return float(model[np.concatenate(([START], codes[:-1])), codes].mean()) if len(codes) else -math.inf
+    return evidence(run, model) / len(run) if run else -math.inf
+
+
+def steady(run: bytes) -> bool:
+    """Whether the run is a ruler, a repetition, an alphabet or a count."""
+    steps = np.abs(np.diff(np.frombuffer(run, np.uint8).astype(np.int16)))
+    return len(set(run)) < DIFFERENT or float((steps <= 1).mean()) > STEADY
+
+
+def is_random(run: bytes, model: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    if len(run) < RUN or UUID.fullmatch(run) or steady(run):
+        return False
+    nats = evidence(run, model)
+    return nats > EVIDENCE and nats > threshold * len(run)
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, str]]:
@@ -150,11 +240,10 @@ def base_spans(data: bytes) -> list[tuple[int, int, str]]:
 def added_spans(data: bytes, base: list[tuple[int, int, str]], model: np.ndarray, threshold: float) -> list:
     """Byte spans of random runs outside the base spans."""
     out = []
-    if max(map(len, data.split()), default=0) < RUN:
-        return out
     for m in CANDIDATE.finditer(data):
-        if not any(s < m.end() and m.start() < e for s, e, _ in base) and ratio(m[0], model) > threshold:
-            out.append((*m.span(), "random"))
+        start, end = m.span()
+        if not any(s < end and start < e for s, e, _ in base) and data[max(0, start - len(DATA)) : start] != DATA and is_random(m[0], model, threshold):
+            out.append((start, end, "random"))
     return out
 
 
@@ -181,7 +270,7 @@ def scanned(texts: pa.Array, model: np.ndarray, threshold: float = THRESHOLD) ->
 
 def secrets(docs: DataFrame, text: str = "text", model: np.ndarray | None = None, threshold: float = THRESHOLD):
     """The documents with one struct of counts and spans, and that struct's name."""
-    model = default_model(docs.sparkSession) if model is None else model
+    model = fit(docs, text) if model is None else model
     name = unused(docs, "secrets")
     return docs.withColumn(name, map_column(lambda t: scanned(t, model, threshold), SCHEMA, F.col(text))), name
 
@@ -205,7 +294,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def redacted(docs: DataFrame, text: str = "text", model: np.ndarray | None = None, threshold: float = THRESHOLD):
     """The documents with every secret replaced; all columns stay, a null text too."""
-    model = default_model(docs.sparkSession) if model is None else model
+    model = fit(docs, text) if model is None else model
 
     def clean(texts: pa.Array) -> pa.Array:
         out = []
