@@ -93,5 +93,24 @@ def test_files_roll(spark, monkeypatch):
     assert sorted(r.page_id for r in aw.read_back(manifest).collect()) == list(range(30))
 
 
+def test_large_groups_and_several_archives(spark):
+    """Half of all records are one page, spread over many archives; a table of keys says who keeps it."""
+    same, rows = "same " * 300, []
+    for k in range(400):
+        rows.append((k, "http://a", same if k % 2 else f"{k} " * (200 + k)))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in aw.digest(df).collect()}
+    assert got == {k: ("revisit", 399) if k % 2 and k < 399 else ("response", None) for k in range(400)}
+
+
+def test_files_of_attempts_that_failed_are_not_read(spark, tmp_path):
+    """What a lost attempt left in the folder is in no manifest."""
+    to = f"file://{tmp_path}/warc"
+    df = spark.createDataFrame([(i, "http://a", f"page {i}") for i in range(20)], SCHEMA)
+    manifest = aw.convert(aw.legacy_archives(df), to)
+    (tmp_path / "warc" / "000000-999-0000.warc.gz").write_bytes(b"half a file")
+    assert sorted(r.page_id for r in aw.read_back(manifest).collect()) == list(range(20))
+
+
 def test_empty_table(spark):
     assert aw.digest(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -7,9 +7,11 @@ ordinal, its timestamp from the 14-digit date, its type from the scheme and from
 payload is held elsewhere, its digests (SHA-1 in base 32) from its bytes.
 
 Of records with equal payloads of at least LEAST_REVISIT bytes, the one with the largest ordinal is
-a response and the others revisit it; smaller ones are all responses. The groups come from a grouped
-aggregation; the decision reaches the records by a salted join, so a third of all records in one
-group is no more work for one task than any other third.
+a response and the others revisit it; smaller ones are all responses. Groups and decisions are made on
+a table of keys (file, offset, digest), never on bodies: the join that tells each record its group's
+response is of two written tables, so the planner splits a group of any size. What was decided then goes
+to the archives as one list for each file, so bodies travel at most once, and only if these lists are too
+many to be broadcast.
 
 WARC files go to the shared folder, one gzip member for each record, each attempt of a task under
 names of its own; only the files of finished attempts are in the manifest, which is a table.
@@ -33,14 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folder, staged, utf8
+from .common import ROWS, folder, staged, utf8
 
 LEAST_REVISIT = 1_000
 #: Payload bytes of an ARC file, and compressed bytes of a WARC file, after which a new one begins.
 ARC_BYTES = 4 << 20
 WARC_BYTES = 64 << 20
-#: Parts of a group of equal payloads.
-SALTS = 16
 LEVEL = 1
 
 # The fields of the header line by version.
@@ -220,7 +220,8 @@ def legacy_archives(pages: DataFrame, ordinal: str = "page_id", url: str = "url"
         for batch in batches:
             held: list[dict] = []
             size = 0
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True))
+            parts = (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+            rows = (row for p in parts for row in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), utf8(p.column(2)), strict=True))
             for k, (number, address, payload) in enumerate(rows):
                 # A second for each ordinal, within one year.
                 date = datetime(2008, 1, 1, tzinfo=UTC) + timedelta(seconds=(number or 0) % 31_536_000)
@@ -230,7 +231,7 @@ def legacy_archives(pages: DataFrame, ordinal: str = "page_id", url: str = "url"
                 block = b"\r\n".join([*head, b"", payload])
                 held.append({"url": clean, "ip": "0.0.0.0", "date": date.strftime("%Y%m%d%H%M%S"), "mime": "text/html", "block": block})
                 size += len(block)
-                if size >= ARC_BYTES or k == len(rows) - 1:
+                if size >= ARC_BYTES or k == batch.num_rows - 1:
                     name = f"{part:06d}-{files:06d}.arc"
                     content = arc_file(name, "12"[(part + files) % 2], held)
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["path", "content"])
@@ -240,45 +241,44 @@ def legacy_archives(pages: DataFrame, ordinal: str = "page_id", url: str = "url"
     return rows.mapInArrow(write, "path string, content binary")
 
 
-RECORD = "ordinal bigint, url string, ip string, date string, mime string, at bigint, block binary, payload_bytes bigint, payload_sha1 string"
-SMALL = "ordinal bigint, payload_bytes bigint, payload_sha1 string"
+KEY = "path string, at bigint, ordinal bigint, payload_bytes bigint, payload_sha1 string"
 
 
-def arc_records(archives: DataFrame, blocks: bool = True) -> DataFrame:
-    """One row for each record of the archives; without blocks, only what finds equal payloads."""
+def record_keys(archives: DataFrame) -> DataFrame:
+    """One row for each record of the archives (path, content): where it is, and what finds equal payloads."""
+    names = [f.split()[0] for f in KEY.split(", ")]
+    kinds = [pa.int64() if f.endswith("bigint") else pa.string() for f in KEY.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for r in read_arc(content):
+                for r in read_arc(content.as_py()):
                     header, payload = http_split(r["block"])
                     number = header_value(header, ORDINAL)
-                    key = (None if number is None else int(number), len(payload), hashlib.sha1(payload).hexdigest())
-                    rows.append((key[0], r["url"], r["ip"], r["date"], r["mime"], r["at"], r["block"], *key[1:]) if blocks else key)
+                    rows.append((path, r["at"], None if number is None else int(number), len(payload), hashlib.sha1(payload).hexdigest()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    names = [f.split()[0] for f in (RECORD if blocks else SMALL).split(", ")]
-    kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in (RECORD if blocks else SMALL).split(", ")]
-    return archives.select("content").mapInArrow(parse, RECORD if blocks else SMALL)
+    return archives.select("path", "content").mapInArrow(parse, KEY)
 
 
-def held_elsewhere(keys: DataFrame) -> DataFrame:
-    """(payload_sha1, payload_bytes, salt, response): of each group of equal payloads, the record that
-    keeps its payload, once for each salt."""
-    groups = keys.where(f"payload_bytes >= {LEAST_REVISIT} and ordinal is not null").groupBy("payload_sha1", "payload_bytes")
-    largest = groups.agg(F.max("ordinal").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def revisits(keys: DataFrame) -> DataFrame:
+    """(path, revisits): of every archive the places of records whose payload another record keeps, and
+    that record's ordinal."""
+    keys = staged(keys, "arc-keys")
+    group = ["payload_sha1", "payload_bytes"]
+    some = keys.where(f"payload_bytes >= {LEAST_REVISIT} and ordinal is not null")
+    kept = staged(some.groupBy(*group).agg(F.max("ordinal").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n"), "arc-responses")
+    found = some.join(kept, group).where("ordinal <> response")
+    return staged(found.groupBy("path").agg(F.collect_list(F.struct("at", "response")).alias("revisits")), "arc-revisits")
 
 
 def convert(archives: DataFrame, to: str | None = None) -> DataFrame:
-    """Writes the archives' records as WARC files; the manifest (path, records) of finished files."""
+    """Writes the archives' records as WARC files; the manifest (path, records) of finished files. The
+    archives are read twice, so what makes them should be stored, or cheap."""
     to = to or folder(archives.sparkSession, "warc")
-    records = arc_records(archives).withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(SALTS)).cast("int"))
-    decided = records.join(held_elsewhere(arc_records(archives, blocks=False)), ["payload_sha1", "payload_bytes", "salt"], "left")
-    refers = F.when(F.col("response") != F.col("ordinal"), F.col("response")).alias("refers_to")
-    rows = decided.select("ordinal", "url", "ip", "date", "mime", "at", "block", refers)
+    rows = archives.select("path", "content").join(revisits(record_keys(archives)), "path", "left").select("content", "revisits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -290,19 +290,23 @@ def convert(archives: DataFrame, to: str | None = None) -> DataFrame:
         out, size, count = None, 0, 0
         try:
             for batch in batches:
-                for row in batch.to_pylist():
-                    if out is None:
-                        name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
-                        out, size, count = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                        done.append((name, 0))
-                    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    data = pack.compress(warc_record(row, row["refers_to"])) + pack.flush()
-                    out.write(data)
-                    size, count = size + len(data), count + 1
-                    done[-1] = (done[-1][0], count)
-                    if size >= WARC_BYTES:
-                        out.close()
-                        out = None
+                for content, decided in zip(batch.column(0), batch.column(1), strict=True):
+                    refers = {d["at"]: d["response"] for d in decided.as_py() or ()}
+                    for record in read_arc(content.as_py()):
+                        if out is None:
+                            name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+                            out, size, count = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
+                            done.append((name, 0))
+                        number = header_value(http_split(record["block"])[0], ORDINAL)
+                        record["ordinal"] = None if number is None else int(number)
+                        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                        data = pack.compress(warc_record(record, refers.get(record["at"]))) + pack.flush()
+                        out.write(data)
+                        size, count = size + len(data), count + 1
+                        done[-1] = (done[-1][0], count)
+                        if size >= WARC_BYTES:
+                            out.close()
+                            out = None
         finally:
             if out is not None:
                 out.close()
@@ -360,6 +364,6 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 def digest(pages: DataFrame) -> DataFrame:
     """The result of the query: all pages, by way of ARC and WARC files."""
-    records = read_back(convert(legacy_archives(pages)))
+    records = read_back(convert(staged(legacy_archives(pages), "arc")))
     kind = F.when(F.col("record_type") == "resource", "response").otherwise(F.col("record_type"))
     return records.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")

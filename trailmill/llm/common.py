@@ -30,10 +30,21 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
+#: Rows that a function of texts is given at a time.
+ROWS = 500
+
+
 def map_column(function: Callable[..., pa.Array], schema: str, *inputs: Column) -> Column:
-    """An Arrow function as a column. Marked nondeterministic so that a filter on its
-    result is not pushed below it, which would run it twice."""
-    return arrow_udf(function, schema).asNondeterministic()(*inputs)
+    """An Arrow function as a column. Spark bounds a batch by bytes; the function gets it in slices of at
+    most ROWS rows, so that few texts are Python objects at once. Marked nondeterministic so that a
+    filter on its result is not pushed below it, which would run it twice."""
+
+    def sliced(*columns):
+        n = len(columns[0])
+        parts = [function(*(c.slice(at, ROWS) for c in columns)) for at in range(0, n, ROWS)] or [function(*columns)]
+        return pa.concat_arrays([x for part in parts for x in (part.chunks if isinstance(part, pa.ChunkedArray) else [part])])
+
+    return arrow_udf(sliced, schema).asNondeterministic()(*inputs)
 
 
 def unused(df: DataFrame, base: str) -> str:
@@ -46,9 +57,12 @@ def unused(df: DataFrame, base: str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where
+    neither is set, one of our own, but only if driver and executors are one process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="trailmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
