@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import time
 
 from trailmill.llm import language_id as li
 
@@ -90,3 +92,56 @@ def test_columns(spark):
     pages = {"<HTML class=x LANG='de-AT'>": "de", "<html><p lang=fr>": None, "<html lang=en>": "en", None: None}
     df = spark.createDataFrame([(p,) for p in pages], "p string")
     assert {r.p: r.d for r in df.select("p", li.declared_language(F.col("p")).alias("d")).collect()} == pages
+
+
+def test_fusion_against_loops(spark):
+    """Posteriors of made evidence, with hosts that lean on domains and domains on the whole corpus."""
+    rng = random.Random(31)
+    languages = ["de", "en", "fr"]
+    rows = []
+    for k in range(300):
+        domain = rng.choice(["a.de", "b.com", "c.fr", None])
+        host = None if domain is None else f"{rng.choice(['www', 'm', 'x'])}.{domain}"
+        lean = {"a.de": 0, "b.com": 1, "c.fr": 2}.get(domain, rng.randrange(3))
+        scores = [0.0, 0.0, 0.0] if k % 11 == 0 else [round(rng.uniform(0, 4), 3) + (3 if i == lean else 0) for i in range(3)]
+        declared = rng.choice([None, languages[lean], rng.choice(languages), "xx"])
+        rows.append((k, None, declared, domain and domain.split(".")[1], domain, host, scores))
+    schema = "doc_id long, page_id long, declared string, suffix string, domain string, host string, scores array<double>"
+    got = {r.doc_id: r for r in li.fuse(spark.createDataFrame(rows, schema), languages).collect()}
+
+    guess = {r[0]: (r[6].index(max(r[6])) if max(r[6]) > 0 else None) for r in rows}
+
+    def counts(place, value):
+        of = [guess[r[0]] for r in rows if r[place] == value and guess[r[0]] is not None]
+        return [of.count(i) for i in range(3)]
+
+    seen = [1 + sum(g == i for g in guess.values()) for i in range(3)]
+    everywhere = [x / sum(seen) for x in seen]
+    lean_on = lambda n, above: [(c + li.LEAN * p) / (sum(n) + li.LEAN) for c, p in zip(n, above)]
+    for k, _, declared, suffix, domain, host, scores in rows:
+        prior = everywhere if host is None else lean_on(counts(5, host), lean_on(counts(4, domain), everywhere))
+        logs = [s + math.log(p) for s, p in zip(scores, prior)]
+        for place, value in ((2, declared), (3, suffix)):
+            if value is not None:
+                logs = [x + math.log((n + li.AGREE) / (s + li.AGREE * 3)) for x, n, s in zip(logs, counts(place, value), seen)]
+        weights = [math.exp(x - max(logs)) for x in logs]
+        assert got[k].language == languages[logs.index(max(logs))]
+        assert abs(got[k].probability - max(weights) / sum(weights)) < 1e-9
+        assert got[k].text_language == (None if guess[k] is None else languages[guess[k]])
+
+
+def test_visible_text_of_odd_pages():
+    assert li.visible(b"<p>a<!-- b --> c<SCRIPT x>d</script >e<style>f</style>g &amp; h").split() == [b"a", b"c", b"e", b"g", b"&", b"h"]
+    assert li.visible(b"a <script>never closed").split() == [b"a", b"never", b"closed"]
+    assert li.visible(b"a <b").split() == [b"a", b"<b"] and li.visible(b"") == b""
+    assert li.visible(b"<scripted>x</scripted>").split() == [b"x"]
+    began = time.perf_counter()
+    li.visible(b"<!--" * 200_000 + b"<script>" * 200_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_declared_language_is_the_roots_own(spark):
+    pages = [('<html lang="fr">', "fr"), ("<HTML class=x LANG=de-AT>", "de"), ('<html data-lang="en">', None), ('<html xml:lang="en">', None), ('<html xml:lang="en" lang="es">', "es"), (None, None), ("<htmlx lang=en>", None)]
+    df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(pages)], "k long, html string")
+    got = {r.k: r.d for r in df.select("k", li.declared_language(df.html).alias("d")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(pages)}

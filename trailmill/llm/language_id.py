@@ -37,7 +37,8 @@ SATURATION = 60
 #: Pseudo-counts: of a trigram, a declaration or suffix, and of the level above in the prior.
 TRIGRAM, AGREE, LEAN = 0.5, 1.0, 20.0
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Elements whose content is not text, and what ends it.
+_HIDDEN = re.compile(rb"<(?:(!--)|(script|style)\b)", re.I)
 
 
 def trigrams(data: bytes) -> np.ndarray:
@@ -50,8 +51,28 @@ def trigrams(data: bytes) -> np.ndarray:
 
 
 def visible(html: bytes) -> bytes:
-    """The text of a page."""
-    return unescape(_HIDDEN.sub(b" ", html).decode("utf-8", "replace")).encode()
+    """The text of a page. One pass: what is never closed is looked for once."""
+    low, out, at, open_ended = html.lower(), [], 0, set()
+    while (begin := html.find(b"<", at)) >= 0:
+        out.append(html[at:begin])
+        end = -1
+        if (m := _HIDDEN.match(html, begin)) and (closing := b"-->" if m[1] else b"</" + m[2].lower()) not in open_ended:
+            end = low.find(closing, m.end())
+            if end < 0:
+                open_ended.add(closing)
+            elif not m[1]:
+                end = html.find(b">", end)
+            else:
+                end += 2
+        if end < 0:
+            end = html.find(b">", begin)
+        if end < 0:
+            out.append(html[begin:])
+            at = len(html)
+            break
+        at = end + 1
+    out.append(html[at:])
+    return unescape(b" ".join(out).decode("utf-8", "replace")).encode()
 
 
 def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
@@ -115,7 +136,7 @@ def text_scores(texts: pa.Array, model: np.ndarray, markup: bool = False) -> pa.
 
 def declared_language(html: Column) -> Column:
     """The primary subtag that the page's root declares, or null."""
-    found = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    found = F.regexp_extract(html, r"(?is)<html(?=\s)[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
     return F.nullif(F.lower(found), F.lit(""))
 
 
