@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
 
@@ -21,11 +21,12 @@ def connection():
 
 def plain(value):
     if isinstance(value, float):
-        return None if value != value else round(value, 3) + 0.0
+        return None if value != value else value + 0.0
     return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
 
 
 def assert_same(spark, query, sql):
+    """The same rows with the same values, to the last bit."""
     df = query(spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
@@ -34,7 +35,5 @@ def assert_same(spark, query, sql):
     at = [found.columns.index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
     assert len(got) == len(want)
-    wrong = [(a, b) for a, b in zip(got, want) if a != b]
-    # A rounding tie may fall to either side.
-    near = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-3
-    assert not [p for p in wrong if not all(map(near, *p))], wrong[:2]
+    wrong = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
+    assert not wrong, (len(wrong), wrong[:2])

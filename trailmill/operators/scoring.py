@@ -141,12 +141,11 @@ def continuous_penalty(movement: DataFrame, by: list[str], least: float = 0.001,
 
 def depth_trimmed(points: DataFrame, by: list[str], value: str = "z", k: float = 2.0, least: int = 3) -> DataFrame:
     """Points within k median absolute deviations of their group's median. Groups of fewer than `least`
-    points, or with no spread, stay whole."""
-    middle = points.groupBy(*by).agg(F.median(value).alias("mid"), F.count("*").alias("n"))
-    off = points.join(middle, by).withColumn("off", F.abs(F.col(value) - F.col("mid")))
-    spread = off.groupBy(*by).agg(F.median("off").alias("mad"))
-    keep = (F.col("n") < least) | (F.col("mad") <= 1e-9) | (F.col("off") <= k * F.col("mad"))
-    return off.join(spread, by).where(keep).select(*points.columns)
+    points, or with no spread, stay whole. One shuffle: both medians are windows over the same groups."""
+    w = Window.partitionBy(*by)
+    off = points.withColumns({"mid__": F.median(value).over(w), "n__": F.count("*").over(w)}).withColumn("off__", F.abs(F.col(value) - F.col("mid__")))
+    off = off.withColumn("mad__", F.median("off__").over(w))
+    return off.where((F.col("n__") < least) | (F.col("mad__") <= 1e-9) | (F.col("off__") <= k * F.col("mad__"))).select(*points.columns)
 
 
 def centroids(tracks: DataFrame, by: list[str], least: int = 1) -> DataFrame:
@@ -163,10 +162,22 @@ def tip_centroids(points: DataFrame, by: list[str], k: int = 10) -> DataFrame:
 
 
 def sphere_fraction(points: DataFrame, spheres: DataFrame, by: list[str], frame: str = "t", multiple: float = 1.0) -> DataFrame:
-    """(by, t, fraction): share of a candidate's points within the frame's sphere (sx, sy, sz, radius)."""
+    """(by, t, fraction): share of a candidate's points within the frame's sphere (sx, sy, sz, radius). A
+    sphere belongs to those of the `by` columns that its table has, as a trajectory's to all its candidates."""
     d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) + F.pow(F.col("z") - F.col("sz"), 2))
     inside = (d <= multiple * F.col("radius")).cast("double")
-    return points.join(spheres, frame).groupBy(*by, frame).agg(F.avg(inside).alias("fraction"))
+    on = [c for c in by if c in spheres.columns]
+    if not on:
+        raise ValueError(f"spheres of a frame alone would meet the points of all trajectories; they need one of {by}")
+    return points.join(spheres, [*on, frame]).groupBy(*by, frame).agg(F.avg(inside).alias("fraction"))
+
+
+def depth_gap(traces: DataFrame, by: list[str], side: str, one, other, frame: str = "t", depth: str = "z") -> DataFrame:
+    """(by, dz): median distance in depth of two sides' mean traces, over the frames that both have."""
+    mean = lambda which: F.avg(F.when(F.col(side) == which, F.col(depth)))
+    per = traces.groupBy(*by, frame).agg(mean(one).alias("one__"), mean(other).alias("other__"))
+    both = per.where("one__ is not null and other__ is not null")
+    return both.groupBy(*by).agg(F.median(F.abs(F.col("one__") - F.col("other__"))).alias("dz"))
 
 
 def top_mean(df: DataFrame, by: list[str], value: str, order: str, share: float = 0.1, least: int = 3, name: str = "peak") -> DataFrame:

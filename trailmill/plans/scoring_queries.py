@@ -76,6 +76,14 @@ def dominant_gate(spark, sf_dir):
     return sc.single_dominant(boxes(spark, sf_dir), ["grp"]).select("grp", "idx", "dominant")
 
 
+#: Depths in cents: whole numbers, whose sums are the same in any order.
+CENTS = "floor(conf * 10500000 + 0.5)"
+
+
+def _cents():
+    return F.floor(F.col("conf") * 10500000 + 0.5).cast("double")
+
+
 PENALTY = """q AS (SELECT grp, idx, conf, x1, y1, (x1 % 10) / 9.0 AS ov, CASE WHEN y1 % 5 = 0 THEN NULL ELSE (y1 % 30) / 100.0 END AS dz FROM v_boxes),
  r AS (SELECT *, CASE WHEN dz IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (dz - 0.05) / 0.2)) END AS rel, greatest(0.0, least(1.0, (ov - 0.3) / 0.7)) AS ex FROM q),
  pen AS (SELECT *, 1.45 * ex * ex * (1 - 0.85 * rel) + CASE WHEN ov > 0.98 THEN 0.2 * (1 - rel) ELSE 0.0 END AS penalty FROM r)"""
@@ -136,11 +144,11 @@ def detector_baseline(spark, sf_dir):
 
 @query(
     "q_gripper_pick",
-    """WITH s AS (SELECT grp, idx, 0.7 * conf + 0.3 * sqrt(least((x2 - x1) * (y2 - y1) / 800.0, 1.0)) AS sc FROM v_boxes), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sc DESC, idx) AS p FROM s) SELECT grp, idx, round(sc, 4) AS pick_score FROM k WHERE p = 1""",
+    """WITH s AS (SELECT grp, idx, 0.7 * conf + 0.3 * sqrt(least((x2 - x1) * (y2 - y1) / 800.0, 1.0)) AS sc FROM v_boxes), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sc DESC, idx) AS p FROM s) SELECT grp, idx, sc AS pick_score FROM k WHERE p = 1""",
 )
 def gripper_pick(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    return sc.gripper_pick(b, ["grp"], 800.0).select("grp", "idx", F.round("pick_score", 4).alias("pick_score"))
+    return sc.gripper_pick(b, ["grp"], 800.0).select("grp", "idx", "pick_score")
 
 
 @query(
@@ -167,40 +175,40 @@ def mad_trim(spark, sf_dir):
 
 @query(
     "q_tip_centroid",
-    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY conf, x1, y1, idx) AS p FROM v_boxes) SELECT grp, round(avg(x1), 4) AS cx, round(avg(y1), 4) AS cy, round(avg(conf), 4) AS cz FROM k WHERE p <= 3 GROUP BY grp""",
+    f"""WITH c AS (SELECT *, {CENTS} AS z FROM v_boxes), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z, x1, y1, idx) AS p FROM c) SELECT grp, avg(x1) AS cx, avg(y1) AS cy, avg(z) AS cz FROM k WHERE p <= 3 GROUP BY grp""",
 )
 def tip_centroid(spark, sf_dir):
-    points = boxes(spark, sf_dir).select("grp", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("conf").alias("z"), F.col("idx").alias("pt"))
-    out = sc.tip_centroids(points, ["grp"], 3)
-    return out.select("grp", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "cz")))
+    points = boxes(spark, sf_dir).select("grp", F.col("x1").alias("x"), F.col("y1").alias("y"), _cents().alias("z"), F.col("idx").alias("pt"))
+    return sc.tip_centroids(points, ["grp"], 3).select("grp", "cx", "cy", "cz")
 
 
 @query(
     "q_sphere_fraction",
-    """WITH p AS (SELECT grp, idx % 4 AS t, x1 AS x, y1 AS y, conf * 50 AS z FROM v_boxes), s AS (SELECT unnest(range(4)) AS t), i AS (SELECT grp, p.t, CASE WHEN sqrt(pow(x - 40, 2) + pow(y - 30, 2) + pow(z - 20, 2)) <= 1.75 * (20 + 3 * s.t) THEN 1.0 ELSE 0.0 END AS i FROM p JOIN s ON s.t = p.t),
+    """WITH p AS (SELECT grp, idx % 4 AS t, x1 AS x, y1 AS y, conf * 50 AS z FROM v_boxes), s AS (SELECT grp, t, min(x) + 10 AS sx, max(y) - 5 AS sy, 12 + 3 * t AS radius FROM p GROUP BY grp, t),
+ i AS (SELECT grp, p.t, CASE WHEN sqrt(pow(x - sx, 2) + pow(y - sy, 2) + pow(z - 20, 2)) <= 1.75 * radius THEN 1.0 ELSE 0.0 END AS i FROM p JOIN s USING (grp, t)),
  f AS (SELECT grp, t, avg(i) AS fr FROM i GROUP BY grp, t) SELECT grp, round(avg(fr), 4) AS mean_fraction, round(max(fr), 4) AS max_fraction FROM f GROUP BY grp""",
 )
 def sphere_fraction(spark, sf_dir):
+    """Every group has spheres of its own, one a frame."""
     points = boxes(spark, sf_dir).select("grp", (F.col("idx") % 4).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("conf") * 50).alias("z"))
-    spheres = spark.range(4).select(F.col("id").alias("t"), F.lit(40.0).alias("sx"), F.lit(30.0).alias("sy"), F.lit(20.0).alias("sz"), (20.0 + 3 * F.col("id")).alias("radius"))
+    spheres = points.groupBy("grp", "t").agg((F.min("x") + 10).alias("sx"), (F.max("y") - 5).alias("sy")).select("grp", "t", "sx", "sy", F.lit(20.0).alias("sz"), (12.0 + 3 * F.col("t")).alias("radius"))
     per = sc.sphere_fraction(points, spheres, ["grp"], multiple=1.75)
     return per.groupBy("grp").agg(F.round(F.avg("fraction"), 4).alias("mean_fraction"), F.round(F.max("fraction"), 4).alias("max_fraction"))
 
 
 @query(
     "q_top_mean_overlap",
-    """WITH k AS (SELECT grp, idx, conf, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY conf DESC, idx) AS p FROM v_boxes) SELECT grp, round(avg(conf), 4) AS peak FROM k WHERE p <= least(n, greatest(3, ceil(n * 0.1))) GROUP BY grp""",
+    f"""WITH c AS (SELECT *, {CENTS} AS z FROM v_boxes), k AS (SELECT grp, z, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY z DESC, idx) AS p FROM c) SELECT grp, avg(z) AS peak FROM k WHERE p <= least(n, greatest(3, ceil(n * 0.1))) GROUP BY grp""",
 )
 def top_mean_overlap(spark, sf_dir):
-    return sc.top_mean(boxes(spark, sf_dir), ["grp"], "conf", "idx").withColumn("peak", F.round("peak", 4))
+    return sc.top_mean(boxes(spark, sf_dir).withColumn("z", _cents()), ["grp"], "z", "idx")
 
 
 @query(
     "q_depth_gap",
-    """WITH a AS (SELECT grp, idx // 2 AS t, avg(conf) AS z FROM v_boxes WHERE idx % 2 = 0 GROUP BY grp, idx // 2), b AS (SELECT grp, idx // 2 AS t, avg(conf) AS z FROM v_boxes WHERE idx % 2 = 1 GROUP BY grp, idx // 2) SELECT a.grp, round(median(abs(a.z - b.z)), 4) AS dz FROM a JOIN b ON a.grp = b.grp AND a.t = b.t GROUP BY a.grp""",
+    f"""WITH c AS (SELECT *, {CENTS} AS z FROM v_boxes), a AS (SELECT grp, idx // 2 AS t, avg(z) AS z FROM c WHERE idx % 2 = 0 GROUP BY grp, idx // 2), b AS (SELECT grp, idx // 2 AS t, avg(z) AS z FROM c WHERE idx % 2 = 1 GROUP BY grp, idx // 2) SELECT a.grp, median(abs(a.z - b.z)) AS dz FROM a JOIN b ON a.grp = b.grp AND a.t = b.t GROUP BY a.grp""",
 )
 def depth_gap(spark, sf_dir):
     """Median depth between two traces over the frames that both have."""
-    per = boxes(spark, sf_dir).groupBy("grp", F.floor(F.col("idx") / 2).alias("t"), (F.col("idx") % 2).alias("side")).agg(F.avg("conf").alias("z"))
-    a, b = (per.where(f"side = {k}").select("grp", "t", F.col("z").alias(f"z{k}")) for k in (0, 1))
-    return a.join(b, ["grp", "t"]).groupBy("grp").agg(F.round(F.median(F.abs(F.col("z0") - F.col("z1"))), 4).alias("dz"))
+    traces = boxes(spark, sf_dir).select("grp", F.floor(F.col("idx") / 2).alias("t"), (F.col("idx") % 2).alias("side"), _cents().alias("z"))
+    return sc.depth_gap(traces, ["grp"], "side", 0, 1)

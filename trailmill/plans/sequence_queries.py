@@ -123,11 +123,11 @@ def true_runs(spark, sf_dir):
     """WITH f AS (SELECT traj, t, CASE WHEN event_id % 3 = 0 THEN signal END AS v, CASE WHEN event_id % 3 = 0 THEN t END AS k FROM v_frames),
  n AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(k IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(k IGNORE NULLS) OVER a AS t1 FROM f
  WINDOW b AS (PARTITION BY traj ORDER BY t ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY traj ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT traj, t, round(coalesce(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1), 4) AS v FROM n""",
+ SELECT traj, t, coalesce(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1) AS v FROM n""",
 )
 def interp_gaps(spark, sf_dir):
     sparse = frames(spark, sf_dir).select("traj", "t", F.when(F.col("event_id") % 3 == 0, F.col("signal")).alias("v"))
-    return seq.interpolated(sparse, ["traj"], "t", "v").select("traj", "t", F.round("v", 4).alias("v"))
+    return seq.interpolated(sparse, ["traj"], "t", "v")
 
 
 @query("q_stride_decimate", "SELECT traj, t, event_id FROM v_frames WHERE t % 5 = 0")
@@ -246,10 +246,10 @@ def longtask_rank(spark, sf_dir):
 
 @query(
     "q_frame_window_join",
-    f"WITH {SPANS} SELECT a.traj, start_frame, count(*) AS n, round(avg(signal), 4) AS mean_signal FROM a JOIN v_frames f ON f.traj = a.traj AND f.t >= start_frame AND f.t < end_frame GROUP BY a.traj, start_frame",
+    f"WITH {SPANS} SELECT a.traj, start_frame, count(*) AS n, avg(floor(signal * 100 + 0.5)) AS mean_signal FROM a JOIN v_frames f ON f.traj = a.traj AND f.t >= start_frame AND f.t < end_frame GROUP BY a.traj, start_frame",
 )
 def frame_window_join(spark, sf_dir):
-    f = frames(spark, sf_dir).select(F.col("traj").alias("tr"), "t", "signal")
+    f = frames(spark, sf_dir).select(F.col("traj").alias("tr"), "t", F.floor(F.col("signal") * 100 + 0.5).cast("double").alias("signal"))
     a = _spans(spark, sf_dir)
     met = a.join(f, (F.col("traj") == F.col("tr")) & (F.col("t") >= F.col("start_frame")) & (F.col("t") < F.col("end_frame")))
-    return met.groupBy("traj", "start_frame").agg(F.count("*").alias("n"), F.round(F.avg("signal"), 4).alias("mean_signal"))
+    return met.groupBy("traj", "start_frame").agg(F.count("*").alias("n"), F.avg("signal").alias("mean_signal"))

@@ -178,10 +178,10 @@ def closed_stretches(spark, sf_dir):
     return runs.groupBy("traj").agg(F.count("*").alias("stretches"), F.max("n").alias("longest"))
 
 
-@query("q_replay_score", "WITH q AS (SELECT grp, idx, CASE WHEN grp % 2 = 0 THEN 'non_movement_articulate' ELSE 'other' END AS g, x1, conf, conf > 0.8 AS dom, (y1 % 10) / 10.0 AS fr FROM v_boxes), n AS (SELECT *, CASE WHEN max(x1) OVER w > min(x1) OVER w THEN (x1 - min(x1) OVER w) / (max(x1) OVER w - min(x1) OVER w) ELSE 0.0 END AS sn FROM q WINDOW w AS (PARTITION BY grp)) SELECT grp, idx, round(CASE WHEN g = 'other' THEN 0.5 * sn + 0.5 * conf + 0.2 * fr ELSE conf + 0.35 * fr END + CASE WHEN dom THEN 0.2 ELSE 0.0 END, 4) AS score FROM n")
+@query("q_replay_score", "WITH q AS (SELECT grp, idx, CASE WHEN grp % 2 = 0 THEN 'non_movement_articulate' ELSE 'other' END AS g, x1, conf, conf > 0.8 AS dom, (y1 % 10) / 10.0 AS fr FROM v_boxes), n AS (SELECT *, CASE WHEN max(x1) OVER w > min(x1) OVER w THEN (x1 - min(x1) OVER w) / (max(x1) OVER w - min(x1) OVER w) ELSE 0.0 END AS sn FROM q WINDOW w AS (PARTITION BY grp)) SELECT grp, idx, CASE WHEN g = 'other' THEN 0.5 ELSE 0.0 END * sn + CASE WHEN g = 'other' THEN 0.5 ELSE 1.0 END * conf + 0.2 * CAST(dom AS DOUBLE) + CASE WHEN g = 'other' THEN 0.2 ELSE 0.35 END * fr AS score FROM n")
 def replay_score(spark, sf_dir):
     rows = boxes(spark, sf_dir).select("grp", "idx", F.when(F.col("grp") % 2 == 0, "non_movement_articulate").otherwise("other").alias("group"), F.col("x1").alias("snr"), "conf", (F.col("conf") > 0.8).alias("dominant"), ((F.col("y1") % 10) / 10.0).alias("fraction"))
-    return sc.replay_score(rows, ["grp"]).select("grp", "idx", F.round("score", 4).alias("score"))
+    return sc.replay_score(rows, ["grp"]).select("grp", "idx", "score")
 
 
 @query("q_box_units", "SELECT grp, idx, CAST(floor(x1 * 1000 / 200) AS INTEGER) AS ux, CAST(floor(y2 * 1000 / 120) AS INTEGER) AS uy FROM v_boxes")
