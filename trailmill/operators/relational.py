@@ -131,9 +131,19 @@ def stratified(df: DataFrame, group: str, order: Column, quotas: dict[str, int])
     return kept.where("place__ <= quota__").drop("place__", "g__", "quota__")
 
 
-def per_group(df: DataFrame, group: str, most: int, seed: int = 42) -> DataFrame:
-    """At most so many rows of each group, chosen by a seeded hash of all columns: the same at any partitioning."""
-    order = F.xxhash64(F.lit(seed), *df.columns)
+def seeded(seed: int, *columns: str) -> Column:
+    """A seeded order of rows that depends on the columns alone, the same in every engine that has MD5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+
+
+def collected(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, values): the values of each group in order, as a map of lists would hold them."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def per_group(df: DataFrame, group: str, most: int, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """At most so many rows of each group, chosen by a seeded hash of their keys (all columns): the same at any partitioning."""
+    order = seeded(seed, *(keys or df.columns))
     place = F.row_number().over(Window.partitionBy(group).orderBy(order, *df.columns))
     return df.withColumn("place__", place).where(F.col("place__") <= most).drop("place__")
 
@@ -146,7 +156,7 @@ def node_share(df: DataFrame, order: list[str], nodes: int, rank: int, by: str)
 
 def shuffled(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in a seeded order that depends on their keys alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(seeded(seed, *keys), *keys).limit(n)
 
 
 def same_sets(a: Column, b: Column) -> Column:

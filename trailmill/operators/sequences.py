@@ -103,6 +103,12 @@ def interpolated(df: DataFrame, by: list[str], order: str, value: str) -> DataFr
     return df.withColumn(value, F.coalesce(line, v0, v1))
 
 
+def ranked_steps(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds each step's place in its long task, from 0, and the task's number of steps."""
+    whole = Window.partitionBy(*by)
+    return df.withColumns({"longtask_index": (F.row_number().over(_window(by, order)) - 1).cast("bigint"), "longtask_len": F.count("*").over(whole)})
+
+
 def decimated(df: DataFrame, by: list[str], order: str, stride: int) -> DataFrame:
     """Every stride-th frame of a partition, from the first."""
     place = F.row_number().over(_window(by, order)) - 1

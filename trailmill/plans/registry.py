@@ -51,6 +51,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spans(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """(traj, t, event_id) of stretches of `length` frames: their first frame and its event."""
+    f = frames(spark, sf_dir)
+    return f.groupBy("traj", F.floor(F.col("t") / length)).agg(F.min("t").alias("t"), F.min_by("event_id", "t").alias("event_id"), F.min_by("label", "t").alias("label")).select("traj", "t", "event_id", "label")
+
+
+def spans_sql(length: int) -> str:
+    return f"(SELECT traj, min(t) AS t, arg_min(event_id, t) AS event_id, arg_min(label, t) AS label FROM v_frames GROUP BY traj, t // {length})"
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("grp"),

@@ -79,25 +79,31 @@ def index_funnel(spark, sf_dir):
 
 @query("q_group_collect", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 def group_collect(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    grouped = rel.collected(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_name")
+    return grouped.select("n_regionkey", F.array_join("values", ",").alias("names"))
 
 
-@query("q_max_per_group", "SELECT source, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) WHERE p <= 5 GROUP BY source")
+@query("q_max_per_group", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS p FROM documents) WHERE p <= 5")
 def max_per_group(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return rel.per_group(docs, "source", 5).groupBy("source").agg(F.count("*").alias("n"))
+    return rel.per_group(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 5, keys=["doc_id"]).select("source", "doc_id")
 
 
 @query(
     "q_stratified_sample",
     """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), q AS (SELECT lang, n, 100.0 * n / (SELECT sum(n) FROM c) AS share FROM c),
- f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, lang DESC) AS p FROM q) SELECT lang, CAST(fl + CASE WHEN p <= 100 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS n FROM f""",
+ f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, lang DESC) AS p FROM q), a AS (SELECT lang, fl + CASE WHEN p <= 100 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS quota FROM f),
+ k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id)) AS place FROM documents) SELECT k.lang, k.doc_id FROM k JOIN a ON a.lang = k.lang WHERE place <= quota""",
 )
 def stratified_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    kept = rel.stratified(docs, "lang", F.xxhash64(F.lit(42), "doc_id"), rel.allocated(counts, 100))
-    return kept.groupBy("lang").agg(F.count("*").alias("n"))
+    return rel.stratified(docs, "lang", rel.seeded(42, "doc_id"), rel.allocated(counts, 100)).select("lang", "doc_id")
+
+
+@query("q_shuffled_limit", "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
+def shuffled_limit(spark, sf_dir):
+    """A seeded shuffle with a limit: what a quick look at a dataset draws."""
+    return rel.shuffled(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 50)
 
 
 SCORES = "SELECT doc_id, quality * 1.2 - toxic * 0.3 AS s FROM labels"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as rel
 from ..operators import sequences as seq
-from .registry import frames, query, table
+from .registry import frames, query, spans, spans_sql, table
 
 
 @query(
@@ -171,11 +171,11 @@ def smooth_segments(spark, sf_dir):
     return seq.edge_padded_mean(frames(spark, sf_dir), ["traj"], "t", "signal", "m", 5).select("traj", "t", F.round("m", 4).alias("v"))
 
 
-SPANS = """a AS (SELECT traj, label, CAST(t // 10 * 10 AS BIGINT) AS start_frame, CAST(t // 10 * 10 + event_id % 13 + 1 AS BIGINT) AS end_frame FROM v_frames WHERE t % 10 = 0)"""
+SPANS = f"""a AS (SELECT traj, label, CAST(t AS BIGINT) AS start_frame, CAST(t + event_id % 13 + 1 AS BIGINT) AS end_frame FROM {spans_sql(10)})"""
 
 
 def _spans(spark, sf_dir):
-    f = frames(spark, sf_dir).where("t % 10 = 0")
+    f = spans(spark, sf_dir, 10)
     return f.select("traj", "label", F.col("t").alias("start_frame"), (F.col("t") + F.col("event_id") % 13 + 1).alias("end_frame"))
 
 
@@ -202,12 +202,13 @@ def clip_overlap(spark, sf_dir):
 
 @query(
     "q_nearest_frame",
-    """WITH q AS (SELECT traj, t AS at FROM v_frames WHERE t % 4 = 1), k AS (SELECT traj, t FROM v_frames WHERE t % 7 = 0)
+    """WITH q AS (SELECT traj, t AS at FROM v_frames WHERE label = 'click'), k AS (SELECT traj, t FROM v_frames WHERE label <> 'click')
  SELECT q.traj, q.at, arg_min(k.t, abs(k.t - q.at) * 100000 + k.t) AS nearest FROM q JOIN k ON q.traj = k.traj GROUP BY q.traj, q.at""",
 )
 def nearest_frame(spark, sf_dir):
-    f = frames(spark, sf_dir).select("traj", "t")
-    return rel.nearest(f.where("t % 4 = 1").select("traj", F.col("t").alias("at")), f.where("t % 7 = 0"), ["traj"], "at", "t").select("traj", "at", "nearest")
+    f = frames(spark, sf_dir)
+    wanted, timeline = f.where("label = 'click'").select("traj", F.col("t").alias("at")), f.where("label <> 'click'").select("traj", "t")
+    return rel.nearest(wanted, timeline, ["traj"], "at", "t").where("nearest is not null").select("traj", "at", "nearest")
 
 
 @query(
@@ -238,10 +239,8 @@ def subsample_linspace(spark, sf_dir):
     "SELECT traj, event_id, CAST(row_number() OVER (PARTITION BY traj, label ORDER BY t) - 1 AS BIGINT) AS step, count(*) OVER (PARTITION BY traj, label) AS len FROM v_frames",
 )
 def longtask_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("traj", "label")
-    return frames(spark, sf_dir).select("traj", "event_id", (F.row_number().over(w.orderBy("t")) - 1).cast("bigint").alias("step"), F.count("*").over(w).alias("len"))
+    ranked = seq.ranked_steps(frames(spark, sf_dir), ["traj", "label"], "t")
+    return ranked.select("traj", "event_id", F.col("longtask_index").alias("step"), F.col("longtask_len").alias("len"))
 
 
 @query(

@@ -45,17 +45,18 @@ def gripper_spheres(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    i = b.where("idx < 3").select("grp", F.col("idx").alias("start"), F.col("x1").alias("a"))
-    j = b.where("idx < 2").select("grp", F.col("idx").alias("target"), F.col("y1").alias("b"))
+    i = b.select("grp", F.col("idx").alias("start"), F.col("x1").alias("a"))
+    j = b.select("grp", F.col("idx").alias("target"), F.col("y1").alias("b"))
     return i.join(j, "grp").select("grp", "start", "target", ((F.col("a") * 7 + F.col("b") * 3) % 50).alias("score"))
 
 
-SCORES = "s AS (SELECT i.grp, i.idx AS start, j.idx AS target, (i.x1 * 7 + j.y1 * 3) % 50 AS score FROM v_boxes i JOIN v_boxes j ON i.grp = j.grp WHERE i.idx < 3 AND j.idx < 2)"
+SCORES = "s AS (SELECT i.grp, i.idx AS start, j.idx AS target, (i.x1 * 7 + j.y1 * 3) % 50 AS score FROM v_boxes i JOIN v_boxes j ON i.grp = j.grp)"
 
 
-@query("q_fallback_pick", f"WITH {SCORES}, b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, start) AS p FROM (SELECT grp, start, max(score) AS score FROM s WHERE grp % 2 = 0 GROUP BY grp, start)), c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY conf DESC, idx) AS p FROM v_boxes) SELECT c.grp, coalesce(b.start, c.idx) AS pick FROM c LEFT JOIN b ON b.grp = c.grp AND b.p = 1 WHERE c.p = 1")
+@query("q_fallback_pick", f"WITH {SCORES}, b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, start) AS p FROM (SELECT grp, start, max(score) AS score FROM s WHERE score > 45 GROUP BY grp, start)), c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY conf DESC, idx) AS p FROM v_boxes) SELECT c.grp, coalesce(b.start, c.idx) AS pick FROM c LEFT JOIN b ON b.grp = c.grp AND b.p = 1 WHERE c.p = 1")
 def fallback_pick(spark, sf_dir):
-    return sc.fallback_pick(_scores(spark, sf_dir).where("grp % 2 = 0"), ["grp"], boxes(spark, sf_dir))
+    """Only good pairs count, so that some groups have none."""
+    return sc.fallback_pick(_scores(spark, sf_dir).where("score > 45"), ["grp"], boxes(spark, sf_dir))
 
 
 @query("q_top_pairs", f"WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, start, target) AS place FROM s) SELECT grp, start, target, place FROM k WHERE place <= 4")

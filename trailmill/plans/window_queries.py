@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hands, relational, windows
+from ..operators import hands, phases, relational, windows
 from ..operators import scoring as sc
 from ..operators import sequences as seq
 from ..sources import datasets
 from . import publication as pub
-from .registry import boxes, frames, query, table, tracks
+from .registry import boxes, frames, query, spans, spans_sql, table, tracks
 
 
 def _slots(spark, sf_dir):
@@ -28,13 +28,13 @@ def hand_phases(spark, sf_dir):
     return judged.select("traj", "start_frame", "end_frame", F.round("coverage", 4).alias("coverage"), "open_before", "open_after", "is_clean")
 
 
-PHASES = """p AS (SELECT traj, t // 10 AS k, CAST(t AS BIGINT) AS start_frame, CAST(t + 4 + event_id % 9 AS BIGINT) AS end_frame, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, CAST(event_id % 50 AS DOUBLE) AS x FROM v_frames WHERE t % 5 = 0)"""
+PHASES = f"""p AS (SELECT traj, t // 10 AS k, CAST(t AS BIGINT) AS start_frame, CAST(t + 4 + event_id % 9 AS BIGINT) AS end_frame, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, CAST(event_id % 50 AS DOUBLE) AS x FROM {spans_sql(5)})"""
 
 
 def _hand_spans(spark, sf_dir):
     x = (F.col("event_id") % 50).cast("double")
     box = F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 20).alias("x2"), F.lit(20.0).alias("y2"))
-    return frames(spark, sf_dir).where("t % 5 = 0").select("traj", F.col("t").alias("start_frame"), (F.col("t") + 4 + F.col("event_id") % 9).alias("end_frame"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("hand"), box.alias("first_box"))
+    return spans(spark, sf_dir, 5).select("traj", F.col("t").alias("start_frame"), (F.col("t") + 4 + F.col("event_id") % 9).alias("end_frame"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("hand"), box.alias("first_box"))
 
 
 @query(
@@ -60,13 +60,13 @@ def gripper_from_phases(spark, sf_dir):
     return hands.gripper_from_phases(frames(spark, sf_dir).select("traj", "t"), held, ["traj"])
 
 
-EPISODES = """e AS (SELECT traj, t // 12 AS episode, t AS start_frame, t + 3 AS end_frame, CASE WHEN t % 12 = 0 THEN 'grasp' WHEN t % 12 = 4 AND event_id % 3 > 0 THEN 'interact' ELSE 'release' END AS phase FROM v_frames WHERE t % 4 = 0)"""
+EPISODES = f"""e AS (SELECT traj, t // 12 AS episode, t AS start_frame, t + 3 AS end_frame, CASE WHEN t % 12 = 0 THEN 'grasp' WHEN t % 12 = 4 AND event_id % 3 > 0 THEN 'interact' ELSE 'release' END AS phase FROM {spans_sql(4)})"""
 
 
 def _episodes(spark, sf_dir):
     t = F.col("t")
     phase = F.when(t % 12 == 0, "grasp").when((t % 12 == 4) & (F.col("event_id") % 3 > 0), "interact").otherwise("release")
-    return frames(spark, sf_dir).where("t % 4 = 0").select("traj", F.floor(t / 12).alias("episode"), t.alias("start_frame"), (t + 3).alias("end_frame"), phase.alias("phase"))
+    return spans(spark, sf_dir, 4).select("traj", F.floor(t / 12).alias("episode"), t.alias("start_frame"), (t + 3).alias("end_frame"), phase.alias("phase"))
 
 
 @query(
@@ -91,11 +91,11 @@ def parsing_mode(spark, sf_dir):
 def phase_masks(spark, sf_dir):
     f = frames(spark, sf_dir).select("traj", "t")
     n = f.groupBy("traj").agg(F.count("*").alias("n"))
-    phases = _episodes(spark, sf_dir).join(n, "traj")
-    spans = phases.where("phase = 'interact'").select("traj", F.rint(F.col("start_frame") * (F.col("n") / 120.0)).alias("start_frame"), F.rint(F.col("end_frame") * (F.col("n") / 120.0)).alias("end_frame"), "phase")
+    episodes = _episodes(spark, sf_dir).join(n, "traj")
+    held = episodes.where("phase = 'interact'").select("traj", F.rint(F.col("start_frame") * (F.col("n") / 120.0)).alias("start_frame"), F.rint(F.col("end_frame") * (F.col("n") / 120.0)).alias("end_frame"), "phase")
     # Ends are on the timeline already, so that one scale serves all trajectories.
     timeline = f.join(n, "traj")
-    out = windows.frame_masks(f, spans, ["traj"], F.lit(1_000_000), F.lit(1_000_000))
+    out = windows.frame_masks(f, held, ["traj"], F.lit(1_000_000), F.lit(1_000_000))
     margin = F.least(F.lit(3), F.floor(F.col("n") / 10))
     out = out.join(timeline, ["traj", "t"])
     return out.select("traj", "t", "interacting", (~F.col("interacting") & (F.col("t") >= margin) & (F.col("t") < F.col("n") - margin)).alias("resting"))
@@ -103,7 +103,7 @@ def phase_masks(spark, sf_dir):
 
 @query(
     "q_subtask_windows",
-    """WITH s AS (SELECT traj, t // 20 AS subtask, t AS g0, t + 5 AS g1, t + 6 AS i0, t + 12 + event_id % 6 AS i1, event_id % 4 AS kind FROM v_frames WHERE t % 20 = 0),
+    f"""WITH s AS (SELECT traj, t // 20 AS subtask, t AS g0, t + 5 AS g1, t + 6 AS i0, t + 12 + event_id % 6 AS i1, event_id % 4 AS kind FROM {spans_sql(20)}),
  w AS (SELECT *, CASE WHEN kind = 0 THEN 0 ELSE g0 END AS s0, CASE WHEN kind = 0 THEN 99 WHEN kind = 1 THEN g1 ELSE i1 END AS e0, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN g1 ELSE i1 END AS ke FROM s),
  b AS (SELECT *, last_value(ke IGNORE NULLS) OVER (PARTITION BY traj ORDER BY subtask ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, lead(subtask) OVER (PARTITION BY traj ORDER BY subtask) IS NULL AS lst FROM w),
  m AS (SELECT *, CASE WHEN bf IS NULL OR kind = 0 THEN s0 WHEN kind > 1 THEN bf + CAST(floor((g1 - bf) * 3 / 4.0) AS BIGINT) ELSE bf + least(15, CAST(floor((e0 - s0) / 4.0) AS BIGINT)) END AS ms, CASE WHEN lst THEN 99 ELSE e0 END AS me FROM b),
@@ -114,18 +114,18 @@ def subtask_windows(spark, sf_dir):
     grasp = F.struct(t.alias("start_frame"), (t + 5).alias("end_frame"), F.lit("grasp").alias("phase"))
     interact = F.struct((t + 6).alias("start_frame"), (t + 12 + F.col("event_id") % 6).alias("end_frame"), F.lit("interact").alias("phase"))
     both = F.array(grasp, interact)
-    phases = F.slice(both, 1, F.when(kind == 0, 0).when(kind == 1, 1).otherwise(2))
-    subtasks = frames(spark, sf_dir).where("t % 20 = 0").select("traj", F.floor(t / 20).alias("subtask"), phases.alias("phases"))
+    listed = F.slice(both, 1, F.when(kind == 0, 0).when(kind == 1, 1).otherwise(2))
+    subtasks = spans(spark, sf_dir, 20).select("traj", F.floor(t / 20).alias("subtask"), listed.alias("phases"))
     out = windows.subtask_windows(subtasks, ["traj"], F.lit(100))
     return out.select("traj", "subtask", F.col("start_frame").cast("bigint").alias("start_frame"), F.col("end_frame").cast("bigint").alias("end_frame"))
 
 
-@query("q_keyframes", "SELECT traj, t, '0,' || CAST(floor((t + t + 5) / 2) - t AS BIGINT) || ',5,' || (11 + event_id % 6) AS keyframes FROM v_frames WHERE t % 20 = 0")
+@query("q_keyframes", f"SELECT traj, t, '0,' || CAST(floor((t + t + 5) / 2) - t AS BIGINT) || ',5,' || (11 + event_id % 6) AS keyframes FROM {spans_sql(20)} k")
 def keyframes(spark, sf_dir):
     t = F.col("t")
-    phases = F.array(F.struct(t.alias("start_frame"), (t + 5).alias("end_frame"), F.lit("grasp").alias("phase")), F.struct((t + 6).alias("start_frame"), (t + 12 + F.col("event_id") % 6).alias("end_frame"), F.lit("interact").alias("phase")))
-    frames_at = windows.keyframes(phases, t, t + 30, F.lit(31))
-    return frames(spark, sf_dir).where("t % 20 = 0").select("traj", "t", F.array_join(frames_at.cast("array<string>"), ",").alias("keyframes"))
+    listed = F.array(F.struct(t.alias("start_frame"), (t + 5).alias("end_frame"), F.lit("grasp").alias("phase")), F.struct((t + 6).alias("start_frame"), (t + 12 + F.col("event_id") % 6).alias("end_frame"), F.lit("interact").alias("phase")))
+    frames_at = windows.keyframes(listed, t, t + 30, F.lit(31))
+    return spans(spark, sf_dir, 20).select("traj", "t", F.array_join(frames_at.cast("array<string>"), ",").alias("keyframes"))
 
 
 @query(
@@ -148,13 +148,13 @@ def video_frame(spark, sf_dir):
 
 @query(
     "q_keyframe_lookup",
-    """WITH k AS (SELECT traj, t AS idx, t % 9 AS end_frame, label AS kind FROM v_frames), w AS (SELECT traj, t AS at, t % 9 AS end_frame, CASE WHEN event_id % 2 = 0 THEN label ELSE 'none' END AS kind FROM v_frames WHERE t % 6 = 0)
+    """WITH k AS (SELECT traj, t AS idx, t % 9 AS end_frame, label AS kind FROM v_frames), w AS (SELECT traj, t AS at, t % 9 AS end_frame, CASE WHEN event_id % 2 = 0 THEN label ELSE 'none' END AS kind FROM v_frames)
  SELECT w.traj, w.at, coalesce((SELECT min(idx) FROM k WHERE k.traj = w.traj AND k.end_frame = w.end_frame AND k.kind = w.kind), (SELECT min(idx) FROM k WHERE k.traj = w.traj AND k.end_frame = w.end_frame)) AS keyframe FROM w""",
 )
 def keyframe_lookup(spark, sf_dir):
     f, t = frames(spark, sf_dir), F.col("t")
     known = f.select("traj", t.alias("idx"), (t % 9).alias("end_frame"), F.col("label").alias("kind"))
-    wanted = f.where("t % 6 = 0").select("traj", t.alias("at"), (t % 9).alias("end_frame"), F.when(F.col("event_id") % 2 == 0, F.col("label")).otherwise("none").alias("kind"))
+    wanted = f.select("traj", t.alias("at"), (t % 9).alias("end_frame"), F.when(F.col("event_id") % 2 == 0, F.col("label")).otherwise("none").alias("kind"))
     return relational.exact_or_same_end(wanted, known, ["traj"]).select("traj", "at", "keyframe")
 
 
@@ -166,13 +166,13 @@ def box_tolerance(spark, sf_dir):
     return left.join(right, "grp").where(windows.close_to(F.col("a_at"), F.col("b_at"), 1.0)).groupBy("grp", "a").agg(F.min("b").alias("b"))
 
 
-PAIRS = """p AS (SELECT i.grp, i.idx AS start, j.idx AS target, CAST((i.x1 + j.y1) % 6 AS BIGINT) AS points, i.conf / 10 AS movement, i.conf AS own, (j.y1 % 10) / 10.0 AS temporal, (i.y1 % 10) / 10.0 AS inter FROM v_boxes i JOIN v_boxes j ON i.grp = j.grp WHERE i.idx < 4 AND j.idx < 3)"""
+PAIRS = """p AS (SELECT i.grp, i.idx AS start, j.idx AS target, CAST((i.x1 + j.y1) % 6 AS BIGINT) AS points, i.conf / 10 AS movement, i.conf AS own, (j.y1 % 10) / 10.0 AS temporal, (i.y1 % 10) / 10.0 AS inter FROM v_boxes i JOIN v_boxes j ON i.grp = j.grp)"""
 
 
 def _pairs(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    i = b.where("idx < 4").select("grp", F.col("idx").alias("start"), F.col("x1").alias("ix"), F.col("y1").alias("iy"), F.col("conf").alias("ic"))
-    j = b.where("idx < 3").select("grp", F.col("idx").alias("target"), F.col("y1").alias("jy"))
+    i = b.select("grp", F.col("idx").alias("start"), F.col("x1").alias("ix"), F.col("y1").alias("iy"), F.col("conf").alias("ic"))
+    j = b.select("grp", F.col("idx").alias("target"), F.col("y1").alias("jy"))
     return i.join(j, "grp").select(
         "grp", "start", "target", ((F.col("ix") + F.col("jy")) % 6).cast("bigint").alias("points"), (F.col("ic") / 10).alias("movement"), F.col("ic").alias("own_movement"),
         ((F.col("jy") % 10) / 10.0).alias("temporal"), ((F.col("iy") % 10) / 10.0).alias("intermediate"), F.lit(0.1).alias("nested"), F.lit(0.2).alias("continuous"),
@@ -265,10 +265,10 @@ def robot_following(spark, sf_dir):
     return t.join(sc.centroids(t, ["cand", "t"]).drop("n"), ["cand", "t"]).groupBy("cand", "pt").agg(F.avg(near.cast("double")).alias("share")).where("share > 0.3")
 
 
-@query("q_phase_rows_missing", f"WITH {EPISODES} SELECT f.traj, f.t FROM v_frames f WHERE f.t % 3 = 0 AND NOT EXISTS (SELECT 1 FROM e WHERE e.traj = f.traj AND e.end_frame = f.t AND e.phase = 'release')")
+@query("q_phase_rows_missing", f"WITH {EPISODES} SELECT f.traj, f.t FROM v_frames f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.traj = f.traj AND e.end_frame = f.t AND e.phase = 'release')")
 def phase_rows_missing(spark, sf_dir):
     """Keyframes that no phase ends at."""
-    f = frames(spark, sf_dir).where("t % 3 = 0").select("traj", "t")
+    f = frames(spark, sf_dir).select("traj", "t")
     ends = _episodes(spark, sf_dir).where("phase = 'release'").select("traj", F.col("end_frame").alias("t"))
     return f.join(ends, ["traj", "t"], "left_anti")
 
@@ -282,9 +282,15 @@ def sampling_rule(spark, sf_dir):
     return frames(spark, sf_dir).withColumn("n", place).where("n = 1 or n % 25 = 0").select("traj", "t")
 
 
-@query("q_step_phases_merged", f"WITH {EPISODES} SELECT traj, count(*) AS n_phases, count(DISTINCT episode) AS n_episodes FROM e GROUP BY traj")
+@query(
+    "q_step_phases_merged",
+    f"""WITH e AS (SELECT traj, t, label AS object, event_id % 3 < 2 AS claims FROM {spans_sql(4)}), n AS (SELECT *, lag(object) OVER (PARTITION BY traj ORDER BY t) AS before FROM e),
+ m AS (SELECT *, claims AND before IS NOT NULL AND object = before AS joins FROM n), g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY traj ORDER BY t) AS k FROM m)
+ SELECT traj, CAST(k - 1 AS BIGINT) AS entry, arg_min(object, t) AS object, count(*) AS n_phases, arg_min(CASE WHEN claims AND before IS NOT NULL THEN 'uncertain' WHEN claims THEN 'same_instance_retry' ELSE 'new_instance' END, t) AS relation FROM g GROUP BY traj, k""",
+)
 def step_phases_merged(spark, sf_dir):
-    e = seq.episodes(_episodes(spark, sf_dir).drop("episode"), ["traj"])
-    counted = e.groupBy("traj").agg(F.count("*").alias("n_phases"))
-    wide = _episodes(spark, sf_dir).groupBy("traj").agg(F.count_distinct("episode").alias("n_episodes"))
-    return counted.join(wide, "traj")
+    """Entries of consecutive episodes; those that retry the same object are one."""
+    relation = F.when(F.col("event_id") % 3 < 2, "same_instance_retry").otherwise("new_instance")
+    entries = spans(spark, sf_dir, 4).select("traj", "t", F.col("label").alias("object"), F.lit("unknown").alias("object_instance"), relation.alias("relation"), F.array(F.col("t")).alias("grasp_phases"))
+    merged = phases.merge_entries(entries, "traj", "t")
+    return merged.select("traj", "entry", "object", F.size("grasp_phases").cast("bigint").alias("n_phases"), "relation")
