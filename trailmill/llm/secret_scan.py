@@ -50,8 +50,8 @@ EVIDENCE = 12.0
 THRESHOLD = 0.5
 #: Share of characters that may be next to the one before, or equal to it, and the least number of different ones.
 STEADY, DIFFERENT = 0.5, 6
-#: Key characters of words and values from which models learn.
-LEARNED = re.compile(rb"[A-Za-z0-9+/_=-]{4,}")
+#: Key characters that an ordinary string from which models learn has at least.
+LEARNED = 4
 UUID = re.compile(rb"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 DATA = b"base64,"
 #: Symbols of the models: one for each key character, one for the start, one for what is left.
@@ -110,28 +110,16 @@ def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]
     return out
 
 
-def corpus_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text, is_random): labelled strings of about SAMPLE documents, those whose hash is below a limit.
-    What the patterns find is random, without keywords; other runs of key characters are ordinary."""
+def _sample(docs: DataFrame, text: str) -> DataFrame:
     last = min((1 << 63) - 1, int(SAMPLE / max(1, docs.count()) * (1 << 64)) - (1 << 63))
+    return docs.where(F.xxhash64(text) <= F.lit(last).cast("bigint")).select(F.col(text))
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows: list[tuple[str, bool]] = []
-                for data in utf8(batch.column(0).slice(at, 256)):
-                    base, seen = base_spans(data), 0
-                    for start, end, kind in base:
-                        value = ASSIGN.match(data, start, end)[2] if kind == "assign" else data[start:end]
-                        rows.append((value.decode("ascii"), True))
-                    for start, end, _ in sorted([*base, (len(data), len(data), "")]):
-                        rows += [(m[0].decode("ascii"), False) for m in LEARNED.finditer(data, seen, max(seen, start))]
-                        seen = max(seen, end)
-                if rows:
-                    words, labels = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.bool_())], ["text", "is_random"])
 
-    return docs.where(F.xxhash64(text) <= F.lit(last).cast("bigint")).select(F.col(text)).mapInArrow(labelled, "text string, is_random boolean")
+def _gathered(places: DataFrame) -> np.ndarray:
+    table = places.groupBy("place").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(2 * SIZE**3)
+    out[[r["place"] for r in table]] = [r["n"] for r in table]
+    return out.reshape(2, SIZE, SIZE, SIZE)
 
 
 def counts_of(samples: DataFrame, text: str = "text", label: str = "is_random") -> np.ndarray:
@@ -148,10 +136,52 @@ def counts_of(samples: DataFrame, text: str = "text", label: str = "is_random")
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["place", "n"])
 
     rows = samples.where(F.col(label).isNotNull()).select(F.col(label).cast("boolean"), F.col(text).cast("string"))
-    table = rows.mapInArrow(counted, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(2 * SIZE**3)
-    out[[r["place"] for r in table]] = [r["n"] for r in table]
-    return out.reshape(2, SIZE, SIZE, SIZE)
+    return _gathered(rows.mapInArrow(counted, "place bigint, n bigint"))
+
+
+def labelled_symbols(data: bytes) -> tuple[np.ndarray, ...]:
+    """(label, a, b, c) of every symbol of a text's labelled strings. A string is a run of key characters,
+    cut where a pattern's value begins or ends; it is random inside of a value, and ordinary outside of all
+    spans if it has at least four characters. Keywords of spans are in no string."""
+    codes = _CODES[np.frombuffer(data, np.uint8)]
+    label, starts = np.zeros(len(codes), np.int64), np.zeros(len(codes) + 1, bool)
+    value = np.zeros(len(codes), bool)
+    inside = np.zeros(len(codes), bool)
+    for start, end, kind in base_spans(data):
+        inside[start:end] = True
+        begin = ASSIGN.match(data, start, end).start(2) if kind == "assign" else start
+        label[begin:end] = 1
+        value[begin:end] = True
+        starts[[begin, end]] = True
+    key = (codes != OTHER) & (value | ~inside)
+    # A string begins behind what is no key character, and where a span begins or ends.
+    first = key & (starts[:-1] | ~np.concatenate(([False], key[:-1])))
+    number = np.cumsum(first)
+    long = np.bincount(number[key], minlength=len(first) + 1)[number] >= LEARNED
+    back = lambda x, n: np.concatenate((np.full(n, START), x[:-n])) if len(x) > n else np.full(len(x), START)
+    before = np.where(first, START, back(codes, 1))
+    second = np.concatenate(([False], first[:-1]))
+    earlier = np.where(first | second, START, back(codes, 2))
+    at = np.flatnonzero(key & (long | value))
+    return label[at], earlier[at], before[at], codes[at]
+
+
+def corpus_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """As `counts_of`, of the labelled strings of about SAMPLE documents, those whose hash is below a limit."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * SIZE**3, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for data in utf8(batch.column(0).slice(at, 256)):
+                    if data:
+                        y, a, b, c = labelled_symbols(data)
+                        places, n = np.unique(((y * SIZE + a) * SIZE + b) * SIZE + c, return_counts=True)
+                        sums[places] += n
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["place", "n"])
+
+    return _gathered(_sample(docs, text).mapInArrow(counted, "place bigint, n bigint"))
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:
@@ -188,7 +218,7 @@ def default_model(spark: SparkSession) -> np.ndarray:
 
 def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The ratios from made samples and the corpus's own."""
-    return ratios(weighed(made_counts(docs.sparkSession), counts_of(corpus_samples(docs, text))))
+    return ratios(weighed(made_counts(docs.sparkSession), corpus_counts(docs, text)))
 
 
 _CODES = np.full(256, OTHER, np.int64)
