@@ -188,20 +188,66 @@ def top_mean(df: DataFrame, by: list[str], value: str, order: str, share: float
     return kept.groupBy(*by).agg(F.avg(value).alias(name))
 
 
-def overlap_policy(df: DataFrame, by: list[str], policy: str = "first") -> DataFrame:
-    """(by, overlap) of frames (t, overlap, count) by one of four policies: the earliest frame, the mean
-    weighted by counts, the largest, or the weighted mean of the top tenth."""
+def overlap_policy(df: DataFrame, by: list[str], policy: str = "first", share: float = 0.1, least: int = 1, quantile: float = 0.9) -> DataFrame:
+    """(by, overlap) of frames (t, overlap, count) by one of five policies: the earliest frame as it is, or, of
+    the frames with points and a known overlap, the mean weighted by counts, the largest, a quantile, or the
+    weighted mean of the top share (of at least `least` frames). Without such frames the overlap is 0."""
     if policy == "first":
         return df.groupBy(*by).agg(F.min_by("overlap", "t").alias("overlap"))
+    good = finite(F.col("overlap")) & (F.col("count") > 0)
+    value = F.when(good, F.col("overlap"))
     if policy == "max":
-        return df.groupBy(*by).agg(F.max("overlap").alias("overlap"))
-    if policy == "top_mean":
-        w = Window.partitionBy(*by)
-        place = F.row_number().over(w.orderBy(F.desc("overlap"), "t"))
-        df = df.withColumns({"place__": place, "n__": F.count("*").over(w)}).where(F.col("place__") <= F.greatest(F.lit(1), F.ceil(F.col("n__") * 0.1)))
-    elif policy != "mean":
+        found = F.max(value)
+    elif policy == "quantile":
+        found = F.percentile(value, quantile)
+    elif policy in ("mean", "top_mean"):
+        kept = good
+        if policy == "top_mean":
+            w = Window.partitionBy(*by)
+            df = df.withColumns({"place__": F.row_number().over(w.orderBy(good.desc(), F.desc("overlap"), "t")), "n__": F.count(value).over(w)})
+            kept = good & (F.col("place__") <= F.greatest(F.lit(least), F.ceil(F.col("n__") * share)))
+        weight = F.when(kept, F.col("count"))
+        found = F.sum(F.when(kept, F.col("overlap") * F.col("count"))) / F.sum(weight)
+    else:
         raise ValueError(f"unknown policy {policy!r}")
-    return df.groupBy(*by).agg((F.sum(F.col("overlap") * F.col("count")) / F.sum("count")).alias("overlap"))
+    return df.groupBy(*by).agg(F.coalesce(found, F.lit(0.0)).alias("overlap"))
+
+
+def replay_statistics(tracks: DataFrame, by: list[str], fps: float, interacting: Column, resting: Column, boxes: DataFrame | None = None, few_phases: Column | None = None) -> DataFrame:
+    """What a candidate's motion was, for scores that are replayed: mean, median of points and total movement, the
+    median in units of its box's diagonal (boxes: by, x1 to y2), and motion while interacting and while not. Points
+    that are -1 throughout don't count; a candidate without others, or of one frame, has -inf. few_phases: whether
+    the trajectory has at most one phase, so that all motion is interaction."""
+    alive = tracks.withColumn("seen__", F.max(((F.col("x") != -1) | (F.col("y") != -1)).cast("int")).over(Window.partitionBy(*by, "pt"))).where("seen__ = 1").drop("seen__")
+    per = displacement(alive, by).groupBy(*by, "t").agg(F.avg("moved").alias("mean__"), F.median("moved").alias("median__"))
+    motion = F.col("mean__") * fps
+    i, r = F.when(interacting, motion), F.when(resting, motion)
+    sums = per.groupBy(*by).agg(
+        F.count("*").alias("n_total"), F.avg(motion).alias("mean_movement"), F.avg(F.col("median__") * fps).alias("median_movement"), F.sum("mean__").alias("total_movement"),
+        F.sum(motion).alias("all__"), F.count(i).alias("ni__"), F.count(r).alias("nr__"), F.avg(i).alias("im__"), F.avg(r).alias("rm__"), F.sum(i).alias("is__"), F.sum(r).alias("rs__"),
+    )
+    points = alive.groupBy(*by).agg(F.count_distinct("pt").alias("n_valid_points"))
+    every = tracks.select(*by).distinct().join(points, by, "left").join(sums, by, "left")
+    if boxes is not None:
+        every = every.join(boxes.select(*by, F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox_diag")), by, "left")
+    else:
+        every = every.withColumn("bbox_diag", F.lit(None).cast("double"))
+    flat = few_phases if few_phases is not None else F.lit(False)
+    known, none = F.col("n_total").isNotNull(), F.lit(float("-inf"))
+    whole = flat | (F.col("ni__") == 0)
+    fallback = ~known | flat | (F.col("nr__") < 3) | (F.col("ni__") == 0)
+    snr = F.pow("im__", F.lit(SNR_POWER)) / F.pow(F.coalesce("rm__", F.lit(0.0)) + REST_EPSILON, F.lit(REST_POWER))
+    diagonal = F.coalesce("bbox_diag", F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.select(
+        *by, F.coalesce("n_total", F.lit(0)).alias("n_total"), F.when(known, F.col("n_valid_points")).otherwise(0).alias("n_valid_points"), diagonal.alias("bbox_diag"),
+        *(F.coalesce(c, none).alias(c) for c in ("mean_movement", "median_movement", "total_movement")),
+        F.when(known & (diagonal > 0), F.col("median_movement") / diagonal).otherwise(none).alias("norm_movement"),
+        F.when(~known, 0).when(flat, F.col("n_total")).otherwise(F.col("ni__")).alias("interact_frames"), F.when(~known | flat, 0).otherwise(F.col("nr__")).alias("non_interact_frames"),
+        zero(F.when(whole, F.col("mean_movement")).otherwise(F.col("im__"))).alias("interact_mean"), zero(F.when(~flat, F.col("rm__"))).alias("non_interact_mean"),
+        zero(F.when(whole, F.col("all__")).otherwise(F.col("is__"))).alias("interact_sum"), zero(F.when(~flat, F.col("rs__"))).alias("non_interact_sum"),
+        F.coalesce(fallback, F.lit(True)).alias("phase_fallback"), F.when(~known, none).when(fallback, F.col("mean_movement")).otherwise(snr).alias("phase_snr_raw"),
+    )
 
 
 def gripper_spheres(points: DataFrame, by: list[str], centre: tuple[float, float], neighbours: int = 5, scale: float = 2.0, least: float = 0.05, cap: Column | None = None) -> DataFrame:

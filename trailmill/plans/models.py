@@ -54,16 +54,16 @@ class RuleParser:
 
 
 class BoxDetector:
-    """Stands in for a detector: one box for each class, placed by the image's bytes."""
+    """Stands in for a detector: one box for each class, placed by a hash of the image and the class."""
 
     def detect(self, images: list[bytes], classes: list[str], threshold: float) -> list[list[tuple]]:
-        import zlib
+        import hashlib
 
         out = []
         for image in images:
             rows = []
             for k, name in enumerate(classes):
-                code = zlib.crc32(image + name.encode())
+                code = int(hashlib.md5(image + name.encode()).hexdigest()[:8], 16)
                 x, y, conf = code % 200, code // 200 % 150, (code >> 16) / 65_536
                 if conf >= threshold:
                     rows.append((float(x), float(y), float(x + 40), float(y + 30), conf, k))

@@ -40,6 +40,25 @@ def replay_snr(spark, sf_dir):
     return _stats(spark, sf_dir).select("traj", "cand", F.round(sc.signal_to_noise(2.0, 1.6, 1.0), 4).alias("snr"))
 
 
+@query(
+    "q_replay_statistics",
+    """WITH v AS (SELECT cand, traj, t, pt, CASE WHEN pt = 0 AND cand % 4 = 0 OR cand % 9 = 0 THEN -1.0 ELSE x END AS x, CASE WHEN pt = 0 AND cand % 4 = 0 OR cand % 9 = 0 THEN -1.0 ELSE y END AS y FROM v_tracks), a AS (SELECT * FROM v WHERE NOT (pt = 0 AND cand % 4 = 0 OR cand % 9 = 0)),
+ d AS (SELECT cand, t, pt, sqrt(pow(x - lag(x) OVER (PARTITION BY cand, pt ORDER BY t), 2) + pow(y - lag(y) OVER (PARTITION BY cand, pt ORDER BY t), 2)) AS m FROM a), f AS (SELECT cand, t, avg(m) AS me, median(m) AS md FROM d WHERE m IS NOT NULL GROUP BY cand, t),
+ g AS (SELECT cand, count(*) AS n_total, avg(me * 10) AS mean_movement, avg(md * 10) AS median_movement, sum(me) AS total_movement, count(*) FILTER (t BETWEEN 5 AND 9) AS ni, avg(me * 10) FILTER (t BETWEEN 5 AND 9) AS im, avg(me * 10) FILTER (t NOT BETWEEN 5 AND 9) AS rm FROM f GROUP BY cand), p AS (SELECT cand, count(DISTINCT pt) AS np FROM a GROUP BY cand)
+ SELECT c.cand, coalesce(n_total, 0) AS n_total, CASE WHEN n_total IS NULL THEN 0 ELSE np END AS n_valid_points, round(coalesce(total_movement, -1), 4) AS total_movement, round(coalesce(median_movement, -1), 4) AS median_movement, round(CASE WHEN c.cand % 2 = 0 AND median_movement IS NOT NULL THEN median_movement / 5 ELSE -1 END, 4) AS norm_movement,
+ CASE WHEN n_total IS NULL THEN 0 WHEN c.cand % 5 = 0 THEN n_total ELSE ni END AS interact_frames, n_total IS NULL OR c.cand % 5 = 0 AS phase_fallback, round(CASE WHEN n_total IS NULL THEN -1 WHEN c.cand % 5 = 0 THEN mean_movement ELSE pow(im, 0.6) / pow(rm + 1, 0.2) END, 4) AS snr FROM (SELECT DISTINCT cand FROM v) c LEFT JOIN g ON g.cand = c.cand LEFT JOIN p ON p.cand = c.cand""",
+)
+def replay_statistics(spark, sf_dir):
+    """Some points and some candidates are never seen, some trajectories have one phase, every other has a box."""
+    gone = (F.col("pt") == 0) & (F.col("cand") % 4 == 0) | (F.col("cand") % 9 == 0)
+    rows = tracks(spark, sf_dir).withColumns({c: F.when(gone, -1.0).otherwise(F.col(c)) for c in ("x", "y")})
+    some = tracks(spark, sf_dir).select("cand").distinct().where("cand % 2 = 0")
+    diagonal = some.select("cand", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(3.0).alias("x2"), F.lit(4.0).alias("y2"))
+    out = sc.replay_statistics(rows, ["cand"], 10.0, _interacting(), ~_interacting(), diagonal, F.col("cand") % 5 == 0)
+    shown = lambda c, name: F.round(F.when(F.col(c) == float("-inf"), -1.0).otherwise(F.col(c)), 4).alias(name)
+    return out.select("cand", "n_total", "n_valid_points", shown("total_movement", "total_movement"), shown("median_movement", "median_movement"), shown("norm_movement", "norm_movement"), "interact_frames", "phase_fallback", shown("phase_snr_raw", "snr"))
+
+
 @query("q_point_motion", f"WITH {MOTION} SELECT cand, pt, round(avg(m) * 10, 4) AS motion FROM d WHERE m IS NOT NULL GROUP BY cand, pt")
 def point_motion(spark, sf_dir):
     return sc.displacement(tracks(spark, sf_dir), ["cand"]).groupBy("cand", "pt").agg(F.round(F.avg("moved") * 10, 4).alias("motion"))

@@ -32,6 +32,20 @@ def overlap_top_mean(spark, sf_dir):
     return sc.overlap_policy(_overlaps(spark, sf_dir), ["grp"], "top_mean").withColumn("overlap", F.round("overlap", 6))
 
 
+@query("q_overlap_quantile", "SELECT grp, quantile_cont(floor(conf * 10500000 + 0.5), 0.75) AS overlap FROM v_boxes GROUP BY grp")
+def overlap_quantile(spark, sf_dir):
+    """The upper quartile of whole numbers, which every engine interpolates alike."""
+    whole = _overlaps(spark, sf_dir).withColumn("overlap", F.floor(F.col("overlap") * 10500000 + 0.5).cast("double"))
+    return sc.overlap_policy(whole, ["grp"], "quantile", quantile=0.75)
+
+
+@query("q_overlap_max", "SELECT grp, coalesce(max(conf) FILTER (idx % 3 > 0), 0.0) AS overlap FROM v_boxes GROUP BY grp")
+def overlap_max(spark, sf_dir):
+    """Frames without points don't count; a candidate that has no others overlaps by 0."""
+    rows = _overlaps(spark, sf_dir).withColumn("count", F.when(F.col("t") % 3 > 0, F.col("count")).otherwise(0))
+    return sc.overlap_policy(rows, ["grp"], "max")
+
+
 @query(
     "q_gripper_spheres",
     """WITH p AS (SELECT grp, idx AS pt, x1 AS u, y1 AS v, x1 AS x, y1 AS y, conf * 20 AS z FROM v_boxes), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sqrt(pow(u - 50, 2) + pow(v - 30, 2)), pt) AS r FROM p), c AS (SELECT * FROM k WHERE r = 1),
@@ -145,10 +159,13 @@ def resolved_target(spark, sf_dir):
     return models.resolved_target(rows, ["grp"])
 
 
-@query("q_detector_stage")
+@query(
+    "q_detector_stage",
+    "WITH c AS (SELECT page_id AS key, k AS class_id, ('0x' || substr(md5(coalesce(html, '') || n), 1, 8))::BIGINT AS code FROM pages, (SELECT unnest([0, 1]) AS k, unnest(['cup', 'robot']) AS n)) SELECT key, CAST(code % 200 AS DOUBLE) AS x1, CAST(code // 200 % 150 AS DOUBLE) AS y1, CAST(code % 200 + 40 AS DOUBLE) AS x2, CAST(code // 200 % 150 + 30 AS DOUBLE) AS y2, (code // 65536) / 65536.0::DOUBLE AS conf, CAST(class_id AS INTEGER) AS class_id FROM c WHERE (code // 65536) / 65536.0 >= 0.3",
+)
 def detector_stage(spark, sf_dir):
-    """Images (here pages) through the detector's stand-in, in batches; tests hold it against a plain call."""
-    images = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.encode(F.col("html"), "UTF-8").alias("image"))
+    """Images (here pages) through the detector's stand-in, in batches."""
+    images = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("image"))
     return models.detections(images, ["cup", "robot"], 0.3)
 
 

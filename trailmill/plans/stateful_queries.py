@@ -19,17 +19,59 @@ def gripper_phases(spark, sf_dir):
     return ph.detect_phases(frames(spark, sf_dir), "traj", "t", "signal", 0.05)
 
 
-@query("q_subtask_groups")
-def subtask_groups(spark, sf_dir):
-    """Steps of an order's lines, grouped by arm and skill."""
+STEPS = """l AS (SELECT l_orderkey AS traj, l_linenumber AS n, l_linenumber * 10 AS s, l_linenumber * 10 + 5 + 5 * (l_partkey % 2) AS e, l_partkey % 5 AS sk, CASE l_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS arm, ['Pick', 'Move', 'Place', 'Carry', 'Pour'][l_partkey % 5 + 1] || ' with ' || ['left', 'right', 'any'][l_partkey % 3 + 1] AS label FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY s, e, label) AS i FROM l)"""
+
+
+def _steps(spark, sf_dir):
+    """Steps of an order's lines: an arm and a skill each."""
     skills = F.array(*(F.lit(s) for s in ("Pick", "Move", "Place", "Carry", "Pour")))
     arms = F.array(*(F.lit(a) for a in ("left arm.", "right arm.", "any arm.")))
     k = F.col("l_partkey")
-    lines = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("traj"), (F.col("l_linenumber") * 10).cast("bigint").alias("start_frame"), (F.col("l_linenumber") * 10 + 5 + 5 * (k % 2)).cast("bigint").alias("end_frame"),
         F.concat_ws(" ", skills[(k % 5).cast("int")], F.lit("with"), arms[(k % 3).cast("int")]).alias("label"), skills[(k % 5).cast("int")].alias("skill"),
     )
-    return ph.group_steps(lines, "traj")
+
+
+@query(
+    "q_subtask_groups",
+    f"""WITH RECURSIVE {STEPS}, r AS (SELECT traj, i, s, e, sk, arm, 0 AS g, arm AS garm, sk = 2 AS ended FROM o WHERE i = 1
+ UNION ALL SELECT traj, i, s, e, sk, arm, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN garm ELSE arm END, CASE WHEN j THEN ended ELSE sk = 2 END FROM
+ (SELECT o.traj, o.i, o.s, o.e, o.sk, o.arm, r.g, r.ended, CASE WHEN o.s = r.e THEN coalesce(r.garm, o.arm) ELSE r.garm END AS garm, coalesce(NOT r.ended AND o.sk <> 0 AND CASE WHEN o.s = r.e THEN coalesce(r.garm, o.arm) ELSE r.garm END = CASE WHEN o.s = r.e THEN coalesce(o.arm, r.garm) ELSE o.arm END, FALSE) AS j FROM r JOIN o ON o.traj = r.traj AND o.i = r.i + 1))
+ SELECT traj, CAST(g AS BIGINT) AS subtask, min(s) AS start_frame, max_by(e, i) AS end_frame, count(*) AS n_steps, string_agg(['pick', 'move', 'place', 'carry', 'pour'][sk + 1] || ' with ' || coalesce(arm, 'any') || ' arm', ' then ' ORDER BY i) AS instruction, CAST(max(max(g)) OVER (PARTITION BY traj) + 1 AS BIGINT) AS longtask_len FROM r GROUP BY traj, g""",
+)
+def subtask_groups(spark, sf_dir):
+    """Steps in groups of one arm, which a first skill that ends an interaction closes."""
+    return ph.group_steps(_steps(spark, sf_dir), "traj")
+
+
+LABELS = ("Grasp the cup", "Pick up a bowl", "Hold it", "Place the cup", "Move slowly", "Put the bowl down", "Wait")
+
+
+def noun_of(label: str) -> str | None:
+    return next((n for n in ("cup", "bowl") if n in label), None)
+
+
+@query(
+    "q_label_groups",
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS traj, l_linenumber * 10 AS s, l_linenumber * 10 + 5 + 5 * (l_partkey % 2) AS e, l_suppkey % 7 AS k, CASE l_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS arm, ['Grasp the cup', 'Pick up a bowl', 'Hold it', 'Place the cup', 'Move slowly', 'Put the bowl down', 'Wait'][l_suppkey % 7 + 1] || [', left', ', right', ''][l_partkey % 3 + 1] AS label FROM lineitem), q AS (SELECT *, CASE WHEN k IN (0, 3) THEN 'cup' WHEN k IN (1, 5) THEN 'bowl' END AS noun, k IN (3, 5) AS ends, k IN (0, 1) AS starts FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY s, e, label) AS i FROM q),
+ r AS (SELECT traj, i, s, e, k, 0 AS g, arm AS garm, noun AS gn, ends AS ended FROM o WHERE i = 1
+ UNION ALL SELECT traj, i, s, e, k, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN coalesce(raw, garm) ELSE raw END, CASE WHEN j THEN coalesce(noun, gn) ELSE noun END, ends FROM
+ (SELECT o.traj, o.i, o.s, o.e, o.k, o.arm AS raw, o.noun, o.ends, r.g, r.gn, CASE WHEN o.s = r.e THEN coalesce(r.garm, o.arm) ELSE r.garm END AS garm,
+ NOT (r.ended OR o.starts OR coalesce(CASE WHEN o.s = r.e THEN coalesce(r.garm, o.arm) ELSE r.garm END <> CASE WHEN o.s = r.e THEN coalesce(o.arm, r.garm) ELSE o.arm END, FALSE) OR coalesce(r.gn <> o.noun, FALSE)) AS j FROM r JOIN o ON o.traj = r.traj AND o.i = r.i + 1))
+ SELECT traj, CAST(g AS BIGINT) AS subtask, min(s) AS start_frame, max_by(e, i) AS end_frame, count(*) AS n_steps FROM r GROUP BY traj, g""",
+)
+def label_groups(spark, sf_dir):
+    """Steps that have labels alone, in groups of one arm and one object as far as they are known."""
+    import functools
+
+    text = F.array(*(F.lit(x) for x in LABELS))[(F.col("l_suppkey") % 7).cast("int")]
+    arm = F.array(F.lit(", left"), F.lit(", right"), F.lit(""))[(F.col("l_partkey") % 3).cast("int")]
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("traj"), (F.col("l_linenumber") * 10).cast("bigint").alias("start_frame"), (F.col("l_linenumber") * 10 + 5 + 5 * (F.col("l_partkey") % 2)).cast("bigint").alias("end_frame"),
+        F.concat(text, arm).alias("label"), F.lit("").alias("skill"),
+    )
+    return ph.group_steps(lines, "traj", functools.partial(ph.LabelRule, noun_of)).select("traj", "subtask", "start_frame", "end_frame", "n_steps")
 
 
 @query(
