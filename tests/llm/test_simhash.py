@@ -180,3 +180,76 @@ def test_links_do_not_depend_on_leaders(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sh.digest(empty).collect() == [] and sh.distinct_documents(empty).collect() == []
+
+
+@pytest.mark.parametrize("original", [True, False])
+def test_large_groups_of_near_copies(spark, monkeypatch, original):
+    """Copies of one text with more and more changed words, so that most pairs are below the limit and few above."""
+    monkeypatch.setattr(sh, "COUNTED", 0)
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(150)]
+    texts = [" ".join(base)] if original else []
+    for k in range(90):
+        w = list(base)
+        for at in rng.sample(range(150), 1 + k % 7):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"w{rng.randrange(5_000)}" for _ in range(100)) for _ in range(20)]
+    got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    want = least_of_components(texts)
+    assert got == want and 21 < len(want) < len(texts)
+
+
+def test_exact_prefixes_meet_every_similar_pair(spark):
+    rng = random.Random(24)
+    common = list(range(1_000, 1_060))
+    sets = {k: np.array(sorted({*rng.sample(common, rng.randint(45, 60)), *rng.sample(range(5_000), rng.randint(0, 12))}), np.uint64) for k in range(60)}
+    held = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, shingles binary")
+    about = spark.createDataFrame([(k, len(v), *[0] * len(sh.BIT_COLUMNS), k) for k, v in sets.items()], f"node long, size int, {', '.join(f'{c} long' for c in sh.BIT_COLUMNS)}, root long")
+    rows = sh.exact_prefixes(held, about, 0.8).collect()
+    keys = defaultdict(dict)
+    for r in rows:
+        keys[r.node][r.key] = r.rest
+    near = 0
+    for i, a in sets.items():
+        for j, b in sets.items():
+            both = len(np.intersect1d(a, b))
+            if i < j and both >= 0.8 * (len(a) + len(b) - both):
+                near += 1
+                met = keys[i].keys() & keys[j].keys()
+                assert any(min(keys[i][k], keys[j][k]) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9 for k in met)
+    assert near > 50
+
+
+def test_farthest_bits():
+    """Bits of sets at the limit are within the distances that are allowed, those of other sets mostly are not."""
+    rng = np.random.default_rng(5)
+    near, far = [], []
+    for n in (18, 63, 450, 3_000):
+        for _ in range(60):
+            for share, out in ((n // 9, near), (n // 3, far)):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                b = np.unique(np.concatenate((a[share:], rng.integers(0, 2**64, share, dtype=np.uint64))))
+                bits = [(sh.fingerprint(x), *sh.least_bits(x).tolist()) for x in (a, b)]
+                differ = [(x ^ y).bit_count() for x, y in zip(*bits, strict=True)]
+                out.append(differ[0] <= sh.farthest(0.8)[0] and sum(differ[1:]) <= sh.farthest(0.8)[1])
+    assert all(near) and sum(far) < 0.1 * len(far)
+
+
+def test_keys_of_very_many_sets(spark, monkeypatch):
+    """Above MANY sets a key's sets get exact prefixes; the result is that of all pairs."""
+    monkeypatch.setattr(sh, "COUNTED", 0)
+    monkeypatch.setattr(sh, "MANY", 20)
+    rng = random.Random(25)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(120)]
+    texts = []
+    for k in range(110):
+        w = list(base)
+        for at in rng.sample(range(120), k % 6):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    called = []
+    exact = sh.exact_prefixes
+    monkeypatch.setattr(sh, "exact_prefixes", lambda *a: called.append(1) or exact(*a))
+    got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert got == least_of_components(texts) and called

@@ -6,9 +6,12 @@ pairs meet under one of them; a join verifies the Hamming distance. Only distinc
 take part: all copies of a text are one node, so a large group of copies costs one row.
 
 A key shared by many distinct fingerprints (a large group of near copies) would give all pairs of
-its group. Such fingerprints link exactly in another way: each names the fingerprints one bit from
-it, and two are within two bits if and only if they name a common one (k = 2; other k split the
-key by further blocks until it is small, see `refined`). No link is lost, no pair listed.
+its group. Up to two bits such fingerprints link exactly in another way: each names the
+fingerprints one bit from it, and two are within two bits if and only if they name a common one.
+No link is lost, no pair listed. Only distances up to two are offered.
+
+`distinct_documents` asks for a Jaccard similarity of whole texts instead, for which blocks of bits
+give no right results; see the second half of this module.
 
 Components: alternating large-star and small-star passes over the links, each pass written to the
 shared folder, until nothing changes. Nothing about single documents reaches the driver.
@@ -95,8 +98,8 @@ def neighbours(fp: Column, varies: Column) -> Column:
 def links(fps: DataFrame, distance: int = 2, blocks: int | None = None, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), at most `distance` bits apart, that
     join all fingerprints so related: every close pair is linked directly or by a path of links."""
-    if distance > 2:
-        crowded = 1 << 62
+    if not 0 <= distance <= 2:
+        raise ValueError(f"distances of 0, 1 and 2 are offered, not {distance}")
     blocks = blocks or distance + 2
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"))
     shared = (
@@ -111,12 +114,14 @@ def links(fps: DataFrame, distance: int = 2, blocks: int | None = None, crowded:
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     pairs = a.join(b, "key").where(F.col("a") > F.col("b")).where(near).select("a", "b")
-    if crowded < 1 << 62:
-        dense = many.groupBy("fp").agg(F.bit_or("varies").alias("varies"))
-        named = dense.select("fp", F.explode(neighbours(F.col("fp"), F.col("varies"))).alias("name"))
+    dense = many.groupBy("fp").agg(F.bit_or("varies").alias("varies"))
+    named = dense.select("fp", F.explode(neighbours(F.col("fp"), F.col("varies"))).alias("name"))
+    if distance == 2:
         first = named.groupBy("name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-        pairs = pairs.union(named.join(first, "name").where("fp > b").select(F.col("fp").alias("a"), "b"))
-    return pairs.distinct()
+        return pairs.union(named.join(first, "name").where("fp > b").select(F.col("fp").alias("a"), "b")).distinct()
+    # Equal fingerprints are one row, so below two bits the neighbour itself is the other fingerprint.
+    other = dense.select(F.col("fp").alias("b"))
+    return pairs.union(named.join(other, F.col("name") == F.col("b")).where("fp > b").where(F.lit(distance) == 1).select(F.col("fp").alias("a"), "b")).distinct()
 
 
 def _settled(edges: DataFrame) -> tuple:
@@ -170,6 +175,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 # ---- near-duplicates by the exact Jaccard similarity of shingle sets -----------------------------
+#
+# At a similarity of 0.8 some 15 % of a fingerprint's bits differ. Blocks of intact bits that still meet
+# then must be short (64 blocks of 20 bits: 0.91 of such pairs meet), and short blocks are shared by
+# chance ever more often as the corpus grows. So the blocks are the shingles themselves: two sets of
+# similarity s share one of the first 1 - s of their shingles in any common order (the pigeonhole
+# principle again, and no pair is lost). Pairs that meet are held against their sizes, the place of the
+# shared shingle, and Hamming distances: of SimHash fingerprints, and of one bit from each of 256 least
+# hashes, which tell 0.6 from 0.8 as majority bits can't. The exact similarity decides what is left.
 
 #: Texts whose shingles are counted to know the common ones, in expectation, and the least count. The
 #: counts only order the shingles: any order finds the same pairs, but rare shingles first meet fewer others.
@@ -178,6 +191,15 @@ COUNTED, COMMON = 10_000, 3
 ORDERED = 1 << 20
 #: Slack of comparisons of similarities with the limit.
 SLACK = 1e-9
+#: Sets under a key up to which all pairs are compared at once; above it the key's hub comes first.
+FEW = 8
+#: Sets under a key up to which those outside its largest component are compared with all others.
+MANY = 1_000
+#: Standard deviations by which the distance of two fingerprints may exceed what is expected at the limit.
+DEVIATIONS = 4.5
+#: Least hashes of a set, of each of which a bit is kept, and how many shingles are multiplied at a time.
+LEAST = 256
+CHUNK = 1_024
 
 
 def shingle_set(data: bytes, width: int) -> np.ndarray:
@@ -208,16 +230,49 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
     return shingles[np.lexsort((shingles, times))[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(7).integers(0, 2**64, LEAST, dtype=np.uint64) | np.uint64(1)
+
+
+def least_bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of LEAST least hashes, as LEAST / 64 numbers: of sets of similarity s, (1 - s) / 2 of the bits differ."""
+    least = np.full(LEAST, np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), CHUNK):
+        least = np.minimum(least, (shingles[at : at + CHUNK, None] * _FACTORS).min(axis=0))
+    return np.packbits((least * _MIX) >> np.uint64(63) != 0).view(">u8").astype(np.uint64)
+
+
+def _farthest(bits: int, share: float) -> int:
+    return int(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share)))
+
+
+def farthest(similarity: float) -> tuple[int, int]:
+    """Bits by which SimHash fingerprints and least hashes of two sets of at least the similarity differ, but
+    for one pair in a hundred thousand at the limit."""
+    return _farthest(BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi), _farthest(LEAST, (1 - similarity) / 2)
+
+
+#: Columns of the fingerprint and of the least hashes' bits.
+BIT_COLUMNS = ("bits", *(f"least{k}" for k in range(LEAST // 64)))
+
+
 def _nodes(texts: pa.Array, width: int, similarity: float, common) -> pa.Array:
-    """Of each text: the id of its set of shingles, their number, and the keys under which it meets others."""
-    ids, sizes, keys = [], [], []
+    """Of each text: the id of its set of shingles, their number, the bits, and the keys under which it
+    meets others, in their order."""
+    ids, sizes, bits, keys = [], [], [], []
     for data in utf8(texts):
         found = shingle_set(data, width)
         ids.append(xxhash.xxh3_64_intdigest(found.tobytes()))
         sizes.append(len(found))
+        bits.append((fingerprint(found), *least_bits(found).tolist()))
         keys.append(prefix(found, similarity, common).view(np.int64))
-    columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-    return pa.StructArray.from_arrays(columns, ["node", "size", "keys"])
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+    of = np.array(bits, np.uint64).reshape(-1, len(BIT_COLUMNS))
+    columns = [signed(ids), pa.array(sizes, pa.int32()), *(signed(of[:, k]) for k in range(len(BIT_COLUMNS))), pa.array(keys, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(columns, ["node", "size", *BIT_COLUMNS, "keys"])
+
+
+_NODE = f"struct<node: bigint, size: int, {', '.join(f'{c}: bigint' for c in BIT_COLUMNS)}, keys: array<bigint>>"
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -237,47 +292,124 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(map_column(jaccard, "double", F.col("a_set"), F.col("b_set")) >= similarity - SLACK).select("a", "b")
 
 
-def similar_links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between sets of at least the similarity that join all sets so related, from (key, node, size):
-    sets that share a key. First each is compared with the least of its key; what that leaves in
-    different components is then compared pair by pair, so no order or size of groups loses a link."""
-    fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - SLACK
-    a, b = (met.select("key", F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in ("a", "b"))
-    hubs = met.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"))
-    first = staged(similar(a.join(hubs, "key").where("a > b").where(fits).select("a", "b").distinct(), sets, similarity), "jaccard-first")
-    known = components(first).select("node", "root")
-    placed = staged(met.join(known, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "jaccard-placed")
-    # Of a key whose sets are in several components, those outside the largest are compared with all others.
+def may_be_similar(columns: list[str], similarity: float) -> Column:
+    """Whether rows a_... and b_... under one key can be of sets of the similarity. `size`: of the set;
+    `rest`: how many of its shingles come from the key on, itself included. The first shingle that two
+    sets share has all their other common ones behind it; BIT_COLUMNS are compared by Hamming distance."""
+    sizes = F.col("a_size") + F.col("b_size")
+    out = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - SLACK
+    if "rest" in columns:
+        out &= F.least("a_rest", "b_rest") >= similarity / (1 + similarity) * sizes - SLACK
+    if BIT_COLUMNS[0] in columns:
+        differ = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BIT_COLUMNS]
+        far, least_far = farthest(similarity)
+        out &= (differ[0] <= far) & (sum(differ[2:], differ[1]) <= least_far)
+    return out
+
+
+def similar_links(met: DataFrame, sets, similarity: float, refined=None, links: DataFrame | None = None) -> DataFrame:
+    """Links between sets of at least the similarity that join all sets so related. met: (key, node,
+    size), sets that share a key, and what else `may_be_similar` reads; sets: (node, shingles), or a
+    function that gives it for a table of nodes.
+
+    Of keys with few sets all pairs are compared; of others each with the key's hub, the set with most
+    shared keys (`known`; of near copies, the one that was changed least). Where that leaves a key's sets in
+    different components, those outside of the largest are compared with all others of the key. Of keys of
+    over MANY sets that would be too much: `refined` gives keys of another order for these sets, `met` again,
+    with the components (`root`) that `links` made. So no order or size of groups loses a link."""
+    held = sets if callable(sets) else lambda nodes: sets
+    about = [c for c in ("size", "rest", *BIT_COLUMNS, "root") if c in met.columns]
+    side = lambda rows, n: rows.select("key", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in about))
+    fits = may_be_similar(met.columns, similarity)
+    if "root" in about:
+        fits &= F.col("a_root") != F.col("b_root")
+    best = F.struct(F.col("known") if "known" in met.columns else F.lit(0).alias("known"), (-F.col("size")).alias("size_"), "node", *about)
+    hubs = staged(met.groupBy("key").agg(F.count("*").alias("n"), F.max(best).alias("hub")).where("n > 1"), "jaccard-hubs")
+    crowd = hubs.where(F.col("n") > FEW)
+    small = met.join(hubs.where(F.col("n") <= FEW).select("key"), "key")
+    close = side(small, "a").join(side(small, "b"), "key").where("a > b").where(fits).select("a", "b")
+    centres = crowd.select("key", F.col("hub.node").alias("b"), *(F.col(f"hub.{c}").alias(f"b_{c}") for c in about))
+    centred = side(met, "a").join(centres, "key").where("a <> b").where(fits).select("a", "b")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = staged(pairs, f"{name}-pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return staged(similar(pairs, held(nodes), similarity), name)
+
+    first = verified(close.union(centred), "jaccard-first")
+    links = first if links is None else first.union(links)
+    known = components(links).select("node", "root")
+    placed = met.drop("root").join(crowd.select("key", "n"), "key").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = staged(placed, "jaccard-placed")
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
     mixed = staged(placed.join(main, "key"), "jaccard-mixed")
-    x, y = (mixed.select("key", "main", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
-    apart = x.where("a_root <> main").drop("main").join(y.drop("main"), "key").where("a_root <> b_root").where(fits)
-    second = similar(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, similarity)
-    return first.union(staged(second, "jaccard-second"))
+    if mixed.isEmpty():
+        return first
+    about = [c for c in about if c != "root"] + ["root"]
+    crowds = mixed.where(F.col("n") > MANY) if refined is not None else mixed.where("false")
+    direct = mixed.where(F.col("n") <= MANY) if refined is not None else mixed
+    apart = side(direct.where("root <> main"), "a").join(side(direct, "b"), "key").where("a_root <> b_root").where(fits).select("a", "b")
+    second = first.union(verified(apart, "jaccard-second"))
+    if crowds.isEmpty():
+        return second
+    return second.union(similar_links(refined(crowds.select("node", "root").distinct()), sets, similarity, links=second.union(links)))
+
+
+def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size, rest, bits, known, root) of some nodes: prefixes in the order of how many of
+    these nodes have a shingle, counted exactly. sets: (node, shingles); about: the other columns but
+    key and rest. Shingles of one node alone come first and are no keys."""
+    unpacked = map_column(lambda t: pa.array([np.frombuffer(d, np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col("shingles"))
+    each = staged(sets.select("node", F.explode(unpacked).alias("key")), "refined-shingles")
+    counts = staged(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "refined-counts")
+    listed = each.join(counts, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    long = F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1 - alone
+    some = listed.join(about, "node").withColumns({"alone": alone, "long": long.cast("int")}).where("long > 0")
+    keys = some.select("node", "size", *BIT_COLUMNS, "root", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("long"))).alias("at", "one"))
+    rest = F.col("size") - F.col("alone") - F.col("at")
+    return staged(keys.select(F.col("one.key").alias("key"), "node", "size", rest.alias("rest"), *BIT_COLUMNS, (-F.col("alone")).alias("known"), "root"), "refined")
 
 
 def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id, with all its columns.
-    Groups are the components of all pairs whose sets of shingles have at least the Jaccard similarity."""
+    Groups are the components of all pairs whose sets of shingles have at least the Jaccard similarity.
+
+    Defined cases: null and empty texts are copies of each other, and so are texts of equal sets of
+    shingles; a text of fewer words than a shingle is one shingle. A null id is the least. Rows equal in
+    id and text are one document. Very long texts are taken whole; an empty table gives an empty result;
+    extra columns pass through and clash with nothing."""
     from .common import unused
 
+    spark = docs.sparkSession
     ik, th = unused(docs, "row_id_hash"), unused(docs, "row_text_hash")
     keyed = docs.withColumns({ik: F.xxhash64(id), th: F.xxhash64(text)})
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width))
-    said = map_column(lambda t: _nodes(t, width, similarity, held.value), "struct<node: bigint, size: int, keys: array<bigint>>", F.col(text))
+    held = spark.sparkContext.broadcast(common_shingles(docs, text, width))
+    said = map_column(lambda t: _nodes(t, width, similarity, held.value), _NODE, F.col(text))
     rows = keyed.select(F.struct(F.col(id).alias("id"), F.col(th).alias("th"), F.col(ik).alias("ik")).alias("row"), said.alias("s"))
-    nodes = rows.groupBy(F.col("s.node").alias("node")).agg(F.min("row").alias("row"), F.first("s.size").alias("size"), F.first("s.keys").alias("keys"))
-    nodes = staged(nodes, "nodes")
-    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
+    wide = rows.groupBy(F.col("s.node").alias("node")).agg(F.min("row").alias("row"), F.first("s").alias("s"))
+    wide = staged(wide.select("node", "row", "s.size", *(f"s.{c}" for c in BIT_COLUMNS), "s.keys"), "nodes-keys", wide_path := folder(spark, "nodes-keys"))
+    nodes = staged(wide.drop("keys"), "nodes")
+    entries = wide.select("node", F.posexplode("keys").alias("at", "key"))
     shared = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    met = staged(entries.join(shared, "key").select("key", "node", "size"), "met")
-    # Only texts that share a key are asked for their sets again.
-    asked = staged(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "asked")
-    texts = keyed.select(ik, th, F.col(text).alias("text")).join(asked, [ik, th]).dropDuplicates(["node"])
-    packed = map_column(lambda t: pa.array([shingle_set(d, width).tobytes() for d in utf8(t)], pa.binary()), "binary", F.col("text"))
-    sets = staged(texts.select("node", packed.alias("shingles")), "sets")
-    found = components(similar_links(met, sets, similarity))
+    places = staged(entries.join(shared, "key").select("key", "node", "at"), "places", places_path := folder(spark, "places"))
+    discard(spark, wide_path)
+    degrees = places.groupBy("node").agg(F.count("*").alias("known"))
+    about = staged(nodes.drop("row").join(degrees, "node"), "about")
+    met = staged(places.join(about, "node").select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"), *BIT_COLUMNS, "known"), "met")
+    discard(spark, places_path)
+
+    def sets(asked: DataFrame) -> DataFrame:
+        """The sets of the nodes that are asked for, of one text each."""
+        texts_of = staged(nodes.join(asked, "node", "left_semi").select("node", F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "asked")
+        texts = keyed.select(ik, th, F.col(text).alias("text")).join(texts_of, [ik, th]).dropDuplicates(["node"])
+        packed = map_column(lambda t: pa.array([shingle_set(d, width).tobytes() for d in utf8(t)], pa.binary()), "binary", F.col("text"))
+        return staged(texts.select("node", packed.alias("shingles")), "sets")
+
+    refined = lambda some: exact_prefixes(sets(some), about.join(some, "node"), similarity)
+    found = components(similar_links(met, sets, similarity, refined))
     roots = nodes.select("node", "row").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     chosen = staged(roots.select(F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "chosen")
     return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
