@@ -81,16 +81,27 @@ def contained(df: DataFrame, by: list[str], least: float = 0.3) -> DataFrame:
     )
 
 
-def nested_penalty(boxes: DataFrame, by: list[str], measures: DataFrame, alike: float = 0.5, factor: float = 0.15) -> DataFrame:
+def nested_penalty(boxes: DataFrame, by: list[str], measures: DataFrame, alike: float = 0.5, factor: float = 0.15, least: float = 0.3) -> DataFrame:
     """(by, idx, target, penalty): what a box loses for lying in a larger one that gathers like points
-    and moves alike. measures: (by, idx, target, points, movement)."""
-    own = measures.select(*by, F.col("idx").alias("inner"), "target", F.col("points").alias("p"), F.col("movement").alias("m"))
-    other = measures.select(*by, F.col("idx").alias("outer"), "target", F.col("points").alias("q"), F.col("movement").alias("n"))
-    both = contained(boxes, by).join(own, [*by, "inner"]).join(other, [*by, "outer", "target"]).where("p >= 1 and q >= 1")
+    and moves alike. measures: (by, idx, target, points, movement). A group is the boxes of one image, so both
+    sides are an array for each group and meet in one join on the group, with no pair in a shuffle."""
+    corner = ("x1", "y1", "x2", "y2")
+    held = boxes.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*corner).alias("b")))).alias("boxes__"))
+    told = measures.groupBy(*by).agg(F.collect_list(F.struct("idx", "target", "points", "movement")).alias("all__"))
+    both = told.join(held, by, "left").withColumn("all__", F.transform("all__", lambda m: m.withField("box", F.try_element_at("boxes__", m["idx"]))))
+    of = lambda m: tuple(m["box"][c] for c in corner)
     like = lambda a, b: F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
-    both = both.withColumns({"lp": like(F.col("p"), F.col("q")), "lm": like(F.col("m"), F.col("n"))})
-    worst = both.where((F.col("lp") > alike) & (F.col("lm") > alike)).groupBy(*by, "inner", "target").agg(F.max(factor * (F.col("lp") + F.col("lm")) / 2).alias("penalty"))
-    return measures.join(worst.withColumnRenamed("inner", "idx"), [*by, "idx", "target"], "left").select(*by, "idx", "target", F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+    def loss(inner: Column, outer: Column) -> Column:
+        i, j = of(inner), of(outer)
+        points, movement = like(inner["points"], outer["points"]), like(inner["movement"], outer["movement"])
+        nested = (inner["idx"] != outer["idx"]) & (inner["target"] == outer["target"]) & (area(i) > 0) & (area(j) > area(i)) & (intersection(i, j) / area(i) > least)
+        meets = nested & (inner["points"] >= 1) & (outer["points"] >= 1) & (points > alike) & (movement > alike)
+        return F.when(meets, factor * (points + movement) / 2).otherwise(0.0)
+
+    worst = lambda inner: F.aggregate("all__", F.lit(0.0), lambda a, outer: F.greatest(a, loss(inner, outer)))
+    out = both.select(*by, F.explode(F.transform("all__", lambda m: F.struct(m["idx"].alias("idx"), m["target"].alias("target"), worst(m).alias("penalty")))).alias("m"))
+    return out.select(*by, "m.idx", "m.target", "m.penalty")
 
 
 def crop_extent(df: DataFrame, by: list[str], width: int, height: int, pads: tuple[float, float, float] = (0.1, 0.3, 0.1)) -> DataFrame:

@@ -82,7 +82,9 @@ def tasks(spark: SparkSession, root: str, as_table: bool = False) -> DataFrame:
     text = next(c for c in ("task", "__index_level_0__", raw.columns[-1]) if c in raw.columns)
     if "task_index" in raw.columns:
         return raw.select(F.col("task_index").cast("bigint"), F.col(text).alias("task"))
-    return raw.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("bigint").alias("task_index"), F.col(text).alias("task"))
+    # A table of tasks is a small dimension; its rows are numbered as they lie in its files.
+    place = raw.select(F.col(text).alias("task"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return place.select((F.row_number().over(Window.orderBy("f", "i")) - 1).cast("bigint").alias("task_index"), "task")
 
 
 def chosen_camera(available: list[str], preferred: str | None = None, priority: tuple[str, ...] = ()) -> str | None:
@@ -177,14 +179,22 @@ def mixture(sets: list[str] | list[dict]) -> list[str]:
 
 
 def cached_index(spark: SparkSession, folder: str, name: str, subset: list[str], build) -> DataFrame:
-    """An index as a table of its own, keyed by the dataset and the names of its subset; built if it is missing."""
+    """An index as a table of its own, keyed by the dataset and the names of its subset; built if it is missing.
+    It is built aside and moved into place whole: of two builders one wins, and what one left that died is no index."""
     import hashlib
+    import uuid
 
     path = f"{folder}/{name}-{hashlib.sha256(','.join(sorted(subset)).encode()).hexdigest()[:10]}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, aside = hadoop.Path(path), hadoop.Path(f"{path}.building-{uuid.uuid4().hex}")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = hadoop.Path(path, "_SUCCESS")
+    if not system.exists(done):
+        if system.exists(place):
+            system.delete(place, True)
+        build().write.parquet(aside.toString())
+        if not system.rename(aside, place) and not system.exists(done):
+            raise OSError(f"the index can't be moved to {path}")
+        if system.exists(aside):
+            system.delete(aside, True)
     return spark.read.parquet(path)
