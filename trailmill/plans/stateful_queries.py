@@ -13,9 +13,42 @@ from . import models
 from .registry import frames, query, table, tracks
 
 
-@query("q_gripper_phases")
+#: The phase machine, a frame at a time: a first walk measures the grips, a second one labels with what they say. A walk's
+#: state is its phase, where that began, the streak of frames that would end it, and the last release, which a grasp that is
+#: too short may shorten.
+MACHINE = """u AS (SELECT traj, min(signal) AS lo, max(signal) AS hi, count(*) AS n FROM v_frames GROUP BY traj),
+ c AS (SELECT *, hi - lo < 0.05::DOUBLE OR (hi - lo < 0.1::DOUBLE AND lo > 0.9::DOUBLE) AS flat, least(7, CAST(floor(0.2::DOUBLE * n) AS BIGINT)) AS shortest, least(5, CAST(floor(0.05::DOUBLE * n) AS BIGINT)) AS need, 0.6::DOUBLE - 0.05::DOUBLE AS enter_at, 0.6::DOUBLE + 0.05::DOUBLE AS leave_at FROM u),
+ x AS (SELECT f.traj, f.t, (f.signal - lo) / (hi - lo + 1e-8::DOUBLE) AS x FROM v_frames f JOIN c ON c.traj = f.traj WHERE NOT flat),
+ w1 AS (SELECT traj, CAST(-1 AS BIGINT) AS t, 'grasp' AS state, CAST(0 AS BIGINT) AS mark, CAST(0 AS BIGINT) AS streak, CAST(NULL AS BIGINT) AS grip FROM c WHERE NOT flat
+  UNION ALL SELECT traj, t, CASE WHEN state = 'release' THEN CASE WHEN over THEN 'grasp' ELSE state END WHEN fires THEN CASE state WHEN 'grasp' THEN 'interact' ELSE 'release' END ELSE state END,
+   CASE WHEN state = 'release' THEN CASE WHEN over THEN t ELSE mark END WHEN fires THEN t - k + 1 ELSE mark END, CASE WHEN state = 'release' OR fires THEN 0 ELSE k END, CASE WHEN state = 'interact' AND fires THEN t - k + 1 - mark END
+  FROM (SELECT *, k > 0 AND k >= need AS fires FROM (SELECT r.traj, x.t, r.state, r.mark, c.need, x.t - r.mark >= c.shortest // 2 OR x.x < enter_at AS over, CASE WHEN CASE r.state WHEN 'grasp' THEN x.x < enter_at ELSE x.x >= leave_at END THEN r.streak + 1 ELSE 0 END AS k FROM w1 r JOIN x ON x.traj = r.traj AND x.t = r.t + 1 JOIN c ON c.traj = r.traj))),
+ g1 AS (SELECT traj, grip FROM w1 WHERE grip IS NOT NULL UNION ALL SELECT w1.traj, CASE state WHEN 'interact' THEN n - mark ELSE streak END FROM w1 JOIN c ON c.traj = w1.traj WHERE w1.t = n - 1 AND (state = 'interact' OR state = 'grasp' AND streak > 0 AND streak >= shortest // 2)),
+ g AS (SELECT c.*, count(grip) AS grips, min(grip) AS smallest, median(grip) AS middle, any_value(grip) AS one FROM c LEFT JOIN g1 ON g1.traj = c.traj WHERE NOT flat GROUP BY ALL),
+ p AS (SELECT traj, n, enter_at, leave_at, least(shortest, coalesce(smallest, shortest)) AS shortest, CASE WHEN grips = 1 THEN one - 1 ELSE least(greatest(4, 0.5::DOUBLE * (0.07::DOUBLE * n) / greatest(grips, 1), coalesce(0.4::DOUBLE * middle, 0)), 0.3::DOUBLE * n / greatest(grips, 1)) END AS need_grip FROM g),
+ w2 AS (SELECT traj, CAST(-1 AS BIGINT) AS t, 'grasp' AS state, CAST(0 AS BIGINT) AS mark, CAST(0 AS BIGINT) AS streak, CAST(NULL AS BIGINT) AS rf, CAST(NULL AS BIGINT) AS rl, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS phase, CAST(0 AS BIGINT) AS take FROM p
+  UNION ALL SELECT traj, t, CASE WHEN state = 'release' THEN CASE WHEN over THEN 'grasp' ELSE state END WHEN NOT fires THEN state WHEN state = 'grasp' THEN 'interact' WHEN good THEN 'release' ELSE 'grasp' END,
+   CASE WHEN state = 'release' THEN CASE WHEN over THEN t ELSE mark END WHEN fires THEN pos ELSE mark END, CASE WHEN state = 'release' OR fires THEN 0 ELSE k END,
+   CASE WHEN state = 'release' AND over AND t > mark THEN mark WHEN state <> 'release' AND fires AND pos > mark - took THEN NULL ELSE rf END,
+   CASE WHEN state = 'release' AND over AND t > mark THEN t - 1 WHEN state <> 'release' AND fires AND pos > mark - took THEN NULL ELSE rl - took END,
+   CASE WHEN state = 'release' AND over AND t > mark OR state <> 'release' AND fires AND pos > mark - took THEN mark - took END, CASE WHEN state = 'release' AND over AND t > mark THEN t - 1 WHEN state <> 'release' AND fires AND pos > mark - took THEN pos - 1 END,
+   CASE WHEN state = 'release' THEN 'release' WHEN state = 'grasp' THEN 'grasp' WHEN good THEN 'interact' ELSE 'grasp_failure' END, took
+  FROM (SELECT *, pos - mark >= need_grip AS good, CASE WHEN state = 'grasp' AND fires AND pos - mark < need_grip AND rf IS NOT NULL THEN CAST(floor(least(need_grip - (pos - mark), greatest(0, least(rl - rf + 1 - greatest(1, shortest // 2), rl - rf)))) AS BIGINT) ELSE 0 END AS took
+  FROM (SELECT *, k > 0 AND k >= shortest AS fires, t - k + 1 AS pos FROM (SELECT r.traj, x.t, r.state, r.mark, r.rf, r.rl, p.shortest, p.need_grip, x.t - r.mark >= p.shortest // 2 OR x.x < enter_at AS over, CASE WHEN CASE r.state WHEN 'grasp' THEN x.x < enter_at ELSE x.x >= leave_at END THEN r.streak + 1 ELSE 0 END AS k FROM w2 r JOIN x ON x.traj = r.traj AND x.t = r.t + 1 JOIN p ON p.traj = r.traj)))),
+ l AS (SELECT w2.*, n, p.shortest, need_grip FROM w2 JOIN p ON p.traj = w2.traj WHERE w2.t = n - 1),
+ e AS (SELECT traj, t * 4 AS o, a, z, phase, take FROM w2 WHERE a IS NOT NULL OR take > 0
+  UNION ALL SELECT traj, t * 4 + 1, mark, n - 1, state, 0 FROM l WHERE state = 'interact' AND n - mark >= need_grip OR state = 'release'
+  UNION ALL SELECT traj, t * 4 + 2, mark, n - streak - 1, 'grasp', 0 FROM l WHERE state = 'grasp' AND streak > 0 AND streak >= shortest // 2 AND n - streak > mark
+  UNION ALL SELECT traj, t * 4 + 3, n - streak, n - 1, 'interact', 0 FROM l WHERE state = 'grasp' AND streak > 0 AND streak >= shortest // 2),
+ s AS (SELECT *, coalesce(lead(take) OVER (PARTITION BY traj ORDER BY o), 0) AS given FROM e), q AS (SELECT traj, o, a, z - CASE WHEN phase = 'release' THEN given ELSE 0 END AS z, phase FROM s WHERE a IS NOT NULL),
+ y AS (SELECT q.*, n, row_number() OVER (PARTITION BY q.traj ORDER BY o DESC) AS back, lag(phase) OVER (PARTITION BY q.traj ORDER BY o) AS before, lead(phase) OVER (PARTITION BY q.traj ORDER BY o) AS next FROM q JOIN p ON p.traj = q.traj),
+ done AS (SELECT traj, a AS start_frame, CASE WHEN phase = 'release' AND (back = 1 OR back = 2 AND next = 'grasp') THEN n - 1 ELSE z END AS end_frame, phase FROM y WHERE NOT (back = 1 AND phase = 'grasp' AND coalesce(before, '') = 'release')
+  UNION ALL SELECT traj, 0, n - 1, 'interact' FROM c WHERE traj NOT IN (SELECT traj FROM q))"""
+
+
+@query("q_gripper_phases", f"WITH RECURSIVE {MACHINE} SELECT traj, start_frame, end_frame, phase FROM done")
 def gripper_phases(spark, sf_dir):
-    """Debounced phases of every trajectory; held against a frame-by-frame machine in the tests."""
+    """Debounced phases of every trajectory; held against a frame-by-frame machine in the tests too."""
     return ph.detect_phases(frames(spark, sf_dir), "traj", "t", "signal", 0.05)
 
 
