@@ -15,6 +15,7 @@ from ..operators import scoring as sc
 from ..operators import sequences as seq
 from . import publication as pub
 from .registry import frames, query, table
+from .stateful_queries import MACHINE
 
 
 def candidates(detections: DataFrame, by: list[str], width: float, height: float, overlap: float = 0.6, k: int = 22) -> DataFrame:
@@ -43,9 +44,26 @@ def annotated(windows: DataFrame, found: DataFrame, signals: DataFrame, by: str,
     return pub.published_rows(rows)
 
 
-@query("q_annotate")
+INTER = "greatest(0.0, least(i.x2, j.x2) - greatest(i.x1, j.x1)) * greatest(0.0, least(i.y2, j.y2) - greatest(i.y1, j.y1))"
+
+
+@query(
+    "q_annotate",
+    f"""WITH RECURSIVE {MACHINE}, h AS (SELECT *, coalesce(lag(phase) OVER (PARTITION BY traj ORDER BY start_frame) = 'release', FALSE) AS opens FROM done), k AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY traj ORDER BY start_frame) AS subtask FROM h),
+ win AS (SELECT traj, min(start_frame) AS start_frame, max(end_frame) + 1 AS end_frame FROM k WHERE subtask = 0 GROUP BY traj HAVING max(end_frame) + 1 - min(start_frame) >= 6),
+ raw AS (SELECT l_orderkey % 150 + 1 AS grp, l_orderkey * 10 + l_linenumber AS idx, CAST(l_partkey % 97 AS DOUBLE) AS x1, CAST(l_suppkey % 61 AS DOUBLE) AS y1, l_partkey % 97 + 5 + l_quantity AS x2, CAST(l_suppkey % 61 + 5 + l_partkey % 40 AS DOUBLE) AS y2, l_extendedprice / 105000.0 AS conf FROM lineitem),
+ det AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY conf DESC, idx, x1, y1, x2, y2) AS p FROM raw WHERE (x2 - x1) * (y2 - y1) / 24000.0 <= 0.8),
+ near AS MATERIALIZED (SELECT i.grp, i.p AS a, j.p AS b FROM det i JOIN det j ON i.grp = j.grp AND i.p < j.p WHERE {INTER} / ((i.x2 - i.x1) * (i.y2 - i.y1) + (j.x2 - j.x1) * (j.y2 - j.y1) - {INTER}) > 0.6),
+ fold AS (SELECT grp, p, CAST([p] AS BIGINT[]) AS kept FROM det WHERE p = 1 UNION ALL SELECT det.grp, det.p, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.grp = det.grp AND near.b = det.p AND list_contains(fold.kept, near.a)) THEN fold.kept ELSE list_append(fold.kept, det.p) END FROM fold JOIN det ON det.grp = fold.grp AND det.p = fold.p + 1),
+ ends AS (SELECT grp, arg_max(kept, p) AS kept FROM fold GROUP BY grp), stay AS (SELECT det.*, row_number() OVER (PARTITION BY det.grp ORDER BY p) AS place FROM det JOIN ends ON ends.grp = det.grp WHERE list_contains(kept, p)),
+ top AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY conf, idx DESC) - 1 AS cand FROM stay WHERE place <= 22),
+ feat AS (SELECT *, CASE WHEN max(x1) OVER v > min(x1) OVER v THEN (x1 - min(x1) OVER v) / (max(x1) OVER v - min(x1) OVER v) ELSE 1.0 END AS sn, CASE WHEN max(y1) OVER v > min(y1) OVER v THEN (y1 - min(y1) OVER v) / (max(y1) OVER v - min(y1) OVER v) ELSE 1.0 END AS sp,
+ greatest(0.0, least(1.0, ((y1 % 30) / 100.0 - 0.05) / 0.2)) AS rel, greatest(0.0, least(1.0, ((x1 % 10) / 9.0 - 0.3) / 0.7)) AS ex FROM top WINDOW v AS (PARTITION BY grp)),
+ sco AS (SELECT grp, cand, 0.5 * sn + (0.75 - 0.15 * sp) * conf + 0.3 * sp - (1.45 * ex * ex * (1 - 0.85 * rel) + CASE WHEN (x1 % 10) / 9.0 > 0.98 THEN 0.2 * (1 - rel) ELSE 0.0 END) AS score FROM feat), pick AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, cand) AS place FROM sco)
+ SELECT traj, start_frame, end_frame, cand AS candidate, round(score, 6) AS score, 'sha256:' || sha256('{{"camera_view":null,"dataset_id":"events","end_frame_exclusive":' || end_frame || ',"start_frame":' || start_frame || ',"subtask_index":0,"trajectory_id":"' || traj || '"}}') AS annotation_id FROM win JOIN pick ON grp = traj AND place = 1""",
+)
 def annotate(spark, sf_dir):
-    """All stages over the events' trajectories, with boxes from the lines of orders as detections."""
+    """All stages over the events' trajectories, with boxes from the lines of orders as detections; published lines, read back."""
     f = frames(spark, sf_dir)
     windows = windows_of(ph.detect_phases(f, "traj", "t", "signal", 0.05), "traj")
     k = F.col("l_partkey")
@@ -56,4 +74,9 @@ def annotate(spark, sf_dir):
     )
     chosen = candidates(found, ["traj", "subtask"], 200, 120)
     signals = chosen.select("traj", "subtask", "cand", F.col("x1").alias("snr"), F.col("y1").alias("sphere"), ((F.col("x1") % 10) / 9).alias("overlap"), ((F.col("y1") % 30) / 100).alias("depth_gap"))
-    return annotated(windows, chosen, signals, "traj", F.lit("events"), F.lit("Pick it"))
+    lines = annotated(windows, chosen, signals, "traj", F.lit("events"), F.lit("Pick it"))
+    get = lambda path, kind: F.get_json_object("line", path).cast(kind)
+    return lines.select(
+        get("$.source.trajectory_id", "bigint").alias("traj"), get("$.window.start_frame", "bigint").alias("start_frame"), get("$.window.end_frame_exclusive", "bigint").alias("end_frame"),
+        get("$.selection.selected_candidate_index", "bigint").alias("candidate"), get("$.selection.score", "double").alias("score"), "annotation_id",
+    )

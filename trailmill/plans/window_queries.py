@@ -20,12 +20,22 @@ def _slots(spark, sf_dir):
     return f.select("traj", "t", F.when(F.col("signal") > 40, box).alias("own"), F.when(F.col("signal") < 15, box).alias("shared"))
 
 
-@query("q_hand_phases")
+@query(
+    "q_hand_phases",
+    """WITH f AS (SELECT traj, t, CAST(event_id % 40 + 1 AS DOUBLE) AS x, signal > 40 OR signal < 15 AS b FROM v_frames), c1 AS (SELECT *, CASE WHEN b <> lag(b) OVER w THEN 1 ELSE 0 END AS ch FROM f WINDOW w AS (PARTITION BY traj ORDER BY t)), i1 AS (SELECT *, sum(ch) OVER (PARTITION BY traj ORDER BY t) AS k FROM c1),
+ b2 AS (SELECT traj, t, x, b, b OR count(*) OVER (PARTITION BY traj, k) < 2 AS h FROM i1), c2 AS (SELECT *, CASE WHEN h <> lag(h) OVER w THEN 1 ELSE 0 END AS ch FROM b2 WINDOW w AS (PARTITION BY traj ORDER BY t)), i2 AS (SELECT *, sum(ch) OVER (PARTITION BY traj ORDER BY t) AS k FROM c2),
+ b3 AS (SELECT traj, t, x, b, h AND count(*) OVER (PARTITION BY traj, k) >= 2 AS h FROM i2), c3 AS (SELECT *, CASE WHEN h <> lag(h) OVER w THEN 1 ELSE 0 END AS ch FROM b3 WINDOW w AS (PARTITION BY traj ORDER BY t)), i3 AS (SELECT *, sum(ch) OVER (PARTITION BY traj ORDER BY t) AS k FROM c3),
+ r AS (SELECT *, min(t) OVER (PARTITION BY traj, k) AS s, max(t) OVER (PARTITION BY traj, k) + 1 AS e FROM i3 WHERE h), l AS (SELECT *, last_value(CASE WHEN b THEN x END IGNORE NULLS) OVER (PARTITION BY traj, s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS px FROM r),
+ j AS (SELECT *, sum(CASE WHEN b AND px IS NOT NULL AND greatest(0, 30 - abs(x - px)) * 30 / (1800 - greatest(0, 30 - abs(x - px)) * 30) < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY traj, s ORDER BY t) AS piece FROM l),
+ g AS (SELECT traj, s, e, piece, min(t) AS first_t, count(*) FILTER (b) AS n_box FROM j GROUP BY traj, s, e, piece), w AS (SELECT traj, CASE WHEN row_number() OVER v = 1 THEN s ELSE first_t END AS a, coalesce(lead(first_t) OVER v, e) AS z, n_box FROM g WINDOW v AS (PARTITION BY traj, s ORDER BY piece)),
+ p AS (SELECT * FROM w WHERE z - a >= 3 AND n_box > 0), q AS (SELECT traj, a, z, n_box / (z - a) AS coverage, a - coalesce(lag(z) OVER v, 0) AS ob, coalesce(lead(a) OVER v, 100) - z AS oa FROM p WINDOW v AS (PARTITION BY traj ORDER BY a))
+ SELECT traj, a AS start_frame, z AS end_frame, coverage, ob AS open_before, oa AS open_after, ob >= 3 AND coverage >= 0.6 AS is_clean FROM q""",
+)
 def hand_phases(spark, sf_dir):
-    """Contact phases with their quality; held against a plain loop in the tests."""
+    """Contact phases with their quality; held against a plain loop in the tests too."""
     found = hands.interactions(_slots(spark, sf_dir), ["traj"], "own", "shared", 10.0)
     judged = hands.quality(found.withColumn("hand_iou", F.lit(0.1)), ["traj"], F.lit(100), 10.0)
-    return judged.select("traj", "start_frame", "end_frame", F.round("coverage", 4).alias("coverage"), "open_before", "open_after", "is_clean")
+    return judged.select("traj", "start_frame", "end_frame", "coverage", "open_before", "open_after", "is_clean")
 
 
 PHASES = f"""p AS (SELECT traj, t // 10 AS k, CAST(t AS BIGINT) AS start_frame, CAST(t + 4 + event_id % 9 AS BIGINT) AS end_frame, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, CAST(event_id % 50 AS DOUBLE) AS x FROM {spans_sql(5)})"""
