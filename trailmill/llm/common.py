@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,13 @@ def map_column(function: Callable[..., pa.Array], schema: str, *inputs: Column)
     return arrow_udf(sliced, schema).asNondeterministic()(*inputs)
 
 
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows, without a copy."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def unused(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of the frame's columns, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_column, staged, utf8
+from .common import map_column, slices_of, staged, utf8
 
 SAMPLE = 400
 #: Hashed trigrams of the model.
@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(index), FEATURES), np.int64)
-        for batch in batches:
+        for batch in slices_of(batches):
             for lang, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 sums[index[lang]] += np.bincount(trigrams(data), minlength=FEATURES)
         lang, feature = np.nonzero(sums)

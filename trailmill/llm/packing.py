@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices_of
 from .tokens import encode, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
             labels = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], labels)
 
-        for batch in batches:
+        for batch in slices_of(batches):
             id_type = batch.column(0).type
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(keys), 256):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, folder, staged, utf8
+from .common import discard, folder, slices_of, staged, utf8
 
 WINDOW = 35
 GRAM = 8
@@ -136,7 +136,7 @@ def anchors_of(words: np.ndarray, parts: list[tuple[int, int, int, int]]) -> tup
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices_of(batches):
         ids, hashes = batch.column(0), batch.column(1)
         for words, parts in slices(utf8(batch.column(2))):
             part, gram, stretch, start, count = anchors_of(words, parts)
@@ -157,7 +157,7 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extend_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows of the given stretches."""
-    for batch in batches:
+    for batch in slices_of(batches):
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for data, stretches in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words = data.split()
@@ -240,7 +240,7 @@ def maximal_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             rows, starts, lengths = [], [], []
             for k, (data, stretches) in enumerate(zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
                 edge = np.diff(np.concatenate(([0], covered_words(len(data.split()), stretches), [0])).astype(np.int8))
@@ -262,7 +262,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             totals, removed, kept = [], [], []
             for data, stretches in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = data.split()
