@@ -95,17 +95,6 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of a batch of whole texts, unless the session asks for another number than Spark's own.
-TEXTS_PER_BATCH = 1_000
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of fewer rows than numbers do, which bounds a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(TEXTS_PER_BATCH))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
