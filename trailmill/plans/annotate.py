@@ -14,7 +14,8 @@ from ..operators import phases as ph
 from ..operators import scoring as sc
 from ..operators import sequences as seq
 from . import publication as pub
-from .registry import frames, query, table
+from . import published
+from .registry import boxes, frames, query, table
 from .stateful_queries import MACHINE
 
 
@@ -44,6 +45,27 @@ def annotated(windows: DataFrame, found: DataFrame, signals: DataFrame, by: str,
     return pub.published_rows(rows)
 
 
+def annotated_arms(windows: DataFrame, found: DataFrame, signals: DataFrame, by: str, dataset: Column, instruction: Column, phases: DataFrame | None = None) -> DataFrame:
+    """(annotation_id, line) of windows whose candidates belong to arms: each arm has a winner of its own, and a line
+    lists the arms. found: (by, subtask, arm, cand, x1 to y2, conf, label); signals: (by, subtask, arm, cand, snr, sphere,
+    overlap, depth_gap). A null arm is a robot's only one, whose winner stands at the top of the line."""
+    keys = [by, "subtask"]
+    named = lambda df: df.withColumn("arm__", F.coalesce("arm", F.lit(""))).drop("arm")
+    scored = pub.features(named(found).join(named(signals), [*keys, "arm__", "cand"]), [*keys, "arm__"])
+    won = sc.winner(scored, [*keys, "arm__"], "score")
+    ids = (F.col(by).cast("string").alias("trajectory_id"), F.col("subtask").cast("int").alias("subtask_index"))
+    arm, nothing = F.nullif(F.col("arm__"), F.lit("")).alias("arm"), lambda kind: F.lit(None).cast(kind)
+    box = F.array("x1", "y1", "x2", "y2")
+    objects = won.select(
+        *ids, arm, "label", nothing("string").alias("instance_id"), nothing("string").alias("relation_to_previous"), nothing("bigint").alias("detection_frame"), box.alias("initial_box"), F.col("conf").alias("initial_score"),
+        nothing("array<double>").alias("target_box"), nothing("double").alias("target_score"), nothing("boolean").alias("verified"), nothing("map<bigint,array<double>>").alias("intermediate"), F.col("cand").cast("bigint").alias("selected"),
+        F.struct(F.lit("adaptive_score").alias("method"), F.round("score", 6).alias("score"), F.col("cand").cast("bigint").alias("selected_candidate_index")).alias("selection"),
+    )
+    candidates = named(found).select(*ids, arm, F.lit("initial").alias("kind"), "cand", box.alias("box"), "conf", F.col("cand").alias("source"))
+    annotations = windows.join(won.select(*keys).distinct(), keys).select(dataset.alias("dataset_id"), *ids, nothing("string").alias("camera_view"), "start_frame", "end_frame", instruction.alias("instruction"))
+    return published.assembled(annotations, objects, phases, candidates=candidates)
+
+
 INTER = "greatest(0.0, least(i.x2, j.x2) - greatest(i.x1, j.x1)) * greatest(0.0, least(i.y2, j.y2) - greatest(i.y1, j.y1))"
 
 
@@ -80,3 +102,27 @@ def annotate(spark, sf_dir):
         get("$.source.trajectory_id", "bigint").alias("traj"), get("$.window.start_frame", "bigint").alias("start_frame"), get("$.window.end_frame_exclusive", "bigint").alias("end_frame"),
         get("$.selection.selected_candidate_index", "bigint").alias("candidate"), get("$.selection.score", "double").alias("score"), "annotation_id",
     )
+
+
+@query(
+    "q_annotate_arms",
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey % 3 = 0 AS single FROM orders), b AS (SELECT grp, CASE WHEN single THEN '' WHEN idx % 2 = 0 THEN 'left' ELSE 'right' END AS arm, idx, x1, y1, conf FROM v_boxes JOIN o ON k = grp),
+ f AS (SELECT *, CASE WHEN max(x1) OVER v > min(x1) OVER v THEN (x1 - min(x1) OVER v) / (max(x1) OVER v - min(x1) OVER v) ELSE 1.0 END AS sn, CASE WHEN max(y1) OVER v > min(y1) OVER v THEN (y1 - min(y1) OVER v) / (max(y1) OVER v - min(y1) OVER v) ELSE 1.0 END AS sp,
+ greatest(0.0, least(1.0, ((y1 % 30) / 100.0 - 0.05) / 0.2)) AS rel, greatest(0.0, least(1.0, ((x1 % 10) / 9.0 - 0.3) / 0.7)) AS ex FROM b WINDOW v AS (PARTITION BY grp, arm)),
+ s AS (SELECT grp, arm, idx, conf, 0.5 * sn + (0.75 - 0.15 * sp) * conf + 0.3 * sp - (1.45 * ex * ex * (1 - 0.85 * rel) + CASE WHEN (x1 % 10) / 9.0 > 0.98 THEN 0.2 * (1 - rel) ELSE 0.0 END) AS score FROM f),
+ w AS (SELECT *, row_number() OVER (PARTITION BY grp, arm ORDER BY score DESC, idx) AS p, first_value(idx) OVER (PARTITION BY grp, arm ORDER BY conf DESC, idx) AS sure FROM s)
+ SELECT grp, arm, idx AS candidate, sure AS detector FROM w WHERE p = 1""",
+)
+def annotate_arms(spark, sf_dir):
+    """Winners by arm out of the published lines: orders as windows, their lines as candidates, every third customer's with one arm."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("traj"), (F.col("o_custkey") % 3 == 0).alias("single"))
+    lines = boxes(spark, sf_dir).join(orders, F.col("grp") == F.col("traj"))
+    arm = F.when(~F.col("single"), F.when(F.col("idx") % 2 == 0, "left").otherwise("right")).alias("arm")
+    found = lines.select("traj", F.lit(0).alias("subtask"), arm, F.col("idx").alias("cand"), "x1", "y1", "x2", "y2", "conf", F.lit("cup").alias("label"))
+    signals = found.select("traj", "subtask", "arm", "cand", F.col("x1").alias("snr"), F.col("y1").alias("sphere"), ((F.col("x1") % 10) / 9).alias("overlap"), ((F.col("y1") % 30) / 100).alias("depth_gap"))
+    windows = orders.select("traj", F.lit(0).alias("subtask"), F.lit(0).cast("bigint").alias("start_frame"), F.lit(40).cast("bigint").alias("end_frame"))
+    out = annotated_arms(windows, found, signals, "traj", F.lit("orders"), F.lit("Pick it"))
+    record = "struct<arm:string,selection:struct<score:double,selected_candidate_index:bigint>,baselines:struct<detector:struct<initial:struct<tracked_candidate_index:bigint>>>>"
+    read = out.select(F.get_json_object("line", "$.source.trajectory_id").cast("bigint").alias("grp"), F.from_json("line", record).alias("own"), F.from_json("line", f"struct<arms:array<{record}>>")["arms"].alias("arms"))
+    each = read.select("grp", F.explode(F.coalesce("arms", F.array("own"))).alias("a"))
+    return each.select("grp", F.coalesce("a.arm", F.lit("")).alias("arm"), F.col("a.selection.selected_candidate_index").alias("candidate"), F.col("a.baselines.detector.initial.tracked_candidate_index").alias("detector"))

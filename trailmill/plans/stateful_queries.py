@@ -162,3 +162,20 @@ def array_bundles(spark, sf_dir):
     entry = F.col("arrays")["trace"]
     out = back.select("cand", measured(entry["dtype"], entry["data"]).alias("m"))
     return out.select("cand", F.col("m.n_frames").alias("n_frames"), F.round("m.mean_x", 2).alias("mean_x"))
+
+
+@query(
+    "q_shards",
+    """WITH b AS (SELECT o_orderpriority AS dataset, o_orderkey AS k, 16 * (1 + o_orderkey % 9) AS bytes FROM orders) SELECT k, CAST(floor(coalesce(sum(bytes) OVER (PARTITION BY dataset ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096) AS INTEGER) AS shard,
+ 'trajectories/t%2F' || k || '/subtasks/' || lpad(CAST(k % 7 AS VARCHAR), 4, '0') || '/id' || k AS place FROM b""",
+)
+def shards(spark, sf_dir):
+    """Bundles of different sizes in shards of 4 KB, and where each lies in its own."""
+    from ..sources import arrays
+
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), k.alias("k"), F.repeat(F.lit("x"), (16 * (1 + k % 9)).cast("int")).cast("binary").alias("data"))
+    bundle = F.create_map(F.lit("a"), F.struct(F.lit("uint8").alias("dtype"), F.array(F.lit(1)).alias("shape"), F.col("data").alias("data")))
+    rows = arrays.sharded(orders.withColumn("arrays", bundle), ["dataset"], ["k"], arrays.bundle_bytes(F.col("arrays")), 4096)
+    at = arrays.storage(F.concat(F.lit("t/"), F.col("k").cast("string")), F.col("k") % 7, F.concat(F.lit("id"), F.col("k").cast("string")), F.col("shard"))
+    return rows.select("k", "shard", at["group"].alias("place"))

@@ -49,6 +49,33 @@ def bundle_of_text(df: DataFrame, blob: str, name: str = "arrays") -> DataFrame:
     return df.withColumn(name, F.map_from_entries(entries))
 
 
+#: Bytes of a shard after which the next one begins; fixed value of the method.
+SHARD_BYTES = 1 << 30
+
+
+def bundle_bytes(bundle: Column) -> Column:
+    """Bytes of a bundle's tensors."""
+    return F.aggregate(F.map_values(bundle), F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["data"]))
+
+
+def sharded(df: DataFrame, by: list[str], order: list[str], size: Column, target: int = SHARD_BYTES) -> DataFrame:
+    """Adds `shard`: rows of a group in order, a new shard after every `target` bytes. A shard has at most the target
+    and one row more. Groups (a dataset's writers) are independent, so shards are made side by side."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("shard", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / target).cast("int"))
+
+
+def storage(trajectory: Column, subtask: Column, identity: Column, shard: Column) -> Column:
+    """Where an annotation's arrays lie: the shard's folder, and the group that names them there."""
+    from ..functions.text import quoted
+
+    group = F.concat(F.lit("trajectories/"), quoted(trajectory), F.lit("/subtasks/"), F.lpad(subtask.cast("string"), 4, "0"), F.lit("/"), identity)
+    return F.struct(F.concat(F.lit("shard="), shard.cast("string")).alias("path"), group.alias("group"))
+
+
 def write_bundles(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
-    """Bundles as Parquet by dataset, in files of a bounded number of rows."""
-    df.write.mode("append").partitionBy("dataset").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    """Bundles as Parquet by dataset, and by shard where rows have one, in files of a bounded number of rows."""
+    parts = ["dataset", *(["shard"] if "shard" in df.columns else [])]
+    df.write.mode("append").partitionBy(*parts).option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Parts of a sink by the hash of its keys.
+KEY_PARTS = 64
+
+
 def append_new(stream: DataFrame, sink: str, key: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends rows whose key the sink does not have yet; a batch that runs twice adds nothing."""
+    """Appends rows whose key the sink does not have yet; a batch that runs twice adds nothing. The sink is dealt
+    into folders by the hash of its keys (column key_part), so a batch reads the keys of those folders alone in
+    which its own keys would lie."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")).persist()
         try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(sink).select(key).distinct(), key, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(sink)
+            parts = [r[0] for r in fresh.select("key_part").distinct().collect()]
+            rows = fresh
+            try:
+                held = batch.sparkSession.read.parquet(sink).where(F.col("key_part").isin(parts)).select("key_part", key).distinct()
+                rows = fresh.join(held, ["key_part", key], "left_anti")
+            except Exception as error:
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+            rows.write.mode("append").partitionBy("key_part").parquet(sink)
+        finally:
+            fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
