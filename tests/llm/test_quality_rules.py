@@ -86,6 +86,12 @@ def plain_verdicts(texts):
         middle = statistics.median(q[1] + slope * (k - j) for j, _, q in near)
         return lean(sum(len(r) for _, r, _ in near), middle, max(0.02, statistics.median(q[2] - q[0] for _, _, q in near)), k)
 
+    def between(n):
+        """The limits of a length, between the middles of its class and the next one's."""
+        place = max(0.0, 2 * math.log2(n) - 0.5)
+        (a, b), (c, d), share = limits(int(place)), limits(int(place) + 1), place - int(place)
+        return a * (1 - share) + c * share, b * (1 - share) + d * share
+
     if len(chunks) >= 8:
         low, middle, high = quartiles(chunks)
         of_chunks = lean(len(chunks), middle, max(0.02, high - low), 24)
@@ -96,10 +102,10 @@ def plain_verdicts(texts):
         b = good.get(i)
         ok = b is not None
         if ok:
-            low, high = limits(half_octave(len(b)))
+            low, high = between(len(b))
             bad = 0
             for c in parts(b):
-                least, most = of_chunks if len(c) == 4_096 else limits(half_octave(len(c)))
+                least, most = of_chunks if len(c) == 4_096 else between(len(c))
                 bad += not least <= ratio(c) <= most
             ok = low <= ratio(b) <= high and bad <= 0.5 * len(parts(b))
         out.append(ok)

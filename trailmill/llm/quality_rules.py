@@ -11,7 +11,8 @@ The limits come from the corpus: all texts that pass the base rule are counted b
 interquartile ranges under the median to ABOVE over it. A class leans on its neighbours, by medians
 of five, so that a group of copies, which lies in one class, moves no limit; and on the wide bands
 BANDS, which count as PRIOR texts, so that a class of which little is seen rejects little. Counts are
-exact and small, so the limits are the same for any order of rows and after any lost task.
+exact and small, so the limits are the same for any order of rows and after any lost task. Between the
+middles of two classes the limits run straight, since ratios grow steadily with the length.
 
 Defined cases: a null text is an empty one; an empty text has zero words, ratio 0.0, and fails
 the base rule. Rows are judged one by one, so repeated rows and ties get equal verdicts (each row
@@ -56,7 +57,7 @@ PRIOR, LEAST_RANGE = 10.0, 0.02
 
 SCHEMA = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
-    "base_failed:boolean,ratio:double,size_class:int,chunks:array<double>,last_chunk:double,last_class:int>"
+    "base_failed:boolean,ratio:double,size:double,chunks:array<double>,last_chunk:double,last_size:double>"
 )
 
 
@@ -94,9 +95,9 @@ def inside(ratio: float, length: int, bands=BANDS) -> bool:
     return low <= ratio <= high
 
 
-def size_class(length: int) -> int:
-    """Half octaves of the length in bytes."""
-    return min(CLASSES - 1, int(2 * np.log2(length))) if length else 0
+def half_octaves(length: int) -> float:
+    """The length in bytes in half octaves; a length class is its whole part."""
+    return min(CLASSES - 0.5, float(2 * np.log2(length))) if length else 0.0
 
 
 def figures(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
@@ -107,7 +108,7 @@ def figures(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     repeats = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED * len(words)
     ratio = len(data) / len(packer.compress(data)) if data else 0.0
-    chunks, last, last_class = [], None, None
+    chunks, last, last_size = [], None, None
     for at in range(0, len(data), CHUNK_BYTES):
         chunk = data[at : at + CHUNK_BYTES]
         if len(chunk) >= LEAST_CHUNK:
@@ -115,15 +116,15 @@ def figures(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
             if len(chunk) == CHUNK_BYTES:
                 chunks.append(part)
             else:
-                last, last_class = part, size_class(len(chunk))
-    return len(words), word_chars, n_symbols, duplicate_lines(data), repeats, failed, ratio, size_class(len(data)), chunks, last, last_class
+                last, last_size = part, half_octaves(len(chunk))
+    return len(words), word_chars, n_symbols, duplicate_lines(data), repeats, failed, ratio, half_octaves(len(data)), chunks, last, last_size
 
 
 def measured(texts: pa.Array) -> pa.Array:
     packer = zstandard.ZstdCompressor(level=LEVEL)
     rows = [figures(data, packer) for data in utf8(texts)]
-    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed ratio size_class chunks last_chunk last_class".split()
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int32()]
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed ratio size chunks last_chunk last_size".split()
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -143,7 +144,7 @@ def counted(rows: DataFrame, q: str) -> dict[int, dict[int, int]]:
     At most (CLASSES + 1) * STEPS counts reach the driver."""
     step = lambda r: F.least(F.floor(r / STEP), F.lit(STEPS - 1)).cast("int")
     good = rows.where(~F.col(q)["base_failed"]).select(F.col(q).alias("q"))
-    whole = F.struct(F.col("q.size_class").alias("k"), step(F.col("q.ratio")).alias("r"))
+    whole = F.struct(F.floor("q.size").cast("int").alias("k"), step(F.col("q.ratio")).alias("r"))
     parts = F.transform("q.chunks", lambda c: F.struct(F.lit(CHUNKS).alias("k"), step(c).alias("r")))
     table = good.select(F.explode(F.concat(F.array(whole), parts)).alias("x")).groupBy("x.k", "x.r").count().collect()
     out: dict[int, dict[int, int]] = defaultdict(dict)
@@ -183,7 +184,7 @@ def fitted(counts: dict[int, dict[int, int]], bands=BANDS) -> list[tuple[float,
         middle = float(np.median([of[j][2] + slope * (k - j) for j in near]))
         spread = max(LEAST_RANGE, float(np.median([of[j][3] - of[j][1] for j in near])))
         out.append(leaned(sum(of[j][0] for j in near), middle - BELOW * spread, middle + ABOVE * spread, wide(k, bands)))
-    prior = wide(size_class(CHUNK_BYTES), bands)
+    prior = wide(int(half_octaves(CHUNK_BYTES)), bands)
     if CHUNKS not in of:
         return [*out, prior]
     n, low, middle, high = of[CHUNKS]
@@ -199,11 +200,19 @@ def fit(docs: DataFrame, text: str = "text") -> list[tuple[float, float]]:
 def verdict(q: str, limits: list[tuple[float, float]]) -> list[Column]:
     """n_chunks, n_bad_chunks and kept, from the figures in the struct q."""
     lows, highs = (F.array(*(F.lit(float(x[i])) for x in limits)) for i in (0, 1))
-    outside = lambda r, k: ~r.between(F.element_at(lows, k + 1), F.element_at(highs, k + 1))
+    outside_chunk = lambda r: ~r.between(*limits[CLASSES])
+
+    def outside(ratio: Column, size: Column) -> Column:
+        place = F.greatest(F.lit(0.0), F.least(size - 0.5, F.lit(CLASSES - 1.0)))
+        below = F.floor(place).cast("int")
+        share = place - below
+        at = lambda limit: F.element_at(limit, below + 1) * (1 - share) + F.element_at(limit, F.least(below + 2, F.lit(CLASSES))) * share
+        return ~ratio.between(at(lows), at(highs))
+
     at = F.col(q)
     n = F.size(at["chunks"]) + at["last_chunk"].isNotNull().cast("int")
-    bad = F.size(F.filter(at["chunks"], lambda c: outside(c, F.lit(CLASSES)))) + F.coalesce(outside(at["last_chunk"], at["last_class"]).cast("int"), F.lit(0))
-    kept = ~at["base_failed"] & ~outside(at["ratio"], at["size_class"]) & (bad <= BAD_CHUNKS * n)
+    bad = F.size(F.filter(at["chunks"], outside_chunk)) + F.coalesce(outside(at["last_chunk"], at["last_size"]).cast("int"), F.lit(0))
+    kept = ~at["base_failed"] & ~outside(at["ratio"], at["size"]) & (bad <= BAD_CHUNKS * n)
     return [n.alias("n_chunks"), bad.alias("n_bad_chunks"), kept.alias("kept")]
 
 
