@@ -74,3 +74,20 @@ def test_extra_columns_with_clashing_names(spark, folder):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, path)
         assert out.count() > 0
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of 60,000 words pass every stage whole: a copy goes, a passage near the end is found, a key there is cut out."""
+    rng = random.Random(16)
+    item, key = prose(rng, 25), "password=hunter2hunter2"
+    long = prose(rng, 60_000)
+    rows = [(1, long), (2, long), (3, f"{prose(rng, 60_000)} {item} end"), (4, f"{prose(rng, 60_000)} {key}")]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 4}
+    for k, text in ((1, long), (4, rows[3][1].replace(key, "<ASSIGN>"))):
+        from trailmill.llm.tokens import encode, vocabulary
+
+        n = len(encode([text], vocabulary("byte_bpe_50k.json"))[0]) // 4 + 1
+        assert {r.doc_tokens for r in pieces if r.doc_id == k} == {n} and sum(r.length for r in pieces if r.doc_id == k) == n
