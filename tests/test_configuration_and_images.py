@@ -66,3 +66,54 @@ def test_tasks_of_a_table_are_numbered_as_they_lie(spark, tmp_path):
     (tmp_path / "meta").mkdir()
     spark.createDataFrame([(t,) for t in "zyxab"], "task string").coalesce(1).write.parquet(f"{tmp_path}/meta/tasks.parquet")
     assert [r.task for r in ds.tasks(spark, str(tmp_path), True).orderBy("task_index").collect()] == list("zyxab")
+
+
+def test_datasets_of_a_tree(spark, tmp_path):
+    for leaf, n in (("home/a", 3), ("home/b c", 2), ("shop/x/y", 1)):
+        (tmp_path / leaf / "meta").mkdir(parents=True)
+        (tmp_path / leaf / "meta" / "info.json").write_text("{}")
+        spark.range(n).selectExpr("cast(id as string) as trajectory_id").write.parquet(f"{tmp_path}/{leaf}/data")
+    (tmp_path / "home" / "info.json").write_text("{}")
+    (tmp_path / "bad" / "meta").mkdir(parents=True)
+    (tmp_path / "bad" / "meta" / "info.json").write_text("{}")
+    assert ds.leaves(spark, str(tmp_path)) == ["bad", "home/a", "home/b c", "shop/x/y"]
+    rows = ds.tree(spark, str(tmp_path), "ego", lambda s, folder: s.read.parquet(f"{folder}/data")).collect()
+    assert len(rows) == 6 and {r.trajectory_id for r in rows if r.dataset == "ego/home/b c"} == {"ego/home/b c/0", "ego/home/b c/1"}
+    assert ds.tree(spark, str(tmp_path), "ego", lambda s, folder: s.read.parquet(f"{folder}/data"), ["shop/x/y"]).count() == 1
+    with pytest.raises(ValueError):
+        ds.tree(spark, str(tmp_path), "ego", lambda s, folder: s.read.parquet(f"{folder}/data"), ["bad"])
+
+
+def test_raw_tracks_are_stored_in_the_original_image(spark):
+    from trailmill.sources import arrays
+
+    tensor = lambda v: {"dtype": v.dtype.name, "shape": list(v.shape), "data": bytearray(v.tobytes())}
+    tracks = np.array([[[10, 20], [-1, -1]]], np.float32)
+    bundle = {"cotracker_tracks": tensor(tracks), "winner_idx": tensor(np.array([3], np.int32)), "candidate_masks": tensor(np.ones(2, np.uint8)), "gripper_tracks_3d": tensor(np.ones((1, 3), np.float32))}
+    df = spark.createDataFrame([(bundle,)], f"arrays {arrays.BUNDLE}")
+    got = arrays.raw_tracks(df, "arrays", F.lit(5), F.lit(7), F.lit(0.5)).first().arrays
+    assert set(got) == {"cotracker_tracks", "winner_idx"} and got["cotracker_tracks"].dtype == "float16"
+    assert arrays.unpack(got["cotracker_tracks"].asDict()).tolist() == [[[30, 54], [-1, -1]]] and arrays.unpack(got["winner_idx"].asDict()).tolist() == [3]
+    name = spark.createDataFrame([("/a b/c\\d/",)], "t string").select(arrays.stored_name(F.col("t"), F.lit(4))).first()[0]
+    assert name == "a_b_c_d_4"
+
+
+def test_remote_models():
+    from trailmill.plans.model_stages import Remote
+
+    calls = []
+
+    def send(method, arguments, seconds):
+        calls.append((method, arguments))
+        if len(calls) < 3:
+            raise ConnectionError("not yet")
+        if method == "verify":
+            raise ValueError("the model's own")
+        return "answer"
+
+    assert Remote(send, pause=0).parse("a", "b") == "answer" and calls == [("parse", ("a", "b"))] * 3
+    with pytest.raises(ValueError):
+        Remote(send, pause=0).verify("x", None)
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        Remote(send, attempts=2, pause=0).parse("a", "b")

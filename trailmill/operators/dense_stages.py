@@ -115,6 +115,16 @@ def oriented_extents(points: Column, percentile: float = 80.0, dims: int = 3) ->
     return _each(lambda p: dense.oriented_extents(points_of(p, dims), percentile).tolist(), "array<double>", points)
 
 
+def without_outliers(points: Column, neighbours: int = 20, deviations: float = 1.0, dims: int = 3) -> Column:
+    """A cloud without points that lie far from their neighbours."""
+
+    def kept(p: list[float]) -> list[float]:
+        cloud = points_of(p, dims)
+        return cloud[dense.inliers(cloud, neighbours, deviations)].reshape(-1).tolist()
+
+    return _each(kept, "array<double>", points)
+
+
 def grid_overlap(gripper: Column, candidate: Column, boxes: Column, size: int = 96, radius: int = 2, padding: float = 4.0) -> Column:
     """Share of a candidate's points where the gripper's points lie, on a grid over both; boxes: flat lists of four."""
     return _each(lambda g, c, b: dense.grid_overlap(points_of(g), points_of(c), [tuple(x) for x in np.asarray(b, float).reshape(-1, 4)], size, radius, padding), "double", gripper, candidate, boxes)

@@ -119,6 +119,17 @@ def tracked_box(spark, sf_dir):
     return out.select("vec_id", *(F.round(F.col("m")[k], 6).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))))
 
 
+@query(
+    "q_without_outliers",
+    f"""WITH {CELLS}, p AS (SELECT vec_id, i, x + CASE WHEN i = 3 THEN 500 ELSE 0 END AS x, y FROM e WHERE i < 16), d AS (SELECT a.vec_id, a.i, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON b.vec_id = a.vec_id AND b.i <> a.i),
+ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, i ORDER BY d) AS n FROM d), m AS (SELECT vec_id, i, avg(d) AS away FROM k WHERE n <= 5 GROUP BY vec_id, i), l AS (SELECT vec_id, avg(away) + 2 * stddev_pop(away) AS most FROM m GROUP BY vec_id) SELECT m.vec_id, CAST(count(*) AS INTEGER) AS n FROM m JOIN l ON l.vec_id = m.vec_id WHERE away <= most GROUP BY m.vec_id""",
+)
+def without_outliers(spark, sf_dir):
+    """Clouds of 16 points of which one lies far away."""
+    cloud = F.transform("mine", lambda x, i: x + F.when(i == 6, 500.0).otherwise(0.0))
+    return _vectors(spark, sf_dir).select("vec_id", (F.size(ds.without_outliers(cloud, 5, 2.0, 2)) / 2).cast("int").alias("n"))
+
+
 @query("q_oriented_extents", "WITH a AS (SELECT vec_id, i, abs(CAST(embedding[i + 1] AS DOUBLE)) * 100 + 50 AS a, abs(CAST(embedding[i + 11] AS DOUBLE)) * 10 + 1 AS b FROM embeddings, (SELECT unnest(range(10)) AS i)), p AS (SELECT vec_id, a AS x, 0.0::DOUBLE AS y FROM a UNION ALL SELECT vec_id, a, 0.0 FROM a UNION ALL SELECT vec_id, 0.0, b FROM a UNION ALL SELECT vec_id, 0.0, b FROM a) SELECT vec_id, round(quantile_cont(x, 0.8), 6) AS major, round(quantile_cont(y, 0.8), 6) AS minor FROM p GROUP BY vec_id")
 def oriented_extents(spark, sf_dir):
     """Clouds on two axes, each point with its mirror image, so that the principal axes are known."""

@@ -89,6 +89,12 @@ def prompts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ms.highlighted_prompt(F.col("p_name"), box).alias("highlighted"), ms.storyboard_prompt(F.col("p_name"), F.array(F.lit(3), F.col("p_size").cast("int"))).alias("storyboard"))
 
 
+@query("q_names_robot", "SELECT p_partkey, p_partkey % 4 < 3 AS robot FROM part")
+def names_robot(spark, sf_dir):
+    prompts = F.array(*(F.lit(x) for x in ("Robot hand", "a gripper.", "left ARM", "cup")))
+    return table(spark, sf_dir, "part").select("p_partkey", ms.names_robot(prompts[(F.col("p_partkey") % 4).cast("int")]).alias("robot"))
+
+
 @query("q_request_counts", "WITH a AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type), c AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct, count(c.p_brand) AS cached, count(*) - count(c.p_brand) AS sent FROM a LEFT JOIN c ON c.p_brand = a.p_brand AND c.p_type = a.p_type")
 def request_counts(spark, sf_dir):
     """Requests of a stage whose cache knows those of small parts."""

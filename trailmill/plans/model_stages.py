@@ -44,6 +44,38 @@ def stage(make: Callable, call: Callable, schema: str, *inputs: Column, in_fligh
     return F.arrow_udf(batch, schema).asNondeterministic()(*inputs)
 
 
+class Remote:
+    """A model that runs elsewhere, with the methods of its interface. Each call goes through `send(method, arguments,
+    seconds)`, at most so many times, with a growing pause after a failure of the connection; what the model itself
+    raised is raised here, at once."""
+
+    def __init__(self, send: Callable, attempts: int = 3, seconds: float = 600.0, pause: float = 0.5):
+        self._send, self._attempts, self._seconds, self._pause = send, attempts, seconds, pause
+
+    def __getattr__(self, method: str) -> Callable:
+        if method.startswith("_"):
+            raise AttributeError(method)
+
+        def call(*arguments):
+            import time
+
+            for k in range(self._attempts):
+                try:
+                    return self._send(method, arguments, self._seconds)
+                except (ConnectionError, TimeoutError):
+                    if k + 1 == self._attempts:
+                        raise
+                    time.sleep(self._pause * 2**k)
+
+        return call
+
+
+def names_robot(prompt: Column) -> Column:
+    """Whether a detector's prompt asks for the robot."""
+    low = F.lower(prompt)
+    return F.contains(low, F.lit("robot")) | F.contains(low, F.lit("gripper")) | F.contains(low, F.lit("arm"))
+
+
 def robot_prompts(arm: Column, specific: bool = True) -> Column:
     """What a detector is asked for to find the arm's gripper: its side first, then any."""
     side = F.when(arm.isin("left", "right"), F.concat(arm, F.lit(" robot gripper"))) if specific else F.lit(None).cast("string")

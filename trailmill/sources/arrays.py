@@ -49,6 +49,43 @@ def bundle_of_text(df: DataFrame, blob: str, name: str = "arrays") -> DataFrame:
     return df.withColumn(name, F.map_from_entries(entries))
 
 
+# Arrays that are never stored with raw tracks, and those that are only on request.
+NEVER_STORED = ("candidate_masks", "target_candidate_masks")
+ON_REQUEST = ("cotracker_tracks_3d", "gripper_tracks_3d")
+
+
+def stored_name(trajectory: Column, subtask: Column) -> Column:
+    """The name under which a trajectory's raw tracks are stored: no slashes or blanks."""
+    return F.concat_ws("_", F.regexp_replace(F.regexp_replace(trajectory, r"[/\s\\]+", "_"), "^_+|_+$", ""), subtask.cast("string"))
+
+
+def raw_tracks(df: DataFrame, arrays: str, left: Column, top: Column, scale: Column, with_clouds: bool = False) -> DataFrame:
+    """Bundles of raw tracks as they are stored: without masks (and clouds, unless asked for), places in pixels of the
+    original image (the crop's origin added, divided by the scale), floats in half precision. Arrays whose name says
+    tracks hold x and y in turn, boxes x1, y1, x2, y2; a place of -1, -1 is none and stays."""
+    dropped = [*NEVER_STORED, *([] if with_clouds else ON_REQUEST)]
+    kept = F.map_filter(F.col(arrays), lambda k, v: ~k.isin(*dropped))
+
+    @F.pandas_udf("array<struct<key:string,dtype:string,shape:array<int>,data:binary>>")
+    def restored(bundle: pd.Series, x: pd.Series, y: pd.Series, by: pd.Series) -> pd.Series:
+        out = []
+        for entries, dx, dy, s in zip(bundle, x, y, by, strict=True):
+            rows = []
+            for name, entry in (entries or {}).items():
+                value = unpack(entry)
+                if value.dtype.kind == "f" and name.endswith(("tracks", "boxes")) and value.shape[-1] in (2, 4):
+                    pairs = value.astype(float).reshape(-1, 2)
+                    none = (pairs == -1).all(axis=1)
+                    value = np.where(none[:, None], -1.0, (pairs + (dx, dy)) / s).reshape(value.shape)
+                value = value.astype(np.float16) if value.dtype.kind == "f" else value
+                rows.append({"key": name, "dtype": value.dtype.name, "shape": list(value.shape), "data": value.tobytes()})
+            out.append(rows)
+        return pd.Series(out)
+
+    entries = F.transform(restored(kept, left.cast("double"), top.cast("double"), scale.cast("double")), lambda e: F.struct(e["key"], F.struct(e["dtype"].alias("dtype"), e["shape"].alias("shape"), e["data"].alias("data"))))
+    return df.withColumn(arrays, F.map_from_entries(entries))
+
+
 #: Bytes of a shard after which the next one begins; fixed value of the method.
 SHARD_BYTES = 1 << 30
 

@@ -151,6 +151,32 @@ def united(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def leaves(spark: SparkSession, root: str, subset: list[str] | None = None) -> list[str]:
+    """Paths below the root of all datasets in a tree: folders with meta/info.json, in natural text order; or the
+    named ones. Read by Spark, so from any store."""
+    if subset:
+        return sorted(dict.fromkeys(subset))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "info.json").load(root).select("path")
+    full = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = full.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(full).toUri().getPath().rstrip("/")
+    below = F.regexp_extract(F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), f"^\\Q{base}\\E/?(.*?)/?meta/info\\.json$", 1)
+    return sorted(r[0] for r in found.where(F.col("path").endswith("/meta/info.json")).select(below).collect())
+
+
+def tree(spark: SparkSession, root: str, name: str, read, subset: list[str] | None = None) -> DataFrame:
+    """Every dataset of a tree as one table: read(spark, folder) for each leaf, with its path below the root in
+    `dataset` and in front of its keys. Leaves that can't be read are left out, as long as one can."""
+    parts, failed = {}, None
+    for leaf in leaves(spark, root, subset):
+        try:
+            parts[f"{name}/{leaf}" if leaf else name] = read(spark, f"{root.rstrip('/')}/{leaf}".rstrip("/"))
+        except Exception as error:  # a leaf of another layout: what is missing shows in the result's datasets
+            failed = error
+    if not parts:
+        raise ValueError(f"no dataset below {root} can be read") from failed
+    return united(parts)
+
+
 def label_segments(frames: DataFrame, by: list[str], label: str, skip: tuple[str, ...]) -> DataFrame:
     """Segments of equal labels, without those to skip and those that only drive."""
     from ..functions.text import is_body_motion, is_navigation
