@@ -9,6 +9,7 @@ from ..operators import scoring as sc
 from ..operators import sequences as seq
 from ..sources import datasets
 from . import publication as pub
+from . import selector
 from .registry import boxes, frames, query, spans, spans_sql, table, tracks
 
 
@@ -200,6 +201,38 @@ def preliminary_selector(spark, sf_dir):
     return pub.preliminary_score(_pairs(spark, sf_dir), ["grp"]).select("grp", "start", "target", F.round("score", 4).alias("score"))
 
 
+@query(
+    "q_selected_pairs",
+    """WITH p AS (SELECT traj, cand, pt, t, floor((x + 1) * 500) AS x, floor((y + 1) * 500) AS y, NOT (pt = 1 AND cand % 7 = 0) AS visible FROM v_tracks), st AS (SELECT traj, cand, min(x) - 30 AS x1, min(y) - 30 AS y1, max(x) + 30 + cand % 5 * 40 AS x2, max(y) + 30 + cand % 5 * 40 AS y2 FROM p WHERE t = 0 GROUP BY traj, cand),
+ ta AS (SELECT traj, k AS target, 300.0 + 100 * k AS x1, 350.0 + 20 * k AS y1, 480.0 + 130 * k AS x2, 600.0 AS y2, 0.5 + 0.1 * k AS conf FROM (SELECT DISTINCT traj FROM p), (SELECT unnest(range(3)) AS k)), al AS (SELECT * FROM p WHERE visible),
+ dn AS (SELECT traj, cand, pt, t, sqrt(pow(x / 1000.0 - lag(x / 1000.0) OVER w, 2) + pow(y / 1000.0 - lag(y / 1000.0) OVER w, 2)) AS m, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS px FROM al WINDOW w AS (PARTITION BY traj, cand, pt ORDER BY t)), d AS (SELECT * FROM dn WHERE m IS NOT NULL),
+ pp AS (SELECT traj, cand, pt, avg(m) AS me, sum(m) FILTER (t BETWEEN 5 AND 9) AS si, count(*) FILTER (t BETWEEN 5 AND 9) AS ni, sum(m) FILTER (t NOT BETWEEN 5 AND 9) AS so, count(*) FILTER (t NOT BETWEEN 5 AND 9) AS no FROM d GROUP BY traj, cand, pt), la AS (SELECT traj, cand, pt, x, y FROM al WHERE t = 15),
+ ar AS (SELECT la.traj, la.cand, target, count(*) AS points, avg(me) AS movement, sum(si) / sum(ni) AS mi, sum(so) / sum(no) AS mo FROM la JOIN pp USING (traj, cand, pt) JOIN ta ON ta.traj = la.traj AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY la.traj, la.cand, target),
+ v AS (SELECT traj, cand, t, median(px) * 10 AS mo FROM d GROUP BY traj, cand, t), sm AS (SELECT traj, cand, sum(mo) OVER (PARTITION BY traj, cand ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM v), sp AS (SELECT traj, cand, avg(s) AS own FROM sm GROUP BY traj, cand),
+ e AS (SELECT st.traj, st.cand, ta.target, coalesce(points, 0) AS points, coalesce(movement, 0.0) AS movement, coalesce(CASE WHEN mi + mo > 0.001 THEN mi / (mi + mo) ELSE 0.0 END, 0.0) AS temporal, own FROM st JOIN ta ON ta.traj = st.traj LEFT JOIN ar ON ar.traj = st.traj AND ar.cand = st.cand AND ar.target = ta.target LEFT JOIN sp ON sp.traj = st.traj AND sp.cand = st.cand),
+ nx AS (SELECT i.traj, i.cand, greatest(0.0, least(i.x2, j.x2) - greatest(i.x1, j.x1)) * greatest(0.0, least(i.y2, j.y2) - greatest(i.y1, j.y1)) / ((i.x2 - i.x1) * (i.y2 - i.y1)) AS ratio, j.cand AS outer_cand FROM st i JOIN st j ON i.traj = j.traj AND i.cand <> j.cand WHERE (j.x2 - j.x1) * (j.y2 - j.y1) > (i.x2 - i.x1) * (i.y2 - i.y1)),
+ ne AS (SELECT a.traj, a.cand, a.target, max(0.15 * (least(a.points, b.points) / greatest(a.points, b.points) + CASE WHEN greatest(a.movement, b.movement) > 0 THEN least(a.movement, b.movement) / greatest(a.movement, b.movement) ELSE 1.0 END) / 2) AS pen FROM nx JOIN e a ON a.traj = nx.traj AND a.cand = nx.cand JOIN e b ON b.traj = nx.traj AND b.cand = nx.outer_cand AND b.target = a.target
+  WHERE ratio > 0.3 AND a.points >= 1 AND b.points >= 1 AND least(a.points, b.points) / greatest(a.points, b.points) > 0.5 AND CASE WHEN greatest(a.movement, b.movement) > 0 THEN least(a.movement, b.movement) / greatest(a.movement, b.movement) ELSE 1.0 END > 0.5 GROUP BY a.traj, a.cand, a.target),
+ bs AS (SELECT traj, CASE WHEN count(own) >= 3 THEN median(own) ELSE 0.0 END AS base FROM (SELECT DISTINCT traj, cand, own FROM e) GROUP BY traj), c AS (SELECT e.*, coalesce(pen, 0.0) AS pen, base, greatest(max(points) OVER (PARTITION BY e.traj), 1) AS most FROM e JOIN bs ON bs.traj = e.traj LEFT JOIN ne ON ne.traj = e.traj AND ne.cand = e.cand AND ne.target = e.target),
+ g AS (SELECT *, CASE WHEN own > 0 THEN least(1.0, CASE WHEN base <= 0 THEN own / 0.01 ELSE greatest(0.0, own / base - 1) END) ELSE 0.0 END AS gate FROM c),
+ s AS (SELECT *, CASE WHEN movement < 0.0005 OR points < 1 THEN 0.0 ELSE (0.35 / 0.85 * points / most * gate + 0.35 / 0.85 * least(ln(1 + 100 * greatest(movement - base, 0.0)) / 5, 1.0) + 0.15 / 0.85 * temporal) * CASE WHEN points > 2 AND movement > 0.001 AND temporal > 0.5 THEN 1.3 ELSE 1.0 END END * (1 - pen) AS score FROM g),
+ z AS (SELECT s.*, conf, (x2 - x1) * (y2 - y1) AS area, max(score) OVER (PARTITION BY s.traj) AS top, max((x2 - x1) * (y2 - y1)) OVER (PARTITION BY s.traj) AS largest FROM s JOIN ta ON ta.traj = s.traj AND ta.target = s.target),
+ k AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY score + 0.1 * (1 - area / largest) + 0.08 * conf + 0.05 * least(points / (area / largest) / most, 1.0) DESC, cand, target) AS p FROM z WHERE top > 0 AND score >= top * 0.7)
+ SELECT traj, cand AS start, target, CAST(points AS BIGINT) AS points, CASE WHEN movement < 0.001 THEN 'best_match_insufficient_movement' WHEN points < 2 THEN 'best_match_insufficient_points' END AS reason FROM k WHERE p = 1""",
+)
+def selected_pairs(spark, sf_dir):
+    """From tracks to the best pair of start and target, on images of a thousand pixels; some points are never seen."""
+    pixel = lambda c: F.floor((F.col(c) + 1) * 500).cast("double").alias(c)
+    points = tracks(spark, sf_dir).select("traj", F.col("cand").alias("start"), "pt", "t", pixel("x"), pixel("y"), (~((F.col("pt") == 1) & (F.col("cand") % 7 == 0))).alias("visible"))
+    grow = F.col("start") % 5 * 40
+    starts = points.where("t = 0").groupBy("traj", "start").agg((F.min("x") - 30).alias("x1"), (F.min("y") - 30).alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    starts = starts.withColumns({"x2": F.col("x2") + 30 + grow, "y2": F.col("y2") + 30 + grow})
+    box = lambda k: F.struct(F.lit(k).alias("target"), F.lit(300.0 + 100 * k).alias("x1"), F.lit(350.0 + 20 * k).alias("y1"), F.lit(480.0 + 130 * k).alias("x2"), F.lit(600.0).alias("y2"), F.lit(0.5 + 0.1 * k).alias("conf"))
+    targets = points.select("traj").distinct().select("traj", F.explode(F.array(*map(box, range(3)))).alias("b")).select("traj", F.col("b.target").cast("bigint").alias("target"), "b.x1", "b.y1", "b.x2", "b.y2", "b.conf")
+    out = selector.selected_pairs(points, starts, targets, ["traj"], F.col("t").between(5, 9), (1000.0, 1000.0), 10.0)
+    return out.select("traj", "start", "target", "points", "reason")
+
+
 @query(
     "q_confidence",
     """SELECT grp, idx, round((0.25 * conf + CASE WHEN idx % 4 = 0 THEN 0 ELSE 0.75 * (y1 / 61) END) * CASE idx % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0.2 END, 4) AS confidence FROM v_boxes""",
