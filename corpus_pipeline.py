@@ -11,27 +11,38 @@ from pyspark.sql import functions as F
 from trailmill.llm import decontaminate, packing, quality_rules, secret_scan, simhash
 from trailmill.llm.common import staged, table
 
+#: Rows of a batch of whole texts. Spark's own bound is by bytes, 64 MB, and holds such a batch several times over.
+ROWS_PER_BATCH = 1_000
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """The documents, in a session whose batches for Python are smaller, unless it was given a number of its own."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ROWS_PER_BATCH))
+    return docs
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged, q = quality_rules.quality(docs)
+    judged, q = quality_rules.quality(_texts(docs))
     return judged.where(F.col(q)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
-    return simhash.distinct_documents(docs, width=5, similarity=0.8)
+    return simhash.distinct_documents(_texts(docs), width=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    marked, leaks = decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"))
+    marked, leaks = decontaminate.flagged(_texts(docs), table(spark, sf_dir, "benchmark"))
     return marked.where(~F.col(leaks)).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; all documents stay."""
-    clean = secret_scan.redacted(docs)
+    clean = secret_scan.redacted(_texts(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
@@ -39,7 +50,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
-    return packing.digest(docs)
+    return packing.digest(_texts(docs))
 
 
 STAGES = [
