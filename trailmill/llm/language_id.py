@@ -76,18 +76,20 @@ def visible(html: bytes) -> bytes:
 
 
 def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log-likelihoods (language, trigram), from rows (lang, text), counted on the executors."""
+    """Log-likelihoods (language, trigram), from rows (lang, text), counted on the executors. Of rows with
+    a true column `markup` the text is the visible one."""
     index = {lang: k for k, lang in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(index), FEATURES), np.int64)
         for batch in slices_of(batches):
-            for lang, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                sums[index[lang]] += np.bincount(trigrams(data), minlength=FEATURES)
+            for lang, data, markup in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                sums[index[lang]] += np.bincount(trigrams(visible(data) if markup else data), minlength=FEATURES)
         lang, feature = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(feature), pa.array(sums[lang, feature])], ["lang", "feature", "n"])
 
-    rows = labelled.mapInArrow(counted, "lang bigint, feature bigint, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    markup = F.col("markup") if "markup" in labelled.columns else F.lit(False)
+    rows = labelled.select("lang", "text", markup.alias("markup")).mapInArrow(counted, "lang bigint, feature bigint, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     counts = np.full((len(languages), FEATURES), TRIGRAM)
     for r in rows:
         counts[r["lang"], r["feature"]] += r["n"]
@@ -95,26 +97,25 @@ def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def sample(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The bounded labelled sample (lang, text), and all languages, from rows (lang, key, text): of each language
+    """The bounded labelled sample (lang, text, markup), and all languages, from rows (lang, key, text, markup): of each language
     the rows whose key, a hash, is below the share that SAMPLE is of its count. A filter, so nothing is ranked or shuffled."""
     rows = rows.where("lang <> ''")
     counted = rows.groupBy("lang").count().collect()
     last = {r["lang"]: min((1 << 63) - 1, int(SAMPLE / r["count"] * (1 << 64)) - (1 << 63)) for r in counted}
     if not last:
-        return rows.select("lang", "text"), []
+        return rows.select("lang", "text", "markup"), []
     limits = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
-    return rows.where(F.col("key") <= F.try_element_at(limits, F.col("lang")).cast("bigint")).select("lang", "text"), sorted(last)
+    return rows.where(F.col("key") <= F.try_element_at(limits, F.col("lang")).cast("bigint")).select("lang", "text", "markup"), sorted(last)
 
 
 def labelled_documents(docs: DataFrame) -> DataFrame:
     lang = F.lower(F.regexp_extract(F.coalesce(F.col("lang"), F.lit("")), "^([A-Za-z]{2,3})", 1))
-    return docs.select(lang.alias("lang"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
+    return docs.select(lang.alias("lang"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"), F.lit(False).alias("markup"))
 
 
 def labelled_pages(pages: DataFrame) -> DataFrame:
-    """Pages by what their markup declares; the text is the visible one."""
-    shown = map_column(lambda t: pa.array([visible(d).decode("utf-8", "replace") for d in utf8(t)], pa.string()), "string", F.col("html"))
-    return pages.select(F.coalesce(declared_language(F.col("html")), F.lit("")).alias("lang"), F.xxhash64("page_id", "html").alias("key"), shown.alias("text"))
+    """Pages by what their markup declares."""
+    return pages.select(F.coalesce(declared_language(F.col("html")), F.lit("")).alias("lang"), F.xxhash64("page_id", "html").alias("key"), F.col("html").alias("text"), F.lit(True).alias("markup"))
 
 
 def text_scores(texts: pa.Array, model: np.ndarray, markup: bool = False) -> pa.Array:
