@@ -1,6 +1,13 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 Every stage but the last returns the columns of documents; the last returns the packed pieces.
+
+Defined cases, of every stage: a null text is an empty one, which the quality rules reject as too short; if it comes to a
+later stage it stays (one of all empty texts past near-dedup), holds no passage and no secret, and packs as the closing
+token. Null ids are rows like others; of near-duplicates a null id is the least. Rows equal in id and text are one
+document after near-dedup, and separate ones in the other stages. Ties in near-dedup go to the least id. Texts are taken
+whole, however long. Empty tables give empty results, an empty benchmark flags nothing. Extra columns pass through every
+stage but the last, whatever their names.
 """
 
 from __future__ import annotations
