@@ -236,7 +236,8 @@ def by_document(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 
 def maximal_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, length) in words of every maximal repeat of at least WINDOW words."""
+    """(id, start, length) in words of every maximal repeat of at least WINDOW words. Rows without a repeat (null,
+    empty and short texts among them) have no row here; repeated rows each have theirs; null ids stay null."""
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,8 @@ def maximal_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept) of every row: the words outside all repeats, one space between."""
+    """(id, n_words, n_removed, kept) of every row: the words outside all repeats, one space between. A null text
+    has no words and keeps an empty text."""
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
