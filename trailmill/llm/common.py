@@ -42,6 +42,7 @@ def map_column(function: Callable[..., pa.Array], schema: str, *inputs: Column)
     def sliced(*columns):
         n = len(columns[0])
         parts = [function(*(c.slice(at, ROWS) for c in columns)) for at in range(0, n, ROWS)] or [function(*columns)]
+        pa.default_memory_pool().release_unused()  # else a worker keeps the largest batch that it has seen
         return pa.concat_arrays([x for part in parts for x in (part.chunks if isinstance(part, pa.ChunkedArray) else [part])])
 
     return arrow_udf(sliced, schema).asNondeterministic()(*inputs)
@@ -52,6 +53,7 @@ def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             yield batch.slice(at, ROWS)
+        pa.default_memory_pool().release_unused()
 
 
 def unused(df: DataFrame, base: str) -> str:
