@@ -138,6 +138,21 @@ def test_windows_that_many_items_share(monkeypatch):
     assert found[0] == found[1] == found[2] == found[3] and {f[0] for f in found[0]} == set(range(6))
 
 
+def test_items_of_one_form_with_other_names(monkeypatch):
+    """Their windows as templates are shared by all, those with names as words are rare; a document with new names holds the first only."""
+    rng = random.Random(30)
+    names = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(202)]
+    form = "yesterday {0} bought some green paint for {1} and then {0} drove home while {1} was waiting near the old bridge"
+    items = [(k, form.format(*names[2 * k : 2 * k + 2])) for k in range(100)]
+    docs = [t.encode() for t in (form.format(*names[200:]), items[5][1], items[5][1].upper(), f"{filler(rng, 9)} {form.format('Zorano', 'Quexila')} {filler(rng, 9)}")]
+    found = []
+    for listed in (0, 5, 64, 1_000):
+        monkeypatch.setattr(dc, "LISTED", listed)
+        found.append(sorted(dc.search(docs, dc.Benchmark(items))))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert [{f[1] for f in found[2] if f[0] == k} for k in range(4)] == [set(range(100)), set(range(100)), {5}, set(range(100))]
+
+
 def test_canonical():
     assert dc.canonical(b"(Paris,")[0] == dc.NAME and dc.canonical(b"1,200.5")[0] == dc.NUMBER and dc.canonical(b"12km.")[0] == dc.NUMBER
     assert dc.canonical(b"kg")[0] == dc.UNIT and dc.canonical(b"apples,") == (b"apples", b"apples") and dc.canonical(b"...")[0] == b""

@@ -10,8 +10,9 @@ consistent: what an item's number, name or unit became is the same wherever it s
 passages and re-parameterised questions are caught, and text that only shares a form is not.
 An item of four words has no such window; it is found verbatim, in any case, as one window of words.
 
-A window that many items share is not listed item by item: an item that holds 0.8 of its windows has
-one of its rarer ones (where it has enough of them), and the shared ones are then counted for these items alone.
+A window that many items share is not listed item by item: a passage of an item holds one of its rarer
+ones too, and the shared ones are then counted for these items alone. Where the shared ones alone could make
+0.8 of an item's windows, of either form, they are listed all the same, so no candidate is lost.
 
 The benchmark is broadcast in blocks of a bounded number of words, some 50 bytes each, with one
 pass over the documents for each block; documents are never shuffled. A worker holds one block.
@@ -205,9 +206,13 @@ class Benchmark:
         starts = np.flatnonzero(np.concatenate(([True], self.hashes[1:] != self.hashes[:-1])))
         sizes = np.diff(np.append(starts, len(self.hashes)))
         rare = np.repeat(sizes <= LISTED, sizes)
-        windows = np.bincount(self.places[:, 0], minlength=len(self.ids))
-        met = np.bincount(self.places[rare, 0], minlength=len(self.ids)) > (1 - SHARE) * windows
-        lacking = np.add.reduceat((~met[self.places[:, 0]]).astype(np.int64), starts) > 0
+        # Words at which a window that is not rare starts, in either form: an item of which they alone are enough could be met under none of its rare ones.
+        common: dict[int, set[int]] = defaultdict(set)
+        for k, place in self.places[~rare].tolist():
+            common[k].add(place)
+        unmet = np.zeros(len(self.ids), bool)
+        unmet[[k for k, places in common.items() if self.share(k, places) >= SHARE]] = True
+        lacking = np.add.reduceat(unmet[self.places[:, 0]].astype(np.int64), starts) > 0
         return rare | np.repeat(lacking, sizes)
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
