@@ -157,6 +157,51 @@ def test_near_duplicates_are_all_pairs_of_the_similarity(spark, monkeypatch, cou
     assert got == want and len(want) < len(texts) - 40
 
 
+def test_linked_fingerprints_are_candidates(spark, monkeypatch):
+    """Without pairs that meet under shingles, documents go whose fingerprints are linked and whose sets are similar."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sh, "may_be_similar", lambda columns, similarity: F.lit(False))
+    rng = random.Random(25)
+    texts = []
+    for _ in range(8):
+        w = [f"w{rng.randrange(5_000)}" for _ in range(1_500)]
+        for _ in range(4):
+            texts.append(" ".join(w))
+            w[rng.randrange(1_500)] = "changed"
+    prints = [sh.fingerprint(sh.shingle_set(t.encode(), 5)) for t in texts]
+    root = classes_of(prints)
+    want = [i for i, p in enumerate(prints) if all(root[q] != root[p] for q in prints[:i])]
+    got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert got == want and 8 <= len(want) < len(texts) - 4
+
+
+def test_pairs_of_fingerprints_against_all_pairs(spark):
+    rng = random.Random(26)
+    bits = {}
+    for centre in (rng.getrandbits(64) for _ in range(8)):
+        for _ in range(30):
+            x = centre
+            for _ in range(rng.randint(0, 3)):
+                x ^= 1 << rng.choice([0, 7, 15, 16, 31, 33, 48, 63])
+            bits[len(bits)] = x
+    df = spark.createDataFrame([(k, signed(x)) for k, x in bits.items()], "node long, bits long")
+    pairs = [tuple(r) for r in sh.fingerprint_pairs(df).collect()]
+    assert all((bits[a] ^ bits[b]).bit_count() <= 2 for a, b in pairs)
+    root = {r.node: r.root for r in sh.components(spark.createDataFrame([(max(p), min(p)) for p in pairs], "a long, b long")).collect()}
+    want = classes_of(bits.values())
+    assert len({(root.get(k, k), want[x]) for k, x in bits.items()}) == len(set(want.values())) == len({root.get(k, k) for k in bits})
+
+
+def test_similarity_decides_of_linked_fingerprints(spark):
+    """Equal fingerprints of different sets are no link."""
+    sets = {1: range(100), 2: range(1, 101), 3: range(500, 600)}
+    held = spark.createDataFrame([(k, bytearray(np.array(v, np.uint64).tobytes())) for k, v in sets.items()], "node long, shingles binary")
+    met = spark.createDataFrame([], "key long, node long, size int")
+    near = sh.fingerprint_pairs(spark.createDataFrame([(k, 5) for k in sets], "node long, bits long"))
+    assert [tuple(r) for r in sh.similar_links(met, held, 0.8, near=near).collect()] == [(2, 1)]
+
+
 def test_links_do_not_depend_on_leaders(spark):
     """Large groups under one key, of which the least set is near only some."""
     rng = random.Random(22)

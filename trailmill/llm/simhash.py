@@ -10,8 +10,8 @@ its group. Up to two bits such fingerprints link exactly in another way: each na
 fingerprints one bit from it, and two are within two bits if and only if they name a common one.
 No link is lost, no pair listed. Only distances up to two are offered.
 
-`distinct_documents` asks for a Jaccard similarity of whole texts instead, for which blocks of bits
-give no right results; see the second half of this module.
+`distinct_documents` asks for a Jaccard similarity of whole texts. Fingerprints so linked are its first
+candidates; for those that blocks of bits can't give, see the second half of this module.
 
 Components: alternating large-star and small-star passes over the links, each pass written to the
 shared folder, until nothing changes. Nothing about single documents reaches the driver.
@@ -176,9 +176,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 # ---- near-duplicates by the exact Jaccard similarity of shingle sets -----------------------------
 #
-# At a similarity of 0.8 some 15 % of a fingerprint's bits differ. Blocks of intact bits that still meet
+# Sets whose SimHash fingerprints are linked are candidates, and the exact similarity decides. That finds
+# the closest ones only: at a similarity of 0.8 some 15 % of a fingerprint's bits differ. Blocks of intact bits that still meet
 # then must be short (64 blocks of 20 bits: 0.91 of such pairs meet), and short blocks are shared by
-# chance ever more often as the corpus grows. So the blocks are the shingles themselves: two sets of
+# chance ever more often as the corpus grows. So for the rest the blocks are the shingles themselves: two sets of
 # similarity s share one of the first 1 - s of their shingles in any common order (the pigeonhole
 # principle again, and no pair is lost). Pairs that meet are held against their sizes, the place of the
 # shared shingle, and Hamming distances: of SimHash fingerprints, and of one bit from each of 256 least
@@ -285,6 +286,16 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def fingerprint_pairs(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints (node, bits) are at most `distance` bits apart, that join all sets so
+    related: of equal fingerprints each set with the least, of `links` the least sets of either fingerprint."""
+    least = staged(nodes.groupBy(F.col("bits").alias("fp")).agg(F.min("node").alias("least")), "fingerprint-nodes")
+    x, y = (least.select(F.col("fp").alias(n), F.col("least").alias(f"{n}_node")) for n in ("a", "b"))
+    across = links(least.select("fp"), distance).join(x, "a").join(y, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    equal = nodes.select("node", F.col("bits").alias("fp")).join(least, "fp").where("node <> least")
+    return across.union(equal.select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, shingles) have at least the similarity."""
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
@@ -307,10 +318,10 @@ def may_be_similar(columns: list[str], similarity: float) -> Column:
     return out
 
 
-def similar_links(met: DataFrame, sets, similarity: float, refined=None, links: DataFrame | None = None) -> DataFrame:
+def similar_links(met: DataFrame, sets, similarity: float, refined=None, links: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Links between sets of at least the similarity that join all sets so related. met: (key, node,
     size), sets that share a key, and what else `may_be_similar` reads; sets: (node, shingles), or a
-    function that gives it for a table of nodes.
+    function that gives it for a table of nodes; near: pairs (a, b) that are compared in any case.
 
     Of keys with few sets all pairs are compared; of others each with the key's hub, the set with most
     shared keys (`known`; of near copies, the one that was changed least). Where that leaves a key's sets in
@@ -337,7 +348,8 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return staged(similar(pairs, held(nodes), similarity), name)
 
-    first = verified(close.union(centred), "jaccard-first")
+    first = close.union(centred)
+    first = verified(first if near is None else first.union(near), "jaccard-first")
     links = first if links is None else first.union(links)
     known = components(links).select("node", "root")
     placed = met.drop("root").join(crowd.select("key", "n"), "key").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -375,7 +387,8 @@ def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> Data
 
 def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id, with all its columns.
-    Groups are the components of all pairs whose sets of shingles have at least the Jaccard similarity.
+    Groups are the components of all pairs whose sets of shingles have at least the Jaccard similarity: of
+    those whose fingerprints are linked, and of those that meet under a shingle.
 
     Defined cases: null and empty texts are copies of each other, and so are texts of equal sets of
     shingles; a text of fewer words than a shingle is one shingle. A null id is the least. Rows equal in
@@ -409,7 +422,8 @@ def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return staged(texts.select("node", packed.alias("shingles")), "sets")
 
     refined = lambda some: exact_prefixes(sets(some), about.join(some, "node"), similarity)
-    found = components(similar_links(met, sets, similarity, refined))
+    near = fingerprint_pairs(nodes.select("node", "bits"))
+    found = components(similar_links(met, sets, similarity, refined, near=near))
     roots = nodes.select("node", "row").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     chosen = staged(roots.select(F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "chosen")
     return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
