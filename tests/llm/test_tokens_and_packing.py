@@ -85,6 +85,20 @@ def test_frequent_table_has_lengths(spark):
     assert token_counts.frequent(df, "text", path, 1) == {"the": 1}
 
 
+@pytest.mark.parametrize("held", [7, token_counts.HELD])
+def test_frequent_table_is_of_all_documents(spark, monkeypatch, held):
+    """Words that are twice in the corpus, in two documents far apart, among thousands that are there once."""
+    monkeypatch.setattr(token_counts, "HELD", held)
+    twice = [f"{a}{b}é日" if b == "x" else f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in "xy"]
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(k, f"u{letters(k)}u") for k in range(9_000)]
+    rows = [*enumerate(twice), *rows, *enumerate(twice)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    path = tokens.vocabulary("word_bpe_49k.json")
+    pieces = [w for t in twice for as_shown, words in tokens.pretokens(t, path) for w in (map(tokens.read, words) if as_shown else words)]
+    assert set(token_counts.frequent(df, "text", path, len(set(pieces)))) == set(pieces) and len(set(pieces)) >= 40
+
+
 def test_best_fit_decreasing_against_plain_search():
     rng = random.Random(6)
     for _ in range(30):

@@ -1,10 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-First tier: a compact table of the frequent pre-tokens' lengths, broadcast; its size is fixed by
-FREQUENT. It is made from about SAMPLE documents, those whose hash is below a limit: each task keeps a
-bounded summary of their frequent pre-tokens, and only these summaries are summed. Second tier: each
-worker's own caches of what the library said about the rest. Pre-tokens are never shuffled, and the
-corpus is cut into pre-tokens once. The table only saves work; counts are the library's with any table.
+First tier: a compact table of the lengths of the most frequent pre-tokens of all documents, broadcast;
+its size is fixed by FREQUENT. They are counted exactly: a task hands on its sums whenever it holds HELD
+pre-tokens, and Spark adds them up. Second tier: each worker's own caches of what the library said about
+the rest. The table only saves work; counts are the library's with any table.
 
 Defined cases: a null text is an empty one with no tokens and no bytes; very long texts are counted
 whole; repeated rows get equal counts; an empty table gives an empty result; other columns pass
@@ -25,42 +24,40 @@ from .tokens import LONG, SPECIAL, count, pretokens, read, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2_048
-#: Entries of the broadcast table, and of the summary of each task.
+#: Entries of the broadcast table.
 FREQUENT = 16_384
-SUMMARY = 4_096
-#: Documents of which the table is made, in expectation.
-SAMPLE = 4_000
+#: Different pre-tokens of which a task holds the sums.
+HELD = 1 << 17
 
 
-def summary(path: str):
-    """Gives each task's frequent pre-tokens and their counts, at least those with a share above 1 in SUMMARY."""
+def sums(path: str, held: int):
+    """Gives how often a task's texts hold each pre-token of up to LONG characters, in one part or several."""
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def part() -> pa.RecordBatch:
+            kinds[False].update({read(w): n for w, n in kinds[True].items() if len(w) <= 4 * LONG})
+            some = [(w, n) for w, n in kinds[False].items() if len(w) <= LONG]
+            for seen in kinds:
+                seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+
         for batch in slices_of(batches):
             for text in batch.column(0).to_pylist():
                 if text and SPECIAL not in text:
                     for as_shown, words in pretokens(text, path):
                         kinds[as_shown].update(words)
-                for seen in kinds:
-                    if len(seen) > 32 * SUMMARY:
-                        most = seen.most_common(8 * SUMMARY)
-                        seen.clear()
-                        seen.update(dict(most))
-        kinds[False].update({read(w): n for w, n in kinds[True].items() if len(w) <= 4 * LONG})
-        top = [(w, n) for w, n in kinds[False].most_common(SUMMARY) if len(w) <= LONG]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"]
-        )
+                if sum(map(len, kinds)) > held:
+                    yield part()
+        yield part()
 
-    return summarise
+    return summed
 
 
 def frequent(docs: DataFrame, text: str, path: str, size: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the frequent pre-tokens: at most `size` entries reach the driver."""
-    last = min((1 << 63) - 1, int(SAMPLE / max(1, docs.count()) * (1 << 64)) - (1 << 63))
-    some = docs.select(text).where(F.xxhash64(text) <= F.lit(last).cast("bigint"))
-    summed = some.mapInArrow(summary(path), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """Lengths of the most frequent pre-tokens of all documents: at most `size` entries reach the driver."""
+    summed = docs.select(text).mapInArrow(sums(path, HELD), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = [r["word"] for r in summed.orderBy(F.desc("n"), "word").limit(size).collect()]
     return dict(zip(words, count(words, path), strict=True))
 
