@@ -298,3 +298,60 @@ def test_keys_of_very_many_sets(spark, monkeypatch):
     monkeypatch.setattr(sh, "exact_prefixes", lambda *a: called.append(1) or exact(*a))
     got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
     assert got == least_of_components(texts) and called
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 27])
+def test_rows_of_a_bitmap(spark, monkeypatch, most):
+    """No row that is asked for is lost, however full the bitmap; few others come along while it has room."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sh, "MOST_BITS", most)
+    rows = spark.range(40_000).withColumns({"k": F.xxhash64("id"), "bitmap": F.lit("x"), "bitmap_bucket": F.lit(None).cast("string")})
+    for share in (1, 7, 40_000):
+        out = sh.roughly(rows, rows.where(F.col("id") % share == 0).select("k"), ["k"])
+        got = [r.id for r in out.collect()]
+        assert out.columns == rows.columns and len(set(got)) == len(got) and set(got) >= set(range(0, 40_000, share))
+        assert share == 1 or most == 1 << 15 or len(got) < 40_000 // share + 4_000
+    assert sh.roughly(rows, rows.where("false").select("k"), ["k"]).collect() == []
+
+
+def test_only_texts_of_candidates_are_joined(spark, monkeypatch):
+    rng = random.Random(27)
+    texts = [" ".join(f"w{rng.randrange(5_000)}" for _ in range(60)) for _ in range(400)]
+    texts += [f"{t} changed" for t in texts[:5]]
+    joined, roughly = [], sh.roughly
+    monkeypatch.setattr(sh, "roughly", lambda rows, *a: joined.append(roughly(rows, *a)) or joined[-1])
+    got = sorted(r.doc_id for r in sh.distinct_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert got == least_of_components(texts) == list(range(400))
+    assert joined and all(10 <= df.count() < 30 for df in joined)
+
+
+def test_disk_is_given_back_on_the_way(spark, monkeypatch):
+    """Past near-dedup no shuffle file of its steps is left, nor a table but those that its result reads; the setting is as before."""
+    import time
+    from pathlib import Path
+
+    monkeypatch.setattr(sh, "common_shingles", lambda *a: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    tables = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "trailmill"
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    rng = random.Random(28)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(120)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(120), k % 6):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    before, there, setting = files(), {p.name for p in tables.glob("*")}, spark.conf.get(key)
+    out = sh.distinct_documents(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in tables.glob("*") if p.name not in there}
+    assert left.isdisjoint({"nodes-keys", "nodes", "shared-keys", "places", "about", "met", "sets", "jaccard-hubs", "jaccard-placed", "jaccard-mixed"})
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(key) == setting
+    assert sorted(r.doc_id for r in out.collect()) == least_of_components(texts)

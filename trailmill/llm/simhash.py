@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, folder, map_column, staged, utf8
+from .common import discard, folder, map_column, shuffles_deleted, staged, unused, utf8
 
 SEED = 42
 BITS = 64
@@ -198,6 +198,8 @@ FEW = 8
 MANY = 1_000
 #: Standard deviations by which the distance of two fingerprints may exceed what is expected at the limit.
 DEVIATIONS = 4.5
+#: Bits of a bitmap for each row that it has, and at most (16 MB): of more rows it lets more others through.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Least hashes of a set, of each of which a bit is kept, and how many shingles are multiplied at a time.
 LEAST = 256
 CHUNK = 1_024
@@ -296,6 +298,19 @@ def fingerprint_pairs(nodes: DataFrame, distance: int = 2) -> DataFrame:
     return across.union(equal.select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
+def roughly(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose keys are in `some`, a table that is written, and a few others: those whose hash is in a broadcast
+    bitmap. A join may follow, which then needn't shuffle rows, with their texts, that it would drop."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * some.count()).bit_length()))
+    place = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1).cast("bigint"))
+    bucket, bitmap = unused(rows, "bitmap_bucket"), unused(rows, "bitmap")
+    maps = some.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    met = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(maps), bucket)
+    return met.where(F.getbit(byte, at.bitwiseAND(F.lit(7).cast("bigint")).cast("int")) == 1).select(*rows.columns)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, shingles) have at least the similarity."""
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
@@ -334,8 +349,10 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
     fits = may_be_similar(met.columns, similarity)
     if "root" in about:
         fits &= F.col("a_root") != F.col("b_root")
+    spark = met.sparkSession
+    hubs_path, placed_path, mixed_path = (folder(spark, f"jaccard-{name}") for name in ("hubs", "placed", "mixed"))
     best = F.struct(F.col("known") if "known" in met.columns else F.lit(0).alias("known"), (-F.col("size")).alias("size_"), "node", *about)
-    hubs = staged(met.groupBy("key").agg(F.count("*").alias("n"), F.max(best).alias("hub")).where("n > 1"), "jaccard-hubs")
+    hubs = staged(met.groupBy("key").agg(F.count("*").alias("n"), F.max(best).alias("hub")).where("n > 1"), "jaccard-hubs", hubs_path)
     crowd = hubs.where(F.col("n") > FEW)
     small = met.join(hubs.where(F.col("n") <= FEW).select("key"), "key")
     close = side(small, "a").join(side(small, "b"), "key").where("a > b").where(fits).select("a", "b")
@@ -353,10 +370,12 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
     links = first if links is None else first.union(links)
     known = components(links).select("node", "root")
     placed = met.drop("root").join(crowd.select("key", "n"), "key").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(placed, "jaccard-placed")
+    placed = staged(placed, "jaccard-placed", placed_path)
+    discard(spark, hubs_path)
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
-    mixed = staged(placed.join(main, "key"), "jaccard-mixed")
+    mixed = staged(placed.join(main, "key"), "jaccard-mixed", mixed_path)
+    discard(spark, placed_path)
     if mixed.isEmpty():
         return first
     about = [c for c in about if c != "root"] + ["root"]
@@ -364,9 +383,9 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
     direct = mixed.where(F.col("n") <= MANY) if refined is not None else mixed
     apart = side(direct.where("root <> main"), "a").join(side(direct, "b"), "key").where("a_root <> b_root").where(fits).select("a", "b")
     second = first.union(verified(apart, "jaccard-second"))
-    if crowds.isEmpty():
-        return second
-    return second.union(similar_links(refined(crowds.select("node", "root").distinct()), sets, similarity, links=second.union(links)))
+    again = None if crowds.isEmpty() else refined(crowds.select("node", "root").distinct())
+    discard(spark, mixed_path)
+    return second if again is None else second.union(similar_links(again, sets, similarity, links=second.union(links)))
 
 
 def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
@@ -374,15 +393,19 @@ def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> Data
     these nodes have a shingle, counted exactly. sets: (node, shingles); about: the other columns but
     key and rest. Shingles of one node alone come first and are no keys."""
     unpacked = map_column(lambda t: pa.array([np.frombuffer(d, np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col("shingles"))
-    each = staged(sets.select("node", F.explode(unpacked).alias("key")), "refined-shingles")
-    counts = staged(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "refined-counts")
+    spark = sets.sparkSession
+    each_path, counts_path = folder(spark, "refined-shingles"), folder(spark, "refined-counts")
+    each = staged(sets.select("node", F.explode(unpacked).alias("key")), "refined-shingles", each_path)
+    counts = staged(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "refined-counts", counts_path)
     listed = each.join(counts, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     alone = F.col("size") - F.size("shared")
     long = F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1 - alone
     some = listed.join(about, "node").withColumns({"alone": alone, "long": long.cast("int")}).where("long > 0")
     keys = some.select("node", "size", *BIT_COLUMNS, "root", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("long"))).alias("at", "one"))
     rest = F.col("size") - F.col("alone") - F.col("at")
-    return staged(keys.select(F.col("one.key").alias("key"), "node", "size", rest.alias("rest"), *BIT_COLUMNS, (-F.col("alone")).alias("known"), "root"), "refined")
+    out = staged(keys.select(F.col("one.key").alias("key"), "node", "size", rest.alias("rest"), *BIT_COLUMNS, (-F.col("alone")).alias("known"), "root"), "refined")
+    discard(spark, each_path, counts_path)
+    return out
 
 
 def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -394,36 +417,47 @@ def distinct_documents(docs: DataFrame, id: str = "doc_id", text: str = "text",
     shingles; a text of fewer words than a shingle is one shingle. A null id is the least. Rows equal in
     id and text are one document. Very long texts are taken whole; an empty table gives an empty result;
     extra columns pass through and clash with nothing."""
-    from .common import unused
-
     spark = docs.sparkSession
     ik, th = unused(docs, "row_id_hash"), unused(docs, "row_text_hash")
     keyed = docs.withColumns({ik: F.xxhash64(id), th: F.xxhash64(text)})
     held = spark.sparkContext.broadcast(common_shingles(docs, text, width))
+    with shuffles_deleted(spark):
+        chosen = _chosen(keyed, (id, ik, th, text), width, similarity, held)
+    return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
+
+
+def _chosen(keyed: DataFrame, columns: tuple[str, str, str, str], width: int, similarity: float, held) -> DataFrame:
+    """The hashes of id and text of the documents that stay, as a table. columns: id, its hash, the text's hash, the text."""
+    id, ik, th, text = columns
+    spark = keyed.sparkSession
+    wide_path, nodes_path, places_path, about_path, met_path = (folder(spark, name) for name in ("nodes-keys", "nodes", "places", "about", "met"))
+    sets_paths = []
     said = map_column(lambda t: _nodes(t, width, similarity, held.value), _NODE, F.col(text))
     rows = keyed.select(F.struct(F.col(id).alias("id"), F.col(th).alias("th"), F.col(ik).alias("ik")).alias("row"), said.alias("s"))
     wide = rows.groupBy(F.col("s.node").alias("node")).agg(F.min("row").alias("row"), F.first("s").alias("s"))
-    wide = staged(wide.select("node", "row", "s.size", *(f"s.{c}" for c in BIT_COLUMNS), "s.keys"), "nodes-keys", wide_path := folder(spark, "nodes-keys"))
-    nodes = staged(wide.drop("keys"), "nodes")
+    wide = staged(wide.select("node", "row", "s.size", *(f"s.{c}" for c in BIT_COLUMNS), "s.keys"), "nodes-keys", wide_path)
+    nodes = staged(wide.drop("keys"), "nodes", nodes_path)
     entries = wide.select("node", F.posexplode("keys").alias("at", "key"))
-    shared = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    places = staged(entries.join(shared, "key").select("key", "node", "at"), "places", places_path := folder(spark, "places"))
-    discard(spark, wide_path)
+    shared = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys", shared_path := folder(spark, "shared-keys"))
+    places = staged(entries.join(shared, "key").select("key", "node", "at"), "places", places_path)
+    discard(spark, wide_path, shared_path)
     degrees = places.groupBy("node").agg(F.count("*").alias("known"))
-    about = staged(nodes.drop("row").join(degrees, "node"), "about")
-    met = staged(places.join(about, "node").select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"), *BIT_COLUMNS, "known"), "met")
+    about = staged(nodes.drop("row").join(degrees, "node"), "about", about_path)
+    met = staged(places.join(about, "node").select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"), *BIT_COLUMNS, "known"), "met", met_path)
     discard(spark, places_path)
 
     def sets(asked: DataFrame) -> DataFrame:
         """The sets of the nodes that are asked for, of one text each."""
         texts_of = staged(nodes.join(asked, "node", "left_semi").select("node", F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "asked")
-        texts = keyed.select(ik, th, F.col(text).alias("text")).join(texts_of, [ik, th]).dropDuplicates(["node"])
+        texts = roughly(keyed.select(ik, th, F.col(text).alias("text")), texts_of, [ik, th]).join(texts_of, [ik, th]).dropDuplicates(["node"])
         packed = map_column(lambda t: pa.array([shingle_set(d, width).tobytes() for d in utf8(t)], pa.binary()), "binary", F.col("text"))
-        return staged(texts.select("node", packed.alias("shingles")), "sets")
+        sets_paths.append(folder(spark, "sets"))
+        return staged(texts.select("node", packed.alias("shingles")), "sets", sets_paths[-1])
 
     refined = lambda some: exact_prefixes(sets(some), about.join(some, "node"), similarity)
     near = fingerprint_pairs(nodes.select("node", "bits"))
     found = components(similar_links(met, sets, similarity, refined, near=near))
     roots = nodes.select("node", "row").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     chosen = staged(roots.select(F.col("row.ik").alias(ik), F.col("row.th").alias(th)), "chosen")
-    return keyed.join(chosen, [ik, th], "left_semi").dropDuplicates([ik, th]).select(*docs.columns)
+    discard(spark, nodes_path, about_path, met_path, *sets_paths)
+    return chosen
