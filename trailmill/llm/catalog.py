@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_warc, chat_format, decontaminate, language_id, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import arc_warc, chat_format, decontaminate, fill_middle, language_id, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op8_quality_rules": documents(quality_rules.digest),
         "op9_arc_warc": lambda spark, sf_dir: arc_warc.digest(table(spark, sf_dir, "pages")),
         "op10_simhash": documents(simhash.digest),
+        "op11_fill_middle": documents(fill_middle.digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op7_chat_format": oracles.OP7, "op9_arc_warc": oracles.OP9}
+    return {"op1_substring_dedup": oracles.OP1, "op7_chat_format": oracles.OP7, "op9_arc_warc": oracles.OP9, "op11_fill_middle": oracles.OP11}

@@ -29,3 +29,15 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT *,
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM k
 """
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+ h AS (SELECT *, CAST('0x' || x[1:8] AS UBIGINT) % (n + 1) AS h1, CAST('0x' || x[9:16] AS UBIGINT) % (n + 1) AS h2, CAST('0x' || x[17:24] AS UBIGINT) % 100 AS h3, CAST('0x' || x[25:32] AS UBIGINT) % 100 AS h4 FROM d),
+ c AS (SELECT *, CAST(least(h1, h2) AS BIGINT) AS a, CAST(greatest(h1, h2) AS BIGINT) AS b,
+   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256
+FROM p
+"""
