@@ -41,3 +41,27 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
  sha256(t) AS restored_sha256
 FROM p
 """
+
+OP13 = r"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS rid, doc_id, lang, n_chars,
+   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+   coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+     lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: xor(k >> 1, 3988292384::BIGINT * (k & 1)))), 0) AS crc FROM documents),
+ l AS (SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+   sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other FROM f),
+ d AS (SELECT rid, doc_id, leaf, CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 AND doc_id IS NOT NULL THEN other ELSE leaf END AS now,
+   CAST(dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS BIGINT) AS r, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS i, CAST(count(*) OVER (PARTITION BY lang) AS BIGINT) AS n FROM l),
+ up AS (SELECT r, CAST(0 AS BIGINT) AS lvl, i, leaf AS h, n FROM d
+   UNION ALL SELECT r, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY r, lvl, i // 2, n),
+ s AS (SELECT r, lvl AS height, h AS subroot FROM up WHERE n = 1),
+ top AS (SELECT CAST(0 AS BIGINT) AS lvl, r AS i, subroot AS h, CAST((SELECT count(*) FROM s) AS BIGINT) AS n FROM s
+   UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+ z AS (SELECT lvl AS height, h AS root FROM top WHERE n = 1),
+ p AS (SELECT q.rid, q.lvl AS step, (q.i >> q.lvl) & 1 = 1 AS after, up.h AS sib FROM (SELECT d.*, unnest(range(s.height)) AS lvl FROM d JOIN s ON s.r = d.r) q LEFT JOIN up ON up.r = q.r AND up.lvl = q.lvl AND up.i = xor(q.i >> q.lvl, 1)
+   UNION ALL SELECT q.rid, q.height + q.lvl, (q.r >> q.lvl) & 1 = 1, top.h FROM (SELECT d.rid, d.r, s.height, unnest(range((SELECT height FROM z))) AS lvl FROM d JOIN s ON s.r = d.r) q LEFT JOIN top ON top.lvl = q.lvl AND top.i = xor(q.r >> q.lvl, 1)),
+ v AS (SELECT rid, CAST(0 AS BIGINT) AS step, now AS h FROM d
+   UNION ALL SELECT v.rid, v.step + 1, CASE WHEN sib IS NULL THEN sha256(v.h) WHEN after THEN sha256(sib || v.h) ELSE sha256(v.h || sib) END FROM v JOIN p ON p.rid = v.rid AND p.step = v.step),
+ a AS (SELECT rid, sha256(coalesce(string_agg(sib, '' ORDER BY step), '')) AS proof_sha256 FROM p GROUP BY rid)
+SELECT d.doc_id, d.leaf, s.subroot, z.root, coalesce(a.proof_sha256, sha256('')) AS proof_sha256, v.h AS folded_root, v.h = z.root AS verified
+FROM d JOIN s ON s.r = d.r CROSS JOIN z LEFT JOIN a ON a.rid = d.rid JOIN v ON v.rid = d.rid AND v.step = s.height + z.height
+"""
