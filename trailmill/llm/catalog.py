@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_warc, chat_format, decontaminate, fill_middle, language_id, merkle, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import arc_warc, chat_format, decontaminate, fill_middle, language_id, merkle, minhash, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op9_arc_warc": lambda spark, sf_dir: arc_warc.digest(table(spark, sf_dir, "pages")),
         "op10_simhash": documents(simhash.digest),
         "op11_fill_middle": documents(fill_middle.digest),
+        "op12_minhash": documents(minhash.digest),
         "op13_merkle": documents(merkle.digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op7_chat_format": oracles.OP7, "op9_arc_warc": oracles.OP9, "op11_fill_middle": oracles.OP11, "op13_merkle": oracles.OP13}
+    return {"op1_substring_dedup": oracles.OP1, "op7_chat_format": oracles.OP7, "op9_arc_warc": oracles.OP9, "op11_fill_middle": oracles.OP11, "op12_minhash": oracles.OP12, "op13_merkle": oracles.OP13}

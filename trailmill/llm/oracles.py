@@ -65,3 +65,14 @@ WITH RECURSIVE f AS (SELECT row_number() OVER () AS rid, doc_id, lang, n_chars,
 SELECT d.doc_id, d.leaf, s.subroot, z.root, coalesce(a.proof_sha256, sha256('')) AS proof_sha256, v.h AS folded_root, v.h = z.root AS verified
 FROM d JOIN s ON s.r = d.r CROSS JOIN z LEFT JOIN a ON a.rid = d.rid JOIN v ON v.rid = d.rid AND v.step = s.height + z.height
 """
+
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT rid, md5(array_to_string(w[i : i + 4], ' ')) AS x FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+ m AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+ e AS (SELECT a, b FROM m JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ r AS (SELECT rid, rid AS o FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.o),
+ c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.o GROUP BY r.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c ON c.rid = d.rid LEFT JOIN n ON n.rid = d.rid
+"""

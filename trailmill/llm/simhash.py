@@ -401,9 +401,10 @@ def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> Data
     alone = F.col("size") - F.size("shared")
     long = F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1 - alone
     some = listed.join(about, "node").withColumns({"alone": alone, "long": long.cast("int")}).where("long > 0")
-    keys = some.select("node", "size", *BIT_COLUMNS, "root", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("long"))).alias("at", "one"))
+    bits = [c for c in BIT_COLUMNS if c in about.columns]
+    keys = some.select("node", "size", *bits, "root", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("long"))).alias("at", "one"))
     rest = F.col("size") - F.col("alone") - F.col("at")
-    out = staged(keys.select(F.col("one.key").alias("key"), "node", "size", rest.alias("rest"), *BIT_COLUMNS, (-F.col("alone")).alias("known"), "root"), "refined")
+    out = staged(keys.select(F.col("one.key").alias("key"), "node", "size", rest.alias("rest"), *bits, (-F.col("alone")).alias("known"), "root"), "refined")
     discard(spark, each_path, counts_path)
     return out
 
