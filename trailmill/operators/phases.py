@@ -80,16 +80,23 @@ def _grips(levels: Levels, need: int, rest: int, judge: Callable[[int, int], boo
             mark, seen = stop, stop + 1
 
 
-def gripper_phases(signal: np.ndarray, budget: float | None = None, hysteresis: float = 0.1, shortest: int = 7) -> list[tuple[int, int, str]]:
-    """(first, last, phase) of a gripper signal, 0 closed and 1 open: grasp, interact, release, and
-    grasp_failure for grips much shorter than the others."""
-    signal = np.asarray(signal, float)
-    n = len(signal)
-    if n == 0:
-        return []
-    low, high = float(signal.min()), float(signal.max())
+@dataclass(frozen=True)
+class Calibration:
+    """What a whole signal says about itself: its range, the frames that a change of phase takes, those from which a grip
+    counts. A flat signal is one interaction."""
+
+    low: float = 0.0
+    high: float = 1.0
+    shortest: int = 7
+    valid_from: float = 4.0
+    flat: bool = False
+
+
+def calibrated(signal: np.ndarray, budget: float | None = None, hysteresis: float = 0.1, shortest: int = 7) -> Calibration:
+    """The first pass over a signal that is not empty: grips, found with a shorter wait, give the bounds of the second."""
+    n, low, high = len(signal), float(signal.min()), float(signal.max())
     if high - low < FLAT_RANGE or (high - low < IDLE_RANGE and low > IDLE_LEVEL):
-        return [(0, n - 1, "interact")]
+        return Calibration(low, high, flat=True)
     levels = Levels.of((signal - low) / (high - low + 1e-8), CLOSED_LEVEL - hysteresis, CLOSED_LEVEL + hysteresis)
     shortest = min(shortest, int(0.2 * n))
 
@@ -103,8 +110,19 @@ def gripper_phases(signal: np.ndarray, budget: float | None = None, hysteresis:
             tail = levels.closed_at_end(event[3])
             grips += [tail] if tail and tail >= shortest // 2 else []
     valid_from = _least_valid(grips, n, BUDGET_SHARE * n if budget is None else budget)
-    shortest = min([shortest, *grips])
-    return _labelled(levels, shortest, valid_from)
+    return Calibration(low, high, min([shortest, *grips]), valid_from)
+
+
+def gripper_phases(signal: np.ndarray, budget: float | None = None, hysteresis: float = 0.1, shortest: int = 7) -> list[tuple[int, int, str]]:
+    """(first, last, phase) of a gripper signal, 0 closed and 1 open: grasp, interact, release, and
+    grasp_failure for grips much shorter than the others."""
+    signal = np.asarray(signal, float)
+    if not len(signal):
+        return []
+    c = calibrated(signal, budget, hysteresis, shortest)
+    if c.flat:
+        return [(0, len(signal) - 1, "interact")]
+    return _labelled(Levels.of((signal - c.low) / (c.high - c.low + 1e-8), CLOSED_LEVEL - hysteresis, CLOSED_LEVEL + hysteresis), c.shortest, c.valid_from)
 
 
 def _least_valid(grips: list[int], n: int, budget: float) -> float:
@@ -185,6 +203,19 @@ def detect_phases(frames: DataFrame, by: str, order: str, signal: str, hysteresi
     return _per_trajectory(frames, by, item, detect, "start_frame:bigint,end_frame:bigint,phase:string")
 
 
+CALIBRATION = "low:double,high:double,shortest:bigint,valid_from:double,flat:boolean"
+
+
+def calibrations(frames: DataFrame, by: str, order: str, signal: str, hysteresis: float = 0.1) -> DataFrame:
+    """(by, low, high, shortest, valid_from, flat) of every trajectory of a table: what a live detector is told."""
+
+    def told(items: list) -> list[dict]:
+        c = calibrated(np.array([i["v"] for i in items], float), hysteresis=hysteresis)
+        return [{"low": c.low, "high": c.high, "shortest": c.shortest, "valid_from": float(c.valid_from), "flat": c.flat}]
+
+    return _per_trajectory(frames, by, F.struct(F.col(order).alias("o"), F.col(signal).cast("double").alias("v")), told, CALIBRATION)
+
+
 # ---- grouping of steps -----------------------------------------------------------------------
 
 # Skills that begin and that end an interaction.
