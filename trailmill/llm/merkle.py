@@ -23,18 +23,16 @@ columns are not read. A very long text is hashed where it is; only digests move.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..operators.ranks import numbered
 from .common import map_column, staged
+from .hash_tree import DOWN, UP, dealt, folded, levels_of, nodes_of, siblings
 
 #: Levels that a superstep crosses, and vertices of a partition.
 LEVELS = 8
@@ -44,70 +42,11 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = -1
 
 
-def parent_of(left: bytes, right: bytes | None) -> bytes:
-    return hashlib.sha256((left.hex() + (right.hex() if right else "")).encode()).digest()
-
-
-def levels_of(nodes: list[bytes], total: int, levels: int) -> list[list[bytes]]:
-    """A vertex's nodes level by level. total: of its whole level; a tree ends where one node remains."""
-    out = [nodes]
-    for _ in range(levels if total > 1 << levels else (total - 1).bit_length()):
-        row = out[-1]
-        out.append([parent_of(row[k], row[k + 1] if k + 1 < len(row) else None) for k in range(0, len(row), 2)])
-    return out
-
-
-def siblings(rows: list[list[bytes]], k: int) -> tuple[str, bytes]:
-    """From a vertex's k-th node to its root: at each level on which side the other child is (L, R, or - for none), and
-    the others' digests."""
-    sides, others = [], []
-    for row in rows[:-1]:
-        other = k ^ 1
-        sides.append("-" if other >= len(row) else "L" if other < k else "R")
-        others += row[other : other + 1]
-        k >>= 1
-    return "".join(sides), b"".join(others)
-
-
-def folded(leaf: bytes, sides: str, others: bytes) -> bytes:
-    """The root that a leaf and its path give."""
-    at = 0
-    for side in sides:
-        other, at = (None, at) if side == "-" else (others[at : at + 32], at + 32)
-        leaf = parent_of(other, leaf) if side == "L" else parent_of(leaf, other)
-    return leaf
-
-
-def dealt(key: tuple[int, int]) -> int:
-    return hash(key)  # of integers, hence the same in every process
-
-
 def leaf_digest(fields: dict[str, Column]) -> Column:
     said = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in fields.values()]
     return F.unhex(F.sha2(F.concat(*said), 256))
 
 
-class Vertices:
-    """One level of the tree: (group, number) -> (total, nodes), and how it was dealt."""
-
-    def __init__(self, rdd: RDD, parts: int):
-        self.rdd, self.parts = rdd, parts
-
-    def roots(self, levels: int) -> RDD:
-        """(group, number, nodes on the level of the roots, root) of each vertex."""
-        return self.rdd.map(lambda v: (*v[0], -(-v[1][0] >> levels) if v[1][0] > 1 << levels else 1, levels_of(v[1][1], v[1][0], levels)[-1][0]))
-
-
-def _gathered(messages: RDD, parts: int) -> Vertices:
-    """Vertices of what their children sent: (key, (place, total, digest))."""
-
-    def vertex(sent) -> tuple[int, list[bytes]]:
-        sent = sorted(sent)
-        return sent[0][1], [digest for _, _, digest in sent]
-
-    return Vertices(messages.groupByKey(parts, dealt).mapValues(vertex), parts)
-
-
 def manifest(docs: DataFrame, id: str = "doc_id", group: str = "lang", fields: tuple[str, ...] = FIELDS, found: dict[str, Column] | None = None, levels: int = LEVELS, vertices: int = VERTICES) -> DataFrame:
     """(id, group, leaf, subroot, root, sides, others, folded) of every row: its digest, its group's and the dataset's root,
     its path (see `siblings`), and the root that its path gives with the row's leaf as it is found now.
@@ -130,59 +69,73 @@ def manifest(docs: DataFrame, id: str = "doc_id", group: str = "lang", fields: t
     one = F.struct(F.pmod("place", F.lit(1 << levels)).alias("k"), "id", "leaf", "now")
     packed = placed.groupBy("run", F.shiftright("place", levels).alias("number")).agg(F.first("grp").alias("grp"), F.first("total").alias("total"), F.sort_array(F.collect_list(one)).alias("rows"))
 
-    def split_up(r) -> tuple:
-        return (r.run, r.number), (r.grp, r.total, [(x.id, bytes(x.leaf), bytes(x.now) if x.now is not None else None) for x in r.rows])
+    # What goes to a vertex is (key, (UP, place, nodes of the level, digest)) or (key, (DOWN, sides, others, subroot, root)); at
+    # the leaves, up is (key, (UP, group, nodes, rows)). Both are dealt by key alone, so a vertex meets its path where it is.
+    def loaded(r) -> tuple:
+        return (r.run, r.number), (UP, r.grp, r.total, [(x.id, bytes(x.leaf), bytes(x.now) if x.now is not None else None) for x in r.rows])
 
     context = spark.sparkContext
-    parts = max(-(-rows // (vertices << levels)), min(context.defaultParallelism, -(-rows >> levels)))
-    bottom = packed.rdd.map(split_up).partitionBy(parts, dealt)
-    tree = [Vertices(bottom.mapValues(lambda v: (v[1], [leaf for _, leaf, _ in v[2]])), parts)]
-
-    def climb(height: int) -> None:
-        for _ in range(height):
-            parts = max(1, tree[-1].parts >> levels)
-            sent = tree[-1].roots(levels).map(lambda m: ((m[0], m[1] >> levels), (m[1], m[2], m[3])))
-            tree.append(_gathered(sent, parts))
-
-    steps = lambda total: max(0, math.ceil((total - 1).bit_length() / levels) - 1)  # noqa: E731  supersteps to the vertex that has all
-    climb(steps(largest))
-    seam = len(tree)
-    subroots = tree[-1].roots(levels).map(lambda m: ((TOP, m[0] >> levels), (m[0], n, m[3])))
-    tree.append(_gathered(subroots, max(1, -(-n // (vertices << levels)))))
-    climb(steps(n))
+    parts = [max(-(-rows // (vertices << levels)), min(context.defaultParallelism, -(-rows >> levels)))]
+    tree = [packed.rdd.map(loaded).partitionBy(parts[0], dealt)]
+
+    def raised(to, bottom: bool):
+        """Upward: a vertex that has all its nodes hashes them and sends its root on."""
+
+        def send(vertex) -> tuple:
+            (run, number), held = vertex
+            total, nodes = nodes_of(held, bottom)
+            left = -(-total >> levels) if total > 1 << levels else 1
+            return to(run, number, left, levels_of(nodes, total, levels)[-1][0])
 
-    # Downward: (key, (sides, others, subroot, root)).
-    root = tree[-1].rdd.map(lambda v: (v[0], ("", b"", None, levels_of(v[1][1], v[1][0], levels)[-1][0])))
+        return send
+
+    def climb(to, most: int) -> None:
+        sent = tree[-1].groupByKey(parts[-1], dealt).map(raised(to, len(tree) == 1))
+        parts.append(most)
+        tree.append(sent.partitionBy(most, dealt))
+
+    above = lambda run, number, left, root: ((run, number >> levels), (UP, number, left, root))
+    across = lambda run, number, left, root: ((TOP, run >> levels), (UP, run, n, root))
+    steps = lambda total: max(0, -(-(total - 1).bit_length() // levels) - 1)  # noqa: E731  supersteps to the vertex that has all
+    for _ in range(steps(largest)):
+        climb(above, max(1, parts[-1] >> levels))
+    seam = len(tree)
+    climb(across, max(1, -(-n // (vertices << levels))))
+    for _ in range(steps(n)):
+        climb(above, max(1, parts[-1] >> levels))
 
-    def received(own: RDD, sent: RDD, parts: int) -> RDD:
-        """(own value, what was sent to it) of each vertex; neither moves if both are dealt alike."""
-        return own.mapValues(lambda v: (0, v)).union(sent.mapValues(lambda v: (1, v))).groupByKey(parts, dealt).mapValues(lambda pair: tuple(v for _, v in sorted(pair, key=lambda x: x[0])))
+    def lowered(at: int):
+        """Downward: a vertex that has its path sends each child the path with what stands beside it in front."""
 
-    def forwarded(at: int):
         def send(vertex) -> Iterator[tuple]:
-            (run, number), ((total, nodes), (sides, others, subroot, root)) = vertex
-            rows = levels_of(nodes, total, levels)
+            (run, number), held = vertex
+            held = list(held)
+            total, nodes = nodes_of(held, False)
+            grown = levels_of(nodes, total, levels)
+            sides, others, subroot, root = next((x[1:] for x in held if x[0] == DOWN), ("", b"", None, grown[-1][0]))
             for k, node in enumerate(nodes):
-                side, other = siblings(rows, k)
+                side, other = siblings(grown, k)
                 child = (number << levels) + k
                 to, sub = ((child, 0), node) if at == seam else ((run, child), subroot)
-                yield to, (side + sides, other + others, sub, root)
+                yield to, (DOWN, side + sides, other + others, sub, root)
 
         return send
 
-    paths = root.partitionBy(tree[-1].parts, dealt)
-    for at in range(len(tree) - 1, 0, -1):
-        paths = received(tree[at].rdd, paths, tree[at].parts).flatMap(forwarded(at)).partitionBy(tree[at - 1].parts, dealt)
-
     def proved(vertex) -> Iterator[tuple]:
-        _, ((grp, total, held), (sides, others, subroot, root)) = vertex
-        rows = levels_of([leaf for _, leaf, _ in held], total, levels)
-        for k, (key, leaf, now) in enumerate(held):
-            side, other = siblings(rows, k)
+        held = list(vertex[1])
+        _, grp, total, own = next(x for x in held if x[0] == UP)
+        sides, others, subroot, root = next(x[1:] for x in held if x[0] == DOWN)
+        grown = levels_of([leaf for _, leaf, _ in own], total, levels)
+        for k, (key, leaf, now) in enumerate(own):
+            side, other = siblings(grown, k)
             side, other = side + sides, other + others
             yield key, grp, leaf, subroot, root, side, other, folded(now or leaf, side, other)
 
-    out = received(bottom, paths, parts).flatMap(proved)
+    met = tree[-1]
+    for at in range(len(tree) - 1, 0, -1):
+        paths = met.groupByKey(parts[at], dealt).flatMap(lowered(at)).partitionBy(parts[at - 1], dealt)
+        met = tree[at - 1].union(paths)
+    out = met.groupByKey(parts[0], dealt).flatMap(proved)
     return spark.createDataFrame(out, schema, verifySchema=False).withColumnsRenamed({"id": id, "grp": group})
 
 
