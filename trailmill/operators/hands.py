@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 from .boxes import iou_of
 from .sequences import close_gaps, runs, split_on_jump
 
@@ -67,10 +68,9 @@ def quality(phases: DataFrame, by: list[str], n_frames: Column, fps: float, leas
 def paired(phases: DataFrame, by: list[str], least_overlap: int = 1, most_iou: float = 0.3) -> DataFrame:
     """Roles: 'shared' for both hands on one object, 'two_object' for hands busy at once on objects that do
     not coincide, else 'single'. Needs hand and first_box."""
-    sides = [phases.where(F.col("hand") == h).select(*by, F.col("start_frame").alias(f"{h}_s"), F.col("end_frame").alias(f"{h}_e"), F.col("first_box").alias(f"{h}_b")) for h in ("left", "right")]
-    shared = F.least("left_e", "right_e") - F.greatest("left_s", "right_s")
-    met = sides[0].join(sides[1], by).where((shared >= least_overlap) & (iou_of(F.col("left_b"), F.col("right_b")) <= most_iou))
-    busy = met.select(*by, F.lit("left").alias("hand"), F.col("left_s").alias("start_frame")).union(met.select(*by, F.lit("right").alias("hand"), F.col("right_s").alias("start_frame"))).distinct()
+    sides = [phases.where(F.col("hand") == h).select(*by, "start_frame", "end_frame", F.col("first_box").alias("b")) for h in ("left", "right")]
+    met = intervals.pairs(*sides, by, least=least_overlap).where(iou_of(F.col("l_b"), F.col("r_b")) <= most_iou)
+    busy = met.select(*by, F.lit("left").alias("hand"), F.col("l_start_frame").alias("start_frame")).union(met.select(*by, F.lit("right").alias("hand"), F.col("r_start_frame").alias("start_frame"))).distinct()
     role = F.when(F.col("hand") == "both", "shared").when(F.col("busy"), "two_object").otherwise("single")
     return phases.join(busy.withColumn("busy", F.lit(True)), [*by, "hand", "start_frame"], "left").withColumn("role", role).drop("busy")
 
@@ -85,6 +85,5 @@ def rescaled(phases: DataFrame, stride: int, n_output: Column | None = None) ->
 
 def gripper_from_phases(frames: DataFrame, phases: DataFrame, by: list[str]) -> DataFrame:
     """1, open, and 0 inside of phases."""
-    spans = phases.select(*by, F.col("start_frame").alias("s"), F.col("end_frame").alias("e"))
-    held = frames.select(*by, "t").join(spans, by).where("t >= s and t < e").select(*by, "t").distinct().withColumn("gripper", F.lit(0.0))
+    held = intervals.covering(frames.select(*by, "t"), phases.select(*by, "start_frame", "end_frame"), by, "t").select(*by, "t").distinct().withColumn("gripper", F.lit(0.0))
     return frames.join(held, [*by, "t"], "left").withColumn("gripper", F.coalesce("gripper", F.lit(1.0)))

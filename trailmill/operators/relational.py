@@ -1,7 +1,7 @@
 """Joins and set operators of indexing, resuming and merging.
 
 Dimensions are joined without a broadcast hint: the planner broadcasts them when their size is known
-to be small. Range joins carry an equality on the trajectory.
+to be small. Interval joins are those of `intervals`.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def looked_up(df: DataFrame, dim: DataFrame, keys: list[tuple[str, str]], value: str, name: str) -> DataFrame:
     """Looks a value up by several keys in turn: the first key that finds one decides."""
@@ -43,16 +45,15 @@ def merged(sources: list[DataFrame], keys: list[str], order: list[str]) -> DataF
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     """Pairs of half-open intervals of a group that share at least so many frames; columns start_frame,
     end_frame and whatever else, prefixed l_ and r_."""
-    a, b = (df.select(*by, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in by)) for df, p in ((left, "l"), (right, "r")))
-    shared = F.least("l_end_frame", "r_end_frame") - F.greatest("l_start_frame", "r_start_frame")
-    return a.join(b, by).withColumn("overlap", shared).where(F.col("overlap") >= least)
+    return intervals.pairs(left, right, by, least=least)
 
 
 def clipped(phases: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
     """Phases cut to the windows of their group that they meet."""
-    w = windows.select(*by, F.col("start_frame").alias("ws"), F.col("end_frame").alias("we"), *(c for c in windows.columns if c not in (*by, "start_frame", "end_frame")))
-    met = phases.join(w, by).where("start_frame < we and ws < end_frame")
-    return met.withColumns({"start_frame": F.greatest("start_frame", "ws"), "end_frame": F.least("end_frame", "we")}).drop("ws", "we")
+    met = intervals.pairs(phases, windows, by)
+    cut = {"l_start_frame": F.greatest("l_start_frame", "r_start_frame"), "l_end_frame": F.least("l_end_frame", "r_end_frame")}
+    about = [c for c in windows.columns if c not in (*by, "start_frame", "end_frame")]
+    return met.withColumns(cut).select(*(F.col(c if c in by else f"l_{c}").alias(c) for c in phases.columns), *(F.col(f"r_{c}").alias(c) for c in about))
 
 
 def nearest(wanted: DataFrame, timeline: DataFrame, by: list[str], at: str, t: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals
 from ..operators import relational as rel
 from ..operators import sequences as seq
 from .registry import frames, query, spans, spans_sql, table
@@ -248,7 +249,6 @@ def longtask_rank(spark, sf_dir):
     f"WITH {SPANS} SELECT a.traj, start_frame, count(*) AS n, avg(floor(signal * 100 + 0.5)) AS mean_signal FROM a JOIN v_frames f ON f.traj = a.traj AND f.t >= start_frame AND f.t < end_frame GROUP BY a.traj, start_frame",
 )
 def frame_window_join(spark, sf_dir):
-    f = frames(spark, sf_dir).select(F.col("traj").alias("tr"), "t", F.floor(F.col("signal") * 100 + 0.5).cast("double").alias("signal"))
-    a = _spans(spark, sf_dir)
-    met = a.join(f, (F.col("traj") == F.col("tr")) & (F.col("t") >= F.col("start_frame")) & (F.col("t") < F.col("end_frame")))
+    f = frames(spark, sf_dir).select("traj", "t", F.floor(F.col("signal") * 100 + 0.5).cast("double").alias("signal"))
+    met = intervals.covering(f, _spans(spark, sf_dir), ["traj"], "t")
     return met.groupBy("traj", "start_frame").agg(F.count("*").alias("n"), F.avg("signal").alias("mean_signal"))
