@@ -50,8 +50,9 @@ def node_share(df: DataFrame, order: list[Column | str], nodes: int, rank: int)
 
 def natural(path: str, digits: int = 20) -> Column:
     """A string that sorts as the path does when its numbers count as numbers and its letters in either case are one:
-    each number gets zeros in front, up to so many digits. Longer numbers keep their digits."""
-    padded = F.regexp_replace(F.lower(path), r"\d+", "0" * digits + "$0")
+    each number gets zeros in front, up to so many digits, and a control character, so that text that ends there is less
+    than text that goes on. Longer numbers keep their digits."""
+    padded = F.regexp_replace(F.lower(path), r"\d+", "\x01" + "0" * digits + "$0")
     return F.regexp_replace(padded, r"0+(\d{%d,})" % digits, "$1")
 
 

@@ -35,6 +35,7 @@ VIEWS = {
     "v_boxes": """v_boxes AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY x1, y1, x2, y2, conf) - 1 AS BIGINT) AS idx, x1, y1, x2, y2, conf FROM
  (SELECT l_orderkey AS grp, CAST(l_partkey % 97 AS DOUBLE) AS x1, CAST(l_suppkey % 61 AS DOUBLE) AS y1, CAST(l_partkey % 97 + 5 AS DOUBLE) + l_quantity AS x2,
  CAST(l_suppkey % 61 + 5 + l_partkey % 40 AS DOUBLE) AS y2, l_extendedprice / 105000.0 AS conf FROM lineitem))""",
+    "v_timeline": """v_timeline AS (SELECT 0 AS traj, event_id AS t, value AS signal, event_type AS label FROM events)""",
     "v_tracks": """v_tracks AS (SELECT vec_id AS cand, label AS traj, CAST(i // 2 AS BIGINT) AS t, CAST(i % 2 AS BIGINT) AS pt, CAST(embedding[2 * i + 1] AS DOUBLE) AS x,
  CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, (SELECT unnest(range(32)) AS i))""",
 }
