@@ -37,6 +37,23 @@ def append_new(stream: DataFrame, sink: str, key: str, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def append_committed(stream: DataFrame, sink: str, key: str, checkpoint: str, writer: str | None = None, once: bool = True) -> StreamingQuery:
+    """Appends rows whose key the sink does not have yet, a batch all or nothing: an entry in the sink's log makes its files
+    part of the table (sources.ledger). A batch that runs twice is known by its writer and number; several writers
+    share a sink. Read it by ledger.Table(spark, sink).read()."""
+    from ..sources.ledger import Table
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            Table(batch.sparkSession, sink).append(held, key, writer or checkpoint, number)
+        finally:
+            held.unpersist()
+
+    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
 def frame_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
