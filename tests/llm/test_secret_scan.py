@@ -69,6 +69,66 @@ def test_keys_of_known_formats_and_ordinary_runs(model):
     assert [k for k, *_ in ss.scan(" and ".join(KEYS).encode(), model)].count("random") == len(KEYS)
 
 
+WORLD = """szczebrzeszynskiego Wojciechowskiego-Szymczyk WhatLinksHere/Wikipedia zookeeper_quorum_watchdog getUserSessionTokenValue wiki/Special/Search
+Llanfairpwllgwyngyll Kraftfahrzeugversicherung lentokonesuihkuturbiini megszentsegtelenithetetlen Rechtsschutzversicherung verantwoordelijkheid
+arbejdsmarkedsuddannelse Menschenrechtskonvention precipitevolissimevolmente desoxyribonukleinsaure konstantynopolitanczykowianka prijestolonasljednikovica
+Przedsiebiorstwo-Wielobranzowe zvlastnostmi-nejnepravdepodobnejsi Bezirksschornsteinfegermeister nieprawdopodobienstwo Nizhny-Novgorod
+Blagoveshchensk-Vladivostok Thiruvananthapuram Visakhapatnam-Vijayawada Ouagadougou-Bobo-Dioulasso Antananarivo-Fianarantsoa Muckanaghederdauhaulia
+Pwllheli-Aberystwyth Ynysybwl-Cwmystwyth Hafnarfjordur-Kopavogur Vestmannaeyjar Tegucigalpa-Comayaguela Popocatepetl-Iztaccihuatl
+Kilimanjaro-Ngorongoro Shijiazhuang-Zhengzhou Qinhuangdao-Zhangjiakou Hsinchu-Taoyuan-Miaoli Utsunomiya-Shinjuku Fukuoka-Kitakyushu
+tokyo-shibuya-crossing anticonstitucionalmente electroencefalografista otorrinolaringologista intergouvernementalisation
+internationaliseringsproces kindercarnavalsoptocht""".split()
+
+
+def names_of_modules():
+    """Names in the standard library and in libraries, which nobody chose for the model."""
+    import importlib
+
+    out = set()
+    for name in "asyncio ast decimal email.message errno http.client inspect logging multiprocessing numpy os pandas pyarrow pyspark.sql.functions signal socket ssl subprocess tkinter typing unittest xml.dom.minidom".split():
+        try:
+            module = importlib.import_module(name)
+        except ImportError:
+            continue
+        for n in dir(module):
+            out |= {n, *dir(getattr(module, n, None))}
+    return sorted(n for n in out if len(n) >= 12)
+
+
+def paths_of_files():
+    import os
+    from pathlib import Path
+
+    import numpy
+    import pandas
+
+    out = set()
+    for package in (numpy, pandas):
+        root = Path(package.__file__).parent
+        out |= {m.decode() for f in root.rglob("*.py") for m in ss.CANDIDATE.findall(os.path.relpath(f, root.parent).encode())}
+    return sorted(out)
+
+
+def keys_of_bytes(n=400):
+    import base64
+
+    rng, out = random.Random(7), []
+    for k in range(n):
+        raw = rng.randbytes(rng.choice([10, 12, 15, 16, 20, 24, 32, 40]))
+        made = [base64.b64encode(raw), base64.urlsafe_b64encode(raw), base64.b32encode(raw), raw.hex().encode(), base64.b32encode(raw).lower(), raw.hex().upper().encode()]
+        out.append(made[k % 6].decode().rstrip("="))
+    return [k for k in out if len(k) >= 12]
+
+
+def test_ordinary_strings_that_nobody_chose_and_keys_of_all_alphabets(model):
+    names, paths, keys = names_of_modules(), paths_of_files(), keys_of_bytes()
+    flagged = lambda strings: [x for x in strings if ss.is_random(x.encode(), model)]
+    assert len(names) > 1_000 and len(flagged(names)) <= 0.005 * len(names)
+    assert len(paths) > 500 and len(flagged(paths)) <= 0.005 * len(paths)
+    assert flagged(WORLD) == []
+    assert len(flagged(keys)) >= 0.95 * len(keys)
+
+
 def test_the_corpus_teaches_its_own_words(spark):
     """Long words that made samples don't know, and keys of an alphabet that only the corpus has."""
     rng = random.Random(4)

@@ -59,7 +59,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 2
 START, OTHER = SIZE - 2, SIZE - 1
 #: Labelled strings of each label that default_samples() makes, and its seed.
-SAMPLES = 6_000
+SAMPLES = 20_000
 SEED = 20_260_101
 #: Documents from which labelled strings are taken, in expectation.
 SAMPLE = 20_000
@@ -88,26 +88,67 @@ IDENTIFIER_WORDS = (
     "patch", "path", "pattern", "payment", "permission", "person", "pixel", "plugin", "point", "policy", "pool", "port", "position", "power",
     "prefix", "preview", "print", "priority", "process", "product", "profile", "project", "property", "protocol", "provider", "proxy", "public",
     "query", "queue", "random", "range", "reader", "record", "reference", "region", "register", "release", "remote", "render", "replace", "report",
-    "request", "reset", "resource", "response", "result", "retry",
+    "request", "reset", "resource", "response", "result", "retry", "sample", "scale", "schedule", "schema", "scope", "screen", "script", "scroll",
+    "search", "second", "section", "secure", "select", "sender", "sequence", "serial", "server", "service", "session", "setting", "shader", "shape",
+    "share", "shift", "signal", "single", "size", "slice", "slot", "socket", "sort", "source", "space", "spec", "speed", "stack", "stage", "standard",
+    "start", "state", "static", "status", "step", "stop", "storage", "store", "stream", "string", "structure", "style", "subject", "submit", "sum",
+    "support", "switch", "symbol", "sync", "system", "table", "tag", "target", "task", "template", "temporary", "terminal", "test", "text",
+    "texture", "theme", "thread", "time", "timeout", "title", "toggle", "token", "tool", "topic", "total", "trace", "track", "train",
+    "transaction", "transform", "tree", "trigger", "type", "unique", "unit", "update", "upload", "user", "utility", "valid", "value", "variable",
+    "vector", "version", "vertex", "video", "view", "visible", "visit", "volume", "wait", "watch", "weight", "widget", "width", "window", "word",
+    "work", "worker", "wrapper", "write", "xml", "year", "zero", "zone", "zoom",
 )
+#: What syllables of many languages' words and names begin with, have in the middle, and end with, in letters without accents.
+ONSETS = (
+    "b bl br c ch cl cr cz d dj dr dz f fj fl fr g gh gl gr gw h hj hs j k kh kl kn kr kv kw l ll lj m mb mn n nd ng nj ny p pf ph pl pr pw q qu r rh rz "
+    "s sc sch sh sk sl sm sn sp st str sv sz szcz t th tl tr ts tz v vl vr w wr x y z zh zl zv"
+).split()
+NUCLEI = "a a a e e e i i o o u y aa ae ai au ea ee ei eu ia ie ii ij io oa oe oi oo ou ue ui uo uu w ya yo yu eau iei".split()
+CODAS = [""] * 14 + "b c ch ck ct d f ff g gh ght k ks l ld ll lm lt m mb mp n nd ng nk ns nt p ph pp q r rd rk rl rm rn rs rt s sch sh sk ss st t th ts tt tz v w x z".split()
+
+
+def _part(rng: random.Random) -> str:
+    """A word of an identifier, one that could be of some language, an acronym, or a stem with a number."""
+    kind = rng.random()
+    if kind < 0.5:
+        return rng.choice(IDENTIFIER_WORDS)
+    if kind < 0.93:
+        syllables = rng.choice((1, 1, 2, 2, 3, 3, 4, 5, 7))
+        return "".join((rng.choice(ONSETS) if rng.random() < 0.85 else "") + rng.choice(NUCLEI) + rng.choice(CODAS) for _ in range(syllables))
+    if kind < 0.97:
+        return "".join(rng.choices(ALPHABET[:26], k=rng.randint(2, 4)))
+    return rng.choice(IDENTIFIER_WORDS)[:3] + str(rng.choice((2, 3, 8, 16, 32, 64, 128, 256)))
+
+
+def _ordinary(rng: random.Random) -> str:
+    parts = [_part(rng) for _ in range(rng.choice((1, 1, 2, 2, 3, 3, 4, 5, 6)))]
+    if rng.random() < 0.3:
+        parts.insert(rng.randint(1, len(parts)), str(rng.randint(0, 2030)))
+    first = lambda p: p[:1].upper() + p[1:]
+    match rng.randrange(8):
+        case 0:
+            return parts[0] + "".join(map(first, parts[1:]))
+        case 1:
+            return "".join(map(first, parts))
+        case 2:
+            return "_".join(parts)
+        case 3:
+            return "-".join(parts)
+        case 4:
+            return "/".join(parts)
+        case 5:
+            return "_".join(parts).upper()
+        case 6:
+            return "-".join(map(first, parts))
+    return "/".join(first(p) if rng.random() < 0.5 else p for p in parts)
 
 
 def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]]:
     """(string, is random): `n` of each label, the same at every call."""
     rng = random.Random(seed)
-    sets = (ALPHABET[:64], ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef")
+    sets = (ALPHABET[:64], ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef", "0123456789ABCDEF")
     out = [("".join(rng.choices(rng.choice(sets), k=rng.randint(20, 64))), True) for _ in range(n)]
-    for _ in range(n):
-        parts = [rng.choice(IDENTIFIER_WORDS) for _ in range(rng.randint(2, 6))]
-        if rng.random() < 0.3:
-            parts.append(str(rng.randint(0, 2030)))
-        shape = rng.randrange(5)
-        if shape == 0:
-            parts = [parts[0], *(p.capitalize() for p in parts[1:])]
-        elif shape == 1:
-            parts = [p.upper() for p in parts]
-        out.append((("", "_", "-", "/", "")[shape].join(parts) if shape != 1 else "_".join(parts), False))
-    return out
+    return out + [(_ordinary(rng), False) for _ in range(n)]
 
 
 def _sample(docs: DataFrame, text: str) -> DataFrame:
