@@ -9,9 +9,9 @@ as with as many independent ones.
 
 A band is ROWS coordinates, hashed to a key; sets that share a key are candidates, and the exact similarity
 of their whole sets decides. At a similarity of 0.85 all 32 bands of four miss once in 10^10 pairs, above it more rarely.
-Sets that are equal are one node. A key with many nodes doesn't give all pairs: its hub
-is compared with the others first, and only what that leaves apart is compared further, in the order of exactly
-counted shingles where that is much (simhash.similar_links); no link is lost by it.
+Sets that are equal are one node, known by 64 bits (of 10^10 different sets some three pairs would be taken for equal). A key
+with many nodes doesn't give all pairs: its hub is compared with the others first, and what that leaves apart
+meets again under its rarest shingles, counted exactly (simhash.similar_links); no link is lost by it.
 
 Defined cases: a null or empty text, or one without words, has no shingles, is linked with nothing and is its own
 component. A text with fewer words than a shingle is one shingle. A null id is a row like others; a component of which
@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, folder, map_column, shuffles_deleted, staged, utf8
+from .common import discard, folder, map_column, rows_per_batch, shuffles_deleted, staged, utf8
 from .simhash import components, exact_prefixes, roughly, shingle_set, similar_links
 
 WIDTH, SIMILARITY = 5, 0.85
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: Rows of a batch of whole texts for Python, which gives back sets as long.
+BATCH = 250
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -74,7 +76,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-_NODE = "struct<node: binary, size: int, keys: array<bigint>>"
+_NODE = "struct<node: bigint, size: int, keys: array<bigint>>"
 
 
 def described(texts: pa.Array, width: int, bands: int, rows: int) -> pa.Array:
@@ -82,7 +84,7 @@ def described(texts: pa.Array, width: int, bands: int, rows: int) -> pa.Array:
     sets = [shingle_set(data, width) for data in utf8(texts)]
     keys = band_keys(sketches(sets, bands * rows), bands, rows).view(np.int64)
     columns = [
-        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+        pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
         pa.array([len(s) for s in sets], pa.int32()),
         pa.array([k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
     ]
@@ -100,7 +102,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     nodes_path, shared_path, entries_path, met_path = (folder(spark, f"sketch-{name}") for name in ("nodes", "shared", "entries", "met"))
     sets_paths: list[str] = []
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id).alias("ik"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    with shuffles_deleted(spark):
+    with shuffles_deleted(spark), rows_per_batch(spark, BATCH):
         said = keyed.select("id", "ik", "th", described_column("text", width, bands, rows).alias("s"))
         all_rows = staged(said.select("id", "ik", "th", "s.node", "s.size", "s.keys"), "sketches")
         nodes = all_rows.where("size > 0").groupBy("node").agg(F.min("id").alias("least"), F.first(F.struct("ik", "th")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
@@ -117,13 +119,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             """The whole sets of the nodes that are asked for, of one text each."""
             wanted = staged(nodes.join(asked, "node", "left_semi").select("node", "row.ik", "row.th"), "sketch-asked")
             texts = roughly(keyed.select("ik", "th", "text"), wanted, ["ik", "th"]).join(wanted, ["ik", "th"]).dropDuplicates(["node"])
-            packed = map_column(lambda t: pa.array([shingle_set(d, width).tobytes() for d in utf8(t)], pa.binary()), "binary", F.col("text"))
+            packed = map_column(lambda t: pa.array([shingle_set(d, width).view(np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col("text"))
             sets_paths.append(folder(spark, "sketch-sets"))
             return staged(texts.select("node", packed.alias("shingles")), "sketch-sets", sets_paths[-1])
 
         about = nodes.select("node", "size")
         refined = lambda some: exact_prefixes(sets(some), about.join(some, "node"), similarity)
-        found = components(similar_links(met, sets, similarity, refined))
+        found = components(similar_links(met, sets, similarity, refined, many=0))
         placed = staged(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "sketch-placed")
         roots = placed.groupBy("root").agg(F.min("least").alias("component"))
         named = staged(placed.join(roots, "root").select(F.col("node").alias("node_"), "component"), "sketch-named")

@@ -38,6 +38,8 @@ SEED = 42
 BITS = 64
 #: Keys with more distinct fingerprints than this link by the exact other way.
 CROWDED = 16
+#: Links that a task of `components` takes, in expectation.
+TASK_LINKS = 50_000
 _LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
 
 
@@ -137,16 +139,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges, state = staged(edges.where("a > b"), "links", path), None
     while (now := _settled(edges)) != state:
         state = now
+        # Tables of few links are few tasks and files, whatever the session's number of partitions.
+        few = lambda df, n=-(-2 * now[0] // TASK_LINKS) or 1: df.coalesce(n)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # A table of its own, so that the planner can split a hub's links when they are joined.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = staged(least, "least", least_path := folder(spark, "least"))
+        least = staged(few(least), "least", least_path := folder(spark, "least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        mid = staged(large.where("a > b"), "links", mid_path := folder(spark, "links"))
-        least = staged(mid.groupBy("a").agg(F.min("b").alias("m")), "least", least_path)
+        mid = staged(few(large.where("a > b")), "links", mid_path := folder(spark, "links"))
+        least = staged(few(mid.groupBy("a").agg(F.min("b").alias("m"))), "least", least_path)
         small = mid.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a > b").distinct(), "links", new_path := folder(spark, "links"))
+        edges = staged(few(small.where("a > b").distinct()), "links", new_path := folder(spark, "links"))
         discard(spark, path, mid_path, least_path)
         path = new_path
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -312,9 +316,13 @@ def roughly(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, shingles) have at least the similarity."""
+    """The pairs (a, b) whose sets (node, shingles) have at least the similarity. Sets are bytes, which are compared in Python by the batch, or
+    arrays, which are compared row by row in the JVM, so that no batch of long ones is held."""
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
     both = pairs.join(y, "b").join(x, "a")
+    if sets.schema["shingles"].dataType.typeName() == "array":
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        return both.where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared) - SLACK).select("a", "b")
     return both.where(map_column(jaccard, "double", F.col("a_set"), F.col("b_set")) >= similarity - SLACK).select("a", "b")
 
 
@@ -333,7 +341,7 @@ def may_be_similar(columns: list[str], similarity: float) -> Column:
     return out
 
 
-def similar_links(met: DataFrame, sets, similarity: float, refined=None, links: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def similar_links(met: DataFrame, sets, similarity: float, refined=None, links: DataFrame | None = None, near: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Links between sets of at least the similarity that join all sets so related. met: (key, node,
     size), sets that share a key, and what else `may_be_similar` reads; sets: (node, shingles), or a
     function that gives it for a table of nodes; near: pairs (a, b) that are compared in any case.
@@ -341,7 +349,7 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
     Of keys with few sets all pairs are compared; of others each with the key's hub, the set with most
     shared keys (`known`; of near copies, the one that was changed least). Where that leaves a key's sets in
     different components, those outside of the largest are compared with all others of the key. Of keys of
-    over MANY sets that would be too much: `refined` gives keys of another order for these sets, `met` again,
+    over `many` (MANY) sets that would be too much: `refined` gives keys of another order for these sets, `met` again,
     with the components (`root`) that `links` made. So no order or size of groups loses a link."""
     held = sets if callable(sets) else lambda nodes: sets
     about = [c for c in ("size", "rest", *BIT_COLUMNS, "root") if c in met.columns]
@@ -379,10 +387,13 @@ def similar_links(met: DataFrame, sets, similarity: float, refined=None, links:
     if mixed.isEmpty():
         return first
     about = [c for c in about if c != "root"] + ["root"]
-    crowds = mixed.where(F.col("n") > MANY) if refined is not None else mixed.where("false")
-    direct = mixed.where(F.col("n") <= MANY) if refined is not None else mixed
-    apart = side(direct.where("root <> main"), "a").join(side(direct, "b"), "key").where("a_root <> b_root").where(fits).select("a", "b")
-    second = first.union(verified(apart, "jaccard-second"))
+    many = MANY if many is None else many
+    crowds = mixed.where(F.col("n") > many) if refined is not None else mixed.where("false")
+    direct = mixed.where(F.col("n") <= many) if refined is not None else mixed
+    second = first
+    if refined is None or many:
+        apart = side(direct.where("root <> main"), "a").join(side(direct, "b"), "key").where("a_root <> b_root").where(fits).select("a", "b")
+        second = first.union(verified(apart, "jaccard-second"))
     again = None if crowds.isEmpty() else refined(crowds.select("node", "root").distinct())
     discard(spark, mixed_path)
     return second if again is None else second.union(similar_links(again, sets, similarity, links=second.union(links)))
@@ -392,7 +403,9 @@ def exact_prefixes(sets: DataFrame, about: DataFrame, similarity: float) -> Data
     """(key, node, size, rest, bits, known, root) of some nodes: prefixes in the order of how many of
     these nodes have a shingle, counted exactly. sets: (node, shingles); about: the other columns but
     key and rest. Shingles of one node alone come first and are no keys."""
-    unpacked = map_column(lambda t: pa.array([np.frombuffer(d, np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col("shingles"))
+    unpacked = F.col("shingles")
+    if sets.schema["shingles"].dataType.typeName() != "array":
+        unpacked = map_column(lambda t: pa.array([np.frombuffer(d, np.int64) for d in utf8(t)], pa.list_(pa.int64())), "array<bigint>", F.col("shingles"))
     spark = sets.sparkSession
     each_path, counts_path = folder(spark, "refined-shingles"), folder(spark, "refined-counts")
     each = staged(sets.select("node", F.explode(unpacked).alias("key")), "refined-shingles", each_path)
