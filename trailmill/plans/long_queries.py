@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, intervals, ranks
+from ..operators import blocks, intervals, ranks, selection
 from .registry import query, table
 
 #: Events of a block: all events are one trajectory here.
@@ -62,6 +62,19 @@ def timeline_grips(spark, sf_dir):
     return blocks.runs(held, ["traj"], "t", "state", SIZE).where("state = 'interact'").select("start_frame", "end_frame", "n")
 
 
+@query(
+    "q_timeline_medians",
+    """WITH m AS (SELECT label, count(*) AS n, median(signal) AS m FROM v_timeline GROUP BY label UNION ALL SELECT 'all', count(*), median(signal) FROM v_timeline),
+ d AS (SELECT m.label, m.n, m.m, median(abs(v.signal - m.m)) AS d FROM m JOIN v_timeline v ON v.label = m.label OR m.label = 'all' GROUP BY m.label, m.n, m.m) SELECT label, n, round(m, 6) AS median, round(d, 6) AS deviation FROM d""",
+)
+def timeline_medians(spark, sf_dir):
+    """Median and median distance from it, of each label and of all frames, by counts in buckets."""
+    frames = timeline(spark, sf_dir).select("label", "signal")
+    both = frames.unionByName(frames.withColumn("label", F.lit("all")))
+    found = selection.deviations(both, ["label"], "signal", few=256)
+    return found.select("label", "n", F.round("median", 6).alias("median"), F.round("deviation", 6).alias("deviation"))
+
+
 SPANS = "a AS (SELECT event_id AS id, event_id AS s, event_id + CASE WHEN event_id % 997 = 0 THEN 2000 ELSE 1 + event_id % 11 END AS e, event_type AS label FROM events)"
 
 
