@@ -112,5 +112,50 @@ def test_files_of_attempts_that_failed_are_not_read(spark, tmp_path):
     assert sorted(r.page_id for r in aw.read_back(manifest).collect()) == list(range(20))
 
 
+def damaged():
+    """Archives with one good record before and one behind each kind of damage, and how many rejects they have."""
+    about = b"1 0 old\n" + aw.NAMES["1"].encode() + b"\n\n"
+    first = b"filedesc://x 0.0.0.0 20000101000000 text/plain %d\n" % len(about) + about + b"\n"
+    good = lambda n, url=b"http://a/": url + b"%d 1.1.1.1 20080101000000 text/html 3\nab%d\n" % (n, n)
+    bad = [
+        (b"http://b 1.1.1.1 20080101000000 text/html 300000\nabc\n", 1),
+        (b"http://b 1.1.1.1 00000000000000 text/html 3\nabc\n", 1),
+        (b"http://b 3\nabc\n", 1),
+        (b"http://b 1.1.1.1 20080101000000 text/html -3\nabc\n", 1),
+        (b"\xff\xfe\x00 rubbish\nmore rubbish\n", 1),
+        (b"http://caf\xe9/ 1.1.1.1 20080101000000 text/html 3\nabc\n", 0),
+        (b"http://b 1.1.1.1 200801011230 text/html 3\nabc\n", 0),
+    ]
+    return [(first + good(1) + x + good(2), n) for x, n in bad] + [(first + good(1) + good(2) + b"http://b 1.1.1.1 2008", 1)]
+
+
+def test_damage_is_listed_and_the_rest_is_read(spark):
+    files = damaged()
+    for content, n in files:
+        found = list(aw.scan_arc(content))
+        assert [r["block"] for r, _ in found if r and r["block"] != b"abc"] == [b"ab1", b"ab2"], content
+        assert sum(b is not None for _, b in found) == n, found
+    assert [r["url"] for r, _ in aw.scan_arc(files[5][0]) if r][1] == "http://caf%E9/"
+    assert [aw.warc_date(r["date"]) for r, _ in aw.scan_arc(files[6][0]) if r][1] == "2008-01-01T12:30:00Z"
+    rows = [(f"f{k}", c) for k, (c, _) in enumerate(files)] + [("none", None), ("empty", b""), ("other", b"PK\x03\x04 no archive"), ("version", files[0][0].replace(b"1 0 old", b"9 0 old"))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    out = aw.rejects(df).collect()
+    assert {(r.path) for r in out} == {"f0", "f1", "f2", "f3", "f4", "f7", "other", "version"} and all(r.reason for r in out)
+    back = aw.read_back(aw.convert(df)).collect()
+    assert len(back) == 2 * len(files) + 2 and all(r.payload_bytes == 3 for r in back)
+
+
+def test_gzip_members(spark):
+    parts = [aw.arc_file("n.arc", "1", [record(b"one")]), b"http://a/2 1.1.1.1 20080101000000 text/html 3\ntwo\n", b"http://a/3 1.1.1.1 20080101000000 text/html 5\nthree\n"]
+    packed = [gzip.compress(p) for p in parts]
+    blocks = lambda content: [r["block"] for r, _ in aw.scan_arc(content) if r]
+    lost = lambda content: [b for _, b in aw.scan_arc(content) if b]
+    assert blocks(b"".join(packed)) == [b"one", b"two", b"three"] and not lost(b"".join(packed) + bytes(20))
+    broken = packed[1][:20] + b"\xff" * (len(packed[1]) - 20)
+    assert blocks(packed[0] + broken + packed[2]) == [b"one", b"three"] and lost(packed[0] + broken + packed[2])
+    assert blocks(b"".join(packed)[:-9]) in ([b"one", b"two"], [b"one", b"two", b"three"]) and lost(b"".join(packed)[:-9])
+    assert list(aw.read_arc(b"".join(packed)))[1]["block"] == b"two"
+
+
 def test_empty_table(spark):
     assert aw.digest(spark.createDataFrame([], SCHEMA)).collect() == []

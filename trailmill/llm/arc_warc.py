@@ -20,12 +20,18 @@ Defined cases: a null payload is an empty one; a null URL is "-"; blanks in a UR
 Records with a null ordinal are responses. Records equal in payload and ordinal are the same record
 written twice: all with the largest ordinal are responses. A very long payload is in memory alone.
 An empty table gives no files and an empty result. Extra columns are not read.
+
+Damage ends no job: `rejects` lists what can't be read (a length that goes past the end, a header line with too few fields or a date
+that is none, a broken gzip member, a file of another version), by file and byte, and reading goes on at the next line that can be a
+header. Headers are Latin-1, URLs percent-coded; a date of twelve digits has no seconds. Gzip members are read one behind
+the other. A whole archive is one row, so archives of over 2 GB are to be cut before.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -77,37 +83,100 @@ def _arc_record(record: dict, version: str, name: str, at: int) -> bytes:
     return line.encode() + b"\n" + block + b"\n"
 
 
-def read_arc(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file, without its first. Lengths are trusted, markup is not looked at."""
+#: A line that can be a record's header, behind damage: a URL, an address, a date, a type and a length.
+HEADER = re.compile(rb"(?m)^[A-Za-z][A-Za-z0-9+.-]*:[^ \n]* [0-9.:A-Fa-f]+ [0-9]{12,14} [^\n]* [0-9]+$")
+GZIP = b"\x1f\x8b\x08"
+
+
+def unpacked(content: bytes) -> tuple[bytes, list[tuple[int, str]]]:
+    """An archive's bytes, its gzip members one behind the other if it has any, and what was lost: from which byte, and why.
+    Behind a damaged member the next one is looked for."""
+    if not content.startswith(GZIP[:2]):
+        return content, []
+    parts, lost, at, size = [], [], 0, 0
+    while 0 <= at < len(content):
+        unpack, held = zlib.decompressobj(31), b""
+        try:
+            held = unpack.decompress(memoryview(content)[at:])
+            if not unpack.eof:
+                raise zlib.error("cut off")
+            at = len(content) - len(unpack.unused_data)
+            if not unpack.unused_data.startswith(GZIP[:2]) and unpack.unused_data.strip(b"\0"):
+                raise zlib.error("no member follows")
+            at = at if unpack.unused_data.strip(b"\0") else len(content)
+        except zlib.error as error:
+            lost.append((size, f"a damaged gzip member at byte {at}: {error}"))
+            at = content.find(GZIP, at + 1)
+        parts.append(held)
+        size += len(held)
+    return b"".join(parts), lost
+
+
+def _digits14(date: str) -> str:
+    """A date of 14 digits, of which old writers left out the seconds."""
+    date = date + "00" if len(date) == 12 else date
+    if len(date) != 14 or not date.isascii() or not date.isdigit():
+        raise ValueError(f"{date!r} is no date")
+    datetime.strptime(date, "%Y%m%d%H%M%S")
+    return date
+
+
+def scan_arc(content: bytes) -> Iterator[tuple[dict | None, tuple[int, str] | None]]:
+    """The records of an ARC file, without its first, and between them what can't be read: (record, None) or (None, (byte,
+    reason)). Lengths are trusted where they fit; behind damage, reading goes on at the next line that can be a header."""
+    content, lost = unpacked(content)
+    yield from ((None, x) for x in lost)
     version, at = None, 0
     while at < len(content):
         end = content.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no header line at byte {at}")
-        line = content[at:end].decode()
-        if not line.strip():
+        line = content[at : end if end >= 0 else len(content)].decode("latin-1").rstrip("\r")
+        if end >= 0 and not line.strip():
             at = end + 1
             continue
-        parts = line.split(" ")
-        length = int(parts[-1])
-        block = content[end + 1 : end + 1 + length]
-        if len(block) != length:
-            raise ValueError(f"the record at byte {at} declares {length} bytes, {len(block)} are left")
-        if version is None:
-            if not line.startswith("filedesc://"):
-                raise ValueError("an ARC file starts with a filedesc record")
-            version = block.split(b" ", 1)[0].decode()
-            if version not in FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-        else:
-            fields = FIELDS[version]
-            # Old writers left blanks in content types: what is between the fixed fields belongs there.
-            extra = len(parts) - len(fields)
-            if extra < 0:
-                raise ValueError(f"the header line at byte {at} has {len(parts)} fields, version {version} has {len(fields)}")
-            parts = [*parts[:3], " ".join(parts[3 : 4 + extra]), *parts[4 + extra :]]
-            yield {**dict(zip(fields, parts, strict=True)), "version": version, "at": at, "block": block}
-        at = end + 1 + length + 1
+        try:
+            if end < 0:
+                raise ValueError(f"no header line at byte {at}")
+            parts = line.split(" ")
+            if not parts[-1].isascii() or not parts[-1].isdigit():
+                raise ValueError(f"the header line at byte {at} ends with no length")
+            length = int(parts[-1])
+            block = content[end + 1 : end + 1 + length]
+            if len(block) != length:
+                raise ValueError(f"the record at byte {at} declares {length} bytes, {len(block)} are left")
+            if version is None:
+                if not line.startswith("filedesc://"):
+                    raise ValueError("an ARC file starts with a filedesc record")
+                version = block.split(b" ", 1)[0].decode("latin-1")
+                if version not in FIELDS:
+                    yield None, (at, f"unknown ARC version {version}")
+                    return
+            else:
+                fields = FIELDS[version]
+                # Old writers left blanks in content types: what is between the fixed fields belongs there.
+                extra = len(parts) - len(fields)
+                if extra < 0:
+                    raise ValueError(f"the header line at byte {at} has {len(parts)} fields, version {version} has {len(fields)}")
+                parts = [*parts[:3], " ".join(parts[3 : 4 + extra]), *parts[4 + extra :]]
+                record = dict(zip(fields, parts, strict=True))
+                record["date"] = _digits14(record["date"])
+                record["url"] = "".join(c if c < "\x7f" else f"%{ord(c):02X}" for c in record["url"])
+                yield {**record, "version": version, "at": at, "block": block}, None
+            at = end + 1 + length + 1
+        except ValueError as error:
+            yield None, (at, str(error))
+            if version is None:
+                return
+            # A wrong date or field leaves the length as it is; else the next header line is the next record.
+            follows = HEADER.search(content, end + 1) if end >= 0 else None
+            at = follows.start() if follows else len(content)
+
+
+def read_arc(content: bytes) -> Iterator[dict]:
+    """The records of an ARC file without damage; raises at the first."""
+    for record, bad in scan_arc(content):
+        if bad:
+            raise ValueError(bad[1])
+        yield record
 
 
 def http_split(block: bytes) -> tuple[bytes, bytes]:
@@ -123,10 +192,19 @@ def header_value(header: bytes, name: bytes) -> str | None:
     for line in header.split(b"\r\n"):
         key, colon, value = line.partition(b":")
         if colon and key.strip().lower() == name.lower():
-            return value.strip().decode()
+            return value.strip().decode("latin-1")
     return None
 
 
+def ordinal_in(header: bytes) -> int | None:
+    """The ordinal of a record, if its header has one that is a number of 64 bits."""
+    try:
+        number = int(header_value(header, ORDINAL) or "")
+    except ValueError:
+        return None
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
 # ---- WARC ------------------------------------------------------------------------------------
 
 
@@ -253,16 +331,29 @@ def record_keys(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for r in read_arc(content.as_py()):
-                    header, payload = http_split(r["block"])
-                    number = header_value(header, ORDINAL)
-                    rows.append((path, r["at"], None if number is None else int(number), len(payload), hashlib.sha1(payload).hexdigest()))
+                for r, bad in scan_arc(content.as_py() or b""):
+                    if bad is None:
+                        header, payload = http_split(r["block"])
+                        rows.append((path, r["at"], ordinal_in(header), len(payload), hashlib.sha1(payload).hexdigest()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return archives.select("path", "content").mapInArrow(parse, KEY)
 
 
+def rejects(archives: DataFrame) -> DataFrame:
+    """(path, at, reason) of what the archives (path, content) hold and `convert` leaves out: where in the unpacked file, and why."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                bad = [b for _, b in scan_arc(content.as_py() or b"") if b]
+                if bad:
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(bad)), pa.array([at for at, _ in bad], pa.int64()), pa.array([why for _, why in bad])], ["path", "at", "reason"])
+
+    return archives.select("path", "content").mapInArrow(parse, "path string, at bigint, reason string")
+
+
 def revisits(keys: DataFrame) -> DataFrame:
     """(path, revisits): of every archive the places of records whose payload another record keeps, and
     that record's ordinal."""
@@ -292,13 +383,14 @@ def convert(archives: DataFrame, to: str | None = None) -> DataFrame:
             for batch in batches:
                 for content, decided in zip(batch.column(0), batch.column(1), strict=True):
                     refers = {d["at"]: d["response"] for d in decided.as_py() or ()}
-                    for record in read_arc(content.as_py()):
+                    for record, bad in scan_arc(content.as_py() or b""):
+                        if bad is not None:
+                            continue
                         if out is None:
                             name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
                             out, size, count = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                             done.append((name, 0))
-                        number = header_value(http_split(record["block"])[0], ORDINAL)
-                        record["ordinal"] = None if number is None else int(number)
+                        record["ordinal"] = ordinal_in(http_split(record["block"])[0])
                         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         data = pack.compress(warc_record(record, refers.get(record["at"]))) + pack.flush()
                         out.write(data)
