@@ -164,3 +164,21 @@ def test_groups_are_bounded(spark):
 
 def test_empty_table(spark):
     assert packing.digest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_summaries_keep_what_is_frequent():
+    import pickle
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    parts = [Counter(str(min(int(rng.paretovariate(0.8)), 9_999)) for _ in range(3_000)) for _ in range(9)]
+    true, counters = sum(parts, Counter()), 50
+    found = b""
+    for part in parts:
+        found = token_counts.merged(found, pickle.dumps(token_counts.cut(part, counters)), counters)
+    kept = pickle.loads(found)
+    assert len(kept) <= counters
+    for word, n in true.items():
+        assert n - true.total() / (counters + 1) <= kept.get(word, 0) <= n
+    assert token_counts.merged(b"", b"x", 3) == b"x" and token_counts.cut(Counter("aab"), 2) == Counter("aab")

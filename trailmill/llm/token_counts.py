@@ -1,9 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
 First tier: a compact table of the lengths of the most frequent pre-tokens of all documents, broadcast;
-its size is fixed by FREQUENT. They are counted exactly: a task hands on its sums whenever it holds HELD
-pre-tokens, and Spark adds them up. Second tier: each worker's own caches of what the library said about
-the rest. The table only saves work; counts are the library's with any table.
+its size is fixed by FREQUENT. No pre-token is shuffled to find them: each task keeps a summary of COUNTERS counters (Misra and
+Gries), which holds every pre-token that makes more than one in COUNTERS of what it read, and summaries merge, with
+that bound kept, up a tree of tasks; the driver gets the tree's few last ones. Second tier: each worker's own caches of
+what the library said about the rest. The table only saves work; counts are the library's with any table.
 
 Defined cases: a null text is an empty one with no tokens and no bytes; very long texts are counted
 whole; repeated rows get equal counts; an empty table gives an empty result; other columns pass
@@ -12,6 +13,8 @@ through untouched, and the added column takes a name that clashes with none.
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,39 +29,62 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2_048
 #: Entries of the broadcast table.
 FREQUENT = 16_384
-#: Different pre-tokens of which a task holds the sums.
+#: Counters of a summary, and how many a task lets grow before it cuts them back to that. Only counts above the cut are kept, less
+#: the cut, so a pre-token's count falls short by at most a COUNTERS-th of all pre-tokens.
+COUNTERS = 2 * FREQUENT
 HELD = 1 << 17
+#: Levels of the tree of summaries.
+DEPTH = 4
 
 
-def sums(path: str, held: int):
-    """Gives how often a task's texts hold each pre-token of up to LONG characters, in one part or several."""
+def cut(counts: Counter, counters: int) -> Counter:
+    """At most so many counters: the largest, less the count of the largest that goes."""
+    if len(counts) <= counters:
+        return counts
+    least = heapq.nlargest(counters + 1, counts.values())[-1]
+    return Counter({w: n - least for w, n in counts.items() if n > least})
+
+
+def merged(a: bytes, b: bytes, counters: int) -> bytes:
+    """Two summaries as one, no larger."""
+    if not a or not b:
+        return a or b
+    both = pickle.loads(a)
+    both.update(pickle.loads(b))
+    return pickle.dumps(cut(both, counters))
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def part() -> pa.RecordBatch:
-            kinds[False].update({read(w): n for w, n in kinds[True].items() if len(w) <= 4 * LONG})
-            some = [(w, n) for w, n in kinds[False].items() if len(w) <= LONG]
-            for seen in kinds:
-                seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+def summaries(path: str, counters: int, held: int):
+    """Gives one summary of the pre-tokens of up to LONG characters that a task's texts hold."""
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in slices_of(batches):
             for text in batch.column(0).to_pylist():
                 if text and SPECIAL not in text:
                     for as_shown, words in pretokens(text, path):
                         kinds[as_shown].update(words)
                 if sum(map(len, kinds)) > held:
-                    yield part()
-        yield part()
+                    kinds = cut(_plain(kinds), counters), Counter()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(cut(_plain(kinds), counters))], pa.binary())], ["summary"])
 
     return summed
 
 
-def frequent(docs: DataFrame, text: str, path: str, size: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of all documents: at most `size` entries reach the driver."""
-    summed = docs.select(text).mapInArrow(sums(path, HELD), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in summed.orderBy(F.desc("n"), "word").limit(size).collect()]
+def _plain(kinds: tuple[Counter, Counter]) -> Counter:
+    """Counts of pre-tokens as themselves, of both kinds, without long ones."""
+    out = Counter({w: n for w, n in kinds[False].items() if len(w) <= LONG})
+    out.update({w: n for x, n in kinds[True].items() if len(x) <= 4 * LONG and len(w := read(x)) <= LONG})
+    return out
+
+
+def frequent(docs: DataFrame, text: str, path: str, size: int = FREQUENT, counters: int = COUNTERS, held: int | None = None) -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of all documents, at most `size`."""
+    each = docs.select(text).mapInArrow(summaries(path, counters, held or HELD), "summary binary").rdd.map(lambda r: bytes(r[0]))
+    both = lambda a, b: merged(a, b, counters)
+    found = each.treeAggregate(b"", both, both, DEPTH)
+    counts = pickle.loads(found) if found else {}
+    words = sorted(counts, key=lambda w: (-counts[w], w))[:size]
     return dict(zip(words, count(words, path), strict=True))
 
 
