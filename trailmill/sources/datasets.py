@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def tree(spark: SparkSession, root: str, name: str, read, subset: list[str] | No
     for leaf in leaves(spark, root, subset):
         try:
             parts[f"{name}/{leaf}" if leaf else name] = read(spark, f"{root.rstrip('/')}/{leaf}".rstrip("/"))
-        except Exception as error:  # a leaf of another layout: what is missing shows in the result's datasets
+        except (AnalysisException, LookupError, ValueError) as error:  # a leaf of another layout; a lost executor is no such thing
             failed = error
     if not parts:
         raise ValueError(f"no dataset below {root} can be read") from failed
