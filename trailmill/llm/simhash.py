@@ -200,8 +200,9 @@ SLACK = 1e-9
 FEW = 8
 #: Sets under a key up to which those outside its largest component are compared with all others.
 MANY = 1_000
-#: Standard deviations by which the distance of two fingerprints may exceed what is expected at the limit.
-DEVIATIONS = 4.5
+#: Standard deviations by which the distance of two fingerprints may exceed what is expected at the limit, and the
+#: shingles that a set has at least for its bits to be spread so; smaller sets are not held against distances.
+DEVIATIONS, SPREAD = 5.5, 64
 #: Bits of a bitmap for each row that it has, and at most (16 MB): of more rows it lets more others through.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Least hashes of a set, of each of which a bit is kept, and how many shingles are multiplied at a time.
@@ -255,7 +256,7 @@ def _farthest(bits: int, share: float) -> int:
 
 def farthest(similarity: float) -> tuple[int, int]:
     """Bits by which SimHash fingerprints and least hashes of two sets of at least the similarity differ, but
-    for one pair in a hundred thousand at the limit."""
+    for one pair in twenty million at the limit."""
     return _farthest(BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi), _farthest(LEAST, (1 - similarity) / 2)
 
 
@@ -337,7 +338,7 @@ def may_be_similar(columns: list[str], similarity: float) -> Column:
     if BIT_COLUMNS[0] in columns:
         differ = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BIT_COLUMNS]
         far, least_far = farthest(similarity)
-        out &= (differ[0] <= far) & (sum(differ[2:], differ[1]) <= least_far)
+        out &= (F.least("a_size", "b_size") < SPREAD) | ((differ[0] <= far) & (sum(differ[2:], differ[1]) <= least_far))
     return out
 
 
