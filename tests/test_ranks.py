@@ -37,6 +37,17 @@ def test_ties_and_repeats_have_places_of_their_own(spark):
     assert shares == [[0, 3, 6, 9], [1, 4, 7], [2, 5, 8]]
 
 
+def test_running_sums(spark):
+    df = spark.createDataFrame(rows(), "grp string, v long, id long").repartition(5)
+    got = {r.id: r.before for r in ranks.running(df.select("grp", "id", F.coalesce("v", F.lit(0)).alias("v")), ["id"], "v", ["grp"]).collect()}
+    want, sums = {}, {}
+    for g, v, k in rows():
+        want[k] = sums.get(g, 0)
+        sums[g] = want[k] + (v or 0)
+    assert got == want
+    assert [r.before for r in sorted(ranks.running(spark.range(5).withColumnRenamed("id", "v"), ["v"], "v").collect())] == [0, 0, 1, 3, 6]
+
+
 def test_natural_order(spark):
     paths = ["a2/b", "a10/b", "A1/b", "a010/a", "a/1", "b00", "b0", "a10/B2", "a10/b10", "9", "10", "x" + "1" * 25]
     df = spark.createDataFrame([(p,) for p in paths], "path string")

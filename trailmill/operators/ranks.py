@@ -17,32 +17,51 @@ from .scratch import staged
 _POSITION = (1 << 33) - 1
 
 
+def _ranged(df: DataFrame, order: list[Column | str], within: list[str]) -> DataFrame:
+    """The rows as they lie in ranges of the order, written: part__, and at__ in it. Rows that tie are placed by a hash of all their
+    columns, so only rows that are equal, or collide, can change places. Written once, since a second run may cut the ranges elsewhere."""
+    tie = F.xxhash64(*(F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes))
+    by = [*within, *order, "tie__"]
+    ranged = df.withColumn("tie__", tie).repartitionByRange(*by).sortWithinPartitions(*by).drop("tie__")
+    return staged(ranged.withColumns({"part__": F.spark_partition_id(), "at__": F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION))}), "ranked")
+
+
+def _with(rows: DataFrame, about: DataFrame, within: list[str]) -> DataFrame:
+    """Rows with what a table of one row for each part and group says of theirs."""
+    named = about.withColumnsRenamed({"part__": "p__", **{c: f"g{k}__" for k, c in enumerate(within)}})
+    same = F.col("part__") == F.col("p__")
+    for k, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"g{k}__"))
+    return rows.join(named, same)
+
+
 def numbered(df: DataFrame, order: list[Column | str], within: list[str] | None = None, name: str = "place", total: str | None = None) -> DataFrame:
     """The rows with their place (from 0) in the order, of all rows or within each group, and in `total` the number
-    of rows there. Rows that tie in the order are placed by a hash of all their columns, so only rows
-    that are equal, or collide, can change places. Null groups are a group.
-
-    One shuffle of the rows, by ranges; they are written once, since a second run may cut the ranges elsewhere."""
+    of rows there. Null groups are a group. One shuffle of the rows, by ranges."""
     within = within or []
-    tie = F.xxhash64(*(F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes))
-    keyed = df.withColumn("tie__", tie)
-    by = [*within, *order, "tie__"]
-    ranged = keyed.repartitionByRange(*by).sortWithinPartitions(*by).drop("tie__")
-    rows = staged(ranged.withColumns({"part__": F.spark_partition_id(), "at__": F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION))}), "ranked")
+    rows = _ranged(df, order, within)
     counts = rows.groupBy("part__", *within).agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))
     group = Window.partitionBy(*(within or [F.lit(0)]))
     before = F.coalesce(F.sum("n__").over(group.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    about = counts.select(
-        F.col("part__").alias("p__"), *(F.col(c).alias(f"g{k}__") for k, c in enumerate(within)), (before - F.col("first__")).alias("shift__"), F.sum("n__").over(group).alias("total__")
-    )
-    same = F.col("part__") == F.col("p__")
-    for k, c in enumerate(within):
-        same &= F.col(c).eqNullSafe(F.col(f"g{k}__"))
-    placed = rows.join(about, same)
+    about = counts.select("part__", *within, (before - F.col("first__")).alias("shift__"), F.sum("n__").over(group).alias("total__"))
+    placed = _with(rows, about, within)
     own = [*df.columns, (F.col("at__") + F.col("shift__")).alias(name)]
     return placed.select(*own, *([F.col("total__").alias(total)] if total else []))
 
 
+def running(df: DataFrame, order: list[Column | str], value: str, within: list[str] | None = None, name: str = "before") -> DataFrame:
+    """The rows with the sum of an integer column over all rows before them in the order, of all rows or of their group. A window
+    runs inside a range only; ranges are added up as rows are numbered."""
+    within = within or []
+    rows = _ranged(df, order, within)
+    sums = rows.groupBy("part__", *within).agg(F.sum(value).alias("n__"))
+    group = Window.partitionBy(*(within or [F.lit(0)])).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    about = sums.select("part__", *within, F.coalesce(F.sum("n__").over(group), F.lit(0)).alias("shift__"))
+    inside = Window.partitionBy("part__", *within).orderBy("at__").rowsBetween(Window.unboundedPreceding, -1)
+    held = _with(rows.withColumn("inside__", F.coalesce(F.sum(value).over(inside), F.lit(0))), about, within)
+    return held.select(*df.columns, (F.col("inside__") + F.col("shift__")).alias(name))
+
+
 def node_share(df: DataFrame, order: list[Column | str], nodes: int, rank: int) -> DataFrame:
     """Every nodes-th row of the whole order, from the rank-th: what one of several nodes works on."""
     return numbered(df, order, name="place__").where(F.pmod("place__", F.lit(nodes)) == rank).drop("place__")

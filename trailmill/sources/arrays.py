@@ -97,11 +97,11 @@ def bundle_bytes(bundle: Column) -> Column:
 
 def sharded(df: DataFrame, by: list[str], order: list[str], size: Column, target: int = SHARD_BYTES) -> DataFrame:
     """Adds `shard`: rows of a group in order, a new shard after every `target` bytes. A shard has at most the target
-    and one row more. Groups (a dataset's writers) are independent, so shards are made side by side."""
-    from pyspark.sql import Window
+    and one row more. Sizes are summed over ranges of the order, so that a group has as many tasks as it fills."""
+    from ..operators.ranks import running
 
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("shard", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / target).cast("int"))
+    sized = df.withColumn("bytes__", size.cast("bigint"))
+    return running(sized, order, "bytes__", by, "before__").withColumn("shard", F.floor(F.col("before__") / target).cast("int")).drop("before__", "bytes__")
 
 
 def storage(trajectory: Column, subtask: Column, identity: Column, shard: Column) -> Column:
