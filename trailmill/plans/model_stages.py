@@ -7,7 +7,7 @@ stands around the calls (prompts, merging, suppression, filters, scores) is colu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -18,30 +18,39 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from ..operators import boxes as bx
-from ..operators.dense_stages import MASK, mask_of, struct_of
+from ..operators.dense_stages import MASK, struct_of
 from . import models
 
 #: Frames of a video that a robot segmenter is given at most, spread evenly; fixed value of the method.
 ROBOT_FRAMES = 64
+#: What a batch of answers weighs, about, on its way out of a worker.
+ANSWER_BYTES = 4_000_000
 
 
 def stage(make: Callable, call: Callable, schema: str, *inputs: Column, in_flight: int = 1) -> Column:
     """A model's answer for each row: call(model, *values). A null input is not asked. With more than one in
-    flight, calls of a batch overlap, as remote models allow."""
-    kind, held = to_arrow_type(DataType.fromDDL(schema)), []
-
-    def batch(*columns):
-        if not held:
-            held.append(make())
-        rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
-        ask = lambda row: None if any(v is None for v in row) else call(held[0], *row)
-        if in_flight > 1:
-            with ThreadPoolExecutor(in_flight) as pool:
-                return pa.array(list(pool.map(ask, rows)), kind)
-        return pa.array([ask(row) for row in rows], kind)
+    flight, calls overlap, as remote models allow. Answers leave the worker in batches of about ANSWER_BYTES,
+    whatever the rows of a batch that comes in, so that a worker holds no more masks than that."""
+    kind = to_arrow_type(DataType.fromDDL(schema))
 
     # The closure travels without a model: a worker makes its own.
-    return F.arrow_udf(batch, schema).asNondeterministic()(*inputs)
+    def answers(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        model, take = None, max(in_flight, 1)
+        with ThreadPoolExecutor(max(in_flight, 1)) as pool:
+            each = pool.map if in_flight > 1 else map
+            for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)
+                model = model or [make()]
+                ask = lambda row: None if any(v is None for v in row) else call(model[0], *row)  # noqa: B023, E731
+                at = 0
+                while at < len(columns[0]):
+                    rows = zip(*(c.slice(at, take).to_pylist() for c in columns), strict=True)
+                    found = pa.array(list(each(ask, rows)), kind)
+                    yield found
+                    at += len(found)
+                    take = max(1, in_flight, min(take * 4, ANSWER_BYTES * len(found) // max(found.nbytes, 1)))
+
+    return F.arrow_udf(answers, schema).asNondeterministic()(*inputs)
 
 
 class Remote:
@@ -116,11 +125,14 @@ def object_candidates(images: DataFrame, width: float, height: float, with_robot
 def segmented(rows: DataFrame, make: Callable = models.BoxSegmenter) -> DataFrame:
     """Adds `masks`, one for each of a row's boxes (image, boxes: lists of four), and `confidences` in which
     those of empty masks are zero."""
-    masks = stage(make, lambda m, image, boxes: [struct_of(np.asarray(x)) for x in m.segment(image, [tuple(b) for b in boxes])], f"array<{MASK}>", F.col("image"), F.col("boxes"))
-    out = rows.withColumn("masks", masks)
-    empty = stage(lambda: None, lambda _, found: [not mask_of(x).any() for x in found], "array<boolean>", F.col("masks"))
-    out = out.withColumn("empty__", empty)
-    return out.withColumn("confidences", F.zip_with("confidences", "empty__", lambda c, e: F.when(e, 0.0).otherwise(c))).drop("empty__")
+
+    def call(model, image: bytes, boxes: list[list[float]]) -> dict:
+        found = [np.asarray(x) for x in model.segment(image, [tuple(b) for b in boxes])]
+        return {"masks": [struct_of(x) for x in found], "empty": [not x.any() for x in found]}
+
+    out = rows.withColumn("found__", stage(make, call, f"struct<masks:array<{MASK}>,empty:array<boolean>>", F.col("image"), F.col("boxes")))
+    confidences = F.zip_with("confidences", "found__.empty", lambda c, e: F.when(e, 0.0).otherwise(c))
+    return out.withColumns({"masks": F.col("found__.masks"), "confidences": confidences}).drop("found__")
 
 
 def tracked(rows: DataFrame, n_points: int, make: Callable = models.StillTracker) -> DataFrame:
