@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import staged
+
 
 def corners(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
@@ -81,6 +85,19 @@ def contained(df: DataFrame, by: list[str], least: float = 0.3) -> DataFrame:
     )
 
 
+def _like(a: Column, b: Column) -> Column:
+    return F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
+
+
+def _nested_loss(inner: Column, outer: Column, of: Callable, alike: float, factor: float, least: float) -> Column:
+    """What the inner of two structs (idx, target, points, movement) loses to the outer one, whose boxes `of` gives."""
+    i, j = of(inner), of(outer)
+    points, movement = _like(inner["points"], outer["points"]), _like(inner["movement"], outer["movement"])
+    nested = (inner["idx"] != outer["idx"]) & (inner["target"] == outer["target"]) & (area(i) > 0) & (area(j) > area(i)) & (intersection(i, j) / area(i) > least)
+    meets = nested & (inner["points"] >= 1) & (outer["points"] >= 1) & (points > alike) & (movement > alike)
+    return F.when(meets, factor * (points + movement) / 2).otherwise(0.0)
+
+
 def nested_penalty(boxes: DataFrame, by: list[str], measures: DataFrame, alike: float = 0.5, factor: float = 0.15, least: float = 0.3) -> DataFrame:
     """(by, idx, target, penalty): what a box loses for lying in a larger one that gathers like points
     and moves alike. measures: (by, idx, target, points, movement). A group is the boxes of one image, so both
@@ -89,21 +106,44 @@ def nested_penalty(boxes: DataFrame, by: list[str], measures: DataFrame, alike:
     held = boxes.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*corner).alias("b")))).alias("boxes__"))
     told = measures.groupBy(*by).agg(F.collect_list(F.struct("idx", "target", "points", "movement")).alias("all__"))
     both = told.join(held, by, "left").withColumn("all__", F.transform("all__", lambda m: m.withField("box", F.try_element_at("boxes__", m["idx"]))))
-    of = lambda m: tuple(m["box"][c] for c in corner)
-    like = lambda a, b: F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
-
-    def loss(inner: Column, outer: Column) -> Column:
-        i, j = of(inner), of(outer)
-        points, movement = like(inner["points"], outer["points"]), like(inner["movement"], outer["movement"])
-        nested = (inner["idx"] != outer["idx"]) & (inner["target"] == outer["target"]) & (area(i) > 0) & (area(j) > area(i)) & (intersection(i, j) / area(i) > least)
-        meets = nested & (inner["points"] >= 1) & (outer["points"] >= 1) & (points > alike) & (movement > alike)
-        return F.when(meets, factor * (points + movement) / 2).otherwise(0.0)
-
+    loss = lambda inner, outer: _nested_loss(inner, outer, lambda m: tuple(m["box"][c] for c in corner), alike, factor, least)
     worst = lambda inner: F.aggregate("all__", F.lit(0.0), lambda a, outer: F.greatest(a, loss(inner, outer)))
     out = both.select(*by, F.explode(F.transform("all__", lambda m: F.struct(m["idx"].alias("idx"), m["target"].alias("target"), worst(m).alias("penalty")))).alias("m"))
     return out.select(*by, "m.idx", "m.target", "m.penalty")
 
 
+def nested_penalty_of_crowds(boxes: DataFrame, by: list[str], measures: DataFrame, alike: float = 0.5, factor: float = 0.15, least: float = 0.3, size: int = 128, shares: int = 16) -> DataFrame:
+    """As nested_penalty(), for groups of any size. Those that can lose or take stand in blocks of `size` by their
+    movement. A box meets its own block and the ones beside it; movement beyond these is less like its own than a bound,
+    so that a loss of at least the bound's is the worst. The few without one meet all of their group, dealt over `shares`."""
+    cols, keys = ("idx", "target", "points", "movement", "x1", "y1", "x2", "y2"), [*by, "target"]
+    able = measures.select(*by, "idx", "target", "points", "movement").join(boxes.select(*by, "idx", "x1", "y1", "x2", "y2"), [*by, "idx"]).where((F.col("points") >= 1) & (area(corners()) > 0))
+    w = Window.partitionBy(*keys)
+    unknown = F.max(F.col("movement").isNull()).over(w).alias("unknown__")
+    placed = staged(able.select(*by, *cols, F.floor((F.row_number().over(w.orderBy("movement", "idx")) - 1) / size).alias("block"), unknown), "nested")
+    ends = placed.groupBy(*keys, "block").agg(F.min("movement").alias("lo"), F.max("movement").alias("hi"))
+    ends = ends.select(*keys, "block", F.lead("lo", 2).over(w.orderBy("block")).alias("above"), F.lag("hi", 2).over(w.orderBy("block")).alias("below"))
+    inner = placed.join(ends, [*keys, "block"]).select(*keys, F.col("block").alias("own"), F.struct(*cols, "unknown__", "above", "below").alias("i"))
+    outer = placed.select(*keys, "block", F.struct(*cols).alias("j"))
+    loss = _nested_loss(F.col("i"), F.col("j"), lambda m: tuple(m[c] for c in ("x1", "y1", "x2", "y2")), alike, factor, least)
+
+    def worst(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        met = left.join(right, on).select(*by, F.col("i.idx").alias("idx"), F.col("i.target").alias("target"), loss.alias("penalty"))
+        return met.where("penalty > 0").groupBy(*by, "idx", "target").agg(F.max("penalty").alias("penalty"))
+
+    flat = inner.select(*keys, F.col("i.idx").alias("idx"), "i")
+    near = worst(inner.withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))), outer, [*keys, "block"])
+    known = staged(flat.join(near, [*by, "idx", "target"], "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0))), "nearest")
+    far = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(_like(F.col("i.movement"), F.col(c)))
+    bound = F.greatest(far("i.above"), far("i.below"))
+    sure = ~F.col("i.unknown__") & ((bound <= alike) | (F.col("penalty") >= factor * (1.0 + bound) / 2))
+    share = F.pmod(F.xxhash64("idx"), F.lit(shares))
+    open_ = known.where(~sure).drop("penalty", "idx").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
+    rest = worst(open_, placed.select(*keys, share.alias("share"), F.struct(*cols).alias("j")), [*keys, "share"])
+    most = known.select(*by, "idx", "target", "penalty").unionByName(rest).groupBy(*by, "idx", "target").agg(F.max("penalty").alias("penalty"))
+    return measures.select(*by, "idx", "target").join(most, [*by, "idx", "target"], "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+
+
 def crop_extent(df: DataFrame, by: list[str], width: int, height: int, pads: tuple[float, float, float] = (0.1, 0.3, 0.1)) -> DataFrame:
     """The region around all boxes of a group in whole pixels, padded by shares of the image at the sides,
     above and below, inside the image."""

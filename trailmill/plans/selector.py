@@ -2,7 +2,7 @@
 
 Points (by, start, pt, t, x, y, visible) are measured once per point, then per pair of a start and the targets in which
 its points end; scores, penalties and ties are the operators that stand alone elsewhere. Joins have the trajectory's
-key; pairs are made within one trajectory, of its few candidates and targets.
+key; pairs are made within one trajectory, of its candidates with its few targets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import boxes as bx
 from ..operators import scoring as sc
 from ..operators import sequences as seq
+from ..operators.scratch import staged
 from . import publication as pub
 
 #: Least share of frames in which a point must be seen, and least movement of a pair, in image sides a frame.
@@ -46,9 +47,9 @@ def selected_pairs(points: DataFrame, starts: DataFrame, targets: DataFrame, by:
     """(by, start, target, score, points, movement, reason): the best pair of every trajectory that has one with a score.
     starts: (by, start, x1 to y2); targets: (by, target, x1 to y2, conf); intermediate: (by, start, intermediate), matches
     on the way; continuous: (by, start, continuous), the penalty of what never rests. reason says why a pair is weak."""
-    pairs = measured_pairs(points, starts, targets, by, interacting, size, fps)
+    pairs = staged(measured_pairs(points, starts, targets, by, interacting, size, fps), "pairs")
     boxes = starts.withColumnRenamed("start", "idx")
-    nested = bx.nested_penalty(boxes, by, pairs.withColumnRenamed("start", "idx").select(*by, "idx", "target", "points", "movement"))
+    nested = bx.nested_penalty_of_crowds(boxes, by, pairs.withColumnRenamed("start", "idx").select(*by, "idx", "target", "points", "movement"))
     rows = pairs.join(nested.withColumnsRenamed({"idx": "start", "penalty": "nested"}), [*by, "start", "target"])
     for table, name in ((intermediate, "intermediate"), (continuous, "continuous")):
         rows = rows.withColumn(name, F.lit(0.0)) if table is None else rows.join(table, [*by, "start"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
