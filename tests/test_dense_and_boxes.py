@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmill.operators import boxes as bx
 from trailmill.operators import dense
-from trailmill.plans import selector
+from trailmill.plans import annotate, selector
 
 
 def test_farthest_points():
@@ -116,6 +116,31 @@ def test_suppression_against_plain_loop(spark):
         assert {(r.grp, r.idx) for r in bx.suppressed(df.repartition(parts), ["grp"], 0.4).collect()} == want
 
 
+def test_strongest_kept_in_rounds(spark):
+    """Large groups, one without a key: heads of 7 need many rounds, of 880 none; both as the fold over all boxes."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1_500):
+        x, y, g = *rng.uniform(0, 60 if k % 5 else 4, 2), (1, 1, 1, None, 2)[k % 5]
+        rows.append((g, k, float(x), float(y), float(x + rng.uniform(8, 40)), float(y + rng.uniform(8, 40)), float(rng.choice([0.5, rng.random()]))))
+    df = spark.createDataFrame(rows, "grp int, idx int, x1 double, y1 double, x2 double, y2 double, conf double")
+    want = sorted((tuple(r) for r in bx.strongest(bx.suppressed(df, ["grp"], 0.4), ["grp"], 12).collect()), key=repr)
+    for head in (7, 880):
+        assert sorted((tuple(r) for r in bx.strongest_kept(df, ["grp"], 0.4, 12, head).collect()), key=repr) == want
+    assert len(want) == 36
+
+
+def test_candidates_of_a_crowded_image(spark):
+    """30,000 detections of one image: the fold over all of them took minutes."""
+    import time
+
+    n = F.col("id")
+    df = spark.range(30_000).select(F.lit(1).alias("g"), n.alias("idx"), (n % 97).cast("double").alias("x1"), (n % 61).cast("double").alias("y1"), (n % 97 + 5 + n % 50).cast("double").alias("x2"), (n % 61 + 5 + n % 40).cast("double").alias("y2"), (n * 7919 % 30_011 / 30_011).alias("conf"))
+    began = time.monotonic()
+    assert annotate.candidates(df, ["g"], 200, 120).count() == 22
+    assert time.monotonic() - began < 40
+
+
 def test_penalty_of_crowds_is_that_of_all_pairs(spark):
     """2,400 boxes in two groups, of few and of many points, with still, unknown and equal movements: the worst loss over all
     pairs, to the last bit. An array of a group can't be looked through for each of its members at this size."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,40 @@ def suppressed(df: DataFrame, by: list[str], threshold: float = 0.6) -> DataFram
     return grouped.select(*by, F.explode(keep).alias("b")).select(*by, "b.idx", "b.x1", "b.y1", "b.x2", "b.y2", "b.conf")
 
 
+def strongest_kept(df: DataFrame, by: list[str], threshold: float = 0.6, k: int = 22, head: int = 880) -> DataFrame:
+    """strongest(suppressed(df, by, threshold), by, k) for groups of any size. What a box does to others depends on
+    stronger ones only, so the `head` strongest of a group are folded until k stay. Groups in which fewer do go on: what
+    overlaps a kept box is gone, and of the rest the strongest come next, behind those kept. Each round keeps one box at
+    least of every open group, so that there are k rounds at most, and one where k of the first stay."""
+    fields = ("idx", "x1", "y1", "x2", "y2", "conf")
+    item = F.struct((-F.col("conf")).alias("rank"), *fields)
+    w = Window.partitionBy(*by).orderBy("b__.rank", *(f"b__.{c}" for c in fields))
+    none = df.sparkSession.createDataFrame([], df.select(*by, F.array(item).alias("kept__")).schema)
+    left, kept, done = df.select(*by, item.alias("b__")), none, []
+
+    def met(rows: DataFrame, kept: DataFrame, how: str) -> DataFrame:
+        named = kept.withColumnsRenamed({c: f"{c}__" for c in by})
+        return rows.join(named, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by)), how).drop(*(f"{c}__" for c in by))
+
+    while True:
+        # One more than a fold takes tells whether there is a rest.
+        first = left.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= head + 1)
+        grouped = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("n__") <= head, F.col("b__")))).alias("all__"), (F.max("n__") > head).alias("more__"))
+        grouped = met(grouped, kept, "left") if done else grouped.withColumn("kept__", F.lit(None).cast(none.schema["kept__"].dataType))
+        stays = lambda kept, x: F.when((F.size(kept) >= k) | F.exists(kept, lambda y: iou_of(y, x) > threshold), kept).otherwise(F.concat(kept, F.array(x)))
+        start = F.coalesce("kept__", F.filter("all__", lambda x: F.lit(False)))
+        folded = staged(grouped.select(*by, F.aggregate("all__", start, stays).alias("kept__"), "more__", F.element_at("all__", -1).alias("last__")), "kept")
+        unsure = F.col("more__") & (F.size("kept__") < k)
+        done.append(folded.where(~unsure).select(*by, "kept__"))
+        kept = folded.where(unsure).select(*by, "kept__", "last__")
+        if kept.isEmpty():
+            break
+        left = met(left, kept, "inner").where(F.col("b__") > F.col("last__")).where(~F.exists("kept__", lambda y: iou_of(y, F.col("b__")) > threshold)).select(*by, "b__")
+        kept = kept.drop("last__")
+    whole = reduce(DataFrame.unionByName, done)
+    return strongest(whole.select(*by, F.explode("kept__").alias("b")).select(*by, *(f"b.{c}" for c in fields)), by, k)
+
+
 def pairs(df: DataFrame, by: list[str]) -> DataFrame:
     """Ordered pairs of different boxes of a group, prefixed i_ and j_. The join has the group's key."""
     cols = ("idx", "x1", "y1", "x2", "y2")
