@@ -83,6 +83,33 @@ def test_tracked_box():
     assert moved is None or moved[2] <= 319
 
 
+def test_tracked_box_draws_as_round_by_round():
+    """The rounds together find what they find one by one, the first of equals, and take far less than a millisecond each."""
+    import time
+
+    def one_by_one(a, b, limit, rounds):
+        x, y = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+        rng, best = np.random.default_rng(0), np.zeros(len(a), bool)
+        for _ in range(rounds):
+            i, j = rng.choice(len(a), 2, replace=False)
+            if x[i] != x[j]:
+                near = np.abs((y[i] - y[j]) / (x[i] - x[j]) * (x - x[i]) + y[i] - y) <= limit
+                best = near if near.sum() > best.sum() else best
+        return best
+
+    rng = np.random.default_rng(7)
+    for k in range(40):
+        n = int(rng.integers(2, 40))
+        a = rng.integers(0, 30 if k % 4 else 2, (n, 2)).astype(float)
+        b = a + [3, 1] + rng.normal(0, 2, (n, 2)) * (rng.random((n, 1)) < 0.4)
+        assert (dense._agreeing(a, b, 2.0, 200) == one_by_one(a, b, 2.0, 200)).all()
+    a = rng.integers(0, 30, (16, 2)).astype(float)
+    began = time.monotonic()
+    for _ in range(300):
+        dense.tracked_box([0, 0, 30, 30], a, a + 2, np.ones(16, bool), (200, 200))
+    assert time.monotonic() - began < 0.5
+
+
 def test_array_archives():
     arrays = {"centroid_traces": np.linspace(0, 1, 12, dtype=np.float32).reshape(2, 3, 2), "masks": np.eye(3, dtype=np.uint8), "none": None, "empty": np.zeros(0)}
     back = dense.unpacked_arrays(dense.packed_arrays(arrays))
