@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailmill.operators import hands, windows
 from trailmill.plans import publication as pub
+from trailmill.plans import published
 from trailmill.sources import annotations as an
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -143,3 +144,21 @@ def test_rebased_paths(spark):
     lines = ['{"arrays":{"storage":{"path":"arts/shard.h5","group":"a"}}}', '{"arrays":{"storage":{"path":"/abs/x.h5"}}}', '{"selection":{"score":1}}']
     got = [r.line for r in an.rebased(spark.createDataFrame([(x,) for x in lines], "line string"), "line", "../in/").collect()]
     assert got == [lines[0].replace("arts/", "../in/arts/"), *lines[1:]]
+
+
+def test_records_are_shuffled_once(spark):
+    """Where all subtasks are one number, records are grouped and joined in one place."""
+    keys = "cast(id as string) as trajectory_id", "0 as subtask_index"
+    annotations = spark.range(9).selectExpr("'d' as dataset_id", *keys, "cast(null as string) as camera_view", "0 as start_frame", "9 as end_frame", "'x' as instruction")
+    objects = spark.range(9).selectExpr(
+        *keys, "'left' as arm", "'cup' as label", "cast(null as string) as instance_id", "cast(null as string) as relation_to_previous", "1L as detection_frame", "array(1D) as initial_box", "0.5D as initial_score",
+        "cast(null as array<double>) as target_box", "cast(null as double) as target_score", "true as verified", "cast(null as map<bigint,array<double>>) as intermediate", "0L as selected", "struct('m' as method) as selection",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = published.assembled(annotations, objects)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+        assert out.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -107,11 +107,14 @@ def assembled(
 ) -> DataFrame:
     """(annotation_id, line) of annotations (dataset_id, keys, camera_view, start_frame, end_frame, instruction, and what
     else a source, window or task has). Lines have no nulls. A row without trajectory or dataset raises."""
-    records = object_records(objects, annotations, candidates, traces).groupBy(*KEYS).agg(
+    # Both keys in one value: a subtask that is the same number everywhere would drop out of the join's keys, not out of
+    # the groups', and records, the widest rows here, would be shuffled for each.
+    key = F.struct(*KEYS).alias("key__")
+    records = object_records(objects, annotations, candidates, traces).select(key, "arm", "record").groupBy("key__").agg(
         F.max(F.when(F.col("arm").isNull(), F.col("record"))).alias("own"),
         F.array_sort(F.collect_list(F.when(F.col("arm").isNotNull(), F.struct(F.col("arm").alias("a"), F.col("record").alias("r"))))).alias("l"),
     )
-    rows = annotations.join(records, list(KEYS), "left")
+    rows = annotations.select("*", key).join(records, "key__", "left").drop("key__")
     for part, name in ((None if phases is None else phase_lists(phases, keyframes), "phases"), (None if arrays is None else array_lists(arrays), "arrays")):
         rows = rows.join(part, list(KEYS), "left") if part is not None else rows.withColumn(name, F.lit(None).cast("array<struct<type:string>>"))
     c, text = F.col, lambda n: _optional(annotations, n, "string")
