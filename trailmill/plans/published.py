@@ -126,6 +126,9 @@ def assembled(
         ("dataset_id", c("dataset_id")), ("trajectory_id", c("trajectory_id")), ("subtask_index", c("subtask_index")),
         ("start_frame", c("start_frame")), ("end_frame_exclusive", c("end_frame")), ("camera_view", c("camera_view")),
     )
+    # A column of its own, or it would be worked out once for the row and once for the line.
+    rows = rows.withColumn("identity__", identity)
+    identity = c("identity__")
     size = F.when(number("height").isNotNull(), F.array(number("height"), number("width")))
     long_task = F.when(text("longtask_id").isNotNull(), F.struct(text("longtask_id").alias("id"), number("longtask_step").alias("step"), number("longtask_len").alias("length")))
     arms = F.transform(F.filter("l", lambda x: x.isNotNull()), lambda x: x["r"])
