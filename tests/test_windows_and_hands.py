@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmill.operators import hands, windows
+from trailmill.plans import annotate
 from trailmill.plans import publication as pub
 from trailmill.plans import published
 from trailmill.sources import annotations as an
@@ -162,3 +164,12 @@ def test_records_are_shuffled_once(spark):
         assert out.count() == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_arms_candidates_bring_their_signals(spark):
+    """Winners by arm without a join of the candidates with themselves."""
+    windows = spark.createDataFrame([(1, 0, 0, 9)], "traj bigint, subtask int, start_frame bigint, end_frame bigint")
+    rows = [(1, 0, arm, k, 0.0, 0.0, 5.0, 5.0, 0.5, "cup", float(k), 1.0, 0.0, 0.0) for arm in ("left", "right") for k in range(3)]
+    found = spark.createDataFrame(rows, "traj bigint, subtask int, arm string, cand bigint, x1 double, y1 double, x2 double, y2 double, conf double, label string, snr double, sphere double, overlap double, depth_gap double")
+    (line,) = annotate.annotated_arms(windows, found, None, "traj", F.lit("d"), F.lit("Pick it")).collect()
+    assert [(a["arm"], a["selection"]["selected_candidate_index"]) for a in json.loads(line.line)["arms"]] == [("left", 2), ("right", 2)]
