@@ -173,3 +173,52 @@ def test_arms_candidates_bring_their_signals(spark):
     found = spark.createDataFrame(rows, "traj bigint, subtask int, arm string, cand bigint, x1 double, y1 double, x2 double, y2 double, conf double, label string, snr double, sphere double, overlap double, depth_gap double")
     (line,) = annotate.annotated_arms(windows, found, None, "traj", F.lit("d"), F.lit("Pick it")).collect()
     assert [(a["arm"], a["selection"]["selected_candidate_index"]) for a in json.loads(line.line)["arms"]] == [("left", 2), ("right", 2)]
+
+
+def _whole(spark, subtask):
+    """Parts of nine annotations, partitioned by trajectory; the last has an annotation only."""
+    ids = spark.range(9).repartition("id")
+    some = ids.where("id < 8")
+    keys = "id as trajectory_id", f"{subtask} as subtask_index"
+    annotations = ids.selectExpr("'d' as dataset_id", *keys, "cast(null as string) as camera_view", "10L as start_frame", "50L as end_frame", "'x' as instruction")
+    objects = some.selectExpr("id", "explode(if(id % 2 = 0, array(cast(null as string)), array('right', 'left'))) as arm").selectExpr(
+        *keys, "arm", "'cup' as label", "cast(null as string) as instance_id", "cast(null as string) as relation_to_previous", "1L as detection_frame", "array(1D) as initial_box", "0.5D as initial_score",
+        "cast(null as array<double>) as target_box", "cast(null as double) as target_score", "true as verified", "map(7L, array(1D), 3L, array(2D), 5L, null) as intermediate", "1L as selected", "struct('m' as method) as selection",
+    )
+    phases = some.selectExpr("id", "inline(array(('interact', 20L, 30L), ('grasp', 10L, 19L))) as (phase, start_frame, end_frame)").select(*map(F.expr, keys), "phase", "start_frame", "end_frame")
+    marks = "array(('release', 40L), ('release', 40L), ('interact', 30L), ('grasp', 30L), ('detection', 1L))"
+    keyframes = some.selectExpr("id", f"inline({marks}) as (name, frame)").selectExpr(*keys, "name", "frame")
+    lines = some.selectExpr("id", "explode(if(id % 2 = 0, array(cast(null as string)), array('left', 'right'))) as arm")
+    found = "array(('initial', 2L, 0.5D), ('initial', 1L, 0.5D), ('initial', 0L, double('nan')), ('target', 3L, 0.1D))"
+    candidates = lines.selectExpr("id", "arm", f"inline({found}) as (kind, cand, conf)").selectExpr(*keys, "arm", "kind", "cand", "array(conf) as box", "conf", "cand + 100 as source")
+    points = "array((1L, 12L, 1D, 2D), (1L, 11L, 3D, 4D), (1L, 13L, cast(null as double), 4D), (0L, 11L, 9D, 9D))"
+    traces = lines.selectExpr("id", "arm", f"inline({points}) as (cand, frame, x, y)").selectExpr(*keys, "arm", "cand", "frame", "x", "y")
+    arrays = some.selectExpr(*keys, "'masks' as name", "concat('m/', id) as path", "'uint8' as dtype", "array(1, 2) as shape")
+    return published.assembled(annotations, objects, phases, keyframes, candidates, traces, arrays)
+
+
+@pytest.mark.parametrize("subtask", ["0", "cast(id % 2 as int)"])
+def test_whole_rows(spark, subtask):
+    rows = {r["source"]["trajectory_id"]: r for r in (json.loads(x.line) for x in _whole(spark, subtask).collect())}
+    assert sorted(rows) == [str(i) for i in range(9)]
+    assert not {"object", "arms", "arrays", "phases"} & {*rows["8"], *rows["8"]["task"]}
+    one, two = rows["2"], rows["3"]
+    assert [(p["type"], p["start_frame"], p["end_frame_inclusive"]) for p in one["task"]["phases"]] == [("grasp", 10, 19), ("grasp", 30, 30), ("interact", 20, 30), ("release", 40, 40)]
+    assert one["arrays"] == {"masks": {"path": "m/2", "dtype": "uint8", "shape": [1, 2]}}
+    assert "arms" not in one and "object" not in two and [a["arm"] for a in two["arms"]] == ["left", "right"]
+    for r in (one, *two["arms"]):
+        assert r["object"]["track"] == {"xy_pixels": [[3.0, 4.0], [1.0, 2.0]], "frame_indices": [11, 12]}
+        assert [e["frame_index"] for e in r["object"]["intermediate"]] == [13, 17] and r["object"]["target"]["frame_index"] == 49
+        found = r["baselines"]["detector"]
+        assert (found["initial"]["tracked_candidate_index"], found["initial"]["source_detection_index"], found["target"]["candidate_index"]) == (1, 101, 3)
+
+
+def test_parts_in_their_place_are_not_shuffled(spark):
+    """Parts that come partitioned by trajectory are grouped and joined where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _whole(spark, "0")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

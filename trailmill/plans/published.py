@@ -5,7 +5,10 @@ masks, candidates of the detector, objects by arm, centroid traces, stored array
 or has no row for an annotation, is left out of its line. Arms come from the objects: one without a name is
 the robot's only one and stands at the top, named ones are listed under `arms`.
 
-All joins have the annotation's keys; each part is one grouped aggregation, and lists hold one annotation's rows.
+Each part is one grouped aggregation by the annotation's keys, and lists hold one annotation's rows; the lists are joined
+by the same keys, and arms are looked up in them, before anything is built: what is built is many times as wide. A
+trajectory's key may be of any type and is text in the line only, so that tables that come partitioned by their keys (by
+the trajectory, where the subtask is one number everywhere) stay where they are: nothing is shuffled again.
 """
 
 from __future__ import annotations
@@ -23,41 +26,68 @@ def _optional(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def phase_lists(phases: DataFrame, keyframes: DataFrame | None = None) -> DataFrame:
-    """(keys, phases): the phases (phase, start_frame, end_frame, description) of each annotation. A keyframe
-    (name, frame) at which no phase of its kind ends is a phase of one frame; then all are in order of their ends."""
-    rows = phases.select(
-        *KEYS, F.col("phase").alias("type"), F.col("start_frame").cast("bigint").alias("start_frame"), F.col("end_frame").cast("bigint").alias("end_frame_inclusive"),
+def phase_lists(phases: DataFrame) -> DataFrame:
+    """(keys, spans): the phases (phase, start_frame, end_frame, description) of each annotation."""
+    body = F.struct(
+        F.col("phase").alias("type"), F.col("start_frame").cast("bigint").alias("start_frame"), F.col("end_frame").cast("bigint").alias("end_frame_inclusive"),
         _optional(phases, "description", "string").alias("description"),
     )
-    order = "start_frame"
-    if keyframes is not None:
-        order = "end_frame_inclusive"
-        marks = keyframes.where("name <> 'detection'").select(*KEYS, F.col("name").alias("type"), F.col("frame").cast("bigint").alias("end_frame_inclusive")).distinct()
-        missing = marks.join(rows, [*KEYS, "type", "end_frame_inclusive"], "left_anti")
-        rows = rows.unionByName(missing.withColumn("start_frame", F.col("end_frame_inclusive")), allowMissingColumns=True)
-    body = F.struct("type", "start_frame", "end_frame_inclusive", "description")
-    grouped = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("type").alias("t"), body.alias("b")))).alias("l"))
-    return grouped.select(*KEYS, F.transform("l", lambda x: x["b"]).alias("phases"))
-
-
-def detector_baselines(candidates: DataFrame) -> DataFrame:
-    """(keys, arm, baseline): the most confident candidates (kind initial or target, cand, box, conf, source), the
-    first of equals. Without an initial one there is no baseline."""
+    return phases.groupBy(*KEYS).agg(F.collect_list(body).alias("spans"))
+
+
+def keyframe_lists(keyframes: DataFrame) -> DataFrame:
+    """(keys, marks): the keyframes (name, frame) of each annotation without its detection, each once."""
+    mark = F.struct(F.col("name").alias("type"), F.col("frame").cast("bigint").alias("frame"))
+    return keyframes.where("name <> 'detection'").groupBy(*KEYS).agg(F.array_distinct(F.collect_list(mark)).alias("marks"))
+
+
+def all_phases(spans: Column, marks: Column | None = None) -> Column:
+    """Phases in order of their starts. With keyframes, one at which no phase of its kind ends is a phase of one frame,
+    and all are in order of their ends. Null if there are none."""
+    order = "start_frame" if marks is None else "end_frame_inclusive"
+    if marks is not None:
+        ends = lambda m: F.exists(spans, lambda p: (p["type"] == m["type"]) & (p["end_frame_inclusive"] == m["frame"]))
+        one = lambda m: F.struct(m["type"].alias("type"), m["frame"].alias("start_frame"), m["frame"].alias("end_frame_inclusive"), F.lit(None).cast("string").alias("description"))
+        missing = F.transform(F.filter(marks, lambda m: ~F.coalesce(ends(m), F.lit(False))), one)
+        spans = F.when(marks.isNull(), spans).when(spans.isNull(), missing).otherwise(F.concat(spans, missing))
+    ordered = F.array_sort(F.transform(spans, lambda b: F.struct(b[order].alias("o"), b["type"].alias("t"), b.alias("b"))))
+    return F.transform(ordered, lambda x: x["b"])
+
+
+def _arm(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def candidate_lists(candidates: DataFrame) -> DataFrame:
+    """(keys, candidates): the detector's candidates (arm, kind, cand, box, conf, source) with a confidence."""
     found = candidates.where(F.col("conf").isNotNull() & ~F.isnan("conf"))
-    best = lambda kind: F.max_by(F.struct("cand", "box", "conf", "source"), F.when(F.col("kind") == kind, F.struct("conf", -F.col("cand"))))
-    per = found.groupBy(*KEYS, "arm").agg(best("initial").alias("i"), best("target").alias("t")).where("i is not null")
-    part = lambda p, index: F.struct(F.col(f"{p}.box").alias("box_xyxy_pixels"), F.col(f"{p}.conf").alias("detector_score"), F.col(f"{p}.cand").alias(index))
-    initial = F.struct(*(part("i", "tracked_candidate_index")[c].alias(c) for c in ("box_xyxy_pixels", "detector_score", "tracked_candidate_index")), F.col("i.source").alias("source_detection_index"))
-    return per.select(*KEYS, "arm", F.struct(F.lit("maximum_detector_score").alias("method"), initial.alias("initial"), F.when(F.col("t").isNotNull(), part("t", "candidate_index")).alias("target")).alias("baseline"))
+    return found.groupBy(*KEYS).agg(F.collect_list(F.struct(_arm(F.col("arm")).alias("arm"), "kind", "cand", "box", "conf", "source")).alias("candidates"))
+
+
+def _surest(candidates: Column, arm: Column, kind: str) -> Column:
+    """The most confident candidate of an arm (kind initial or target), the first of equals."""
+    own = F.filter(candidates, lambda p: (p["arm"] == _arm(arm)) & (p["kind"] == kind))
+    return F.array_max(F.transform(own, lambda p: F.struct(p["conf"].alias("conf"), (-p["cand"]).alias("o"), p["cand"].alias("cand"), p["box"].alias("box"), p["source"].alias("source"))))
 
 
-def track_lists(traces: DataFrame) -> DataFrame:
-    """(keys, arm, cand, track): the frames and places of each candidate's centroid, in order, without unknown ones."""
+def _baselines(i: Column, t: Column) -> Column:
+    """Without an initial candidate there is no baseline."""
+    part = lambda p, index: (p["box"].alias("box_xyxy_pixels"), p["conf"].alias("detector_score"), p["cand"].alias(index))
+    initial = F.struct(*part(i, "tracked_candidate_index"), i["source"].alias("source_detection_index"))
+    target = F.when(t.isNotNull(), F.struct(*part(t, "candidate_index")))
+    return F.when(i.isNotNull(), F.struct(F.struct(F.lit("maximum_detector_score").alias("method"), initial.alias("initial"), target.alias("target")).alias("detector")))
+
+
+def trace_lists(traces: DataFrame) -> DataFrame:
+    """(keys, points): the frames and places of candidates' centroids (arm, cand, frame, x, y) without unknown ones."""
     known = traces.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    grouped = known.groupBy(*KEYS, "arm", "cand").agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("l"))
-    track = F.struct(F.transform("l", lambda p: F.array(p["x"], p["y"])).alias("xy_pixels"), F.transform("l", lambda p: p["frame"]).alias("frame_indices"))
-    return grouped.select(*KEYS, "arm", "cand", track.alias("track"))
+    return known.groupBy(*KEYS).agg(F.collect_list(F.struct(_arm(F.col("arm")).alias("arm"), "cand", "frame", "x", "y")).alias("points"))
+
+
+def _track(points: Column, arm: Column, cand: Column) -> Column:
+    """A candidate's frames and places, in order; null if there are none."""
+    own = F.filter(points, lambda p: (p["arm"] == _arm(arm)) & (p["cand"] == cand))
+    return F.array_sort(F.transform(own, lambda p: F.struct(p["frame"].alias("frame"), p["x"].alias("x"), p["y"].alias("y"))))
 
 
 def array_lists(arrays: DataFrame) -> DataFrame:
@@ -66,34 +96,27 @@ def array_lists(arrays: DataFrame) -> DataFrame:
     return arrays.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("arrays"))
 
 
-def object_records(objects: DataFrame, windows: DataFrame, candidates: DataFrame | None = None, traces: DataFrame | None = None) -> DataFrame:
-    """(keys, arm, record): of every arm its object, selection and baseline. objects: (keys, arm, label, instance_id,
-    relation_to_previous, detection_frame, initial_box, initial_score, target_box, target_score, verified, intermediate
-    (frame to box), selected, selection)."""
-    rows = objects.join(windows.select(*KEYS, "start_frame", "end_frame"), list(KEYS))
-    rows = rows.withColumn("arm__", F.coalesce("arm", F.lit("")))
-    nothing = "struct<xy_pixels:array<array<double>>,frame_indices:array<bigint>>"
-    if traces is not None:
-        tracks = track_lists(traces).withColumn("arm__", F.coalesce("arm", F.lit(""))).drop("arm").withColumnRenamed("cand", "selected")
-        rows = rows.join(tracks, [*KEYS, "arm__", "selected"], "left")
-    else:
-        rows = rows.withColumn("track", F.lit(None).cast(nothing))
-    if candidates is not None:
-        baselines = detector_baselines(candidates).withColumn("arm__", F.coalesce("arm", F.lit(""))).drop("arm")
-        rows = rows.join(baselines, [*KEYS, "arm__"], "left")
-    else:
-        rows = rows.withColumn("baseline", F.lit(None).cast("struct<method:string>"))
-    start = F.col("start_frame")
-    between = F.transform(F.array_sort(F.map_entries(F.coalesce("intermediate", F.create_map().cast("map<bigint,array<double>>")))), lambda e: F.struct((start + e["key"]).alias("frame_index"), e["value"].alias("box_xyxy_pixels")))
-    between = F.filter(between, lambda e: e["box_xyxy_pixels"].isNotNull())
+def object_lists(objects: DataFrame) -> DataFrame:
+    """(keys, things): of every arm its object and selection. objects: (keys, arm, label, instance_id, relation_to_previous,
+    detection_frame, initial_box, initial_score, target_box, target_score, verified, intermediate (frame to box), selected,
+    selection)."""
+    between = F.array_sort(F.map_entries(F.coalesce("intermediate", F.create_map().cast("map<bigint,array<double>>"))))
     thing = F.struct(
-        F.col("label"), "instance_id", "relation_to_previous",
-        F.struct((start + F.coalesce("detection_frame", F.lit(0))).alias("frame_index"), F.col("initial_box").alias("box_xyxy_pixels"), F.col("initial_score").alias("detector_score")).alias("initial"),
-        F.struct(F.greatest(start, F.col("end_frame") - 1).alias("frame_index"), F.col("target_box").alias("box_xyxy_pixels"), F.col("target_score").alias("detector_score"), "verified").alias("target"),
-        F.when(F.size(between) > 0, between).alias("intermediate"), "track",
+        "arm", "label", "instance_id", "relation_to_previous", "detection_frame", "initial_box", "initial_score", "target_box", "target_score", "verified",
+        F.filter(between, lambda e: e["value"].isNotNull()).alias("between"), "selected", "selection",
+    )
+    return objects.groupBy(*KEYS).agg(F.collect_list(thing).alias("things"))
+
+
+def _object(x: Column, start: Column, end: Column) -> Column:
+    between = F.transform(x["between"], lambda e: F.struct((start + e["key"]).alias("frame_index"), e["value"].alias("box_xyxy_pixels")))
+    track = F.struct(F.transform(x["track"], lambda p: F.array(p["x"], p["y"])).alias("xy_pixels"), F.transform(x["track"], lambda p: p["frame"]).alias("frame_indices"))
+    return F.struct(
+        x["label"].alias("label"), x["instance_id"].alias("instance_id"), x["relation_to_previous"].alias("relation_to_previous"),
+        F.struct((start + F.coalesce(x["detection_frame"], F.lit(0))).alias("frame_index"), x["initial_box"].alias("box_xyxy_pixels"), x["initial_score"].alias("detector_score")).alias("initial"),
+        F.struct(F.greatest(start, end - 1).alias("frame_index"), x["target_box"].alias("box_xyxy_pixels"), x["target_score"].alias("detector_score"), x["verified"].alias("verified")).alias("target"),
+        F.when(F.size(x["between"]) > 0, between).alias("intermediate"), F.when(F.size(x["track"]) > 0, track).alias("track"),
     )
-    baselines = F.when(F.col("baseline").isNotNull(), F.struct(F.col("baseline").alias("detector")))
-    return rows.select(*KEYS, "arm", F.struct("arm", thing.alias("object"), "selection", baselines.alias("baselines")).alias("record"))
 
 
 def assembled(
@@ -107,31 +130,34 @@ def assembled(
 ) -> DataFrame:
     """(annotation_id, line) of annotations (dataset_id, keys, camera_view, start_frame, end_frame, instruction, and what
     else a source, window or task has). Lines have no nulls. A row without trajectory or dataset raises."""
-    # Both keys in one value: a subtask that is the same number everywhere would drop out of the join's keys, not out of
-    # the groups', and records, the widest rows here, would be shuffled for each.
-    key = F.struct(*KEYS).alias("key__")
-    records = object_records(objects, annotations, candidates, traces).select(key, "arm", "record").groupBy("key__").agg(
-        F.max(F.when(F.col("arm").isNull(), F.col("record"))).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("arm").isNotNull(), F.struct(F.col("arm").alias("a"), F.col("record").alias("r"))))).alias("l"),
-    )
-    rows = annotations.select("*", key).join(records, "key__", "left").drop("key__")
-    for part, name in ((None if phases is None else phase_lists(phases, keyframes), "phases"), (None if arrays is None else array_lists(arrays), "arrays")):
-        rows = rows.join(part, list(KEYS), "left") if part is not None else rows.withColumn(name, F.lit(None).cast("array<struct<type:string>>"))
+    parts = ((objects, object_lists, "things"), (candidates, candidate_lists, "candidates"), (traces, trace_lists, "points"), (phases, phase_lists, "spans"), (keyframes, keyframe_lists, "marks"), (arrays, array_lists, "arrays"))
+    rows = annotations
+    for part, listed, _ in parts:
+        rows = rows if part is None else rows.join(listed(part), list(KEYS), "left")
     c, text = F.col, lambda n: _optional(annotations, n, "string")
     number = lambda n: _optional(annotations, n, "bigint")
-    needed = F.when(F.coalesce(c("trajectory_id"), F.lit("")) == "", F.raise_error(F.lit("a row lacks its trajectory"))).when(
+    nothing = lambda kind: F.lit(None).cast(kind)
+    trajectory, start, end = c("trajectory_id").cast("string"), c("start_frame"), c("end_frame")
+    needed = F.when(F.coalesce(trajectory, F.lit("")) == "", F.raise_error(F.lit("a row lacks its trajectory"))).when(
         F.coalesce(c("dataset_id"), F.lit("")) == "", F.raise_error(F.lit("a row lacks its dataset"))
     )
     identity = annotation_id(
-        ("dataset_id", c("dataset_id")), ("trajectory_id", c("trajectory_id")), ("subtask_index", c("subtask_index")),
-        ("start_frame", c("start_frame")), ("end_frame_exclusive", c("end_frame")), ("camera_view", c("camera_view")),
+        ("dataset_id", c("dataset_id")), ("trajectory_id", trajectory), ("subtask_index", c("subtask_index")),
+        ("start_frame", start), ("end_frame_exclusive", end), ("camera_view", c("camera_view")),
     )
-    # A column of its own, or it would be worked out once for the row and once for the line.
-    rows = rows.withColumn("identity__", identity)
-    identity = c("identity__")
+    # Columns of their own, or they would be worked out wherever they are used.
+    about = lambda x: x.withField("track", nothing("array<struct<frame:bigint,x:double,y:double>>") if traces is None else _track(c("points"), x["arm"], x["selected"]))
+    if candidates is not None:
+        plain = about
+        about = lambda x: plain(x).withField("i", _surest(c("candidates"), x["arm"], "initial")).withField("t", _surest(c("candidates"), x["arm"], "target"))
+    rows = rows.withColumns({"identity__": identity, "things__": F.transform("things", about)})
+    rows = rows.withColumns({"own__": F.array_max(F.filter("things__", lambda x: x["arm"].isNull())), "named__": F.array_sort(F.filter("things__", lambda x: x["arm"].isNotNull()))})
+    identity, own, named = c("identity__"), c("own__"), c("named__")
+    baselines = lambda x: nothing("struct<detector:string>") if candidates is None else _baselines(x["i"], x["t"])
     size = F.when(number("height").isNotNull(), F.array(number("height"), number("width")))
     long_task = F.when(text("longtask_id").isNotNull(), F.struct(text("longtask_id").alias("id"), number("longtask_step").alias("step"), number("longtask_len").alias("length")))
-    arms = F.transform(F.filter("l", lambda x: x.isNotNull()), lambda x: x["r"])
+    record = lambda x: F.struct(x["arm"].alias("arm"), _object(x, start, end).alias("object"), x["selection"].alias("selection"), baselines(x).alias("baselines"))
+    spans = nothing("array<struct<type:string>>") if phases is None else all_phases(c("spans"), None if keyframes is None else c("marks"))
     tool = F.when(text("tool_name").isNotNull(), F.struct(text("tool_name").alias("name"), _optional(annotations, "tool_box", "array<double>").alias("box_xyxy_pixels")))
     body = F.struct(
         F.struct(F.lit(NAME).alias("name"), F.lit(VERSION).alias("version")).alias("schema"), identity.alias("annotation_id"),
@@ -140,15 +166,16 @@ def assembled(
             F.lit("binary_image_aligned").alias("masks"), F.lit("zero_based_trajectory_indices").alias("frame_indices"),
         ).alias("coordinates"),
         F.struct(
-            "dataset_id", "trajectory_id", text("source_uuid").alias("source_uuid"), number("episode_index").alias("episode_index"), "subtask_index",
+            "dataset_id", trajectory.alias("trajectory_id"), text("source_uuid").alias("source_uuid"), number("episode_index").alias("episode_index"), "subtask_index",
             text("split").alias("split"), _optional(annotations, "fps", "double").alias("fps"), "camera_view", long_task.alias("long_task"),
         ).alias("source"),
         F.struct("start_frame", c("end_frame").alias("end_frame_exclusive"), number("num_frames").alias("trajectory_frame_count"), size.alias("image_size_hw")).alias("window"),
         F.struct(
             "instruction", F.coalesce(text("parsing_mode"), F.lit("text")).alias("parsing_mode"), text("action").alias("action"),
-            text("start_location").alias("start_location"), text("target_location").alias("target_location"), "phases",
+            text("start_location").alias("start_location"), text("target_location").alias("target_location"), spans.alias("phases"),
         ).alias("task"),
-        "arrays", c("own.object").alias("object"), c("own.selection").alias("selection"), c("own.baselines").alias("baselines"), tool.alias("tool"), F.when(F.size(arms) > 0, arms).alias("arms"),
+        (nothing("array<string>") if arrays is None else c("arrays")).alias("arrays"), F.when(own.isNotNull(), _object(own, start, end)).alias("object"), own["selection"].alias("selection"),
+        baselines(own).alias("baselines"), tool.alias("tool"), F.when(F.size(named) > 0, F.transform(named, record)).alias("arms"),
     )
     return rows.select(F.coalesce(needed.cast("string"), identity).alias("annotation_id"), F.to_json(body).alias("line"))
 

@@ -12,8 +12,9 @@ PARTS = """o AS (SELECT o_orderkey AS k, o_orderkey % 50 AS s, o_custkey % 3 = 0
 
 
 def _parts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("start_frame"), (F.col("o_custkey") % 3 == 0).alias("single"), "o_orderpriority")
-    keys = (F.col("k").cast("string").alias("trajectory_id"), F.lit(0).alias("subtask_index"))
+    # Orders are dealt out once, by the key that lines are numbered by; all parts made of them stay in their place.
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("start_frame"), (F.col("o_custkey") % 3 == 0).alias("single"), "o_orderpriority").repartition("k")
+    keys = (F.col("k").alias("trajectory_id"), F.lit(0).alias("subtask_index"))
     annotations = orders.select(
         F.lit("orders").alias("dataset_id"), *keys, F.lit("top").alias("camera_view"), "start_frame", (F.col("start_frame") + 40).alias("end_frame"), F.col("o_orderpriority").alias("instruction"),
         F.lit(480).alias("height"), F.lit(640).alias("width"), F.lit(90).alias("num_frames"),
@@ -50,15 +51,25 @@ def _parts(spark, sf_dir):
 def published_rows(spark, sf_dir):
     """All parts in one line, read back: phases with those that keyframes add, arms, baselines, tracks, arrays."""
     lines = pub.assembled(*_parts(spark, sf_dir))
-    get = lambda p: F.get_json_object("line", p)
-    own = lambda p: F.coalesce(get(f"$.{p}"), get(f"$.arms[0].{p}"))
-    names = lambda p: F.array_join(F.from_json(get(p), "array<string>"), ",")
-    return lines.select(
-        get("$.source.trajectory_id").cast("bigint").alias("k"), "annotation_id", names("$.task.phases[*].type").alias("phases"), names("$.task.phases[*].start_frame").alias("starts"),
-        F.coalesce(F.json_array_length(get("$.arms")), F.lit(0)).cast("bigint").alias("n_arms"), get("$.object.label").alias("own_label"), get("$.arms[1].arm").alias("second_arm"),
-        own("baselines.detector.initial.tracked_candidate_index").cast("bigint").alias("initial_candidate"), own("baselines.detector.target.candidate_index").cast("bigint").alias("target_candidate"),
-        own("object.track.frame_indices[0]").cast("bigint").alias("first_track_frame"), own("object.target.frame_index").cast("bigint").alias("target_frame"),
-        own("object.intermediate[0].frame_index").cast("bigint").alias("first_between"), get("$.arrays.object_masks.path").alias("masks"), get("$.window.image_size_hw[0]").cast("bigint").alias("height"),
+    frame = "array<struct<frame_index:bigint>>"
+    body = (
+        f"object:struct<label:string,target:struct<frame_index:bigint>,intermediate:{frame},track:struct<frame_indices:array<bigint>>>,"
+        "baselines:struct<detector:struct<initial:struct<tracked_candidate_index:bigint>,target:struct<candidate_index:bigint>>>"
+    )
+    whole = (
+        "source:struct<trajectory_id:string>,window:struct<image_size_hw:array<bigint>>,task:struct<phases:array<struct<type:string,start_frame:string>>>,"
+        f"arrays:struct<object_masks:struct<path:string>>,{body},arms:array<struct<arm:string,{body}>>"
+    )
+    read = lines.select("annotation_id", F.from_json("line", f"struct<{whole}>").alias("j"))
+    read = read.select("annotation_id", "j.*", F.get("j.arms", F.lit(0)).alias("first"))
+    own = lambda p: F.coalesce(F.col(p), F.col(f"first.{p}"))
+    at = lambda p: F.coalesce(F.get(p, F.lit(0)), F.get(f"first.{p}", F.lit(0)))
+    return read.select(
+        F.col("source.trajectory_id").cast("bigint").alias("k"), "annotation_id", F.array_join("task.phases.type", ",").alias("phases"), F.array_join("task.phases.start_frame", ",").alias("starts"),
+        F.coalesce(F.array_size("arms"), F.lit(0)).cast("bigint").alias("n_arms"), F.col("object.label").alias("own_label"), F.get("arms", F.lit(1))["arm"].alias("second_arm"),
+        own("baselines.detector.initial.tracked_candidate_index").alias("initial_candidate"), own("baselines.detector.target.candidate_index").alias("target_candidate"),
+        at("object.track.frame_indices").alias("first_track_frame"), own("object.target.frame_index").alias("target_frame"),
+        at("object.intermediate")["frame_index"].alias("first_between"), F.col("arrays.object_masks.path").alias("masks"), F.get("window.image_size_hw", F.lit(0)).alias("height"),
     )
 
 
