@@ -5,14 +5,16 @@ masks, candidates of the detector, objects by arm, centroid traces, stored array
 or has no row for an annotation, is left out of its line. Arms come from the objects: one without a name is
 the robot's only one and stands at the top, named ones are listed under `arms`.
 
-Each part is one grouped aggregation by the annotation's keys, and lists hold one annotation's rows; the lists are joined
-by the same keys, and arms are looked up in them, before anything is built: what is built is many times as wide. A
-trajectory's key may be of any type and is text in the line only, so that tables that come partitioned by their keys (by
-the trajectory, where the subtask is one number everywhere) stay where they are: nothing is shuffled again.
+All parts are stacked and listed by the annotation's keys in one grouped aggregation; arms are looked up in the lists, which
+hold one annotation's rows, before anything is built: what is built is many times as wide. A trajectory's key may be of any
+type and is text in the line only, so that tables that come partitioned by their keys (by the trajectory, where the subtask
+is one number everywhere) stay where they are: nothing is shuffled again.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,42 +28,42 @@ def _optional(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def phase_lists(phases: DataFrame) -> DataFrame:
-    """(keys, spans): the phases (phase, start_frame, end_frame, description) of each annotation."""
+def phase_rows(phases: DataFrame) -> DataFrame:
+    """(keys, spans): phases (phase, start_frame, end_frame, description)."""
     body = F.struct(
         F.col("phase").alias("type"), F.col("start_frame").cast("bigint").alias("start_frame"), F.col("end_frame").cast("bigint").alias("end_frame_inclusive"),
         _optional(phases, "description", "string").alias("description"),
     )
-    return phases.groupBy(*KEYS).agg(F.collect_list(body).alias("spans"))
+    return phases.select(*KEYS, body.alias("spans"))
 
 
-def keyframe_lists(keyframes: DataFrame) -> DataFrame:
-    """(keys, marks): the keyframes (name, frame) of each annotation without its detection, each once."""
+def keyframe_rows(keyframes: DataFrame) -> DataFrame:
+    """(keys, marks): keyframes (name, frame) without detections."""
     mark = F.struct(F.col("name").alias("type"), F.col("frame").cast("bigint").alias("frame"))
-    return keyframes.where("name <> 'detection'").groupBy(*KEYS).agg(F.array_distinct(F.collect_list(mark)).alias("marks"))
+    return keyframes.where("name <> 'detection'").select(*KEYS, mark.alias("marks"))
 
 
 def all_phases(spans: Column, marks: Column | None = None) -> Column:
-    """Phases in order of their starts. With keyframes, one at which no phase of its kind ends is a phase of one frame,
-    and all are in order of their ends. Null if there are none."""
+    """Phases in order of their starts. With keyframes, each at which no phase of its kind ends is a phase of one frame,
+    once, and all are in order of their ends. Null if there are none."""
     order = "start_frame" if marks is None else "end_frame_inclusive"
     if marks is not None:
         ends = lambda m: F.exists(spans, lambda p: (p["type"] == m["type"]) & (p["end_frame_inclusive"] == m["frame"]))
         one = lambda m: F.struct(m["type"].alias("type"), m["frame"].alias("start_frame"), m["frame"].alias("end_frame_inclusive"), F.lit(None).cast("string").alias("description"))
-        missing = F.transform(F.filter(marks, lambda m: ~F.coalesce(ends(m), F.lit(False))), one)
-        spans = F.when(marks.isNull(), spans).when(spans.isNull(), missing).otherwise(F.concat(spans, missing))
-    ordered = F.array_sort(F.transform(spans, lambda b: F.struct(b[order].alias("o"), b["type"].alias("t"), b.alias("b"))))
-    return F.transform(ordered, lambda x: x["b"])
+        missing = F.transform(F.filter(F.array_distinct(marks), lambda m: ~F.coalesce(ends(m), F.lit(False))), one)
+    every = spans if marks is None else F.concat(spans, missing)
+    ordered = F.array_sort(F.transform(every, lambda b: F.struct(b[order].alias("o"), b["type"].alias("t"), b.alias("b"))))
+    return F.when((F.size(spans) > 0) if marks is None else (F.size(spans) + F.size(marks) > 0), F.transform(ordered, lambda x: x["b"]))
 
 
 def _arm(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
-def candidate_lists(candidates: DataFrame) -> DataFrame:
-    """(keys, candidates): the detector's candidates (arm, kind, cand, box, conf, source) with a confidence."""
+def candidate_rows(candidates: DataFrame) -> DataFrame:
+    """(keys, candidates): candidates of the detector (arm, kind, cand, box, conf, source) with a confidence."""
     found = candidates.where(F.col("conf").isNotNull() & ~F.isnan("conf"))
-    return found.groupBy(*KEYS).agg(F.collect_list(F.struct(_arm(F.col("arm")).alias("arm"), "kind", "cand", "box", "conf", "source")).alias("candidates"))
+    return found.select(*KEYS, F.struct(_arm(F.col("arm")).alias("arm"), "kind", "cand", "box", "conf", "source").alias("candidates"))
 
 
 def _surest(candidates: Column, arm: Column, kind: str) -> Column:
@@ -78,10 +80,10 @@ def _baselines(i: Column, t: Column) -> Column:
     return F.when(i.isNotNull(), F.struct(F.struct(F.lit("maximum_detector_score").alias("method"), initial.alias("initial"), target.alias("target")).alias("detector")))
 
 
-def trace_lists(traces: DataFrame) -> DataFrame:
+def trace_rows(traces: DataFrame) -> DataFrame:
     """(keys, points): the frames and places of candidates' centroids (arm, cand, frame, x, y) without unknown ones."""
     known = traces.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    return known.groupBy(*KEYS).agg(F.collect_list(F.struct(_arm(F.col("arm")).alias("arm"), "cand", "frame", "x", "y")).alias("points"))
+    return known.select(*KEYS, F.struct(_arm(F.col("arm")).alias("arm"), "cand", "frame", "x", "y").alias("points"))
 
 
 def _track(points: Column, arm: Column, cand: Column) -> Column:
@@ -90,14 +92,13 @@ def _track(points: Column, arm: Column, cand: Column) -> Column:
     return F.array_sort(F.transform(own, lambda p: F.struct(p["frame"].alias("frame"), p["x"].alias("x"), p["y"].alias("y"))))
 
 
-def array_lists(arrays: DataFrame) -> DataFrame:
-    """(keys, arrays): where stored arrays (name, path, dtype, shape) lie, by name."""
-    entry = F.struct("name", F.struct("path", "dtype", "shape").alias("at"))
-    return arrays.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("arrays"))
+def array_rows(arrays: DataFrame) -> DataFrame:
+    """(keys, arrays): where stored arrays (name, path, dtype, shape) lie."""
+    return arrays.select(*KEYS, F.struct("name", F.struct("path", "dtype", "shape").alias("at")).alias("arrays"))
 
 
-def object_lists(objects: DataFrame) -> DataFrame:
-    """(keys, things): of every arm its object and selection. objects: (keys, arm, label, instance_id, relation_to_previous,
+def object_rows(objects: DataFrame) -> DataFrame:
+    """(keys, things): of an arm its object and selection. objects: (keys, arm, label, instance_id, relation_to_previous,
     detection_frame, initial_box, initial_score, target_box, target_score, verified, intermediate (frame to box), selected,
     selection)."""
     between = F.array_sort(F.map_entries(F.coalesce("intermediate", F.create_map().cast("map<bigint,array<double>>"))))
@@ -105,7 +106,7 @@ def object_lists(objects: DataFrame) -> DataFrame:
         "arm", "label", "instance_id", "relation_to_previous", "detection_frame", "initial_box", "initial_score", "target_box", "target_score", "verified",
         F.filter(between, lambda e: e["value"].isNotNull()).alias("between"), "selected", "selection",
     )
-    return objects.groupBy(*KEYS).agg(F.collect_list(thing).alias("things"))
+    return objects.select(*KEYS, thing.alias("things"))
 
 
 def _object(x: Column, start: Column, end: Column) -> Column:
@@ -130,10 +131,11 @@ def assembled(
 ) -> DataFrame:
     """(annotation_id, line) of annotations (dataset_id, keys, camera_view, start_frame, end_frame, instruction, and what
     else a source, window or task has). Lines have no nulls. A row without trajectory or dataset raises."""
-    parts = ((objects, object_lists, "things"), (candidates, candidate_lists, "candidates"), (traces, trace_lists, "points"), (phases, phase_lists, "spans"), (keyframes, keyframe_lists, "marks"), (arrays, array_lists, "arrays"))
-    rows = annotations
-    for part, listed, _ in parts:
-        rows = rows if part is None else rows.join(listed(part), list(KEYS), "left")
+    given = ((objects, object_rows), (candidates, candidate_rows), (traces, trace_rows), (phases, phase_rows), (None if phases is None else keyframes, keyframe_rows), (arrays, array_rows))
+    parts = [rows_of(part) for part, rows_of in given if part is not None]
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lists = stacked.groupBy(*KEYS).agg(*(F.collect_list(n).alias(n) for n in stacked.columns if n not in KEYS))
+    rows = annotations.join(lists, list(KEYS), "left")
     c, text = F.col, lambda n: _optional(annotations, n, "string")
     number = lambda n: _optional(annotations, n, "bigint")
     nothing = lambda kind: F.lit(None).cast(kind)
@@ -156,6 +158,7 @@ def assembled(
     baselines = lambda x: nothing("struct<detector:string>") if candidates is None else _baselines(x["i"], x["t"])
     size = F.when(number("height").isNotNull(), F.array(number("height"), number("width")))
     long_task = F.when(text("longtask_id").isNotNull(), F.struct(text("longtask_id").alias("id"), number("longtask_step").alias("step"), number("longtask_len").alias("length")))
+    stored = nothing("array<string>") if arrays is None else F.when(F.size("arrays") > 0, F.map_from_entries(F.array_sort("arrays")))
     record = lambda x: F.struct(x["arm"].alias("arm"), _object(x, start, end).alias("object"), x["selection"].alias("selection"), baselines(x).alias("baselines"))
     spans = nothing("array<struct<type:string>>") if phases is None else all_phases(c("spans"), None if keyframes is None else c("marks"))
     tool = F.when(text("tool_name").isNotNull(), F.struct(text("tool_name").alias("name"), _optional(annotations, "tool_box", "array<double>").alias("box_xyxy_pixels")))
@@ -174,7 +177,7 @@ def assembled(
             "instruction", F.coalesce(text("parsing_mode"), F.lit("text")).alias("parsing_mode"), text("action").alias("action"),
             text("start_location").alias("start_location"), text("target_location").alias("target_location"), spans.alias("phases"),
         ).alias("task"),
-        (nothing("array<string>") if arrays is None else c("arrays")).alias("arrays"), F.when(own.isNotNull(), _object(own, start, end)).alias("object"), own["selection"].alias("selection"),
+        stored.alias("arrays"), F.when(own.isNotNull(), _object(own, start, end)).alias("object"), own["selection"].alias("selection"),
         baselines(own).alias("baselines"), tool.alias("tool"), F.when(F.size(named) > 0, F.transform(named, record)).alias("arms"),
     )
     return rows.select(F.coalesce(needed.cast("string"), identity).alias("annotation_id"), F.to_json(body).alias("line"))
